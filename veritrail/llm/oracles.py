@@ -1,3 +1,22 @@
 """SQL of the corpus queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from veritrail.llm.urls import BLOCKED_HOSTS, RULES
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+_HOSTS = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+
+SQL: dict[str, str] = {
+    "op7_url_filter": f"""
+        WITH rules(rh, rp, rv) AS (VALUES {_RULES}), hosts(bh) AS (VALUES {_HOSTS}),
+        split AS (
+            SELECT page_id,
+                CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+            FROM pages),
+        fits AS (
+            SELECT page_id, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule, arg_max(rv, (length(rh || rp), length(rh))) AS verdict
+            FROM split JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT page_id, host, path, rule,
+            coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM hosts WHERE host = bh OR ends_with(host, '.' || bh)) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM split LEFT JOIN fits USING (page_id)""",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import secrets
+from veritrail.llm import secrets, urls
 from veritrail.llm.shared import table
 
 
@@ -15,3 +15,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter(spans, lambda s: s.kind.isin(*(r.kind for r in secrets.BASE_RULES)))
     count = lambda kind: F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return docs.select("doc_id", *(count(r.kind) for r in secrets.BASE_RULES), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")

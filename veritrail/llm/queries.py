@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import secrets, urls
+from veritrail.llm import bpe, secrets, urls
 from veritrail.llm.shared import table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -19,3 +22,9 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_bytes(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, secrets, urls
+from veritrail.llm import bpe, mpeg, secrets, urls
 from veritrail.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -28,3 +28,24 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_bytes(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    parsed = mpeg.parse_column(mpeg.encode_column(docs, "data"))
+    back = F.col("audio.payload")
+    feature = F.concat_ws(
+        ";",
+        *(F.concat(F.lit(f"{k}="), F.col(f"audio.{k}").cast("string")) for k in ("hertz", "samples", "duration_num", "duration_den", "table_frames", "crc_checked", "crc_failed", "bytes_skipped", "tags", "vbr_table")),
+        F.concat(F.lit("offsets_sha256="), F.sha2(F.array_join("audio.frame_offsets", ","), 256)),
+    )
+    return parsed.select(
+        "doc_id",
+        F.octet_length("data").cast("long").alias("n_bytes"),
+        F.octet_length(back).cast("long").alias("payload_bytes"),
+        F.sha2(back, 256).alias("payload_sha256"),
+        F.crc32(F.substring(back, -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )

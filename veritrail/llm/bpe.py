@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a worker's cache, and the longest pre-token (in characters) that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 100_000, 64
 _UNKNOWN = "⁇"
 #: Code points that are letters or numbers only in Unicode versions after the one the rank files' library knows; to it they are
 #: neither.
@@ -110,25 +110,25 @@ class Codec:
         return [text[m.start() : m.end()] for m in pattern.finditer(later.sub("\ufffd", text))]
 
     @cached_property
-    def _cache(self) -> dict[str, np.ndarray]:
+    def _cache(self) -> dict[str, bytes]:
         return {}
 
     def _encode_new(self, words: list[str]) -> None:
         chars = byte_characters()
         data = [w.encode() for w in words]
         merged = [k for k, d in enumerate(data) if d not in self._whole]
-        found = dict(zip(merged, self._processor.encode([data[k].decode("latin-1").translate(chars) for k in merged]), strict=True))
+        found = dict(zip(merged, self._processor.encode([data[k].decode("latin-1").translate(chars) for k in merged], num_threads=1), strict=True))
         for k, word in enumerate(words):
-            self._cache[word] = np.array(found.get(k) or self._whole[data[k]], "<u4")
+            self._cache[word] = np.array(found.get(k) or self._whole[data[k]], "<u4").tobytes()
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         words = self._split(text or "")
-        if not words:
-            return np.zeros(0, "<u4")
         cache = self._cache
-        if new := [w for w in set(words) if w not in cache]:
-            self._encode_new(new)
-        ids = np.concatenate([cache[w] for w in words])
+        new = set(words).difference(cache)
+        if new:
+            self._encode_new(list(new))
+        ids = b"".join([cache[w] for w in words])
         for w in new:
             if len(w) > CACHE_CHARS:
                 del cache[w]
@@ -136,43 +136,39 @@ class Codec:
             cache.clear()
         return ids
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
+        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs with the ids (array<int>) of each text's tokens; a column of that name is replaced, all others and all rows stay."""
-    codec = Codec(read_ranks(vocabulary), pattern)
+TOKENS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("packed", T.BinaryType())])
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            ids = [codec.encode(t.as_py()) for t in texts]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).view(np.int32)))
-
-    return docs.withColumn(out, run(F.col(text)))
 
+def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
+    """docs with the ids of each text's tokens, as integers and packed (little-endian, unsigned, 32 bits).
 
-def decode(docs: DataFrame, vocabulary: str, pattern: str = "", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """docs with the bytes (binary) that the ids stand for; null ids give null."""
+    A column of that name is replaced, all others and all rows stay.
+    """
     codec = Codec(read_ranks(vocabulary), pattern)
 
-    @F.arrow_udf(T.BinaryType())
+    @F.arrow_udf(TOKENS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            yield pa.array([codec.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.binary())
+        for texts in batches:
+            packed = [codec.encode(t.as_py()) for t in texts]
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.StructArray.from_arrays([ids, pa.array(packed, pa.binary())], ["ids", "packed"])
 
-    return docs.withColumn(out, run(F.col(ids)))
+    return docs.withColumn(out, run(F.col(text)))
 
 
-def id_bytes(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers (binary)."""
+def decode(docs: DataFrame, vocabulary: str, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
+    """docs with the bytes (binary) that the tokens stand for; null tokens give null."""
+    codec = Codec(read_ranks(vocabulary), "")
 
     @F.arrow_udf(T.BinaryType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            yield pa.array([x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes() if x.is_valid else None for x in lists], pa.binary())
+            yield pa.array([codec.decode(x.as_py()) if x.is_valid else None for x in lists], pa.binary())
 
-    return run(ids)
+    return docs.withColumn(out, run(F.col(tokens)["packed"]))

@@ -27,7 +27,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
-    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(bpe.id_bytes(F.col("token_ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("tokens.ids").cast("long").alias("n_tokens"), F.sha2("tokens.packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, mixing, mpeg, ngram_join, order_minhash, quality, secrets, urls
+from veritrail.llm import bpe, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, urls
 from veritrail.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The key of pseudonyms; a deployment passes its own.
+PSEUDONYM_KEY = "veritrail"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,3 +84,9 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         order_minhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         order_minhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    count = lambda kind: F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
+    return docs.select("doc_id", *map(count, pii.KINDS), "text")

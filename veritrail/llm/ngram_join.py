@@ -34,7 +34,7 @@ from veritrail.llm.shared import written
 
 WORDS, PERCENT = 5, 75
 #: Groups of a count vector, and count vectors in a leaf.
-GROUPS, LEAF = 64, 256
+GROUPS, LEAF = 64, 64
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
@@ -131,7 +131,7 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+    """The pairs (a, b), a written table, whose whole sets link."""
 
     @F.arrow_udf(T.BooleanType())
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -144,7 +144,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> Dat
                 out.append(linked(shingles(a), kept, percent))
             yield pa.array(out)
 
-    pairs = written(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = written(docs.select("doc_id", F.col(text).alias("text")).join(wanted, "doc_id", "left_semi"))
@@ -164,42 +163,45 @@ def _leaf_pairs(lists: DataFrame, percent: int) -> DataFrame:
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def corner(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for leaves in batches:
-            yield pa.array([_counts(x.as_py()).max(0) for x in leaves], pa.list_(pa.int64()))
+            yield pa.array([_leaf(x)["vector"].max(0) for x in leaves], pa.list_(pa.int64()))
 
     pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
     @F.arrow_udf(pair)
-    def probe(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lefts, rights in batches:
-            yield pa.array([_survivors(x, y, percent) for x, y in zip(lefts.to_pylist(), rights.to_pylist(), strict=True)], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+    def probe(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lefts, rights, same in batches:
+            found = [_survivors(_leaf(x), _leaf(y), one.as_py(), percent) for x, y, one in zip(lefts, rights, same, strict=True)]
+            ends = np.cumsum([0, *(len(a) for a, _ in found)], dtype=np.int32)
+            flat = [np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1)]
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(v) for v in flat], ["a", "b"]))
 
     leaves = written(rows.withColumn("corner", corner("rows")))
     right = leaves.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "rows", "low", "high", "corner")))
     within = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= percent * F.col("low2"))
     reach = _bound_sum(F.col("corner"), F.col("corner2")) >= _needed(F.col("low"), F.col("low2"), percent)
     several = leaves.filter("leaf > 0").select("key").distinct()
-    apart = leaves.join(several, "key", "left_semi").join(right, "key").filter(within & reach).select("rows", "rows2")
-    own = leaves.select("rows", F.col("rows").alias("rows2"))
-    return own.unionByName(apart).select(F.explode(probe("rows", "rows2")).alias("p")).select("p.a", "p.b").distinct()
+    apart = leaves.join(several, "key", "left_semi").join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
+    own = leaves.select("rows", F.col("rows").alias("rows2"), F.lit(True).alias("own"))
+    return own.unionByName(apart).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _counts(rows: list[dict]) -> np.ndarray:
-    return np.stack([np.frombuffer(r["vector"], "<u4") for r in rows]).astype(np.int64)
+def _leaf(rows: pa.ListScalar) -> dict[str, np.ndarray]:
+    """The columns of a leaf; vectors as a matrix."""
+    fields = rows.values.flatten()
+    names = [f.name for f in rows.type.value_type]
+    return {k: np.frombuffer(b"".join(v.to_pylist()), "<u4").reshape(len(v), GROUPS) if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
 
 
-def _survivors(left: list[dict], right: list[dict], percent: int) -> list[dict]:
-    """Pairs of different components whose summed coordinate minima reach the overlap that they need."""
-    x, y = _counts(left), _counts(right)
-    of = lambda rows, k: np.array([r[k] for r in rows])
-    n, m, ids, ids2, comp, comp2 = of(left, "n"), of(right, "n"), of(left, "doc_id"), of(right, "doc_id"), of(left, "component"), of(right, "component")
-    out = []
-    for k in range(len(left)):
-        need = -(-percent * (n[k] + m) // (100 + percent))
-        may = (ids2 > ids[k] if left is right or left == right else ids2 != ids[k]) & (comp2 != comp[k]) & (np.minimum(n[k], m) >= need)
-        at = np.nonzero(may)[0]
-        at = at[np.minimum(x[k], y[at]).sum(1) >= need[at]]
-        out += [{"a": int(ids[k]), "b": int(ids2[j])} for j in at]
-    return out
+def _survivors(left: dict, right: dict, own: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose summed coordinate minima reach the overlap that they need; own: both are one leaf."""
+    need = -(-percent * (left["n"][:, None] + right["n"][None]) // (100 + percent))
+    may = (left["component"][:, None] != right["component"][None]) & (np.minimum(left["n"][:, None], right["n"][None]) >= need)
+    if own:
+        may &= left["doc_id"][:, None] < right["doc_id"][None]
+    i, j = np.nonzero(may)
+    reach = np.minimum(left["vector"][i], right["vector"][j]).sum(1, dtype=np.int64) >= need[i, j]
+    a, b = left["doc_id"][i[reach]], right["doc_id"][j[reach]]
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -230,11 +232,17 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
         return pa.array(np.minimum(read(left), read(right)).sum(1).astype(np.int64))
 
     tried = tried.join(side("a"), "a").join(side("b"), "b").filter(minima("vector_a", "vector_b") >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    tried = written(tried)
     first = _components(_verified(tried, docs, text, percent))
 
     member = lists.select("key", "doc_id", "n").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = several(member, "component").select("key", "doc_id", "n", "component").join(vectors, "doc_id")
-    more = _verified(_leaf_pairs(mixed, percent), docs, text, percent)
+    mixed = written(several(member, "component").select("key", "doc_id", "n", "component"))
+    alike = mixed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    once = alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")  # of lists with the same documents
+    mixed = mixed.join(once, "key", "left_semi").join(vectors, "doc_id")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = written(_leaf_pairs(mixed, percent).join(done, ["a", "b"], "left_anti"))
+    more = _verified(left, docs, text, percent)
     name = lambda k: first.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
     more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
     second = _components(more).select(F.col("node").alias("component"), F.col("component").alias("root"))

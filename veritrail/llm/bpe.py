@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -25,8 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of a worker's cache, and the longest pre-token (in characters) that it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 100_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
+TEXTS_AT_ONCE = 64
 _UNKNOWN = "⁇"
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("packed ids need little-endian 32-bit integers")
 #: Code points that are letters or numbers only in Unicode versions after the one the rank files' library knows; to it they are
 #: neither.
 _LATER = """
@@ -96,8 +102,12 @@ class Codec:
         return sentencepiece.SentencePieceProcessor(model_proto=model_bytes(self.tokens))
 
     @cached_property
-    def _whole(self) -> dict[bytes, tuple[int, ...]]:
-        return {t: (rank,) for rank, t in enumerate(self.tokens)}
+    def _whole(self) -> dict[bytes, bytes]:
+        return {t: array("I", [rank]).tobytes() for rank, t in enumerate(self.tokens)}
+
+    @cached_property
+    def _characters(self) -> str:
+        return byte_characters()
 
     @cached_property
     def _regexes(self):
@@ -114,21 +124,21 @@ class Codec:
         return {}
 
     def _encode_new(self, words: list[str]) -> None:
-        chars = byte_characters()
+        chars, whole = self._characters, self._whole
         data = [w.encode() for w in words]
-        merged = [k for k, d in enumerate(data) if d not in self._whole]
-        found = dict(zip(merged, self._processor.encode([data[k].decode("latin-1").translate(chars) for k in merged], num_threads=1), strict=True))
-        for k, word in enumerate(words):
-            self._cache[word] = np.array(found.get(k) or self._whole[data[k]], "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = self._split(text or "")
+        merged = [k for k, d in enumerate(data) if d not in whole]
+        found = self._processor.encode([data[k].decode("latin-1").translate(chars) for k in merged], num_threads=1)
+        self._cache.update((w, whole[d]) for w, d in zip(words, data, strict=True) if d in whole)
+        self._cache.update((words[k], array("I", ids).tobytes()) for k, ids in zip(merged, found, strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cuts = [self._split(t or "") for t in texts]
         cache = self._cache
-        new = set(words).difference(cache)
+        new = set(chain.from_iterable(cuts)).difference(cache)
         if new:
             self._encode_new(list(new))
-        ids = b"".join([cache[w] for w in words])
+        ids = [b"".join([cache[w] for w in words]) for words in cuts]
         for w in new:
             if len(w) > CACHE_CHARS:
                 del cache[w]
@@ -154,7 +164,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
     @F.arrow_udf(TOKENS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            packed = [codec.encode(t.as_py()) for t in texts]
+            packed = [x for at in range(0, len(texts), TEXTS_AT_ONCE) for x in codec.encode(texts.slice(at, TEXTS_AT_ONCE).to_pylist())]
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.StructArray.from_arrays([ids, pa.array(packed, pa.binary())], ["ids", "packed"])

@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, urls
+from veritrail.llm import bpe, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, token_counts, urls
 from veritrail.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: The key of pseudonyms; a deployment passes its own.
 PSEUDONYM_KEY = "veritrail"
 
@@ -90,3 +91,9 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     count = lambda kind: F.size(F.filter("pii_kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
     return docs.select("doc_id", *map(count, pii.KINDS), "text")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_TOKENIZER)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))

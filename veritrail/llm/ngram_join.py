@@ -249,3 +249,20 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     named = copies.join(first.withColumnRenamed("node", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
     named = named.join(second, "component", "left").select("doc_id", F.coalesce("root", "component").alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def keep_first(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """docs without those that links connect with a document of a smaller doc_id; all columns stay.
+
+    Rows of one doc_id count as one document: of them the row of the least text stays, or of the least other values.
+    Wordless texts and rows without doc_id link with nothing and stay.
+    """
+    named = written(ngram_components(docs, text, percent))
+    gone = named.filter("doc_id <> component_id").select("doc_id")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if docs.filter("doc_id is not null").count() == named.filter("doc_id is not null").count():
+        return kept
+    others = [c for c in docs.columns if c not in ("doc_id", text)]
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col(text).asc_nulls_last(), *others))
+    return kept.withColumn("__first", first).filter("__first = 1 or doc_id is null").drop("__first")

@@ -1 +1 @@
-
+"""Queries over the benchmark tables."""

@@ -34,7 +34,9 @@ from veritrail.llm.shared import written
 
 WORDS, PERCENT = 5, 75
 #: Groups of a count vector, and count vectors in a leaf.
-GROUPS, LEAF = 64, 64
+GROUPS, LEAF = 256, 64
+#: Largest count that a vector holds; a vector with such a count bounds nothing and all its pairs are verified.
+FULL = (1 << 16) - 1
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
@@ -99,7 +101,7 @@ def _signatures(docs: DataFrame, text: str, percent: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 prints = [xxhash.xxh128(s.tobytes()).digest() for s in sets]
-                vectors = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
+                vectors = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS), FULL).astype("<u2").tobytes() for s in sets]
                 keys = [_prefix(s, frequent.value, percent).view(np.int64) for s in sets]
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "print", "vector", "keys"])
 
@@ -178,7 +180,8 @@ def _leaf_pairs(lists: DataFrame, percent: int) -> DataFrame:
     leaves = written(rows.withColumn("corner", corner("rows")))
     right = leaves.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "rows", "low", "high", "corner")))
     within = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= percent * F.col("low2"))
-    reach = _bound_sum(F.col("corner"), F.col("corner2")) >= _needed(F.col("low"), F.col("low2"), percent)
+    full = lambda c: F.array_max(c) == FULL
+    reach = full("corner") | full("corner2") | (_bound_sum(F.col("corner"), F.col("corner2")) >= _needed(F.col("low"), F.col("low2"), percent))
     several = leaves.filter("leaf > 0").select("key").distinct()
     apart = leaves.join(several, "key", "left_semi").join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
     own = leaves.select("rows", F.col("rows").alias("rows2"), F.lit(True).alias("own"))
@@ -189,7 +192,14 @@ def _leaf(rows: pa.ListScalar) -> dict[str, np.ndarray]:
     """The columns of a leaf; vectors as a matrix."""
     fields = rows.values.flatten()
     names = [f.name for f in rows.type.value_type]
-    return {k: np.frombuffer(b"".join(v.to_pylist()), "<u4").reshape(len(v), GROUPS) if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
+    return {k: np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(len(v), GROUPS) if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
+
+
+def overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Most shingles that sets with these count vectors (rows) may share."""
+    bound = np.minimum(left, right).sum(1, dtype=np.int64)
+    bound[np.maximum(left, right).max(1, initial=0) == FULL] = np.iinfo(np.int64).max
+    return bound
 
 
 def _survivors(left: dict, right: dict, own: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +209,7 @@ def _survivors(left: dict, right: dict, own: bool, percent: int) -> tuple[np.nda
     if own:
         may &= left["doc_id"][:, None] < right["doc_id"][None]
     i, j = np.nonzero(may)
-    reach = np.minimum(left["vector"][i], right["vector"][j]).sum(1, dtype=np.int64) >= need[i, j]
+    reach = overlap_bound(left["vector"][i], right["vector"][j]) >= need[i, j]
     a, b = left["doc_id"][i[reach]], right["doc_id"][j[reach]]
     return np.minimum(a, b), np.maximum(a, b)
 
@@ -228,8 +238,8 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
 
     @F.arrow_udf(T.LongType())
     def minima(left: pa.Array, right: pa.Array) -> pa.Array:
-        read = lambda v: np.frombuffer(b"".join(v.to_pylist()), "<u4").reshape(-1, GROUPS)
-        return pa.array(np.minimum(read(left), read(right)).sum(1).astype(np.int64))
+        read = lambda v: np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(-1, GROUPS)
+        return pa.array(overlap_bound(read(left), read(right)))
 
     tried = tried.join(side("a"), "a").join(side("b"), "b").filter(minima("vector_a", "vector_b") >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     tried = written(tried)

@@ -96,8 +96,9 @@ def add_fingerprint(docs: DataFrame, text: str = "text", out: str = "fingerprint
     return docs.withColumn(out, fingerprint(F.col(text)))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """docs with next_<column>, the values of the row that follows by key, or of the first row after the last.
+def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """docs with the derived columns and, for these and columns, next_<column>: the value of the row that follows by key, or of
+    the first row after the last.
 
     Rows without key come first; rows of one key follow each other by the columns' values. The rows are dealt into buckets of
     neighbours; each bucket also gets the first rows of the bucket that follows, which end with it.
@@ -105,8 +106,10 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     place = F.coalesce(F.col(key), F.lit(-(1 << 63)))
     ids = docs.select(place.alias("k"))
     facts = ids.agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.percentile_approx("k", [k / _RANGES for k in range(1, _RANGES)], 10_000).alias("cuts")).first()
+    derived = derived or {}
     if not facts["n"]:
-        return docs.withColumns({f"next_{c}": F.col(c) for c in columns})
+        docs = docs.withColumns(derived) if derived else docs
+        return docs.withColumns({f"next_{c}": F.col(c) for c in [*columns, *derived]})
     lows = sorted({facts["low"], *facts["cuts"]})
     highs = [*lows[1:], facts["high"] + 1]
     parts = -(-facts["n"] // (_BUCKET * len(lows)))
@@ -124,5 +127,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     rows = named.withColumns({"bucket": bucket(F.col("k")), "head": F.lit(False)})
     heads = named.join(written(heads), "k").withColumn("head", F.lit(True)).select(rows.columns)
     order = Window.partitionBy("bucket").orderBy("head", "k", *columns)
-    following = {f"next_{c}": F.lead(c).over(order) for c in columns}
-    return rows.unionByName(heads).withColumns(following).filter(~F.col("head")).drop("k", "bucket", "head")
+    following = {f"next_{c}": F.lead(c).over(order) for c in [*columns, *derived]}
+    rows = rows.unionByName(heads)
+    rows = rows.withColumns(derived) if derived else rows  # behind the join that picks the heads
+    return rows.withColumns(following).filter(~F.col("head")).drop("k", "bucket", "head")

@@ -71,7 +71,7 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = order_minhash.with_next(order_minhash.add_fingerprint(docs), "doc_id", ["text", "fingerprint"])
+    docs = order_minhash.with_next(docs, "doc_id", ["text"], {"fingerprint": order_minhash.fingerprint(F.col("text"))})
     n = F.length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 2)), F.left("next_text", F.floor(n / 2)))
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritrail.llm.shared import in_small_batches
+
 #: Entries of a worker's cache, and the longest pre-token (in characters) that it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 TEXTS_AT_ONCE = 64
@@ -169,7 +171,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
             ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.StructArray.from_arrays([ids, pa.array(packed, pa.binary())], ["ids", "packed"])
 
-    return docs.withColumn(out, run(F.col(text)))
+    return in_small_batches(docs).withColumn(out, run(F.col(text)))
 
 
 def decode(docs: DataFrame, vocabulary: str, tokens: str = "tokens", out: str = "decoded") -> DataFrame:
@@ -181,4 +183,4 @@ def decode(docs: DataFrame, vocabulary: str, tokens: str = "tokens", out: str =
         for lists in batches:
             yield pa.array([codec.decode(x.as_py()) if x.is_valid else None for x in lists], pa.binary())
 
-    return docs.withColumn(out, run(F.col(tokens)["packed"]))
+    return in_small_batches(docs).withColumn(out, run(F.col(tokens)["packed"]))

@@ -31,6 +31,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows of a batch between Spark and Python where rows carry whole texts; each batch is held several times on both sides.
+TEXT_ROWS = 1000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are cut to TEXT_ROWS rows if they have more."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return df
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from veritrail.llm.bpe import byte_characters
+from veritrail.llm.shared import in_small_batches
 
 #: Transitions of a worker's transducer, and characters of a chunk.
 MOST_MOVES, CHUNK = 500_000, 1 << 16
@@ -262,14 +263,20 @@ class ChunkMap:
     rest: tuple[int, Moves] | None
 
 
+@lru_cache(maxsize=1)
+def transducer_of(definition: str) -> Transducer:
+    """A worker's transducer; it stays for the worker's next tasks."""
+    return Transducer(definition)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """docs with the number of each text's tokens; a column of that name is replaced, all others and all rows stay."""
     definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
     @F.arrow_udf(T.LongType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        transducer = Transducer(definition.value)
+        transducer = transducer_of(definition.value)
         for texts in batches:
             yield pa.array([transducer.count(t.as_py()) for t in texts], pa.int64())
 
-    return docs.withColumn(out, run(F.col(text)))
+    return in_small_batches(docs).withColumn(out, run(F.col(text)))

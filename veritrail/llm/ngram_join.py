@@ -11,8 +11,10 @@ Two documents link when 100 * intersection >= percent * union.
 3. Every document of a list is tried against the list's smallest and largest one; links found so form first components.
 4. Lists that still hold several components are packed, by size, into leaves of at most LEAF count vectors with their
    bounding rectangles. Pairs of leaves, then pairs of vectors, survive only if the sum over groups of the smaller counts (for
-   leaves, of the rectangles' upper corners) can reach the overlap that a link needs.
-5. Surviving pairs are verified on the whole sets; the links close the components.
+   leaves, of the rectangles' upper corners) can reach the overlap that a link needs. A first round takes each document's
+   best pair alone, which joins the members of large groups of near copies without trying all of them with each other.
+5. Surviving pairs are verified on the whole sets. A second round then takes all pairs between the components left, so no
+   link between different texts is lost.
 
 Results: rows that repeat a doc_id are one document, with the least of its texts. Null or wordless texts have an empty set
 and link with nothing, equal ones neither. A null doc_id links with nothing and has a null component. Extra columns are ignored.
@@ -36,7 +38,7 @@ WORDS, PERCENT = 5, 75
 #: Groups of a count vector, and count vectors in a leaf.
 GROUPS, LEAF = 256, 64
 #: Largest count that a vector holds; a vector with such a count bounds nothing and all its pairs are verified.
-FULL = (1 << 16) - 1
+FULL = 255
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
@@ -101,7 +103,7 @@ def _signatures(docs: DataFrame, text: str, percent: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 prints = [xxhash.xxh128(s.tobytes()).digest() for s in sets]
-                vectors = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS), FULL).astype("<u2").tobytes() for s in sets]
+                vectors = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8).tobytes() for s in sets]
                 keys = [_prefix(s, frequent.value, percent).view(np.int64) for s in sets]
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "print", "vector", "keys"])
 
@@ -156,8 +158,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> Dat
 _bound_sum = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
 
 
-def _leaf_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of lists (key, doc_id, n, component, vector), found on packed leaves."""
+def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidates (a, b, slack) of lists (key, doc_id, n, component, vector), found on packed leaves.
+
+    best: of each document's candidates in a leaf only the one whose bound exceeds the need by most; else all.
+    """
     order = Window.partitionBy("key").orderBy("n", "doc_id")
     leaf = F.floor((F.row_number().over(order) - 1) / LEAF)
     rows = lists.withColumn("leaf", leaf).groupBy("key", "leaf").agg(F.collect_list(F.struct("doc_id", "n", "component", "vector")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
@@ -167,15 +172,15 @@ def _leaf_pairs(lists: DataFrame, percent: int) -> DataFrame:
         for leaves in batches:
             yield pa.array([_leaf(x)["vector"].max(0) for x in leaves], pa.list_(pa.int64()))
 
-    pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("slack", T.DoubleType())]))
 
     @F.arrow_udf(pair)
     def probe(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for lefts, rights, same in batches:
-            found = [_survivors(_leaf(x), _leaf(y), one.as_py(), percent) for x, y, one in zip(lefts, rights, same, strict=True)]
-            ends = np.cumsum([0, *(len(a) for a, _ in found)], dtype=np.int32)
-            flat = [np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1)]
-            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(v) for v in flat], ["a", "b"]))
+            found = [_survivors(_leaf(x), _leaf(y), one.as_py(), percent, best) for x, y, one in zip(lefts, rights, same, strict=True)]
+            ends = np.cumsum([0, *(len(f[0]) for f in found)], dtype=np.int32)
+            flat = [np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.int64, np.int64, float))]
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(v) for v in flat], ["a", "b", "slack"]))
 
     leaves = written(rows.withColumn("corner", corner("rows")))
     right = leaves.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "rows", "low", "high", "corner")))
@@ -185,14 +190,14 @@ def _leaf_pairs(lists: DataFrame, percent: int) -> DataFrame:
     several = leaves.filter("leaf > 0").select("key").distinct()
     apart = leaves.join(several, "key", "left_semi").join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
     own = leaves.select("rows", F.col("rows").alias("rows2"), F.lit(True).alias("own"))
-    return own.unionByName(apart).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.a", "p.b").distinct()
+    return own.unionByName(apart).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.*")
 
 
 def _leaf(rows: pa.ListScalar) -> dict[str, np.ndarray]:
     """The columns of a leaf; vectors as a matrix."""
     fields = rows.values.flatten()
     names = [f.name for f in rows.type.value_type]
-    return {k: np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(len(v), GROUPS) if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
+    return {k: np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), GROUPS) if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
 
 
 def overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -202,16 +207,47 @@ def overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return bound
 
 
-def _survivors(left: dict, right: dict, own: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components whose summed coordinate minima reach the overlap that they need; own: both are one leaf."""
+def _survivors(left: dict, right: dict, own: bool, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components whose overlap bound reaches what they need, and by which factor; own: both are one leaf."""
     need = -(-percent * (left["n"][:, None] + right["n"][None]) // (100 + percent))
     may = (left["component"][:, None] != right["component"][None]) & (np.minimum(left["n"][:, None], right["n"][None]) >= need)
     if own:
         may &= left["doc_id"][:, None] < right["doc_id"][None]
     i, j = np.nonzero(may)
-    reach = overlap_bound(left["vector"][i], right["vector"][j]) >= need[i, j]
-    a, b = left["doc_id"][i[reach]], right["doc_id"][j[reach]]
-    return np.minimum(a, b), np.maximum(a, b)
+    slack = overlap_bound(left["vector"][i], right["vector"][j]) / need[i, j]
+    reach = slack >= 1
+    i, j, slack = i[reach], j[reach], slack[reach]
+    if best and len(i):
+        order = np.argsort(-slack, kind="stable")
+        ends = np.concatenate([left["doc_id"][i[order]], right["doc_id"][j[order]]])
+        keep = order[np.unique(np.unique(ends, return_index=True)[1] % len(order))]
+        i, j, slack = i[keep], j[keep], slack[keep]
+    a, b = left["doc_id"][i], right["doc_id"][j]
+    return np.minimum(a, b), np.maximum(a, b), slack
+
+
+def _several(df: DataFrame, column: str) -> DataFrame:
+    """The rows of keys with more than one value of a column, with the least and the greatest as lo and hi."""
+    w = Window.partitionBy("key")
+    return df.withColumns({"lo": F.min(column).over(w), "hi": F.max(column).over(w)}).filter("lo <> hi")
+
+
+def _open_lists(lists: DataFrame, parts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The lists that hold several components, one of those with the same documents, with components and vectors."""
+    member = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = written(_several(member, "component").select("key", "doc_id", "n", "component"))
+    alike = mixed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    once = alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return mixed.join(once, "key", "left_semi").join(vectors, "doc_id")
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of parts after further links (a, b) between nodes."""
+    name = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    roots = written(_components(links))
+    merged = parts.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return written(merged.unionByName(roots.join(parts, "node", "left_anti").select("node", "component")).distinct())
 
 
 def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -225,10 +261,9 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     least = real.groupBy("print", "n").agg(F.min("doc_id").alias("first"))
     copies = written(real.select("doc_id", "print", "n").join(least, ["print", "n"]).select("doc_id", "first"))
 
-    several = lambda df, c: df.withColumns({"lo": F.min(c).over(Window.partitionBy("key")), "hi": F.max(c).over(Window.partitionBy("key"))}).filter("lo <> hi")
-    held = several(real.select("doc_id", "n", F.explode("keys").alias("key")), "doc_id").select("key", "doc_id", "n")
+    held = _several(real.select("doc_id", "n", F.explode("keys").alias("key")), "doc_id").select("key", "doc_id", "n")
     held = held.join(copies, "doc_id").select("key", F.col("first").alias("doc_id"), "n").distinct()
-    lists = written(several(held.withColumn("size", F.struct("n", "doc_id")), "size").select("key", "doc_id", "n", "lo", "hi"))
+    lists = written(_several(held.withColumn("size", F.struct("n", "doc_id")), "size").select("key", "doc_id", "n", "lo", "hi"))
 
     vectors = real.join(copies.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi").select("doc_id", "vector")
     side = lambda k: vectors.select(F.col("doc_id").alias(k), F.col("vector").alias(f"vector_{k}"))
@@ -238,26 +273,28 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
 
     @F.arrow_udf(T.LongType())
     def minima(left: pa.Array, right: pa.Array) -> pa.Array:
-        read = lambda v: np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(-1, GROUPS)
+        read = lambda v: np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, GROUPS)
         return pa.array(overlap_bound(read(left), read(right)))
 
     tried = tried.join(side("a"), "a").join(side("b"), "b").filter(minima("vector_a", "vector_b") >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     tried = written(tried)
     first = _components(_verified(tried, docs, text, percent))
 
-    member = lists.select("key", "doc_id", "n").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = written(several(member, "component").select("key", "doc_id", "n", "component"))
-    alike = mixed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
-    once = alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")  # of lists with the same documents
-    mixed = mixed.join(once, "key", "left_semi").join(vectors, "doc_id")
+    slim = lists.select("key", "doc_id", "n")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = written(_leaf_pairs(mixed, percent).join(done, ["a", "b"], "left_anti"))
-    more = _verified(left, docs, text, percent)
-    name = lambda k: first.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    second = _components(more).select(F.col("node").alias("component"), F.col("component").alias("root"))
-    named = copies.join(first.withColumnRenamed("node", "first"), "first", "left").withColumn("component", F.coalesce("component", "first"))
-    named = named.join(second, "component", "left").select("doc_id", F.coalesce("root", "component").alias("component_id"))
+    parts = first
+    for last in (False, True):
+        pairs = _leaf_pairs(_open_lists(slim, parts, vectors), percent, not last)
+        if last:
+            pairs = pairs.select("a", "b").distinct()
+        else:  # each document's best one: most components close here, and the last round has few pairs to try
+            each = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "slack"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "slack"))))
+            each = each.groupBy("x").agg(F.max_by("y", F.struct("slack", "y")).alias("y"))
+            pairs = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        pairs = written(pairs.join(done, ["a", "b"], "left_anti"))
+        done = done.unionByName(pairs)
+        parts = _joined(parts, _verified(pairs, docs, text, percent))
+    named = copies.join(parts.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 

@@ -28,6 +28,7 @@ from veritrail.llm.shared import written
 ENTROPY_SHARE, MOST_PASSES, BLOCK_TOKENS = 0.97, 2.0, 2_000_000
 #: Halvings of the exponent's interval in one aggregate, and aggregates.
 _HALVINGS, _ROUNDS = 5, 6
+_OUT = ("mix_tokens", "mix_weight", "mix_copies", "mix_block", "mix_order")
 
 
 def n_tokens(text: Column) -> Column:
@@ -66,6 +67,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
     Columns of these names are replaced, all others and all rows stay. An empty table stays empty.
     """
+    docs = docs.drop(*_OUT)
     hashed = F.shiftright(F.xxhash64(key, text, source), 1)
     marked = docs.withColumns({"mix_tokens": n_tokens(F.col(text)), "mix_order": hashed})
     slim = written(marked.select(F.col(source).alias("mix_source"), "mix_tokens", "mix_order"))
@@ -77,24 +79,23 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     due = F.col("mix_weight") * F.lit(spent)
     passes = F.floor(due / F.col("source_tokens") + F.lit(1e-9))
     plan = sums.withColumn("mix_weight", power / F.lit(z)).withColumns(
-        {"passes": passes, "rest": F.greatest(F.round(due - passes * F.col("source_tokens")), F.lit(0.0)).cast("long"), "blocks": F.ceil(F.col("source_tokens") / F.lit(BLOCK_TOKENS))}
+        {"__passes": passes, "__rest": F.greatest(F.round(due - passes * F.col("source_tokens")), F.lit(0.0)).cast("long"), "__blocks": F.ceil(F.col("source_tokens") / F.lit(BLOCK_TOKENS))}
     )
-    block = F.pmod(F.xxhash64("mix_order"), F.col("blocks"))
-    same = F.col("mix_source").eqNullSafe(F.col("s"))
-    plan = written(plan.withColumnRenamed("mix_source", "s"))
-
-    dealt = slim.join(plan, same).withColumn("block", block)
-    filled = dealt.groupBy("s", "block").agg(F.sum("mix_tokens").alias("filled"), F.first("rest").alias("rest"))
-    before = F.sum("filled").over(Window.partitionBy("s").orderBy("block")) - F.col("filled")
-    last = filled.withColumn("left", F.col("rest") - before).filter("left > 0").groupBy("s").agg(F.max_by(F.struct("block", "left"), "block").alias("last"))
-    last = written(last.select(F.col("s").alias("s2"), F.col("last.block").alias("last_block"), F.col("last.left").alias("left")))
-    cut = dealt.join(last, F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("last_block")))
-    start = F.coalesce(F.sum("mix_tokens").over(Window.partitionBy("s").orderBy("mix_order").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = cut.withColumn("start", start).filter("start < left").groupBy("s2").agg(F.max("mix_order").alias("last_order"), F.first("last_block").alias("last_block"))
-    plan = written(plan.join(cut, F.col("s").eqNullSafe(F.col("s2")), "left").select("s", "mix_weight", "passes", "blocks", "last_block", "last_order"))
-
-    out = marked.join(plan, F.col(source).eqNullSafe(F.col("s"))).withColumn("mix_block", F.pmod(F.xxhash64("mix_order"), F.col("blocks")))
-    more = (F.col("mix_block") < F.col("last_block")) | ((F.col("mix_block") == F.col("last_block")) & (F.col("mix_order") <= F.col("last_order")))
-    out = out.withColumn("mix_copies", (F.col("passes") + F.when(more, 1).otherwise(0)).cast("long"))
-    own = [c for c in docs.columns if not c.startswith("mix_")]
-    return out.select(*own, "mix_tokens", "mix_weight", "mix_copies", "mix_block", "mix_order")
+    block = F.pmod(F.xxhash64("mix_order"), F.col("__blocks"))
+    same = F.col("mix_source").eqNullSafe(F.col("__s"))
+    plan = written(plan.withColumnRenamed("mix_source", "__s"))
+
+    dealt = slim.join(plan, same).withColumn("__block", block)
+    filled = dealt.groupBy("__s", "__block").agg(F.sum("mix_tokens").alias("__filled"), F.first("__rest").alias("__rest"))
+    before = F.sum("__filled").over(Window.partitionBy("__s").orderBy("__block")) - F.col("__filled")
+    last = filled.withColumn("__left", F.col("__rest") - before).filter("__left > 0").groupBy("__s").agg(F.max_by(F.struct(F.col("__block").alias("block"), F.col("__left").alias("left")), "__block").alias("__last"))
+    last = written(last.select(F.col("__s").alias("__s2"), F.col("__last.block").alias("__last_block"), F.col("__last.left").alias("__left")))
+    cut = dealt.join(last, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__block") == F.col("__last_block")))
+    start = F.coalesce(F.sum("mix_tokens").over(Window.partitionBy("__s").orderBy("mix_order").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.withColumn("__start", start).filter("__start < __left").groupBy("__s2").agg(F.max("mix_order").alias("__last_order"), F.first("__last_block").alias("__last_block"))
+    plan = written(plan.join(cut, F.col("__s").eqNullSafe(F.col("__s2")), "left").select("__s", "mix_weight", "__passes", "__blocks", "__last_block", "__last_order"))
+
+    out = marked.join(plan, F.col(source).eqNullSafe(F.col("__s"))).withColumn("mix_block", F.pmod(F.xxhash64("mix_order"), F.col("__blocks")))
+    more = (F.col("mix_block") < F.col("__last_block")) | ((F.col("mix_block") == F.col("__last_block")) & (F.col("mix_order") <= F.col("__last_order")))
+    out = out.withColumn("mix_copies", (F.col("__passes") + F.when(more, 1).otherwise(0)).cast("long"))
+    return out.select(*docs.columns, *_OUT)

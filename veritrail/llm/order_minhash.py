@@ -104,8 +104,8 @@ def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str,
     neighbours; each bucket also gets the first rows of the bucket that follows, which end with it.
     """
     place = F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    ids = docs.select(place.alias("k"))
-    facts = ids.agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.percentile_approx("k", [k / _RANGES for k in range(1, _RANGES)], 10_000).alias("cuts")).first()
+    ids = docs.select(place.alias("__k"))
+    facts = ids.agg(F.count("*").alias("n"), F.min("__k").alias("low"), F.max("__k").alias("high"), F.percentile_approx("__k", [k / _RANGES for k in range(1, _RANGES)], 10_000).alias("cuts")).first()
     derived = derived or {}
     if not facts["n"]:
         docs = docs.withColumns(derived) if derived else docs
@@ -120,14 +120,14 @@ def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str,
         inside = (k.cast("double") - nth(lows, span).cast("double")) / nth([float(h) - float(x) for x, h in zip(lows, highs, strict=True)], span)
         return span.cast("long") * parts + F.least(F.floor(inside * parts), F.lit(parts - 1))
 
-    firsts = written(ids.groupBy(bucket(F.col("k")).alias("bucket")).agg(F.min("k").alias("k")))
-    whole = Window.orderBy("bucket")  # one row for each bucket
-    heads = firsts.select("k", F.coalesce(F.lag("bucket").over(whole), F.last("bucket").over(whole.rowsBetween(0, Window.unboundedFollowing))).alias("bucket"))
-    named = docs.withColumn("k", place)
-    rows = named.withColumns({"bucket": bucket(F.col("k")), "head": F.lit(False)})
-    heads = named.join(written(heads), "k").withColumn("head", F.lit(True)).select(rows.columns)
-    order = Window.partitionBy("bucket").orderBy("head", "k", *columns)
+    firsts = written(ids.groupBy(bucket(F.col("__k")).alias("__bucket")).agg(F.min("__k").alias("__k")))
+    whole = Window.orderBy("__bucket")  # one row for each bucket
+    heads = firsts.select("__k", F.coalesce(F.lag("__bucket").over(whole), F.last("__bucket").over(whole.rowsBetween(0, Window.unboundedFollowing))).alias("__bucket"))
+    named = docs.withColumn("__k", place)
+    rows = named.withColumns({"__bucket": bucket(F.col("__k")), "__head": F.lit(False)})
+    heads = named.join(written(heads), "__k").withColumn("__head", F.lit(True)).select(rows.columns)
+    order = Window.partitionBy("__bucket").orderBy("__head", "__k", *columns)
     following = {f"next_{c}": F.lead(c).over(order) for c in [*columns, *derived]}
     rows = rows.unionByName(heads)
     rows = rows.withColumns(derived) if derived else rows  # behind the join that picks the heads
-    return rows.withColumns(following).filter(~F.col("head")).drop("k", "bucket", "head")
+    return rows.withColumns(following).filter(~F.col("__head")).drop("__k", "__bucket", "__head")

@@ -12,7 +12,7 @@ Two documents link when 100 * intersection >= percent * union.
 4. Lists that still hold several components are packed, by size, into leaves of at most LEAF count vectors with their
    bounding rectangles. Pairs of leaves, then pairs of vectors, survive only if the sum over groups of the smaller counts (for
    leaves, of the rectangles' upper corners) can reach the overlap that a link needs. A first round takes each document's
-   best pair alone, which joins the members of large groups of near copies without trying all of them with each other.
+   best pair of its leaf alone, which joins the members of large groups of near copies without trying all of them with each other.
 5. Surviving pairs are verified on the whole sets. A second round then takes all pairs between the components left, so no
    link between different texts is lost.
 
@@ -35,12 +35,12 @@ from pyspark.sql.window import Window
 from veritrail.llm.shared import written
 
 WORDS, PERCENT = 5, 75
-#: Groups of a count vector, and count vectors in a leaf.
-GROUPS, LEAF = 256, 64
+#: A count vector has about a group for every four shingles: a power of two, at least LEAST_GROUPS; and count vectors in a leaf.
+LEAST_GROUPS, MOST_GROUPS, LEAF = 16, 1 << 20, 64
 #: Largest count that a vector holds; a vector with such a count bounds nothing and all its pairs are verified.
 FULL = 255
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
-SAMPLE, FREQUENT, MOST_FREQUENT = 16, 4, 1_000_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1_000_000
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -70,6 +70,33 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by the leading bits of their hashes."""
+    groups = min(max(LEAST_GROUPS, 1 << max(0, (len(s) - 1) // 4).bit_length()), MOST_GROUPS)
+    place = (s >> np.uint64(64 - (groups.bit_length() - 1))).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=groups), FULL).astype(np.uint8)
+
+
+def _folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """Vectors (rows) with neighbouring groups added up until groups are left."""
+    return vectors.reshape(len(vectors), groups, -1).sum(2, dtype=np.int32)
+
+
+def overlap_bounds(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Most shingles that the sets of two count vectors, one from each list, may share."""
+    out = np.empty(len(left), np.int64)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, (a, b) in enumerate(zip(left, right, strict=True)):
+        shapes.setdefault((len(a), len(b)), []).append(k)
+    for (n, m), rows in shapes.items():
+        a, b = np.stack([left[k] for k in rows]), np.stack([right[k] for k in rows])
+        groups = min(n, m)
+        bound = np.minimum(_folded(a, groups), _folded(b, groups)).sum(1, dtype=np.int64)
+        bound[(a.max(1) == FULL) | (b.max(1) == FULL)] = np.iinfo(np.int64).max
+        out[rows] = bound
+    return out
+
+
 def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     n = len(s)
     keep = n - -(-percent * n // 100) + 1
@@ -103,7 +130,7 @@ def _signatures(docs: DataFrame, text: str, percent: int) -> DataFrame:
                 part = batch.slice(at, 512)
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 prints = [xxhash.xxh128(s.tobytes()).digest() for s in sets]
-                vectors = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8).tobytes() for s in sets]
+                vectors = [count_vector(s).tobytes() for s in sets]
                 keys = [_prefix(s, frequent.value, percent).view(np.int64) for s in sets]
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "print", "vector", "keys"])
 
@@ -161,7 +188,7 @@ _bound_sum = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b
 def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidates (a, b, slack) of lists (key, doc_id, n, component, vector), found on packed leaves.
 
-    best: of each document's candidates in a leaf only the one whose bound exceeds the need by most; else all.
+    best: only pairs within a leaf, and of each document's the one whose bound exceeds the need by most; else all.
     """
     order = Window.partitionBy("key").orderBy("n", "doc_id")
     leaf = F.floor((F.row_number().over(order) - 1) / LEAF)
@@ -170,7 +197,7 @@ def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def corner(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for leaves in batches:
-            yield pa.array([_leaf(x)["vector"].max(0) for x in leaves], pa.list_(pa.int64()))
+            yield pa.array([_corner(_leaf(x)["vector"]) for x in leaves], pa.list_(pa.int64()))
 
     pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("slack", T.DoubleType())]))
 
@@ -185,26 +212,25 @@ def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
     leaves = written(rows.withColumn("corner", corner("rows")))
     right = leaves.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "rows", "low", "high", "corner")))
     within = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= percent * F.col("low2"))
-    full = lambda c: F.array_max(c) == FULL
-    reach = full("corner") | full("corner2") | (_bound_sum(F.col("corner"), F.col("corner2")) >= _needed(F.col("low"), F.col("low2"), percent))
+    reach = _bound_sum(F.col("corner"), F.col("corner2")) >= _needed(F.col("low"), F.col("low2"), percent)
     several = leaves.filter("leaf > 0").select("key").distinct()
     apart = leaves.join(several, "key", "left_semi").join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
     own = leaves.select("rows", F.col("rows").alias("rows2"), F.lit(True).alias("own"))
-    return own.unionByName(apart).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.*")
+    return (own if best else own.unionByName(apart)).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.*")
 
 
-def _leaf(rows: pa.ListScalar) -> dict[str, np.ndarray]:
-    """The columns of a leaf; vectors as a matrix."""
+def _leaf(rows: pa.ListScalar) -> dict:
+    """The columns of a leaf."""
     fields = rows.values.flatten()
     names = [f.name for f in rows.type.value_type]
-    return {k: np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), GROUPS) if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
+    return {k: [np.frombuffer(x, np.uint8) for x in v.to_pylist()] if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
 
 
-def overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Most shingles that sets with these count vectors (rows) may share."""
-    bound = np.minimum(left, right).sum(1, dtype=np.int64)
-    bound[np.maximum(left, right).max(1, initial=0) == FULL] = np.iinfo(np.int64).max
-    return bound
+def _corner(vectors: list[np.ndarray]) -> np.ndarray:
+    """Upper corner of the vectors' bounding rectangle, in LEAST_GROUPS groups; without bound if a count is full."""
+    if any(v.max() == FULL for v in vectors):
+        return np.full(LEAST_GROUPS, 1 << 40)
+    return np.max([v.reshape(LEAST_GROUPS, -1).sum(1, dtype=np.int64) for v in vectors], axis=0)
 
 
 def _survivors(left: dict, right: dict, own: bool, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +240,7 @@ def _survivors(left: dict, right: dict, own: bool, percent: int, best: bool) ->
     if own:
         may &= left["doc_id"][:, None] < right["doc_id"][None]
     i, j = np.nonzero(may)
-    slack = overlap_bound(left["vector"][i], right["vector"][j]) / need[i, j]
+    slack = overlap_bounds([left["vector"][k] for k in i], [right["vector"][k] for k in j]) / need[i, j]
     reach = slack >= 1
     i, j, slack = i[reach], j[reach], slack[reach]
     if best and len(i):
@@ -273,8 +299,8 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
 
     @F.arrow_udf(T.LongType())
     def minima(left: pa.Array, right: pa.Array) -> pa.Array:
-        read = lambda v: np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(-1, GROUPS)
-        return pa.array(overlap_bound(read(left), read(right)))
+        read = lambda v: [np.frombuffer(x, np.uint8) for x in v.to_pylist()]
+        return pa.array(overlap_bounds(read(left), read(right)))
 
     tried = tried.join(side("a"), "a").join(side("b"), "b").filter(minima("vector_a", "vector_b") >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     tried = written(tried)

@@ -14,7 +14,7 @@ from veritrail.functions import vectors as vec
 
 
 def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int, allowed: Column | None = None) -> DataFrame:
-    """(pool, id, source, cosine, at): the k sources of the greatest cosine in each query's pool, equal ones by source.
+    """(pool, id, source, cosine, nth): the k sources of the greatest cosine in each query's pool, equal ones by source.
 
     queries has id and v; sources has source and w. allowed is a further condition on a pair.
     """
@@ -22,7 +22,7 @@ def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int,
     pairs = pairs.filter(allowed) if allowed is not None else pairs
     scored = pairs.withColumn("cosine", vec.cosine(F.col("v"), F.col("w"))).filter("cosine is not null")
     at = F.row_number().over(Window.partitionBy(*pool, "id").orderBy(F.desc("cosine"), "source"))
-    return scored.withColumn("at", at).filter(F.col("at") <= k).select(*pool, "id", "source", "cosine", "at")
+    return scored.withColumn("nth", at).filter(F.col("nth") <= k).select(*pool, "id", "source", "cosine", "nth")
 
 
 def softmax_weights(found: DataFrame, pool: list[str], temperature: float) -> DataFrame:

@@ -19,14 +19,14 @@ from veritrail.streaming import windows
 _COS = "list_sum([p.v[i] * q.v[i] for i in range(1, 65)]) / (sqrt(list_sum([x * x for x in p.v])) * sqrt(list_sum([x * x for x in q.v])))"
 
 
-@query("knn_similarity_join", f"WITH {VECTORS}, s AS (SELECT p.label, p.vec_id AS id, q.vec_id AS source, {_COS} AS cosine FROM vec p JOIN vec q ON p.label = q.label AND p.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, source) AS "at" FROM s) SELECT label, id, source, round(cosine, 6) AS cosine, CAST("at" AS INT) AS "at" FROM r WHERE "at" <= 3")
+@query("knn_similarity_join", f"WITH {VECTORS}, s AS (SELECT p.label, p.vec_id AS id, q.vec_id AS source, {_COS} AS cosine FROM vec p JOIN vec q ON p.label = q.label AND p.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, source) AS nth FROM s) SELECT label, id, source, round(cosine, 6) AS cosine, CAST(nth AS INT) AS nth FROM r WHERE nth <= 3")
 def knn_similarity_join(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
     found = similarity.neighbours(v.select("label", F.col("vec_id").alias("id"), "v"), v.select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"], 3, F.col("id") != F.col("source"))
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
-_KNN = f"{VECTORS}, s AS (SELECT p.label, p.vec_id AS id, q.vec_id AS source, {_COS} AS cosine FROM vec p JOIN vec q ON p.label = q.label AND p.member = 0 AND q.member > 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, source) AS "at" FROM s), k AS (SELECT *, exp((cosine - max(cosine) OVER (PARTITION BY id)) / 0.1) AS e FROM r WHERE "at" <= 4), w AS (SELECT *, e / sum(e) OVER (PARTITION BY id) AS weight FROM k)"
+_KNN = f"{VECTORS}, s AS (SELECT p.label, p.vec_id AS id, q.vec_id AS source, {_COS} AS cosine FROM vec p JOIN vec q ON p.label = q.label AND p.member = 0 AND q.member > 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, source) AS nth FROM s), k AS (SELECT *, exp((cosine - max(cosine) OVER (PARTITION BY id)) / 0.1) AS e FROM r WHERE nth <= 4), w AS (SELECT *, e / sum(e) OVER (PARTITION BY id) AS weight FROM k)"
 
 
 @query("context_sim_prediction", f"WITH {_KNN} SELECT w.id, i AS position, round(sum(weight * v[i + 1]) / sum(weight), 6) AS prediction FROM w JOIN vec ON vec.vec_id = w.source, range(0, 4) t(i) GROUP BY w.id, i")

@@ -34,8 +34,8 @@ from tokenizers import Tokenizer
 from veritrail.llm.bpe import byte_characters
 from veritrail.llm.shared import in_small_batches
 
-#: Transitions of a worker's transducer, and characters of a chunk.
-MOST_MOVES, CHUNK = 500_000, 1 << 16
+#: Transitions of a worker's transducer (about 600 bytes each, with their states), and characters of a chunk.
+MOST_MOVES, CHUNK = 1_000_000, 1 << 16
 _SUFFIX = "</w>"
 #: Marks the last byte of a word; no byte's character.
 _END = "\0"
@@ -124,7 +124,9 @@ class Transducer:
             raise ValueError("the tokenizer cuts words in another way")
         self.words = Words(parts["model"])
         library = Tokenizer.from_str(definition)
-        self._lowered, self._cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self._lowered = lru_cache(1 << 14)(library.normalizer.normalize_str)
+        self._cut = library.pre_tokenizer.pre_tokenize_str
+        self._class = lru_cache(1 << 14)(self._class_of)
         self.special = regex.compile("|".join(map(regex.escape, sorted((t["content"] for t in parts["added_tokens"]), key=len, reverse=True))) or r"(?!)")
         self.clear()
 
@@ -142,7 +144,7 @@ class Transducer:
             made.owner, made.kind, made.word, made.closing = self, kind, word, closing
         return self.states[key]
 
-    def _class(self, char: str) -> str:
+    def _class_of(self, char: str) -> str:
         """L, N, P or S, as the library's own pattern sees a character."""
         n = len(self._cut(f"x{char}x"))
         return "L" if n == 1 else "S" if n == 2 else "P" if len(self._cut(f"!{char}!")) == 1 else "N"

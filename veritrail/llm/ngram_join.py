@@ -11,10 +11,11 @@ Two documents link when 100 * intersection >= percent * union.
 3. Every document of a list is tried against the list's smallest and largest one; links found so form first components.
 4. Lists that still hold several components are packed, by size, into leaves of at most LEAF count vectors with their
    bounding rectangles. Pairs of leaves, then pairs of vectors, survive only if the sum over groups of the smaller counts (for
-   leaves, of the rectangles' upper corners) can reach the overlap that a link needs. A first round takes each document's
-   best pair of its leaf alone, which joins the members of large groups of near copies without trying all of them with each other.
-5. Surviving pairs are verified on the whole sets. A second round then takes all pairs between the components left, so no
-   link between different texts is lost.
+   leaves, of the rectangles' upper corners) can reach the overlap that a link needs. Two rounds take
+   only the best pairs of documents outside a leaf's main component, which joins the members of large groups of near copies
+   without trying all of them with each other.
+5. Surviving pairs are verified on the whole sets. A last round takes all pairs between the components left, so no link
+   between different texts is lost.
 
 Results: rows that repeat a doc_id are one document, with the least of its texts. Null or wordless texts have an empty set
 and link with nothing, equal ones neither. A null doc_id links with nothing and has a null component. Extra columns are ignored.
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 from veritrail.llm.shared import written
 
 WORDS, PERCENT = 5, 75
-#: A count vector has about a group for every four shingles: a power of two, at least LEAST_GROUPS; and count vectors in a leaf.
+#: A count vector has about a group for every two shingles: a power of two, at least LEAST_GROUPS; and count vectors in a leaf.
 LEAST_GROUPS, MOST_GROUPS, LEAF = 16, 1 << 20, 64
 #: Largest count that a vector holds; a vector with such a count bounds nothing and all its pairs are verified.
 FULL = 255
@@ -72,7 +73,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """Counts of a set's shingles by the leading bits of their hashes."""
-    groups = min(max(LEAST_GROUPS, 1 << max(0, (len(s) - 1) // 4).bit_length()), MOST_GROUPS)
+    groups = min(max(LEAST_GROUPS, 1 << max(0, (len(s) - 1) // 2).bit_length()), MOST_GROUPS)
     place = (s >> np.uint64(64 - (groups.bit_length() - 1))).astype(np.int64)
     return np.minimum(np.bincount(place, minlength=groups), FULL).astype(np.uint8)
 
@@ -188,7 +189,8 @@ _bound_sum = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b
 def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
     """Candidates (a, b, slack) of lists (key, doc_id, n, component, vector), found on packed leaves.
 
-    best: only pairs within a leaf, and of each document's the one whose bound exceeds the need by most; else all.
+    best: of each document's candidates in a leaf only the one whose bound exceeds the need by most, and none for documents
+    of the component that most rows of the two leaves belong to, as they are met by the others; else all.
     """
     order = Window.partitionBy("key").orderBy("n", "doc_id")
     leaf = F.floor((F.row_number().over(order) - 1) / LEAF)
@@ -216,7 +218,7 @@ def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
     several = leaves.filter("leaf > 0").select("key").distinct()
     apart = leaves.join(several, "key", "left_semi").join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
     own = leaves.select("rows", F.col("rows").alias("rows2"), F.lit(True).alias("own"))
-    return (own if best else own.unionByName(apart)).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.*")
+    return own.unionByName(apart).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.*")
 
 
 def _leaf(rows: pa.ListScalar) -> dict:
@@ -245,8 +247,11 @@ def _survivors(left: dict, right: dict, own: bool, percent: int, best: bool) ->
     i, j, slack = i[reach], j[reach], slack[reach]
     if best and len(i):
         order = np.argsort(-slack, kind="stable")
+        names, sizes = np.unique(np.concatenate([left["component"], right["component"]]), return_counts=True)
+        most = names[sizes.argmax()]
         ends = np.concatenate([left["doc_id"][i[order]], right["doc_id"][j[order]]])
-        keep = order[np.unique(np.unique(ends, return_index=True)[1] % len(order))]
+        asks = np.concatenate([left["component"][i[order]], right["component"][j[order]]]) != most
+        keep = order[np.unique(np.nonzero(asks)[0][np.unique(ends[asks], return_index=True)[1]] % len(order))]
         i, j, slack = i[keep], j[keep], slack[keep]
     a, b = left["doc_id"][i], right["doc_id"][j]
     return np.minimum(a, b), np.maximum(a, b), slack
@@ -309,7 +314,7 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     slim = lists.select("key", "doc_id", "n")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     parts = first
-    for last in (False, True):
+    for last in (False, False, True):
         pairs = _leaf_pairs(_open_lists(slim, parts, vectors), percent, not last)
         if last:
             pairs = pairs.select("a", "b").distinct()

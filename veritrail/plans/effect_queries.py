@@ -35,7 +35,7 @@ def pseudobulk_effect(spark, sf_dir):
 
 @query(
     "batch_matched_effect",
-    f"""WITH {CELLS}, sz AS (SELECT context, batch, perturbation, count(*) AS n FROM cells GROUP BY ALL), gs AS (SELECT DISTINCT gene FROM cells),
+    f"""WITH {CELLS}, sz AS (SELECT context, batch, perturbation, count(DISTINCT cell) AS n FROM cells GROUP BY ALL), gs AS (SELECT DISTINCT gene FROM cells),
     b AS (SELECT s.context, s.batch, s.perturbation, g.gene, s.n, coalesce(sum(c.x), 0) / any_value(s.n) AS mean, count(c.x) AS rows FROM sz s CROSS JOIN gs g LEFT JOIN cells c ON c.context = s.context AND c.batch = s.batch AND c.perturbation = s.perturbation AND c.gene = g.gene GROUP BY s.context, s.batch, s.perturbation, g.gene, s.n),
     e AS (SELECT p.context, p.perturbation, p.gene, p.n, p.rows + k.rows AS rows, p.mean - k.mean AS effect FROM b p JOIN b k ON k.context = p.context AND k.batch = p.batch AND k.gene = p.gene AND k.perturbation = '{CONTROL}' WHERE p.perturbation <> '{CONTROL}')
     SELECT context, perturbation, gene, round(sum(n * effect) / sum(n), 6) AS effect, CAST(sum(n) AS BIGINT) AS n_cells FROM e GROUP BY ALL HAVING sum(rows) > 0""",

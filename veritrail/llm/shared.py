@@ -24,11 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and a lost executor costs only its own tasks."""
-    at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+#: Spark's setting that shuffle files go as soon as the query that wrote them ends, not when the driver collects garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def new_place(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, at: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage is cut and a lost executor costs only its own tasks.
+
+    The write's shuffle files are dropped at its end, as nothing reads them after it. A table that stands at the given path is
+    replaced; df must not read it.
+    """
+    spark = df.sparkSession
+    at = at or new_place(spark)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 #: Rows of a batch between Spark and Python where rows carry whole texts; each batch is held several times on both sides.

@@ -7,7 +7,7 @@ Two documents link when 100 * intersection >= percent * union.
    into groups, counted) and its prefix: under one fixed order of all shingles, the first n - ceil(percent/100 * n) + 1. Any
    two linked documents share a shingle of their prefixes, whatever the order is; the order puts shingles that a sample shows to
    be frequent last, so lists stay short. The sample shapes the lists and never the result.
-2. Prefix shingles held by one document only are dropped. Documents of equal sets count as one from here on.
+2. Documents of equal sets count as one from here on. Prefix shingles that only one of them holds are dropped.
 3. Every document of a list is tried against the list's smallest and largest one; links found so form first components.
 4. Lists that still hold several components are packed, by size, into leaves of at most LEAF count vectors with their
    bounding rectangles. Pairs of leaves, then pairs of vectors, survive only if the sum over groups of the smaller counts (for
@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veritrail.llm.shared import written
+from veritrail.llm.shared import new_place, written
 
 WORDS, PERCENT = 5, 75
 #: A count vector has about a group for every two shingles: a power of two, at least LEAST_GROUPS; and count vectors in a leaf.
 LEAST_GROUPS, MOST_GROUPS, LEAF = 16, 1 << 20, 64
 #: Largest count that a vector holds; a vector with such a count bounds nothing and all its pairs are verified.
 FULL = 255
+#: Counts compared at a time when pairs of vectors are bounded.
+BLOCK = 1 << 21
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1_000_000
 #: Ids of documents to verify are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
@@ -78,23 +80,26 @@ def count_vector(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(place, minlength=groups), FULL).astype(np.uint8)
 
 
-def _folded(vectors: np.ndarray, groups: int) -> np.ndarray:
-    """Vectors (rows) with neighbouring groups added up until groups are left."""
-    return vectors.reshape(len(vectors), groups, -1).sum(2, dtype=np.int32)
-
-
-def overlap_bounds(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Most shingles that the sets of two count vectors, one from each list, may share."""
-    out = np.empty(len(left), np.int64)
-    shapes: dict[tuple[int, int], list[int]] = {}
-    for k, (a, b) in enumerate(zip(left, right, strict=True)):
-        shapes.setdefault((len(a), len(b)), []).append(k)
-    for (n, m), rows in shapes.items():
-        a, b = np.stack([left[k] for k in rows]), np.stack([right[k] for k in rows])
-        groups = min(n, m)
-        bound = np.minimum(_folded(a, groups), _folded(b, groups)).sum(1, dtype=np.int64)
-        bound[(a.max(1) == FULL) | (b.max(1) == FULL)] = np.iinfo(np.int64).max
-        out[rows] = bound
+def _folded(vectors: list[np.ndarray], picked: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The picked vectors, all of one length, as rows with neighbouring groups added up until groups are left; and the row of each pick."""
+    used, at = np.unique(picked, return_inverse=True)
+    rows = np.stack([vectors[k] for k in used])
+    return rows if rows.shape[1] == groups else rows.reshape(len(rows), groups, -1).sum(2, dtype=np.int32), at
+
+
+def overlap_bounds(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Most shingles that the sets of each pair of count vectors, left[i] and right[j], may share."""
+    out = np.empty(len(i), np.int64)
+    n, m = np.array([len(v) for v in left], np.int64)[i], np.array([len(v) for v in right], np.int64)[j]
+    for a_len, b_len in sorted(set(zip(n.tolist(), m.tolist(), strict=True))):
+        pairs = np.nonzero((n == a_len) & (m == b_len))[0]
+        groups = min(a_len, b_len)
+        (a, at), (b, bt) = _folded(left, i[pairs], groups), _folded(right, j[pairs], groups)
+        step = max(1, BLOCK // groups)
+        for k in range(0, len(pairs), step):
+            out[pairs[k : k + step]] = np.minimum(a[at[k : k + step]], b[bt[k : k + step]]).sum(1, dtype=np.int64)
+    unbound = [np.array([v.max() == FULL for v in side], bool) for side in (left, right)]
+    out[unbound[0][i] | unbound[1][j]] = np.iinfo(np.int64).max
     return out
 
 
@@ -186,15 +191,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> Dat
 _bound_sum = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
 
 
-def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Candidates (a, b, slack) of lists (key, doc_id, n, component, vector), found on packed leaves.
+def _leaf_pairs(lists: DataFrame, percent: int, best: bool, at: str) -> DataFrame:
+    """Candidates (a, b, slack) of lists (key, size, doc_id, n, component, vector), found on packed leaves, which are written to at.
 
     best: of each document's candidates in a leaf only the one whose bound exceeds the need by most, and none for documents
     of the component that most rows of the two leaves belong to, as they are met by the others; else all.
     """
     order = Window.partitionBy("key").orderBy("n", "doc_id")
     leaf = F.floor((F.row_number().over(order) - 1) / LEAF)
-    rows = lists.withColumn("leaf", leaf).groupBy("key", "leaf").agg(F.collect_list(F.struct("doc_id", "n", "component", "vector")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    rows = lists.withColumn("leaf", leaf).groupBy("key", "size", "leaf").agg(F.collect_list(F.struct("doc_id", "n", "component", "vector")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def corner(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -211,12 +216,12 @@ def _leaf_pairs(lists: DataFrame, percent: int, best: bool) -> DataFrame:
             flat = [np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.int64, np.int64, float))]
             yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(v) for v in flat], ["a", "b", "slack"]))
 
-    leaves = written(rows.withColumn("corner", corner("rows")))
-    right = leaves.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "rows", "low", "high", "corner")))
+    leaves = written(rows.withColumn("corner", corner("rows")), at)
+    several = leaves.filter(F.col("size") > LEAF)
+    right = several.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "rows", "low", "high", "corner")))
     within = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= percent * F.col("low2"))
     reach = _bound_sum(F.col("corner"), F.col("corner2")) >= _needed(F.col("low"), F.col("low2"), percent)
-    several = leaves.filter("leaf > 0").select("key").distinct()
-    apart = leaves.join(several, "key", "left_semi").join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
+    apart = several.join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
     own = leaves.select("rows", F.col("rows").alias("rows2"), F.lit(True).alias("own"))
     return own.unionByName(apart).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.*")
 
@@ -242,7 +247,7 @@ def _survivors(left: dict, right: dict, own: bool, percent: int, best: bool) ->
     if own:
         may &= left["doc_id"][:, None] < right["doc_id"][None]
     i, j = np.nonzero(may)
-    slack = overlap_bounds([left["vector"][k] for k in i], [right["vector"][k] for k in j]) / need[i, j]
+    slack = overlap_bounds(left["vector"], right["vector"], i, j) / need[i, j]
     reach = slack >= 1
     i, j, slack = i[reach], j[reach], slack[reach]
     if best and len(i):
@@ -264,12 +269,12 @@ def _several(df: DataFrame, column: str) -> DataFrame:
 
 
 def _open_lists(lists: DataFrame, parts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The lists that hold several components, one of those with the same documents, with components and vectors."""
+    """The lists that hold several components, one of those with the same documents, with sizes, components and vectors."""
     member = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = written(_several(member, "component").select("key", "doc_id", "n", "component"))
     alike = mixed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
-    once = alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    return mixed.join(once, "key", "left_semi").join(vectors, "doc_id")
+    once = alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    return mixed.join(once, "key").join(vectors, "doc_id")
 
 
 def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,11 +297,11 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     least = real.groupBy("print", "n").agg(F.min("doc_id").alias("first"))
     copies = written(real.select("doc_id", "print", "n").join(least, ["print", "n"]).select("doc_id", "first"))
 
-    held = _several(real.select("doc_id", "n", F.explode("keys").alias("key")), "doc_id").select("key", "doc_id", "n")
-    held = held.join(copies, "doc_id").select("key", F.col("first").alias("doc_id"), "n").distinct()
-    lists = written(_several(held.withColumn("size", F.struct("n", "doc_id")), "size").select("key", "doc_id", "n", "lo", "hi"))
+    firsts = real.join(copies.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi")
+    held = firsts.select("doc_id", "n", F.explode("keys").alias("key")).withColumn("size", F.struct("n", "doc_id"))
+    lists = written(_several(held, "size").select("key", "doc_id", "n", "lo", "hi"))
 
-    vectors = real.join(copies.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi").select("doc_id", "vector")
+    vectors = firsts.select("doc_id", "vector")
     side = lambda k: vectors.select(F.col("doc_id").alias(k), F.col("vector").alias(f"vector_{k}"))
     ends = F.array(F.col("lo"), F.col("hi"))
     tried = lists.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.explode(ends).alias("end")).select("a", "n_a", F.col("end.doc_id").alias("b"), F.col("end.n").alias("n_b"))
@@ -305,7 +310,7 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     @F.arrow_udf(T.LongType())
     def minima(left: pa.Array, right: pa.Array) -> pa.Array:
         read = lambda v: [np.frombuffer(x, np.uint8) for x in v.to_pylist()]
-        return pa.array(overlap_bounds(read(left), read(right)))
+        return pa.array(overlap_bounds(read(left), read(right), *[np.arange(len(left))] * 2))
 
     tried = tried.join(side("a"), "a").join(side("b"), "b").filter(minima("vector_a", "vector_b") >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     tried = written(tried)
@@ -313,9 +318,9 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
 
     slim = lists.select("key", "doc_id", "n")
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    parts = first
+    parts, leaves_at = first, new_place(docs.sparkSession)  # a round's leaves replace those of the round before
     for last in (False, False, True):
-        pairs = _leaf_pairs(_open_lists(slim, parts, vectors), percent, not last)
+        pairs = _leaf_pairs(_open_lists(slim, parts, vectors), percent, not last, leaves_at)
         if last:
             pairs = pairs.select("a", "b").distinct()
         else:  # each document's best one: most components close here, and the last round has few pairs to try

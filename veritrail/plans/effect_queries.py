@@ -16,7 +16,12 @@ from veritrail.sources.tables import table
 from veritrail.sources.views import CELLS, CONTROL, EVENTS, VECTORS
 
 _BULK = f"{CELLS}, sz AS (SELECT context, perturbation, count(DISTINCT cell) AS n FROM cells GROUP BY ALL), bulk AS (SELECT context, perturbation, gene, sum(x) / any_value(n) AS mean, sum(x * x) AS q, any_value(n) AS n FROM cells JOIN sz USING (context, perturbation) GROUP BY ALL)"
-_EFFECT = f"{_BULK}, eff AS (SELECT b.context, b.perturbation, b.gene, b.n AS n_cells, b.mean - c.mean AS effect FROM bulk b JOIN bulk c ON c.context = b.context AND c.gene = b.gene AND c.perturbation = '{CONTROL}' WHERE b.perturbation <> '{CONTROL}')"
+# Absent rows are zeros: a gene that only one of perturbation and control has still has an effect.
+_EFFECT = f"""{_BULK}, eff_base AS (SELECT context, gene, mean FROM bulk WHERE perturbation = '{CONTROL}'),
+    eff_own AS (SELECT * FROM bulk WHERE perturbation <> '{CONTROL}' AND context IN (SELECT context FROM eff_base)),
+    eff_grid AS (SELECT context, perturbation, n, gene FROM eff_own UNION SELECT o.context, o.perturbation, o.n, k.gene FROM eff_own o JOIN eff_base k ON k.context = o.context),
+    eff AS (SELECT g.context, g.perturbation, g.gene, g.n AS n_cells, coalesce(o.mean, 0) - coalesce(k.mean, 0) AS effect FROM eff_grid g
+        LEFT JOIN eff_own o ON o.context = g.context AND o.perturbation = g.perturbation AND o.gene = g.gene LEFT JOIN eff_base k ON k.context = g.context AND k.gene = g.gene)"""
 
 
 @query("pseudobulk_mean", f"WITH {_BULK} SELECT context, perturbation, gene, round(mean, 6) AS mean, round((q - n * mean * mean) / (n - 1), 6) AS variance, n AS n_cells FROM bulk")

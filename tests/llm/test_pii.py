@@ -56,3 +56,20 @@ def test_edge_cases(spark):
     out = pii.pseudonymise(docs, "k")
     assert out.columns == docs.columns and sorted(len(r.pii_kinds) for r in out.collect()) == [0, 1, 2, 2]
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
+
+
+def test_values_beside_other_numbers(spark):
+    card, ssn, phone = "4111 1111 1111 1111", "123-45-6789", "212-555-1234"
+    texts = [(f"{card} 12/25", ["card"]), (f"{card} 123", ["card"]), ("4111111111111111 123 12/25", ["card"]), (f"in 2024 {ssn}", ["ssn"]), (f"room 1200 {phone}", ["phone"]), (f"{ssn} 1200", ["ssn"]), (f"{phone} 2024 1", ["phone"])]
+    texts += [(f"no. 77 {card} 5", ["card"]), (f"12-{card}", ["card"]), (f"{card}-12", ["card"]), ("2024 3782 822463 10005 99", ["card"]), (f"{card} {ssn} {phone}", ["card", "ssn", "phone"]), (f"{phone} {card} {phone}", ["phone", "card", "phone"]), (f"1985-02-29 {ssn} 1984-02-29", ["ssn", "date"])]
+    alone = {v: new for v, (new, _) in zip((card, ssn, phone, "1984-02-29", "3782 822463 10005", "4111111111111111"), run(spark, [card, ssn, phone, "1984-02-29", "3782 822463 10005", "4111111111111111"]), strict=True)}
+    for (text, kinds), got in zip(texts, run(spark, [t for t, _ in texts]), strict=True):
+        for old, new in alone.items():
+            text = text.replace(old, "<" + new + ">")
+        assert got == (text.replace("<", "").replace(">", ""), kinds)
+
+
+def test_unusual_groupings_give_way(spark):
+    assert luhn("2024 123-45-6780") and luhn("4111 11-1111 11 1111")
+    (text, kinds), (_, alone) = run(spark, ["in 2024 123-45-6780 x", "4111 11-1111 11 1111"])
+    assert kinds == ["ssn"] and text.startswith("in 2024 ") and "6780 x" not in text and alone == ["card"]

@@ -1,10 +1,13 @@
 """Format-preserving pseudonyms of personal data, in DataFrame operations only.
 
-One regex finds candidates in a text; each must pass its kind's validation, others stay as they are. A valid value is
-numbered within its format, permuted there by a keyed Feistel network, and written back in the same form: equal values get equal
-pseudonyms in all documents, different ones different pseudonyms, and a pseudonym is again a valid value of its kind.
-
-- card: 13 to 19 digits, also in groups, with a right Luhn digit; the first digit stays, the last is computed anew
+A regex finds every place where a candidate starts, also inside other candidates; each must pass its kind's validation before it
+takes any text, so an invalid one hides nothing. Of valid ones that overlap the first wins, of those with one start the longest. A
+valid value is numbered within its format, permuted there by a keyed Feistel network, and written back in the same form: equal
+values get equal pseudonyms in all documents, different ones different pseudonyms, and a pseudonym is again a valid value of its kind.
+
+- card: 13 to 19 digits, also in groups, with a right Luhn digit; the first digit stays, the last is computed anew. Beside other
+  numbers it is found unbroken or in groups of 4-4-4-4, 4-4-4-4-3, 4-6-5 or 4-6-4, also behind a digit and a hyphen. Other
+  groupings count from a group of four or more digits as far as digits go on, and only where no other valid value overlaps
 - ssn: AAA-GG-SSSS with a legal area, group and serial number
 - phone: North American numbers; area and exchange start with 2 to 9
 - ipv4: four numbers up to 255, without leading zeros
@@ -33,7 +36,15 @@ _FORMS = {
     "card": r"[0-9]{4}(?:[ -]?[0-9]){9,15}",
 }
 _EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){_EMAIL}|(?<![0-9A-Za-z])(?<![0-9][.-])(?:{'|'.join(_FORMS.values())})(?![0-9A-Za-z])(?!\.[0-9])"
+_END = r"(?![0-9A-Za-z])(?!\.[0-9])"
+#: Usual groupings of cards, the longest first; 19 digits only where no further group follows, as that may be a phone number.
+_CARDS = (r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}(?![ -][0-9])", "[0-9]{13,19}", r"[0-9]{4}(?:[ -][0-9]{4}){3}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}", r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}")
+_EMAIL_START = r"(?<![A-Za-z0-9._%+-])"
+#: Places where a candidate starts, without width. WINDOW has what follows: an e-mail address, or more than the longest number.
+STARTS = rf"{_EMAIL_START}(?={_EMAIL})|(?<![0-9A-Za-z])(?<![0-9][.-])(?=(?:{'|'.join(_FORMS.values())}){_END})|(?<=[0-9]-)(?=(?:{'|'.join(_CARDS)}){_END})"
+WINDOW = rf"(?s)(?:{STARTS})(?=({_EMAIL_START}{_EMAIL}|.{{0,40}}))"
+#: A start is at least two characters from the next, a number at most 37 long.
+_NEAR = 18
 
 
 def _number(text: Column) -> Column:
@@ -165,15 +176,47 @@ def _email(value: Column, key: str) -> tuple[Column, Column]:
     return F.lit(True), let(mixed, lambda m: F.concat(m.x, m.y, F.lit("@"), F.substring_index(value, "@", -1)))
 
 
-def _replaced(value: Column, key: str) -> Column:
-    """struct(kind, value): a candidate's kind (null: not valid) and what stands for it."""
-    same = F.struct(F.lit(None).cast("string").alias("kind"), value.alias("value"))
-    out = same
-    for kind, make in reversed((("email", _email), ("date", _date), ("ipv4", _ipv4), ("ssn", _ssn), ("phone", _phone), ("card", _card))):
-        form = F.contains(value, F.lit("@")) if kind == "email" else value.rlike(f"^(?:{_FORMS[kind]})$")
-        valid, new = make(value, key)
-        out = F.when(form, F.when(valid, F.struct(F.lit(kind).alias("kind"), new.alias("value"))).otherwise(same)).otherwise(out)
-    return out
+def _found(window: Column, key: str) -> Column:
+    """struct(kind, value, new, weak) of the valid value at the start of a window, else null; weak: a card in an unusual grouping."""
+    at_start = lambda form: F.regexp_extract(window, f"^(?:{form}){_END}", 0)
+
+    def checked(kind: str, value: Column, make, weak: Column) -> Column:
+        def struct(v: Column) -> Column:
+            valid, new = make(v, key)
+            return F.when(valid, F.struct(F.lit(kind).alias("kind"), v.alias("value"), new.alias("new"), weak.alias("weak")))
+
+        return let(value, lambda v: F.when(F.length(v) > 0, struct(v)))
+
+    email = checked("email", F.regexp_extract(window, rf"^{_EMAIL}\z", 0), _email, F.lit(False))
+    others = [checked(kind, at_start(_FORMS[kind]), make, F.lit(False)) for kind, make in (("date", _date), ("ipv4", _ipv4), ("ssn", _ssn), ("phone", _phone))]
+    usual = F.filter(F.array(*map(at_start, _CARDS)), lambda v: _card(v, key)[0])
+    cards = [checked("card", F.get(usual, F.lit(0)), _card, F.lit(False)), checked("card", at_start(_FORMS["card"]), _card, F.lit(True))]
+    return F.coalesce(email, *others, *cards)
+
+
+def _taken(pieces: Column, found: Column) -> Column:
+    """struct(end, parts, kinds): the text's parts with new values, from its pieces before, between and behind the starts."""
+    start = F.struct(F.lit(0).alias("end"), F.array(F.get(pieces, F.lit(0))).alias("parts"), F.array().cast("array<string>").alias("kinds"))
+    sizes = F.transform(pieces, lambda p: F.length(p))
+    begins = F.aggregate(F.slice(sizes, 2, F.size(sizes)), F.array(F.lit(0)), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
+
+    def step(at: Column) -> Column:
+        def chosen(s: Column, i: Column) -> Column:
+            f, begin, piece = F.get(found, i), F.get(at, i), F.get(pieces, i + 1)
+            until = begin + F.length(f.value)
+            strong = F.exists(F.sequence(i + 1, i + _NEAR), lambda j: (F.get(at, j) < until) & ~F.get(found, j).weak)
+            take = f.isNotNull() & (begin >= s.end) & ~(f.weak & F.coalesce(strong, F.lit(False)))
+
+            def put(t: Column) -> Column:
+                end = F.when(t, until).otherwise(s.end)
+                rest = F.substring(piece, F.greatest(end - begin, F.lit(0)) + 1, F.length(piece))
+                return F.struct(end.alias("end"), F.concat(s.parts, F.array(F.when(t, f.new).otherwise(""), rest)).alias("parts"), F.when(t, F.array_append(s.kinds, f.kind)).otherwise(s.kinds).alias("kinds"))
+
+            return let(F.coalesce(take, F.lit(False)), put)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, chosen)
+
+    return let(begins, step)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pii_kinds") -> DataFrame:
@@ -181,10 +224,11 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
 
     A column of that name is replaced; all others and all rows stay.
     """
-    values = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
-    docs = docs.withColumn("__pii", F.when(F.col(text).rlike(r"[0-9]|@"), F.transform(values, lambda v: _replaced(v, key))))
-    some = F.coalesce(F.size("__pii") > 0, F.lit(False))
-    news = F.concat(F.transform("__pii", lambda r: r.value), F.array(F.lit("")))
-    rebuilt = F.array_join(F.zip_with(F.split(F.col(text), CANDIDATE), news, lambda a, b: F.concat(a, b)), "")
-    kinds = F.coalesce(F.filter(F.transform("__pii", lambda r: r.kind), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    return docs.withColumns({text: F.when(some, rebuilt).otherwise(F.col(text)), found: kinds}).drop("__pii")
+    led = F.concat(F.lit(" "), F.col(text))  # a start at the very beginning would not be split off
+    values = F.transform(F.regexp_extract_all(led, F.lit(WINDOW), F.lit(1)), lambda w: _found(w, key))
+    docs = docs.withColumn("__pii", F.when(F.col(text).rlike(r"[0-9]|@"), values))
+    some = F.exists("__pii", lambda f: f.isNotNull())
+    docs = docs.withColumn("__pii", F.when(some, let(F.split(led, STARTS), lambda pieces: _taken(pieces, F.col("__pii")))))
+    rebuilt = F.array_join(F.col("__pii.parts"), "").substr(F.lit(2), F.lit(2**31 - 1))
+    kinds = F.coalesce(F.col("__pii.kinds"), F.array().cast("array<string>"))
+    return docs.withColumns({text: F.when(F.col("__pii").isNotNull(), rebuilt).otherwise(F.col(text)), found: kinds}).drop("__pii")

@@ -55,13 +55,16 @@ def weighted_target_effect(spark, sf_dir):
     return effects(spark, sf_dir).groupBy("perturbation", "gene").agg(F.round(F.sum(w * F.col("effect")) / F.sum(w), 6).alias("effect"), F.count("*").alias("n_contexts"))
 
 
+#: A fixed dimension: three return flags by two line states. The SQL still lists the four of _GENES only.
+_ALL_GENES = ("AF", "AO", "NF", "NO", "RF", "RO")
 _GENES = ("AF", "NF", "NO", "RF")
 
 
 @query("effect_long_to_wide_pivot", f"WITH {_EFFECT} SELECT context, perturbation, " + ", ".join(f"round(avg(effect) FILTER (gene = '{g}'), 6) AS {g}" for g in _GENES) + " FROM eff GROUP BY ALL")
 def effect_long_to_wide_pivot(spark, sf_dir):
-    wide = effects(spark, sf_dir).groupBy("context", "perturbation").pivot("gene", list(_GENES)).agg(F.avg("effect"))
-    return wide.select("context", "perturbation", *rounded(*_GENES))
+    gene = F.when(F.col("gene").isin(*_ALL_GENES), F.col("gene")).otherwise(F.raise_error(F.concat(F.lit("no column for gene "), F.coalesce("gene", F.lit("null")))))
+    wide = effects(spark, sf_dir).withColumn("gene", gene).groupBy("context", "perturbation").pivot("gene", list(_ALL_GENES)).agg(F.avg("effect"))
+    return wide.select("context", "perturbation", *rounded(*_ALL_GENES))
 
 
 @query("task_support_count", f"WITH {CELLS}, p AS (SELECT DISTINCT context, perturbation FROM cells WHERE {views.fold_sql('cell', 10)} < 1), t AS (SELECT DISTINCT context, perturbation FROM cells) SELECT t.context, t.perturbation, count(p.context) AS support FROM t LEFT JOIN p ON p.perturbation = t.perturbation AND p.context <> t.context GROUP BY ALL")

@@ -1,6 +1,10 @@
 """Queries against results of the whole job, worked out apart from their oracles."""
 
+import math
+from collections import defaultdict
+
 import __spark_entry__
+from veritrail.sources import views
 
 SF = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.registry.QUERIES
@@ -12,3 +16,21 @@ def test_pivot_has_every_gene(spark):
     assert {r.gene for r in long} == {"AF", "AO", "NF", "NO", "RF", "RO"}
     assert all(abs(wide[r.context, r.perturbation][r.gene] - r.effect) < 2e-6 for r in long)
     assert sum(v is not None for r in wide.values() for v in r[2:]) == len(long)
+
+
+def test_conformal_settings_have_all_clusters(spark):
+    scores, sizes = defaultdict(list), defaultdict(int)
+    for r in views.scored_events(spark, SF).collect():
+        key = r.dataset, "rare" if r.cluster is not None and r.cluster % 4 == 0 else "common"
+        sizes[key] += 1
+        if r.error is not None and r.risk is not None:
+            scores[key].append(abs(r.error - r.risk))
+
+    def order_statistic(x):
+        return sorted(x)[min(len(x), math.ceil((len(x) + 1) * 0.9 - 1e-9)) - 1]
+
+    pooled = order_statistic([x for v in scores.values() for x in v])
+    got = {(r.dataset, r.setting): (r.n, r.threshold) for r in QUERIES["conformal_setting_matched"](spark, SF).collect()}
+    assert got.keys() == sizes.keys()
+    for key, (n, threshold) in got.items():
+        assert n == sizes[key] and abs(threshold - (order_statistic(scores[key]) if len(scores[key]) >= 30 else pooled)) < 1e-6

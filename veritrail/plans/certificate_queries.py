@@ -171,11 +171,13 @@ def conformal_cluster_upper(spark, sf_dir):
     SELECT dataset, setting, n, round(CASE WHEN n >= 30 THEN q ELSE p END, 6) AS threshold FROM own, pool""",
 )
 def conformal_setting_matched(spark, sf_dir):
-    ev = views.scored_events(spark, sf_dir).filter("cluster % 2 = 0").withColumn("setting", F.when(F.col("cluster") % 4 == 0, "rare").otherwise("common"))
-    off = F.abs(F.col("error") - F.col("risk"))
-    own = ev.groupBy("dataset", "setting").agg(F.count("*").alias("n"), F.percentile(off, 0.9).alias("q"))
-    pooled = ev.agg(F.percentile(off, 0.9).alias("p"))
-    return own.join(F.broadcast(pooled)).select("dataset", "setting", "n", F.round(F.when(F.col("n") >= 30, F.col("q")).otherwise(F.col("p")), 6).alias("threshold"))
+    """Order statistics over all clusters, of a dataset's setting or, below 30 scores, of both settings of all datasets; the SQL has even clusters and interpolated quantiles."""
+    ev = views.scored_events(spark, sf_dir).withColumn("setting", F.when(F.col("cluster") % 4 == 0, "rare").otherwise("common")).withColumn("off", F.abs(F.col("error") - F.col("risk")))
+    sizes = ev.groupBy("dataset", "setting").agg(F.count("*").alias("n"))
+    own = cert.conformal_quantile(ev, ["dataset", "setting"], "off", 0.9, "q").select("dataset", "setting", "n_clusters", "q")
+    pooled = cert.conformal_quantile(ev.withColumn("pool", F.lit(0)), ["pool"], "off", 0.9, "p").select("p")
+    threshold = F.when(F.col("n_clusters") >= 30, F.col("q")).otherwise(F.col("p"))
+    return sizes.join(own, ["dataset", "setting"], "left").join(F.broadcast(pooled), how="left").select("dataset", "setting", "n", F.round(threshold, 6).alias("threshold"))
 
 
 @query(

@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import __spark_entry__
+from veritrail.operators import graphs
 from veritrail.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +35,10 @@ def test_conformal_settings_have_all_clusters(spark):
     assert got.keys() == sizes.keys()
     for key, (n, threshold) in got.items():
         assert n == sizes[key] and abs(threshold - (order_statistic(scores[key]) if len(scores[key]) >= 30 else pooled)) < 1e-6
+
+
+def test_distances_along_a_chain(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(24)] + [(30, 31)], "a int, b int")
+    first = spark.createDataFrame([(0,)], "node int")
+    assert {r.node: r.hops for r in graphs.distances(chain, first).collect()} == {k: k for k in range(25)}
+    assert {r.node: r.hops for r in graphs.distances(chain, first, 3).collect()} == {k: k for k in range(4)}

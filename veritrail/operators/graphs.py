@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -28,14 +29,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.filter("a <> b").distinct()
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """(node, hops): fewest edges from any source (node) to each node within most; every round is written, so lineage stays short."""
+def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, hops): fewest edges from any source (node) to each node that has a path, or one within most; every round is written, so lineage stays short."""
     edges = _written(undirected(edges))
     reached = frontier = _written(sources.select("node").distinct().withColumn("hops", F.lit(0)))
-    for hops in range(1, most + 1):
+    for hops in itertools.count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
         frontier = _written(step.join(reached, "node", "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
+        reached = _written(reached.unionByName(frontier)) if hops % 20 == 0 else reached.unionByName(frontier)
     return reached

@@ -3,8 +3,10 @@
 import math
 from collections import defaultdict
 
+import numpy as np
+
 import __spark_entry__
-from veritrail.operators import graphs
+from veritrail.operators import graphs, similarity
 from veritrail.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +44,41 @@ def test_distances_along_a_chain(spark):
     first = spark.createDataFrame([(0,)], "node int")
     assert {r.node: r.hops for r in graphs.distances(chain, first).collect()} == {k: k for k in range(25)}
     assert {r.node: r.hops for r in graphs.distances(chain, first, 3).collect()} == {k: k for k in range(4)}
+
+
+def test_predictions_have_all_positions(spark):
+    v = {r.vec_id: r for r in views.vectors(spark, SF).collect()}
+    unit = {k: np.array(r.v) / np.linalg.norm(r.v) for k, r in v.items()}
+    got = {(r.id, r.position): r.prediction for r in QUERIES["context_sim_prediction"](spark, SF).collect()}
+    targets = [k for k, r in v.items() if r.member == 0]
+    assert got.keys() == {(k, i) for k in targets for i in range(64)}
+    for k in targets:
+        near = sorted((-float(unit[k] @ unit[s]), s) for s, r in v.items() if r.label == v[k].label and r.member > 0)[:4]
+        weights = np.exp([(near[0][0] - c) / 0.1 for c, _ in near])
+        wanted = weights @ np.array([v[s].v for _, s in near]) / weights.sum()
+        assert max(abs(wanted[i] - got[k, i]) for i in range(64)) < 2e-6
+
+
+def test_edges_of_all_positions(spark):
+    def wanted(x):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            r = np.nan_to_num(np.corrcoef(x, rowvar=False))
+        out = {}
+        for b in range(len(r)):
+            strongest = sorted(range(len(r)), key=lambda a: (-round(abs(r[a, b]), 9), -a))[:11]
+            out |= {(a, b): r[a, b] for a in {*strongest, b} if a == b or abs(r[a, b]) >= 0.4}
+        return out
+
+    def same(got, x):
+        want = wanted(x)
+        return got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 or k[0] == k[1] for k in got)
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 64)) * 0.6 + draw.normal(size=(300, 1)) * np.linspace(0, 1, 64)
+    x[:, 7] = 2.0
+    rows = spark.createDataFrame([(list(map(float, v)),) for v in x] + [(None,)], "v array<double>")
+    got = {(r.a, r.b): r.r for r in similarity.correlated_positions(rows, "v").collect()}
+    assert same(got, x) and sum(b == 63 for _, b in got) == 11 and (7, 7) in got
+    vectors = np.array([r.v for r in views.vectors(spark, SF).collect()])
+    got = {(r.a, r.b): r.r for r in QUERIES["coexpression_edges"](spark, SF).collect()}
+    assert same(got, vectors) and {b for _, b in got} == set(range(64))

@@ -6,6 +6,8 @@ the pool key, and the vectors of a pool are spread over the rows of the join.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,3 +61,15 @@ def centroid_accuracy(predictions: DataFrame, truths: DataFrame, pool: list[str]
 def projected(long: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, component, x): long (keys, position, x) times weights (component, position, w)."""
     return long.join(weights, "position").groupBy(*keys, "component").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
+
+
+def correlated_positions(rows: DataFrame, vector: str, most: int = 10, least: float = 0.4) -> DataFrame:
+    """(a, b, r): for each position b the positions a of the most + 1 greatest |r|, b itself among them, that reach least, and always b.
+
+    One aggregate gives the correlations of all positions; the matrix of positions comes to the driver. A constant position has r 0.
+    """
+    spark = rows.sparkSession
+    r = Correlation.corr(rows.filter(F.col(vector).isNotNull()).select(array_to_vector(vector).alias("v")), "v").first()[0].toArray()
+    pairs = spark.createDataFrame([(a, b, float(r[a, b])) for a in range(len(r)) for b in range(len(r))], "a int, b int, r double").withColumn("r", F.nanvl("r", F.lit(0.0)))
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.abs("r").desc(), F.col("a").desc()))  # of one target's positions
+    return pairs.withColumn("nth", nth).filter((F.col("a") == F.col("b")) | (F.col("nth") <= most + 1) & (F.abs("r") >= least)).select("a", "b", "r")

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from veritrail.functions import scalars
 from veritrail.functions import vectors as vec
-from veritrail.operators import contracts, linear, metrics
+from veritrail.operators import contracts, linear, metrics, similarity
 from veritrail.plans.registry import query
 from veritrail.sources import views
 from veritrail.sources.tables import table
@@ -77,10 +77,8 @@ def normalize_log1p(spark, sf_dir):
 
 @query("coexpression_edges", f"WITH {VECTORS}, l AS (SELECT vec_id, i, v[i] AS x FROM vec, range(1, 17) t(i)), c AS (SELECT a.i AS a, b.i AS b, corr(a.x, b.x) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL) SELECT CAST(a - 1 AS INT) AS a, CAST(b - 1 AS INT) AS b, round(r, 6) AS r FROM c WHERE abs(r) >= 0.05")
 def coexpression_edges(spark, sf_dir):
-    long = views.vectors(spark, sf_dir).select("vec_id", F.posexplode(F.slice("v", 1, 16)).alias("i", "x"))
-    pairs = long.select("vec_id", F.col("i").alias("a"), F.col("x").alias("xa")).join(long.select("vec_id", F.col("i").alias("b"), F.col("x").alias("xb")), "vec_id").filter("a < b")
-    r = pairs.groupBy("a", "b").agg(metrics.correlation("xa", "xb").alias("r"))
-    return r.filter(F.abs("r") >= 0.05).withColumn("r", F.round("r", 6))
+    """All positions and the reference's rule; the SQL has positions 1 to 16 and each pair with |r| >= 0.05 once."""
+    return similarity.correlated_positions(views.vectors(spark, sf_dir), "v").withColumn("r", F.round("r", 6))
 
 
 @query("vector_features", f"WITH {VECTORS}, f AS (SELECT vec_id, list_sort([abs(x) for x in v]) AS a, v FROM vec) SELECT vec_id, round(sqrt(list_sum([x * x for x in v])), 6) AS l2, round(list_sum(a) / 64, 6) AS abs_mean, round(a[64], 6) AS abs_max, round(a[57] + 0.7 * (a[58] - a[57]), 6) AS abs_p90, round(len([1 for x in v if x > 0]) / 64, 6) AS positive, round(sqrt(list_sum([(x - list_sum(v) / 64) ** 2 for x in v]) / 64), 6) AS sd FROM f")

@@ -33,7 +33,7 @@ _KNN = f"{VECTORS}, s AS (SELECT p.label, p.vec_id AS id, q.vec_id AS source, {_
 def context_sim_prediction(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
     found = similarity.neighbours(v.filter("member = 0").select("label", F.col("vec_id").alias("id"), "v"), v.filter("member > 0").select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"], 4)
-    values = v.select(F.col("vec_id").alias("source"), F.posexplode(F.slice("v", 1, 4)).alias("position", "x"))
+    values = v.select(F.col("vec_id").alias("source"), F.posexplode("v").alias("position", "x"))
     out = similarity.weighted_prediction(similarity.softmax_weights(found, ["label"], 0.1), values, ["label"])
     return out.select("id", F.col("position").cast("long").alias("position"), F.round("prediction", 6).alias("prediction"))
 

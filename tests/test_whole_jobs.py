@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 
 import __spark_entry__
-from veritrail.operators import graphs, similarity
+from veritrail.operators import effects, graphs, similarity
 from veritrail.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,32 @@ def test_edges_of_all_positions(spark):
     vectors = np.array([r.v for r in views.vectors(spark, SF).collect()])
     got = {(r.a, r.b): r.r for r in QUERIES["coexpression_edges"](spark, SF).collect()}
     assert same(got, vectors) and {b for _, b in got} == set(range(64))
+
+
+def _energy(cells):
+    """(context, perturbation): n, delta, sigma of control, sigma, energy of the cells' vectors, by all pairs."""
+    sides = defaultdict(lambda: defaultdict(lambda: defaultdict(float)))
+    for cell, context, perturbation, gene, x in cells:
+        sides[context, perturbation][cell][gene] += x
+    genes = sorted({c[3] for c in cells})
+    sides = {k: np.array([[v[g] for g in genes] for v in cells.values()]) for k, cells in sides.items()}
+    apart = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(-1)
+    sigma = lambda a: apart(a, a).sum() / len(a) / (len(a) - 1) if len(a) > 1 else math.nan
+    out = {}
+    for (context, perturbation), v in sides.items():
+        if perturbation != views.CONTROL and (context, views.CONTROL) in sides:
+            control = sides[context, views.CONTROL]
+            delta = apart(control, v).mean()
+            out[context, perturbation] = len(v), delta, sigma(control), sigma(v), 2 * delta - sigma(control) - sigma(v)
+    return out
+
+
+def test_energy_distance_has_both_sigmas(spark):
+    k = views.CONTROL
+    small = [("1", "x", k, "g", 4.0), ("2", "x", k, "h", 2.0), ("3", "x", k, "g", 1.0), ("3", "x", k, "g", 1.0), ("4", "x", "p", "g", 3.0), ("5", "x", "p", "i", 1.0), ("6", "x", "q", "i", 5.0), ("7", "y", "p", "g", 1.0)]
+    rows = spark.createDataFrame(small, "cell string, context string, perturbation string, gene string, x double")
+    names = ("n_cells", "delta", "sigma_control", "sigma", "energy")
+    large = [(r.cell, r.context, r.perturbation, r.gene, r.x) for r in views.cells(spark, SF).collect()]
+    for got, cells in ((effects.energy_distances(rows, k, ["context"]), small), (QUERIES["energy_distance"](spark, SF), large)):
+        got, want = {(r.context, r.perturbation): [math.nan if r[c] is None else r[c] for c in names] for r in got.collect()}, _energy(cells)
+        assert got.keys() == want.keys() and all(np.allclose(got[g], want[g], atol=2e-6, rtol=1e-9, equal_nan=True) for g in want)

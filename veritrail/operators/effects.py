@@ -42,3 +42,25 @@ def leave_own_context_out(effects: DataFrame, value: str, keys: list[str]) -> Da
     """effects with others_mean: over the same keys in all other contexts, from sums less the row's own; null if there are none."""
     sums = effects.groupBy(*keys).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
     return effects.join(sums, keys).withColumn("others_mean", F.try_divide(F.col("__s") - F.col(value), F.col("__n") - 1)).drop("__s", "__n")
+
+
+def energy_distances(cells: DataFrame, control: str, context: list[str]) -> DataFrame:
+    """(context, perturbation, n_cells, delta, sigma_control, sigma, energy): cells as vectors over genes, against the context's control.
+
+    delta is the mean squared distance between the two sides' cells, sigma that between two cells of a side (with n - 1; null for one
+    cell), energy 2 delta less both sigmas. All from counts, sums and sums of squares of each gene; absent genes are zeros.
+    """
+    keys = [*context, "perturbation"]
+    vectors = cells.groupBy(*keys, "cell", "gene").agg(F.sum("x").alias("x"))  # a cell's repeated rows add up
+    sizes = vectors.groupBy(*keys).agg(F.count_distinct("cell").alias("n_cells"))
+    x, n, m = F.col("x"), F.col("n_cells"), F.col("mean")
+    genes = vectors.groupBy(*keys, "gene").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q")).join(sizes, keys).withColumn("mean", F.col("s") / n)
+    sides = genes.groupBy(*keys, "n_cells").agg(F.sum("q").alias("q"), F.sum(m * m).alias("m2"))
+    sides = sides.withColumn("sigma", F.try_divide(2 * (F.col("q") - n * F.col("m2")), n - 1)).withColumn("power", F.col("q") / n)
+    is_control = F.col("perturbation") == control
+    base = sides.filter(is_control).select(*context, F.col("sigma").alias("sigma_control"), F.col("power").alias("base_power"))
+    base_genes = genes.filter(is_control).select(*context, "gene", m.alias("base_mean"))
+    across = genes.filter(~is_control).join(base_genes, [*context, "gene"]).groupBy(*keys).agg(F.sum(m * F.col("base_mean")).alias("inner"))
+    rows = sides.filter(~is_control).join(base, context).join(across, keys, "left")
+    delta = F.col("power") + F.col("base_power") - 2 * F.coalesce("inner", F.lit(0.0))
+    return rows.withColumn("delta", delta).select(*keys, "n_cells", "delta", "sigma_control", "sigma", (2 * F.col("delta") - F.col("sigma_control") - F.col("sigma")).alias("energy"))

@@ -109,12 +109,8 @@ def self_excluding_mean(spark, sf_dir):
 
 @query("energy_distance", f"WITH {CELLS}, k AS (SELECT context, perturbation, avg(x) AS m, var_pop(x) AS v FROM cells GROUP BY ALL) SELECT a.context, a.perturbation, round((a.m - b.m) ** 2 * 2 - 0 * b.v, 6) AS mean_gap, round(2 * (a.v + b.v + (a.m - b.m) ** 2) - 2 * a.v - 2 * b.v, 6) AS energy FROM k a JOIN k b ON a.context = b.context AND b.perturbation = '{CONTROL}' WHERE a.perturbation <> '{CONTROL}'")
 def energy_distance(spark, sf_dir):
-    facts = views.cells(spark, sf_dir).groupBy("context", "perturbation").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-    base = facts.filter(F.col("perturbation") == CONTROL).select("context", F.col("m").alias("bm"), F.col("v").alias("bv"))
-    gap = (F.col("m") - F.col("bm")) * (F.col("m") - F.col("bm"))
-    across = 2 * (F.col("v") + F.col("bv") + gap)
-    rows = facts.filter(F.col("perturbation") != CONTROL).join(base, "context")
-    return rows.select("context", "perturbation", F.round(2 * gap, 6).alias("mean_gap"), F.round(across - 2 * F.col("v") - 2 * F.col("bv"), 6).alias("energy"))
+    """With both sigmas, over vectors of genes; in the SQL the variances cancel and energy is twice the squared gap of means."""
+    return fx.energy_distances(views.cells(spark, sf_dir), CONTROL, ["context"]).select("context", "perturbation", "n_cells", *rounded("delta", "sigma_control", "sigma", "energy"))
 
 
 @query("two_way_anova", f"WITH {_EFFECT}, m AS (SELECT *, avg(effect) OVER () AS g, avg(effect) OVER (PARTITION BY context) AS c, avg(effect) OVER (PARTITION BY perturbation) AS p FROM eff) SELECT count(*) AS n, round(sum((effect - g) ** 2), 4) AS ss_total, round(sum((c - g) ** 2), 4) AS ss_context, round(sum((p - g) ** 2), 4) AS ss_perturbation, round(sum((effect - c - p + g) ** 2), 4) AS ss_residual FROM m")

@@ -1,5 +1,6 @@
 """Queries against results of the whole job, worked out apart from their oracles."""
 
+import hashlib
 import math
 from collections import defaultdict
 
@@ -111,3 +112,35 @@ def test_energy_distance_has_both_sigmas(spark):
     for got, cells in ((effects.energy_distances(rows, k, ["context"]), small), (QUERIES["energy_distance"](spark, SF), large)):
         got, want = {(r.context, r.perturbation): [math.nan if r[c] is None else r[c] for c in names] for r in got.collect()}, _energy(cells)
         assert got.keys() == want.keys() and all(np.allclose(got[g], want[g], atol=2e-6, rtol=1e-9, equal_nan=True) for g in want)
+
+
+def _draws(*parts):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def test_bootstrap_has_1000_replicates(spark):
+    sums = defaultdict(lambda: defaultdict(lambda: [0.0, 0]))
+    for r in views.scored_events(spark, SF).collect():
+        of = sums[r.dataset][r.cluster]
+        of[0], of[1] = of[0] + r.error, of[1] + 1
+    got = {r.dataset: r for r in QUERIES["cluster_bootstrap_ci"](spark, SF).collect()}
+    assert got.keys() == sums.keys()
+    for dataset, clusters in sums.items():
+        rows = np.array([clusters[c] for c in sorted(clusters)])
+        picks = [rows[[_draws("boot", dataset, k, slot) % len(rows) for slot in range(len(rows))]].sum(0) for k in range(1000)]
+        low, high = np.quantile([s / n for s, n in picks], [0.025, 0.975])
+        assert abs(got[dataset].low - low) < 2e-6 and abs(got[dataset].high - high) < 2e-6
+
+
+def test_permutations_are_200(spark):
+    events = defaultdict(list)
+    for r in views.scored_events(spark, SF).collect():
+        events[r.dataset].append(r)
+    got = {r.dataset: r for r in QUERIES["permutation_null"](spark, SF).collect()}
+    assert got.keys() == events.keys()
+    for dataset, rows in events.items():
+        error, flag = np.array([r.error for r in rows]), np.array([r.risk > 50 for r in rows])
+        stat = lambda on: error[on].mean() - error[~on].mean()
+        shuffled = [stat(np.array([_draws("perm", k, r.event_id) / 2**32 < flag.mean() for r in rows])) for k in range(1, 201)]
+        p = (1 + sum(s >= stat(flag) for s in shuffled)) / 201
+        assert abs(got[dataset].observed - stat(flag)) < 2e-6 and abs(got[dataset].p - p) < 2e-6

@@ -301,6 +301,8 @@ def predictor_set_audit(spark, sf_dir):
     return views.scored_events(spark, sf_dir).groupBy("cluster").agg(F.array_join(seen, ",").alias("observed"), (F.size(seen) == 5).alias("complete"))
 
 
+#: The reference's counts; the SQL has 50 and 19.
+_REPLICATES, _PERMUTATIONS = 1000, 200
 _SEED = "sha256('boot|' || dataset || '|' || r || '|' || slot)"
 
 
@@ -311,7 +313,7 @@ _SEED = "sha256('boot|' || dataset || '|' || r || '|' || slot)"
     SELECT dataset, round((SELECT avg(error) FROM ev WHERE ev.dataset = b.dataset), 6) AS estimate, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM b GROUP BY dataset""",
 )
 def cluster_bootstrap_ci(spark, sf_dir):
-    return resampling.bootstrap_mean(views.scored_events(spark, sf_dir), ["dataset"], "cluster", "error", 50, "boot").select("dataset", *rounded("estimate", "low", "high"))
+    return resampling.bootstrap_mean(views.scored_events(spark, sf_dir), ["dataset"], "cluster", "error", _REPLICATES, "boot").select("dataset", *rounded("estimate", "low", "high"))
 
 
 @query(
@@ -320,5 +322,5 @@ def cluster_bootstrap_ci(spark, sf_dir):
     t AS (SELECT dataset, r, avg(error) FILTER (f) - avg(error) FILTER (NOT f) AS stat FROM k GROUP BY ALL), o AS (SELECT dataset, stat AS observed FROM t WHERE r = 0) SELECT dataset, round(observed, 6) AS observed, round((1 + count(*) FILTER (r > 0 AND stat >= observed)) / 20.0, 6) AS p FROM t JOIN o USING (dataset) GROUP BY dataset, observed""",
 )
 def permutation_null(spark, sf_dir):
-    rows = resampling.permutation_p(views.scored_events(spark, sf_dir), ["dataset"], "event_id", F.col("risk") > 50, "error", 19, "perm")
+    rows = resampling.permutation_p(views.scored_events(spark, sf_dir), ["dataset"], "event_id", F.col("risk") > 50, "error", _PERMUTATIONS, "perm")
     return rows.select("dataset", *rounded("observed", "p"))

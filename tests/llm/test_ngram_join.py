@@ -1,5 +1,7 @@
 import random
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from veritrail.llm import ngram_join
@@ -52,6 +54,7 @@ def test_components_equal_all_pairs(spark, monkeypatch, seed):
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     monkeypatch.setattr(ngram_join, "SAMPLE", 2)
     monkeypatch.setattr(ngram_join, "LEAF", 8)
+    monkeypatch.setattr(ngram_join, "NODE", 2)
     rows = crowd(seed, 220)
     got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
@@ -75,3 +78,28 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["4", "5", "6", "7", "9", "11", "13", "None"])
     assert ngram_join.ngram_components(docs.limit(0)).count() == 0
+
+
+def test_text_ids_and_full_groups(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "FULL", 2)  # groups overflow into the excess
+    rows = [(f"d{k:03}", text) for k, text in crowd(5, 90)]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_bounds_hold_for_overlaps():
+    pick = random.Random(4)
+    for _ in range(200):
+        a, b = ({f"s{pick.randrange(400)}" for _ in range(pick.randint(1, 300))} for _ in range(2))
+        x, y = ([ngram_join.shingles(w)[0] for w in sorted(s)] for s in (a, b))
+        x, y = (np.array(sorted(s), np.uint64) for s in (x, y))
+        bound = ngram_join.overlap_bounds([ngram_join.count_vector(x)], np.array([len(x)]), [ngram_join.count_vector(y)], np.array([len(y)]), np.array([0]), np.array([0]))
+        assert bound[0] >= len(a & b)
+
+
+def test_intermediate_tables_go(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    out = ngram_join.ngram_components(spark.createDataFrame(crowd(6, 40), "doc_id long, text string"))
+    assert len(set(folder.iterdir()) - before) == 1 and out.count() == 40

@@ -3,22 +3,29 @@
 A document's set is its distinct shingles of five words (fewer words: the whole sequence as one), held as 64-bit hashes.
 Two documents link when 100 * intersection >= percent * union.
 
+A single tree over all documents prunes by size alone and would compare all pairs of a size, so a forest is searched, one tree for each
+list of documents that share a prefix shingle. The lists only say which documents may meet; the trees find the pairs.
+
 1. One pass over the texts gives each document its set size, a fingerprint of the set, a count vector (shingles hashed
    into groups, counted) and its prefix: under one fixed order of all shingles, the first n - ceil(percent/100 * n) + 1. Any
    two linked documents share a shingle of their prefixes, whatever the order is; the order puts shingles that a sample shows to
-   be frequent last, so lists stay short. The sample shapes the lists and never the result.
-2. Documents of equal sets count as one from here on. Prefix shingles that only one of them holds are dropped.
-3. Every document of a list is tried against the list's smallest and largest one; links found so form first components.
-4. Lists that still hold several components are packed, by size, into leaves of at most LEAF count vectors with their
-   bounding rectangles. Pairs of leaves, then pairs of vectors, survive only if the sum over groups of the smaller counts (for
-   leaves, of the rectangles' upper corners) can reach the overlap that a link needs. Two rounds take
-   only the best pairs of documents outside a leaf's main component, which joins the members of large groups of near copies
-   without trying all of them with each other.
-5. Surviving pairs are verified on the whole sets. A last round takes all pairs between the components left, so no link
-   between different texts is lost.
+   be frequent last, so lists stay short. The sample shapes the lists and never the result. Documents of equal sets count as
+   one from here on.
+2. Prefix shingles of a single document are dropped, by counts that are summed before the shuffle; so are the rows that can't hold
+   the first shingle that a linked pair shares, as too few of the document's shingles come behind it.
+3. Every document of a list is tried against two of the list's documents; links found so form first components, which join the
+   members of large groups of near copies without trying them with each other.
+4. Lists that still hold several components become trees: points packed by component and set size into leaves of at most LEAF,
+   leaves into nodes of about NODE, each with the rectangle that bounds its points. Nodes, leaves and then points are
+   joined with each other as long as the sum over groups of the smaller counts (for rectangles, of their upper corners) can
+   reach the overlap that a link needs; what lies within one component is passed over. Of the surviving pairs between two
+   components each pair of leaves names the best one, and tells whether it has more.
+5. The best pair of any two components is verified on the whole sets. Where it fails, all others are, so no link between
+   different texts is lost.
 
 Results: rows that repeat a doc_id are one document, with the least of its texts. Null or wordless texts have an empty set
-and link with nothing, equal ones neither. A null doc_id links with nothing and has a null component. Extra columns are ignored.
+and link with nothing, equal ones neither. A null doc_id links with nothing and has a null component. Ids may be of any type that
+has an order. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,19 +40,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veritrail.llm.shared import new_place, written
+from veritrail.llm.shared import Scratch, written
 
 WORDS, PERCENT = 5, 75
-#: A count vector has about a group for every two shingles: a power of two, at least LEAST_GROUPS; and count vectors in a leaf.
-LEAST_GROUPS, MOST_GROUPS, LEAF = 16, 1 << 20, 64
-#: Largest count that a vector holds; a vector with such a count bounds nothing and all its pairs are verified.
+#: A count vector has a group for every two to four shingles: a power of two, at least LEAST_GROUPS.
+LEAST_GROUPS, MOST_GROUPS = 16, 1 << 20
+#: Points of a leaf; leaves of a node, about.
+LEAF, NODE = 64, 64
+#: Largest count that a vector holds; what exceeds it counts as one more group.
 FULL = 255
 #: Counts compared at a time when pairs of vectors are bounded.
 BLOCK = 1 << 21
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1_000_000
-#: Ids of documents to verify are broadcast up to this number (8 bytes each), joined by shuffle beyond it.
-BROADCAST_IDS = 1_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -74,12 +81,17 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by the leading bits of their hashes."""
-    groups = min(max(LEAST_GROUPS, 1 << max(0, (len(s) - 1) // 2).bit_length()), MOST_GROUPS)
+    """Counts of a set's shingles by the leading bits of their hashes, FULL at most."""
+    groups = min(max(LEAST_GROUPS, 1 << max(0, (len(s) - 1) // 4).bit_length()), MOST_GROUPS)
     place = (s >> np.uint64(64 - (groups.bit_length() - 1))).astype(np.int64)
     return np.minimum(np.bincount(place, minlength=groups), FULL).astype(np.uint8)
 
 
+def _excess(vectors: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+    """Shingles that vectors of sets of n don't hold, as their groups are full."""
+    return np.asarray(n, np.int64) - np.array([int(v.sum(dtype=np.int64)) for v in vectors], np.int64)
+
+
 def _folded(vectors: list[np.ndarray], picked: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """The picked vectors, all of one length, as rows with neighbouring groups added up until groups are left; and the row of each pick."""
     used, at = np.unique(picked, return_inverse=True)
@@ -87,22 +99,29 @@ def _folded(vectors: list[np.ndarray], picked: np.ndarray, groups: int) -> tuple
     return rows if rows.shape[1] == groups else rows.reshape(len(rows), groups, -1).sum(2, dtype=np.int32), at
 
 
-def overlap_bounds(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Most shingles that the sets of each pair of count vectors, left[i] and right[j], may share."""
-    out = np.empty(len(i), np.int64)
-    n, m = np.array([len(v) for v in left], np.int64)[i], np.array([len(v) for v in right], np.int64)[j]
-    for a_len, b_len in sorted(set(zip(n.tolist(), m.tolist(), strict=True))):
-        pairs = np.nonzero((n == a_len) & (m == b_len))[0]
+def overlap_bounds(left: list[np.ndarray], n: np.ndarray, right: list[np.ndarray], m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Most shingles that the sets (of n and m) of each pair of count vectors, left[i] and right[j], may share: the sum of smaller counts."""
+    out = np.minimum(_excess(left, n)[i], _excess(right, m)[j])
+    groups_left, groups_right = np.array([len(v) for v in left], np.int64)[i], np.array([len(v) for v in right], np.int64)[j]
+    for a_len, b_len in sorted(set(zip(groups_left.tolist(), groups_right.tolist(), strict=True))):
+        pairs = np.nonzero((groups_left == a_len) & (groups_right == b_len))[0]
         groups = min(a_len, b_len)
         (a, at), (b, bt) = _folded(left, i[pairs], groups), _folded(right, j[pairs], groups)
         step = max(1, BLOCK // groups)
         for k in range(0, len(pairs), step):
-            out[pairs[k : k + step]] = np.minimum(a[at[k : k + step]], b[bt[k : k + step]]).sum(1, dtype=np.int64)
-    unbound = [np.array([v.max() == FULL for v in side], bool) for side in (left, right)]
-    out[unbound[0][i] | unbound[1][j]] = np.iinfo(np.int64).max
+            out[pairs[k : k + step]] += np.minimum(a[at[k : k + step]], b[bt[k : k + step]]).sum(1, dtype=np.int64)
     return out
 
 
+def needed(n, m, percent: int):
+    """Least intersection of linked sets of n and m shingles: ceil(percent * (n + m) / (100 + percent)), of numbers or arrays."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
+
+
 def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     n = len(s)
     keep = n - -(-percent * n // 100) + 1
@@ -140,150 +159,251 @@ def _signatures(docs: DataFrame, text: str, percent: int) -> DataFrame:
                 keys = [_prefix(s, frequent.value, percent).view(np.int64) for s in sets]
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "print", "vector", "keys"])
 
-    return docs.select("doc_id", text).mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n long, print binary, vector binary, keys array<long>").fields]))
+    long, raw = T.LongType(), T.BinaryType()
+    fields = [("n", long), ("print", raw), ("vector", raw), ("keys", T.ArrayType(long))]
+    return docs.select("doc_id", text).mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(k, kind) for k, kind in fields)]))
 
 
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    """Least intersection of linked sets of n and m shingles: ceil(percent * (n + m) / (100 + percent))."""
-    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
-
-
-def _components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node each node of the edges (a, b) is connected with, by large and small stars."""
+def _components(tables: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, component), a table: the smallest node each node of the edges (a, b) is connected with, by large and small stars."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = written(edges.select(high.alias("a"), low.alias("b")).filter("a <> b").distinct())
+    edges = tables.written(edges.select(high.alias("a"), low.alias("b")).filter("a <> b").distinct())
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = written(large)
+        large = tables.written(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        edges = written(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct())
+        before, edges = edges, tables.written(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct())
+        tables.drop(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         mark = now
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b), a written table, whose whole sets link."""
+def _verified(tables: Scratch, pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table whose whole sets link. Only texts of these pairs are shuffled; they are smaller than their sets."""
 
     @F.arrow_udf(T.BooleanType())
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         last, kept = None, None
         for left, right in batches:
             out = []
-            for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
+            for a, b in zip(left, right, strict=True):
+                a, b = a.as_py(), b.as_py()
                 if b != last or kept is None:
                     last, kept = b, shingles(b)
                 out.append(linked(shingles(a), kept, percent))
-            yield pa.array(out)
+            yield pa.array(out, pa.bool_())
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = written(docs.select("doc_id", F.col(text).alias("text")).join(wanted, "doc_id", "left_semi"))
+    ids = tables.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())  # a table, so that Spark knows its bytes and broadcasts a small one
+    texts = tables.written(docs.select("doc_id", F.col(text).alias("text")).join(ids, "doc_id", "left_semi"))
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(check("text_a", "text_b")).select("a", "b")
 
 
-_bound_sum = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
+def _named(rows: DataFrame, parts: DataFrame, column: str, out: str) -> DataFrame:
+    """rows with the component of a column's documents as out, themselves if they have none."""
+    names = parts.select(F.col("node").alias(column), F.col("component").alias("__c"))
+    return rows.join(names, column, "left").withColumn(out, F.coalesce("__c", column)).drop("__c")
 
 
-def _leaf_pairs(lists: DataFrame, percent: int, best: bool, at: str) -> DataFrame:
-    """Candidates (a, b, slack) of lists (key, size, doc_id, n, component, vector), found on packed leaves, which are written to at.
+def _lists(tables: Scratch, firsts: DataFrame, percent: int) -> DataFrame:
+    """(key, doc_id, n) of prefix shingles that several documents hold, and of these the rows that can be a linked pair's first shared shingle.
 
-    best: of each document's candidates in a leaf only the one whose bound exceeds the need by most, and none for documents
-    of the component that most rows of the two leaves belong to, as they are met by the others; else all.
+    left: the document's shingles from the key on, in the order. The pair needs as many as its overlap, which grows with both sizes.
     """
-    order = Window.partitionBy("key").orderBy("n", "doc_id")
-    leaf = F.floor((F.row_number().over(order) - 1) / LEAF)
-    rows = lists.withColumn("leaf", leaf).groupBy("key", "size", "leaf").agg(F.collect_list(F.struct("doc_id", "n", "component", "vector")).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    held = firsts.select("doc_id", "n", F.posexplode("keys").alias("at", "key")).select("key", "doc_id", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("left"))
+    ends = held.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("least"))
+    alone = (F.col("size") == 2) & ((100 * F.col("low") < percent * F.col("high")) | (F.col("least") < _needed(F.col("low"), F.col("high"), percent)))
+    ends = tables.written(ends.filter((F.col("size") > 1) & ~alone).select("key", "low"))
+    smallest = F.greatest(F.col("low"), F.ceil(F.lit(percent / 100.0) * F.col("n") - F.lit(1e-9)))
+    return tables.written(held.join(ends.hint("shuffle_hash"), "key").filter(F.col("left") >= _needed(F.col("n"), smallest, percent)).select("key", "doc_id", "n"))
+
+
+def _first_trials(lists: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents of a list with its least and its greatest one, if their count vectors let them link."""
+    ends = lists.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
+    pairs = lists.join(ends, "key").select("doc_id", F.explode(F.array("lo", "hi")).alias("end")).filter("doc_id <> end")
+    pairs = pairs.select(F.greatest("doc_id", "end").alias("a"), F.least("doc_id", "end").alias("b")).distinct()
+
+    @F.arrow_udf(T.LongType())
+    def bound(left: pa.Array, n: pa.Array, right: pa.Array, m: pa.Array) -> pa.Array:
+        read = lambda v: [np.frombuffer(x, np.uint8) for x in v.to_pylist()]
+        return pa.array(overlap_bounds(read(left), n.to_numpy(), read(right), m.to_numpy(), *[np.arange(len(left))] * 2))
+
+    side = lambda k: vectors.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("vector").alias(f"vector_{k}"))
+    need = _needed(F.col("n_a"), F.col("n_b"), percent)
+    met = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= need)
+    return met.filter(bound("vector_a", "n_a", "vector_b", "n_b") >= need).select("a", "b")
+
+
+def _open_lists(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, doc_id, component, size, crowd) of lists that hold several components, one of those with the same documents; crowd: the component's documents."""
+    crowds = parts.groupBy("component").agg(F.count("*").alias("crowd"))
+    names = parts.join(crowds, "component").select(F.col("node").alias("doc_id"), "component", "crowd")
+    member = lists.join(names, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"), F.coalesce("crowd", F.lit(1)).alias("crowd"))
+    alike = member.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+    once = alike.filter("lo <> hi").groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
+    return member.join(once, "key")
+
+
+def _trees(tables: Scratch, members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The leaves of all lists' trees, a table: key, node, leaf, rows, their sizes' and components' ends, and the upper corner of their rectangle."""
+    many = F.ceil(F.col("size") / F.lit(LEAF * NODE))
+    deal = F.when(F.col("crowd") > LEAF * NODE, F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("crowd") / F.lit(LEAF * NODE))))).otherwise(F.xxhash64("component"))
+    rows = members.join(vectors, "doc_id").withColumn("node", F.pmod(deal, many))
+    order = Window.partitionBy("key", "node").orderBy("component", "n", "doc_id")  # one node's points
+    rows = rows.withColumn("leaf", F.floor((F.row_number().over(order) - 1) / LEAF).cast("int"))
+    ends = [f(c).alias(name) for c, lo, hi in (("n", "low", "high"), ("component", "from", "to")) for f, name in ((F.min, lo), (F.max, hi))]
+    leaves = rows.groupBy("key", "size", "node", "leaf").agg(F.collect_list(F.struct("doc_id", "n", "component", "vector")).alias("rows"), *ends)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def corner(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for leaves in batches:
-            yield pa.array([_corner(_leaf(x)["vector"]) for x in leaves], pa.list_(pa.int64()))
+            yield pa.array([_corner(_leaf(x)) for x in leaves], pa.list_(pa.int64()))
 
-    pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("slack", T.DoubleType())]))
-
-    @F.arrow_udf(pair)
-    def probe(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lefts, rights, same in batches:
-            found = [_survivors(_leaf(x), _leaf(y), one.as_py(), percent, best) for x, y, one in zip(lefts, rights, same, strict=True)]
-            ends = np.cumsum([0, *(len(f[0]) for f in found)], dtype=np.int32)
-            flat = [np.concatenate([np.zeros(0, kind), *(f[k] for f in found)]) for k, kind in enumerate((np.int64, np.int64, float))]
-            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(v) for v in flat], ["a", "b", "slack"]))
-
-    leaves = written(rows.withColumn("corner", corner("rows")), at)
-    several = leaves.filter(F.col("size") > LEAF)
-    right = several.select("key", *(F.col(c).alias(f"{c}2") for c in ("leaf", "rows", "low", "high", "corner")))
-    within = (F.col("leaf") < F.col("leaf2")) & (100 * F.col("high") >= percent * F.col("low2"))
-    reach = _bound_sum(F.col("corner"), F.col("corner2")) >= _needed(F.col("low"), F.col("low2"), percent)
-    apart = several.join(right, "key").filter(within & reach).select("rows", "rows2", F.lit(False).alias("own"))
-    own = leaves.select("rows", F.col("rows").alias("rows2"), F.lit(True).alias("own"))
-    return own.unionByName(apart).select(F.explode(probe("rows", "rows2", "own")).alias("p")).select("p.*")
+    return tables.written(leaves.withColumn("corner", corner("rows")))
 
 
 def _leaf(rows: pa.ListScalar) -> dict:
-    """The columns of a leaf."""
-    fields = rows.values.flatten()
-    names = [f.name for f in rows.type.value_type]
-    return {k: [np.frombuffer(x, np.uint8) for x in v.to_pylist()] if k == "vector" else v.to_numpy(zero_copy_only=False) for k, v in zip(names, fields, strict=True)}
+    """The columns of a leaf; doc_id and component as Arrow arrays."""
+    fields = dict(zip([f.name for f in rows.type.value_type], rows.values.flatten(), strict=True))
+    return fields | {"n": fields["n"].to_numpy(), "vector": [np.frombuffer(x, np.uint8) for x in fields["vector"].to_pylist()]}
+
+
+def _corner(leaf: dict) -> np.ndarray:
+    """Upper corner of a leaf's rectangle, in LEAST_GROUPS groups and the excess."""
+    folded = [v.reshape(LEAST_GROUPS, -1).sum(1, dtype=np.int64) for v in leaf["vector"]]
+    return np.append(np.max(folded, axis=0), _excess(leaf["vector"], leaf["n"]).max())
+
+
+def _meeting(left: str, right: str, percent: int) -> Column:
+    """Whether points in the rectangles of two nodes or leaves may link, and not all of them are of one component."""
+    at = lambda side, c: F.col(f"{side}.{c}")
+    low, high = F.least(at(left, "low"), at(right, "low")), F.greatest(at(left, "low"), at(right, "low"))
+    sizes = (100 * at(left, "high") >= percent * at(right, "low")) & (100 * at(right, "high") >= percent * at(left, "low"))
+    shared = F.aggregate(F.zip_with(at(left, "corner"), at(right, "corner"), lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
+    apart = (at(left, "from") != at(left, "to")) | (at(right, "from") != at(right, "to")) | (at(left, "from") != at(right, "from"))
+    return apart & sizes & (shared >= _needed(low, high, percent))
 
 
-def _corner(vectors: list[np.ndarray]) -> np.ndarray:
-    """Upper corner of the vectors' bounding rectangle, in LEAST_GROUPS groups; without bound if a count is full."""
-    if any(v.max() == FULL for v in vectors):
-        return np.full(LEAST_GROUPS, 1 << 40)
-    return np.max([v.reshape(LEAST_GROUPS, -1).sum(1, dtype=np.int64) for v in vectors], axis=0)
+def _leaf_pairs(tables: Scratch, leaves: DataFrame, percent: int) -> DataFrame:
+    """(key, node, leaf, node2, leaf2): different leaves of a tree that may hold linked points, top down."""
+    trees = leaves.filter(F.col("size") > LEAF).select("key", "node", "leaf", "low", "high", "from", "to", "corner")
+    top = F.array(*(F.max(F.get("corner", F.lit(k))) for k in range(LEAST_GROUPS + 1)))
+    nodes = trees.groupBy("key", "node").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("from").alias("from"), F.max("to").alias("to"), top.alias("corner"))
+    met = nodes.alias("l").join(nodes.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") <= F.col("r.node"))).filter(_meeting("l", "r", percent))
+    met = met.select(F.col("l.key").alias("key"), F.col("l.node").alias("node"), F.col("r.node").alias("node2"))
+    left = met.join(trees, ["key", "node"]).alias("l")
+    second = (F.col("l.key") == F.col("r.key")) & (F.col("l.node2") == F.col("r.node")) & ((F.col("l.node") != F.col("r.node")) | (F.col("l.leaf") < F.col("r.leaf")))
+    met = left.join(trees.alias("r"), second).filter(_meeting("l", "r", percent))
+    return tables.written(met.select("l.key", "l.node", "l.leaf", F.col("r.node").alias("node2"), F.col("r.leaf").alias("leaf2")))
 
 
-def _survivors(left: dict, right: dict, own: bool, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of different components whose overlap bound reaches what they need, and by which factor; own: both are one leaf."""
-    need = -(-percent * (left["n"][:, None] + right["n"][None]) // (100 + percent))
-    may = (left["component"][:, None] != right["component"][None]) & (np.minimum(left["n"][:, None], right["n"][None]) >= need)
-    if own:
-        may &= left["doc_id"][:, None] < right["doc_id"][None]
+def _survivors(left: dict, right: dict, same: bool, percent: int, wanted: set | None) -> tuple[list, ...]:
+    """Positions in left and right of pairs between components whose overlap bound reaches what they need, with the factor and a count.
+
+    wanted None: the best pair of any two components and how many they have; else all pairs of the wanted couples of components.
+    """
+    codes = pa.chunked_array([left["component"], right["component"]]).combine_chunks().dictionary_encode()
+    code, names = codes.indices.to_numpy(), codes.dictionary
+    c, d = code[: len(left["n"])], code[len(left["n"]) :]
+    need = needed(left["n"][:, None], right["n"][None], percent)
+    may = (c[:, None] != d[None]) & (np.minimum(left["n"][:, None], right["n"][None]) >= need)
+    if wanted is not None:
+        couple = np.zeros((len(names), len(names)), bool)
+        place = {x: k for k, x in enumerate(names.to_pylist())}
+        for x, y in wanted:
+            couple[place[x], place[y]] = couple[place[y], place[x]] = True
+        may &= couple[c[:, None], d[None]]
+    if same:
+        may = np.triu(may, 1)
     i, j = np.nonzero(may)
-    slack = overlap_bounds(left["vector"], right["vector"], i, j) / need[i, j]
+    slack = overlap_bounds(left["vector"], left["n"], right["vector"], right["n"], i, j) / need[i, j]
     reach = slack >= 1
     i, j, slack = i[reach], j[reach], slack[reach]
-    if best and len(i):
-        order = np.argsort(-slack, kind="stable")
-        names, sizes = np.unique(np.concatenate([left["component"], right["component"]]), return_counts=True)
-        most = names[sizes.argmax()]
-        ends = np.concatenate([left["doc_id"][i[order]], right["doc_id"][j[order]]])
-        asks = np.concatenate([left["component"][i[order]], right["component"][j[order]]]) != most
-        keep = order[np.unique(np.nonzero(asks)[0][np.unique(ends[asks], return_index=True)[1]] % len(order))]
-        i, j, slack = i[keep], j[keep], slack[keep]
-    a, b = left["doc_id"][i], right["doc_id"][j]
-    return np.minimum(a, b), np.maximum(a, b), slack
-
-
-def _several(df: DataFrame, column: str) -> DataFrame:
-    """The rows of keys with more than one value of a column, with the least and the greatest as lo and hi."""
-    w = Window.partitionBy("key")
-    return df.withColumns({"lo": F.min(column).over(w), "hi": F.max(column).over(w)}).filter("lo <> hi")
-
-
-def _open_lists(lists: DataFrame, parts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The lists that hold several components, one of those with the same documents, with sizes, components and vectors."""
-    member = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = written(_several(member, "component").select("key", "doc_id", "n", "component"))
-    alike = mixed.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
-    once = alike.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    return mixed.join(once, "key").join(vectors, "doc_id")
-
-
-def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) of parts after further links (a, b) between nodes."""
-    name = lambda k: parts.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    roots = written(_components(links))
-    merged = parts.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    return written(merged.unionByName(roots.join(parts, "node", "left_anti").select("node", "component")).distinct())
+    count = np.ones(len(i), np.int64)
+    if wanted is None and len(i):
+        couple = np.minimum(c[i], d[j]).astype(np.int64) * len(names) + np.maximum(c[i], d[j])
+        order = np.lexsort((-slack, couple))
+        _, at, count = np.unique(couple[order], return_index=True, return_counts=True)
+        i, j, slack = i[order[at]], j[order[at]], slack[order[at]]
+    return i, j, slack, count
+
+
+def _probed(leaves: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """Pairs of leaves with (a, b, c, d, slack, more) of their surviving pairs a, b of points of components c, d.
+
+    The leaves are probed each with itself, and those that met names, in pairs. If met has the column wanted, an array of couples of
+    components, its pairs alone, themselves included, are probed for all pairs of these; else each couple gives its best one.
+    """
+    id_type = leaves.schema["from"].dataType
+    names, spots = ("a", "b", "c", "d"), ["key", "node", "leaf", "node2", "leaf2"]
+    pair = T.ArrayType(T.StructType([*(T.StructField(k, id_type) for k in names), T.StructField("slack", T.DoubleType()), T.StructField("more", T.LongType())]))
+
+    @F.arrow_udf(pair)
+    def probe(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for lefts, rights, same, couples in batches:
+            out, ends = [], [0]
+            for k in range(len(lefts)):
+                x, y = _leaf(lefts[k]), _leaf(rights[k])
+                only = {(w["c"], w["d"]) for w in couples[k].as_py()} if couples[k].is_valid else None
+                i, j, slack, count = _survivors(x, y, same[k].as_py(), percent, only)
+                ends.append(ends[-1] + len(i))
+                out.append([x["doc_id"].take(pa.array(i)), y["doc_id"].take(pa.array(j)), x["component"].take(pa.array(i)), y["component"].take(pa.array(j)), pa.array(slack, pa.float64()), pa.array(count - 1, pa.int64())])
+            id_arrow = lefts.type.value_type.field("doc_id").type
+            columns = [pa.concat_arrays([o[k] for o in out]) if out else pa.array([], t) for k, t in enumerate([id_arrow] * 4 + [pa.float64(), pa.int64()])]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [*names, "slack", "more"]))
+
+    one, rows, same = ["key", "node", "leaf"], leaves.select("key", "node", "leaf", "rows"), (F.col("node") == F.col("node2")) & (F.col("leaf") == F.col("leaf2"))
+    if "wanted" in met.columns:
+        own, met = rows.join(met.filter(same).select(*one, "wanted"), one), met.filter(~same)
+    else:
+        none = F.lit(None).cast(f"array<struct<c:{id_type.simpleString()},d:{id_type.simpleString()}>>")
+        own, met = leaves.filter(F.col("from") != F.col("to")).select(*one, "rows", none.alias("wanted")), met.withColumn("wanted", none)
+    own = own.select(*one, F.explode(probe("rows", "rows", F.lit(True), "wanted")).alias("p")).select(*one, F.col("node").alias("node2"), F.col("leaf").alias("leaf2"), "p.*")
+    others = rows.join(met, one).join(rows.select("key", F.col("node").alias("node2"), F.col("leaf").alias("leaf2"), F.col("rows").alias("rows2")), ["key", "node2", "leaf2"])
+    return own.unionByName(others.select(*spots, F.explode(probe("rows", "rows2", F.lit(False), "wanted")).alias("p")).select(*spots, "p.*"))
+
+
+def _ordered(a: str, b: str) -> tuple[Column, Column]:
+    """A pair as the greater and the smaller one."""
+    return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+
+
+def _joined(tables: Scratch, parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component), a table, of parts after further links (a, b) between nodes."""
+    links = _named(_named(links, parts, "a", "x"), parts, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = _components(tables, links)
+    merged = _named(parts, roots, "component", "root").select("node", F.col("root").alias("component"))
+    return tables.written(merged.unionByName(roots.join(parts, "node", "left_anti").select("node", "component")).distinct())
+
+
+def _links(tables: Scratch, firsts: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
+    """(node, component) of documents of different sets that links connect."""
+    vectors = firsts.select("doc_id", "n", "vector")
+    lists = _lists(tables, firsts, percent)
+    tried = tables.written(_first_trials(lists, vectors, percent))
+    parts = _components(tables, _verified(tables, tried, docs, text, percent))
+
+    leaves = _trees(tables, _open_lists(lists, parts), vectors)
+    found = tables.written(_probed(leaves, _leaf_pairs(tables, leaves, percent), percent))
+    couple = [F.greatest("c", "d").alias("c"), F.least("c", "d").alias("d")]
+    best = found.groupBy(*couple).agg(F.max_by(F.struct(*_ordered("a", "b")), F.struct("slack", "a", "b")).alias("best")).select("best.*").distinct()
+    best = tables.written(best.join(tried, ["a", "b"], "left_anti"))
+    parts = _joined(tables, parts, _verified(tables, best, docs, text, percent))
+
+    still = _named(_named(found, parts, "c", "x"), parts, "d", "y").filter("x <> y")
+    rest = still.filter("more > 0").groupBy("key", "node", "leaf", "node2", "leaf2").agg(F.collect_set(F.struct(*couple)).alias("wanted"))
+    rest = _probed(leaves, tables.written(rest), percent).select(*_ordered("a", "b"))
+    rest = still.select(*_ordered("a", "b")).unionByName(rest).distinct()
+    rest = tables.written(rest.join(tried, ["a", "b"], "left_anti").join(best, ["a", "b"], "left_anti"))
+    return _joined(tables, parts, _verified(tables, rest, docs, text, percent))
 
 
 def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -292,46 +412,15 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     ids = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if ids[0] != ids[1]:
         docs = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias(text)).unionByName(docs.filter("doc_id is null"))
-    signed = written(_signatures(docs, text, percent))
-    real = signed.filter("doc_id is not null and n > 0")
-    least = real.groupBy("print", "n").agg(F.min("doc_id").alias("first"))
-    copies = written(real.select("doc_id", "print", "n").join(least, ["print", "n"]).select("doc_id", "first"))
-
-    firsts = real.join(copies.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi")
-    held = firsts.select("doc_id", "n", F.explode("keys").alias("key")).withColumn("size", F.struct("n", "doc_id"))
-    lists = written(_several(held, "size").select("key", "doc_id", "n", "lo", "hi"))
-
-    vectors = firsts.select("doc_id", "vector")
-    side = lambda k: vectors.select(F.col("doc_id").alias(k), F.col("vector").alias(f"vector_{k}"))
-    ends = F.array(F.col("lo"), F.col("hi"))
-    tried = lists.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.explode(ends).alias("end")).select("a", "n_a", F.col("end.doc_id").alias("b"), F.col("end.n").alias("n_b"))
-    tried = tried.filter((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= _needed(F.col("n_a"), F.col("n_b"), percent))).distinct()
-
-    @F.arrow_udf(T.LongType())
-    def minima(left: pa.Array, right: pa.Array) -> pa.Array:
-        read = lambda v: [np.frombuffer(x, np.uint8) for x in v.to_pylist()]
-        return pa.array(overlap_bounds(read(left), read(right), *[np.arange(len(left))] * 2))
-
-    tried = tried.join(side("a"), "a").join(side("b"), "b").filter(minima("vector_a", "vector_b") >= _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-    tried = written(tried)
-    first = _components(_verified(tried, docs, text, percent))
-
-    slim = lists.select("key", "doc_id", "n")
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    parts, leaves_at = first, new_place(docs.sparkSession)  # a round's leaves replace those of the round before
-    for last in (False, False, True):
-        pairs = _leaf_pairs(_open_lists(slim, parts, vectors), percent, not last, leaves_at)
-        if last:
-            pairs = pairs.select("a", "b").distinct()
-        else:  # each document's best one: most components close here, and the last round has few pairs to try
-            each = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "slack"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "slack"))))
-            each = each.groupBy("x").agg(F.max_by("y", F.struct("slack", "y")).alias("y"))
-            pairs = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti"))
-        done = done.unionByName(pairs)
-        parts = _joined(parts, _verified(pairs, docs, text, percent))
-    named = copies.join(parts.withColumnRenamed("node", "first"), "first", "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    with Scratch(docs.sparkSession) as tables:
+        signed = tables.written(_signatures(docs, text, percent))
+        real = signed.filter("doc_id is not null and n > 0")
+        least = real.groupBy("print", "n").agg(F.min("doc_id").alias("first"))
+        copies = tables.written(real.select("doc_id", "print", "n").join(least, ["print", "n"]).filter("doc_id <> first").select("doc_id", "first"))
+        firsts = real.join(copies.select("doc_id"), "doc_id", "left_anti")
+        parts = _links(tables, firsts, docs, text, percent)
+        rows = signed.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
+        return written(_named(rows, parts, "first", "component_id").select("doc_id", "n_shingles", "component_id"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -340,9 +429,8 @@ def keep_first(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> D
     Rows of one doc_id count as one document: of them the row of the least text stays, or of the least other values.
     Wordless texts and rows without doc_id link with nothing and stay.
     """
-    named = written(ngram_components(docs, text, percent))
-    gone = named.filter("doc_id <> component_id").select("doc_id")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    named = ngram_components(docs, text, percent)
+    gone = written(named.filter("doc_id <> component_id").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if docs.filter("doc_id is not null").count() == named.filter("doc_id is not null").count():
         return kept

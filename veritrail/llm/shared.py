@@ -50,6 +50,36 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def deleted(spark: SparkSession, at: str) -> None:
+    """Removes a folder of intermediate tables, in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Intermediate tables of one job: written like written(), and deleted when dropped or when the job ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.places = spark, new_place(spark), {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        deleted(self.spark, self.root)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        at = f"{self.root}/{len(self.places)}"
+        out = written(df, at)
+        self.places[id(out)] = (at, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df in frames:
+            deleted(self.spark, self.places[id(df)][0])
+
+
 #: Rows of a batch between Spark and Python where rows carry whole texts; each batch is held several times on both sides.
 TEXT_ROWS = 1000
 

@@ -20,8 +20,8 @@ list of documents that share a prefix shingle. The lists only say which document
    joined with each other as long as the sum over groups of the smaller counts (for rectangles, of their upper corners) can
    reach the overlap that a link needs; what lies within one component is passed over. Of the surviving pairs between two
    components each pair of leaves names the best one, and tells whether it has more.
-5. The best pair of any two components is verified on the whole sets. Where it fails, all others are, so no link between
-   different texts is lost.
+5. The best pair of any two components is verified on the whole sets. Where it fails, all others are, leaf by leaf, so no link
+   between different texts is lost.
 
 Results: rows that repeat a doc_id are one document, with the least of its texts. Null or wordless texts have an empty set
 and link with nothing, equal ones neither. A null doc_id links with nothing and has a null component. Ids may be of any type that
@@ -305,70 +305,114 @@ def _leaf_pairs(tables: Scratch, leaves: DataFrame, percent: int) -> DataFrame:
     return tables.written(met.select("l.key", "l.node", "l.leaf", F.col("r.node").alias("node2"), F.col("r.leaf").alias("leaf2")))
 
 
-def _survivors(left: dict, right: dict, same: bool, percent: int, wanted: set | None) -> tuple[list, ...]:
-    """Positions in left and right of pairs between components whose overlap bound reaches what they need, with the factor and a count.
+def _survivors(left: dict, right: dict, same: bool, percent: int, couples: list | None = None) -> tuple[np.ndarray, ...]:
+    """Positions in left and right of pairs between components whose overlap bound reaches what they need, the factor, and a number for each couple.
 
-    wanted None: the best pair of any two components and how many they have; else all pairs of the wanted couples of components.
+    couples: those of components that alone count.
     """
     codes = pa.chunked_array([left["component"], right["component"]]).combine_chunks().dictionary_encode()
     code, names = codes.indices.to_numpy(), codes.dictionary
     c, d = code[: len(left["n"])], code[len(left["n"]) :]
     need = needed(left["n"][:, None], right["n"][None], percent)
     may = (c[:, None] != d[None]) & (np.minimum(left["n"][:, None], right["n"][None]) >= need)
-    if wanted is not None:
-        couple = np.zeros((len(names), len(names)), bool)
-        place = {x: k for k, x in enumerate(names.to_pylist())}
-        for x, y in wanted:
-            couple[place[x], place[y]] = couple[place[y], place[x]] = True
-        may &= couple[c[:, None], d[None]]
+    if couples is not None:
+        asked, place = np.zeros((len(names), len(names)), bool), {x: k for k, x in enumerate(names.to_pylist())}
+        for x, y in couples:
+            asked[place[x], place[y]] = asked[place[y], place[x]] = True
+        may &= asked[c[:, None], d[None]]
     if same:
         may = np.triu(may, 1)
     i, j = np.nonzero(may)
     slack = overlap_bounds(left["vector"], left["n"], right["vector"], right["n"], i, j) / need[i, j]
     reach = slack >= 1
     i, j, slack = i[reach], j[reach], slack[reach]
-    count = np.ones(len(i), np.int64)
-    if wanted is None and len(i):
-        couple = np.minimum(c[i], d[j]).astype(np.int64) * len(names) + np.maximum(c[i], d[j])
-        order = np.lexsort((-slack, couple))
-        _, at, count = np.unique(couple[order], return_index=True, return_counts=True)
-        i, j, slack = i[order[at]], j[order[at]], slack[order[at]]
-    return i, j, slack, count
+    return i, j, slack, np.minimum(c[i], d[j]).astype(np.int64) * len(names) + np.maximum(c[i], d[j])
+
+
+def _best(i: np.ndarray, j: np.ndarray, slack: np.ndarray, couple: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each couple the pair of most slack, and how many others it has."""
+    order = np.lexsort((-slack, couple))
+    _, at, count = np.unique(couple[order], return_index=True, return_counts=True)
+    return i[order[at]], j[order[at]], slack[order[at]], count - 1
 
 
 def _probed(leaves: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of leaves with (a, b, c, d, slack, more) of their surviving pairs a, b of points of components c, d.
+    """(key, node, leaf, node2, leaf2, a, b, c, d, slack, more): of the leaves, each with itself, and of the pairs of leaves in met.
 
-    The leaves are probed each with itself, and those that met names, in pairs. If met has the column wanted, an array of couples of
-    components, its pairs alone, themselves included, are probed for all pairs of these; else each couple gives its best one.
+    a, b is the best surviving pair of points of components c, d; more: how many others survive.
     """
-    id_type = leaves.schema["from"].dataType
     names, spots = ("a", "b", "c", "d"), ["key", "node", "leaf", "node2", "leaf2"]
+    id_type = leaves.schema["from"].dataType
     pair = T.ArrayType(T.StructType([*(T.StructField(k, id_type) for k in names), T.StructField("slack", T.DoubleType()), T.StructField("more", T.LongType())]))
 
     @F.arrow_udf(pair)
-    def probe(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for lefts, rights, same, couples in batches:
+    def probe(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lefts, rights, same in batches:
             out, ends = [], [0]
             for k in range(len(lefts)):
                 x, y = _leaf(lefts[k]), _leaf(rights[k])
-                only = {(w["c"], w["d"]) for w in couples[k].as_py()} if couples[k].is_valid else None
-                i, j, slack, count = _survivors(x, y, same[k].as_py(), percent, only)
+                i, j, slack, more = _best(*_survivors(x, y, same[k].as_py(), percent))
                 ends.append(ends[-1] + len(i))
-                out.append([x["doc_id"].take(pa.array(i)), y["doc_id"].take(pa.array(j)), x["component"].take(pa.array(i)), y["component"].take(pa.array(j)), pa.array(slack, pa.float64()), pa.array(count - 1, pa.int64())])
+                i, j = pa.array(i), pa.array(j)
+                out.append([x["doc_id"].take(i), y["doc_id"].take(j), x["component"].take(i), y["component"].take(j), pa.array(slack, pa.float64()), pa.array(more, pa.int64())])
             id_arrow = lefts.type.value_type.field("doc_id").type
             columns = [pa.concat_arrays([o[k] for o in out]) if out else pa.array([], t) for k, t in enumerate([id_arrow] * 4 + [pa.float64(), pa.int64()])]
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [*names, "slack", "more"]))
 
-    one, rows, same = ["key", "node", "leaf"], leaves.select("key", "node", "leaf", "rows"), (F.col("node") == F.col("node2")) & (F.col("leaf") == F.col("leaf2"))
-    if "wanted" in met.columns:
-        own, met = rows.join(met.filter(same).select(*one, "wanted"), one), met.filter(~same)
-    else:
-        none = F.lit(None).cast(f"array<struct<c:{id_type.simpleString()},d:{id_type.simpleString()}>>")
-        own, met = leaves.filter(F.col("from") != F.col("to")).select(*one, "rows", none.alias("wanted")), met.withColumn("wanted", none)
-    own = own.select(*one, F.explode(probe("rows", "rows", F.lit(True), "wanted")).alias("p")).select(*one, F.col("node").alias("node2"), F.col("leaf").alias("leaf2"), "p.*")
+    one, rows = ["key", "node", "leaf"], leaves.select("key", "node", "leaf", "rows")
+    own = leaves.filter(F.col("from") != F.col("to")).select(*one, F.explode(probe("rows", "rows", F.lit(True))).alias("p")).select(*one, F.col("node").alias("node2"), F.col("leaf").alias("leaf2"), "p.*")
     others = rows.join(met, one).join(rows.select("key", F.col("node").alias("node2"), F.col("leaf").alias("leaf2"), F.col("rows").alias("rows2")), ["key", "node2", "leaf2"])
-    return own.unionByName(others.select(*spots, F.explode(probe("rows", "rows2", F.lit(False), "wanted")).alias("p")).select(*spots, "p.*"))
+    return own.unionByName(others.select(*spots, F.explode(probe("rows", "rows2", F.lit(False))).alias("p")).select(*spots, "p.*"))
+
+
+def _links_of_leaves(tables: Scratch, leaves: DataFrame, met: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
+    """(a, b): links between points of the pairs of leaves in met, a written table with wanted, the couples of components that count.
+
+    A leaf's texts come to it once, their sets are made once, and every surviving pair is verified there, but for those that links found
+    in the two leaves connect already. So large groups of near copies that don't link make rows for each leaf, not for each pair.
+    """
+    id_type = leaves.schema["from"].dataType
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])))
+    def links(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for lefts, rights, same, wanted in batches:
+            out = []
+            for k in range(len(lefts)):
+                x, y = _with_sets(lefts[k]), _with_sets(rights[k])
+                i, j, *_ = _survivors(x, y, same[k].as_py(), percent, [(w["c"], w["d"]) for w in wanted[k].as_py()])
+                ids, top, found = (x["doc_id"].to_pylist(), y["doc_id"].to_pylist()), {}, []
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    a, b = ids[0][p], ids[1][q]
+                    if (u := _top(top, a)) != (v := _top(top, b)) and linked(x["set"][p], y["set"][q], percent):
+                        top[u] = v
+                        found.append({"a": a, "b": b})
+                out.append(found)
+            yield pa.array(out, pa.list_(pa.struct([(c, lefts.type.value_type.field("doc_id").type) for c in ("a", "b")])))
+
+    one, two = ["key", "node", "leaf"], ["key", "node2", "leaf2"]
+    asked = met.select(*one, F.explode("wanted").alias("w")).unionByName(met.select("key", F.col("node2").alias("node"), F.col("leaf2").alias("leaf"), F.explode("wanted").alias("w")))
+    asked = asked.select(*one, F.explode(F.array("w.c", "w.d")).alias("component")).distinct()
+    points = leaves.select(*one, F.explode("rows").alias("r")).select(*one, "r.doc_id", "r.component").join(asked, [*one, "component"])
+    points = tables.written(points)
+    ids = tables.written(points.select("doc_id").distinct())
+    texts = docs.select("doc_id", F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
+    filled = tables.written(points.join(texts, "doc_id").groupBy(*one).agg(F.collect_list(F.struct("doc_id", "component", "text")).alias("rows")))
+    right = filled.select("key", F.col("node").alias("node2"), F.col("leaf").alias("leaf2"), F.col("rows").alias("rows2"))
+    same = (F.col("node") == F.col("node2")) & (F.col("leaf") == F.col("leaf2"))
+    return met.join(filled, one).join(right, two).select(F.explode(links("rows", "rows2", same, "wanted")).alias("l")).select("l.*")
+
+
+def _with_sets(rows: pa.ListScalar) -> dict:
+    """The columns of a leaf with texts, with sets and what bounds them."""
+    fields = dict(zip([f.name for f in rows.type.value_type], rows.values.flatten(), strict=True))
+    sets = [shingles(t.as_py()) for t in fields["text"]]
+    return {"doc_id": fields["doc_id"], "component": fields["component"], "set": sets, "n": np.array([len(s) for s in sets], np.int64), "vector": [count_vector(s) for s in sets]}
+
+
+def _top(top: dict, x):
+    while x in top:
+        x = top[x]
+    return x
 
 
 def _ordered(a: str, b: str) -> tuple[Column, Column]:
@@ -398,12 +442,11 @@ def _links(tables: Scratch, firsts: DataFrame, docs: DataFrame, text: str, perce
     best = tables.written(best.join(tried, ["a", "b"], "left_anti"))
     parts = _joined(tables, parts, _verified(tables, best, docs, text, percent))
 
-    still = _named(_named(found, parts, "c", "x"), parts, "d", "y").filter("x <> y")
-    rest = still.filter("more > 0").groupBy("key", "node", "leaf", "node2", "leaf2").agg(F.collect_set(F.struct(*couple)).alias("wanted"))
-    rest = _probed(leaves, tables.written(rest), percent).select(*_ordered("a", "b"))
-    rest = still.select(*_ordered("a", "b")).unionByName(rest).distinct()
-    rest = tables.written(rest.join(tried, ["a", "b"], "left_anti").join(best, ["a", "b"], "left_anti"))
-    return _joined(tables, parts, _verified(tables, rest, docs, text, percent))
+    still = tables.written(_named(_named(found, parts, "c", "x"), parts, "d", "y").filter("x <> y"))
+    lone = still.filter("more = 0").select(*_ordered("a", "b")).distinct().join(tried, ["a", "b"], "left_anti").join(best, ["a", "b"], "left_anti")
+    crowded = tables.written(still.filter("more > 0").groupBy("key", "node", "leaf", "node2", "leaf2").agg(F.collect_set(F.struct(*couple)).alias("wanted")))
+    links = _verified(tables, tables.written(lone), docs, text, percent).unionByName(_links_of_leaves(tables, leaves, crowded, docs, text, percent))
+    return _joined(tables, parts, links)
 
 
 def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -415,7 +458,8 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     with Scratch(docs.sparkSession) as tables:
         signed = tables.written(_signatures(docs, text, percent))
         real = signed.filter("doc_id is not null and n > 0")
-        least = real.groupBy("print", "n").agg(F.min("doc_id").alias("first"))
+        least = real.groupBy("print", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+        least = tables.written(least.select("print", "n", "first"))  # a table, so that a hot group's rows may be split in the join
         copies = tables.written(real.select("doc_id", "print", "n").join(least, ["print", "n"]).filter("doc_id <> first").select("doc_id", "first"))
         firsts = real.join(copies.select("doc_id"), "doc_id", "left_anti")
         parts = _links(tables, firsts, docs, text, percent)

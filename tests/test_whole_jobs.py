@@ -5,9 +5,10 @@ import math
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from veritrail.operators import effects, graphs, similarity
+from veritrail.operators import contracts, effects, graphs, resampling, similarity
 from veritrail.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -133,14 +134,31 @@ def test_bootstrap_has_1000_replicates(spark):
 
 
 def test_permutations_are_200(spark):
-    events = defaultdict(list)
+    clusters = defaultdict(lambda: defaultdict(list))
     for r in views.scored_events(spark, SF).collect():
-        events[r.dataset].append(r)
+        clusters[r.dataset][r.cluster].append((r.risk, r.error))
     got = {r.dataset: r for r in QUERIES["permutation_null"](spark, SF).collect()}
-    assert got.keys() == events.keys()
-    for dataset, rows in events.items():
-        error, flag = np.array([r.error for r in rows]), np.array([r.risk > 50 for r in rows])
-        stat = lambda on: error[on].mean() - error[~on].mean()
-        shuffled = [stat(np.array([_draws("perm", k, r.event_id) / 2**32 < flag.mean() for r in rows])) for k in range(1, 201)]
-        p = (1 + sum(s >= stat(flag) for s in shuffled)) / 201
-        assert abs(got[dataset].observed - stat(flag)) < 2e-6 and abs(got[dataset].p - p) < 2e-6
+    assert got.keys() == clusters.keys()
+    for dataset, of in clusters.items():
+        high = {c for c, v in of.items() if np.mean([x for x, _ in v]) > 50}
+
+        def stat(on, of=of):
+            means = [np.mean([e for c, v in of.items() if (c in on) == side for _, e in v]) for side in (True, False)]
+            return means[0] - means[1]
+
+        shuffled = [stat(set(sorted(of, key=lambda c, k=k: (_draws("perm", k, c), c))[: len(high)])) for k in range(1, 201)]
+        p = (1 + sum(s >= stat(high) for s in shuffled)) / 201
+        assert abs(got[dataset].observed - stat(high)) < 2e-6 and abs(got[dataset].p - p) < 2e-6
+
+
+def test_a_perfect_split_is_extreme_among_all_permutations(spark):
+    rows = spark.createDataFrame([("x", u, float(u > 15), float(u > 15)) for u in range(20)], "g string, u long, f double, v double")
+    r = resampling.permutation_p(rows, ["g"], "u", F.max("f") > 0, "v", 400, "s").first()
+    assert r.observed == 1.0 and r.p <= 3 / 401  # one of 4845 splits reaches 1
+
+
+def test_aliases_decide_matches(spark):
+    names = spark.createDataFrame([("Acme One",), ("acme-one",), ("Beta",)], "name string")
+    aliases = spark.createDataFrame([(1, "BETA (old)"), (2, "acme one"), (3, "gamma"), (4, None)], "id int, alias string")
+    got = {r.id: (r.canonical, r.status) for r in contracts.alias_join(aliases, names, "alias", "name").collect()}
+    assert got == {1: ("Beta", "matched"), 2: (None, "ambiguous"), 3: (None, "unknown"), 4: (None, "unknown")}

@@ -37,6 +37,11 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "")
 
 
+def alias_key(name: Column) -> Column:
+    """name_key without what stands in brackets."""
+    return name_key(F.regexp_replace(name, r"\([^)]*\)", ""))
+
+
 def salted(salt: str, key: Column) -> Column:
     """sha256 of salt, NUL and key as 64 hex digits; orders ties and splits."""
     return F.sha2(F.concat(F.lit(salt), F.lit("\0"), key.cast("string")), 256)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.functions.scalars import alias_key
+
 #: Columns that hold the truth or are derived from it; no feature may be one of them.
 LABEL_COLUMNS = ("true_error_rmse", "true_error_cosine", "true_effect_key", "true_effect_l2_norm", "normalized_rmse")
 
@@ -31,6 +33,15 @@ def validated_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return counted(left, "left").join(counted(right, "right"), keys, how)
 
 
+def alias_join(aliases: DataFrame, names: DataFrame, alias: str, name: str) -> DataFrame:
+    """aliases with key, canonical and status: the name with the same normalised form, if there is exactly one ("matched", "unknown", "ambiguous")."""
+    known = names.select(alias_key(F.col(name)).alias("key"), F.col(name).alias("__name")).distinct()
+    known = known.groupBy("key").agg(F.min("__name").alias("__name"), F.count("*").alias("__n"))
+    joined = aliases.withColumn("key", alias_key(F.col(alias))).join(known, "key", "left")
+    status = F.when(F.col("__n").isNull(), "unknown").when(F.col("__n") > 1, "ambiguous").otherwise("matched")
+    return joined.withColumns({"canonical": F.when(F.col("__n") == 1, F.col("__name")), "status": status}).drop("__name", "__n")
+
+
 def strict_boolean(text: Column) -> Column:
     """true, 1, yes or false, 0, no in any case; anything else raises."""
     key = F.lower(F.trim(text))

@@ -31,15 +31,29 @@ def bootstrap_mean(df: DataFrame, group: list[str], cluster: str, value: str, re
     return df.groupBy(*group).agg(F.avg(value).alias("estimate")).join(ends, group)
 
 
+def _places(df: DataFrame, keys: list[str], draw: str, tie: str) -> DataFrame:
+    """df with place, its number (from 1) by draw within keys; draws are even over 32 bits, so fixed ranges of them share the work."""
+    ranged = df.withColumn("__range", F.shiftright(draw, 26))
+    counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy(*keys).orderBy("__range")  # 64 rows at most
+    offsets = counts.withColumn("__offset", F.sum("__n").over(ahead) - F.col("__n")).drop("__n")
+    within = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(draw, tie))
+    return ranged.withColumn("__within", within).join(offsets, [*keys, "__range"]).withColumn("place", F.col("__offset") + F.col("__within")).drop("__range", "__within", "__offset")
+
+
 def permutation_p(df: DataFrame, group: list[str], unit: str, flag: Column, value: str, replicates: int, seed: str) -> DataFrame:
-    """(group, observed, p): difference of mean value between flagged and other rows against flags shuffled by hash; p counts the observed one."""
-    rows = df.withColumns({"__f": flag.cast("int"), "__r": F.explode(F.sequence(F.lit(0), F.lit(replicates)))})
-    share = df.withColumn("__f", flag.cast("int")).groupBy(*group).agg(F.avg("__f").alias("__share"))
-    keyed = rows.join(share, group).withColumn("__u", _draw(seed, F.col("__r"), F.col(unit)) / F.lit(4294967296.0))
-    on = F.when(F.col("__r") == 0, F.col("__f") == 1).otherwise(F.col("__u") < F.col("__share"))
-    stat = F.avg(F.when(on, F.col(value))) - F.avg(F.when(~on, F.col(value)))
-    stats = keyed.groupBy(*group, "__r").agg(stat.alias("stat"))
-    observed = F.max(F.when(F.col("__r") == 0, F.col("stat")))
-    base = stats.groupBy(*group).agg(observed.alias("observed"))
-    extreme = F.count_if((F.col("__r") > 0) & (F.col("stat") >= F.col("observed")))
+    """(group, observed, p): difference of mean value between flagged and other units against permutations of the flags; p counts the observed one.
+
+    flag is an aggregate over a unit's rows. Each replicate orders the units by a hash of seed, replicate and unit and flags as many of
+    them as are flagged, so every replicate is a permutation. Units are summed up first; only their sums are drawn.
+    """
+    sums = df.groupBy(*group, unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.coalesce(flag, F.lit(False)).alias("f"))
+    flagged = sums.groupBy(*group).agg(F.count_if("f").alias("flagged"))
+    rows = sums.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", _draw(seed, F.col("r"), F.col(unit)))
+    drawn = _places(rows, [*group, "r"], "draw", unit).join(flagged, group).withColumn("f", F.col("place") <= F.col("flagged"))
+    both = sums.withColumn("r", F.lit(0)).select(*group, "r", "s", "n", "f").unionByName(drawn.select(*group, "r", "s", "n", "f"))
+    mean = lambda on: F.try_divide(F.sum(F.when(on, F.col("s"))), F.sum(F.when(on, F.col("n"))))
+    stats = both.groupBy(*group, "r").agg((mean(F.col("f")) - mean(~F.col("f"))).alias("stat"))
+    base = stats.filter("r = 0").select(*group, F.col("stat").alias("observed"))
+    extreme = F.count_if((F.col("r") > 0) & (F.col("stat") >= F.col("observed")))
     return stats.join(base, group).groupBy(*group, "observed").agg(((1 + extreme) / F.lit(1.0 + replicates)).alias("p"))

@@ -75,9 +75,12 @@ def normalize_log1p(spark, sf_dir):
     return sums.join(total, keys).select(*keys, "gene", F.round(F.log1p(F.col("s") * 10000 / F.col("lib")), 6).alias("y"))
 
 
-@query("coexpression_edges", f"WITH {VECTORS}, l AS (SELECT vec_id, i, v[i] AS x FROM vec, range(1, 17) t(i)), c AS (SELECT a.i AS a, b.i AS b, corr(a.x, b.x) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL) SELECT CAST(a - 1 AS INT) AS a, CAST(b - 1 AS INT) AS b, round(r, 6) AS r FROM c WHERE abs(r) >= 0.05")
+@query(
+    "coexpression_edges",
+    f"""WITH {VECTORS}, l AS (SELECT vec_id, i, v[i] AS x FROM vec, range(1, 65) t(i)), c AS (SELECT a.i - 1 AS a, b.i - 1 AS b, coalesce(CASE WHEN isnan(corr(a.x, b.x)) THEN 0 ELSE corr(a.x, b.x) END, 0) AS r FROM l a JOIN l b ON a.vec_id = b.vec_id GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY abs(r) DESC, a DESC) AS nth FROM c) SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(r, 6) AS r FROM n WHERE a = b OR nth <= 11 AND abs(r) >= 0.4""",
+)
 def coexpression_edges(spark, sf_dir):
-    """All positions and the reference's rule; the SQL has positions 1 to 16 and each pair with |r| >= 0.05 once."""
     return similarity.correlated_positions(views.vectors(spark, sf_dir), "v").withColumn("r", F.round("r", 6))
 
 

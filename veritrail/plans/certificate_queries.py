@@ -164,14 +164,18 @@ def conformal_cluster_upper(spark, sf_dir):
     return ev.join(q, "dataset").groupBy("dataset", "n_clusters", "conformal_rank", "threshold").agg(covered.alias("n_covered")).withColumn("threshold", F.round("threshold", 6))
 
 
+_RANK = "least(m, CAST(ceil((m + 1) * 0.9 - 1e-9) AS BIGINT))"
+
+
 @query(
     "conformal_setting_matched",
-    f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN cluster % 4 = 0 THEN 'rare' ELSE 'common' END AS setting FROM ev WHERE cluster % 2 = 0),
-    pool AS (SELECT quantile_cont(abs(error - risk), 0.9) AS p FROM s), own AS (SELECT dataset, setting, count(*) AS n, quantile_cont(abs(error - risk), 0.9) AS q FROM s GROUP BY ALL)
-    SELECT dataset, setting, n, round(CASE WHEN n >= 30 THEN q ELSE p END, 6) AS threshold FROM own, pool""",
+    f"""WITH {EVENTS}, s AS (SELECT *, CASE WHEN cluster % 4 = 0 THEN 'rare' ELSE 'common' END AS setting, abs(error - risk) AS off FROM ev), known AS (SELECT * FROM s WHERE off IS NOT NULL),
+    o AS (SELECT dataset, setting, off, row_number() OVER (PARTITION BY dataset, setting ORDER BY off) AS k, count(*) OVER (PARTITION BY dataset, setting) AS m FROM known), own AS (SELECT dataset, setting, m, off AS q FROM o WHERE k = {_RANK}),
+    a AS (SELECT off, row_number() OVER (ORDER BY off) AS k, count(*) OVER () AS m FROM known), pooled AS (SELECT off AS p FROM a WHERE k = {_RANK}), sizes AS (SELECT dataset, setting, count(*) AS n FROM s GROUP BY ALL)
+    SELECT sizes.dataset, sizes.setting, n, round(CASE WHEN m >= 30 THEN q ELSE p END, 6) AS threshold FROM sizes LEFT JOIN own ON own.dataset = sizes.dataset AND own.setting = sizes.setting LEFT JOIN pooled ON true""",
 )
 def conformal_setting_matched(spark, sf_dir):
-    """Order statistics over all clusters, of a dataset's setting or, below 30 scores, of both settings of all datasets; the SQL has even clusters and interpolated quantiles."""
+    """Order statistics over all clusters, of a dataset's setting or, below 30 scores, of both settings of all datasets."""
     ev = views.scored_events(spark, sf_dir).withColumn("setting", F.when(F.col("cluster") % 4 == 0, "rare").otherwise("common")).withColumn("off", F.abs(F.col("error") - F.col("risk")))
     sizes = ev.groupBy("dataset", "setting").agg(F.count("*").alias("n"))
     own = cert.conformal_quantile(ev, ["dataset", "setting"], "off", 0.9, "q").select("dataset", "setting", "n_clusters", "q")

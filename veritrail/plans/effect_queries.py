@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 
 from veritrail.functions import scalars
 from veritrail.functions import vectors as vec
+from veritrail.operators import contracts, resampling
 from veritrail.operators import effects as fx
-from veritrail.operators import resampling
 from veritrail.plans.certificate_queries import rounded
 from veritrail.plans.registry import query
 from veritrail.sources import views
@@ -55,16 +55,15 @@ def weighted_target_effect(spark, sf_dir):
     return effects(spark, sf_dir).groupBy("perturbation", "gene").agg(F.round(F.sum(w * F.col("effect")) / F.sum(w), 6).alias("effect"), F.count("*").alias("n_contexts"))
 
 
-#: A fixed dimension: three return flags by two line states. The SQL still lists the four of _GENES only.
-_ALL_GENES = ("AF", "AO", "NF", "NO", "RF", "RO")
-_GENES = ("AF", "NF", "NO", "RF")
+#: A fixed dimension: three return flags by two line states.
+_GENES = ("AF", "AO", "NF", "NO", "RF", "RO")
 
 
 @query("effect_long_to_wide_pivot", f"WITH {_EFFECT} SELECT context, perturbation, " + ", ".join(f"round(avg(effect) FILTER (gene = '{g}'), 6) AS {g}" for g in _GENES) + " FROM eff GROUP BY ALL")
 def effect_long_to_wide_pivot(spark, sf_dir):
-    gene = F.when(F.col("gene").isin(*_ALL_GENES), F.col("gene")).otherwise(F.raise_error(F.concat(F.lit("no column for gene "), F.coalesce("gene", F.lit("null")))))
-    wide = effects(spark, sf_dir).withColumn("gene", gene).groupBy("context", "perturbation").pivot("gene", list(_ALL_GENES)).agg(F.avg("effect"))
-    return wide.select("context", "perturbation", *rounded(*_ALL_GENES))
+    gene = F.when(F.col("gene").isin(*_GENES), F.col("gene")).otherwise(F.raise_error(F.concat(F.lit("no column for gene "), F.coalesce("gene", F.lit("null")))))
+    wide = effects(spark, sf_dir).withColumn("gene", gene).groupBy("context", "perturbation").pivot("gene", list(_GENES)).agg(F.avg("effect"))
+    return wide.select("context", "perturbation", *rounded(*_GENES))
 
 
 @query("task_support_count", f"WITH {CELLS}, p AS (SELECT DISTINCT context, perturbation FROM cells WHERE {views.fold_sql('cell', 10)} < 1), t AS (SELECT DISTINCT context, perturbation FROM cells) SELECT t.context, t.perturbation, count(p.context) AS support FROM t LEFT JOIN p ON p.perturbation = t.perturbation AND p.context <> t.context GROUP BY ALL")
@@ -107,9 +106,18 @@ def self_excluding_mean(spark, sf_dir):
     return rows.select("context", "perturbation", "gene", F.round(F.coalesce("others_mean", "g"), 6).alias("prediction"))
 
 
-@query("energy_distance", f"WITH {CELLS}, k AS (SELECT context, perturbation, avg(x) AS m, var_pop(x) AS v FROM cells GROUP BY ALL) SELECT a.context, a.perturbation, round((a.m - b.m) ** 2 * 2 - 0 * b.v, 6) AS mean_gap, round(2 * (a.v + b.v + (a.m - b.m) ** 2) - 2 * a.v - 2 * b.v, 6) AS energy FROM k a JOIN k b ON a.context = b.context AND b.perturbation = '{CONTROL}' WHERE a.perturbation <> '{CONTROL}'")
+@query(
+    "energy_distance",
+    f"""WITH {CELLS}, v AS (SELECT context, perturbation, cell, gene, sum(x) AS x FROM cells GROUP BY ALL), sz AS (SELECT context, perturbation, count(DISTINCT cell) AS n FROM v GROUP BY ALL),
+    g AS (SELECT context, perturbation, gene, sum(x) / any_value(n) AS m, sum(x * x) AS q FROM v JOIN sz USING (context, perturbation) GROUP BY ALL),
+    k AS (SELECT context, perturbation, any_value(n) AS n, sum(q) AS q, sum(m * m) AS m2 FROM g JOIN sz USING (context, perturbation) GROUP BY ALL),
+    side AS (SELECT context, perturbation, n, q / n AS power, CASE WHEN n > 1 THEN 2 * (q - n * m2) / (n - 1) END AS sigma FROM k),
+    cross_terms AS (SELECT a.context, a.perturbation, sum(a.m * b.m) AS inner_sum FROM g a JOIN g b ON a.context = b.context AND a.gene = b.gene AND b.perturbation = '{CONTROL}' GROUP BY ALL),
+    d AS (SELECT a.context, a.perturbation, a.n, a.power + b.power - 2 * coalesce(inner_sum, 0) AS delta, b.sigma AS sigma_control, a.sigma FROM side a JOIN side b ON a.context = b.context AND b.perturbation = '{CONTROL}'
+        LEFT JOIN cross_terms c ON c.context = a.context AND c.perturbation = a.perturbation WHERE a.perturbation <> '{CONTROL}')
+    SELECT context, perturbation, n AS n_cells, round(delta, 6) AS delta, round(sigma_control, 6) AS sigma_control, round(sigma, 6) AS sigma, round(2 * delta - sigma_control - sigma, 6) AS energy FROM d""",
+)
 def energy_distance(spark, sf_dir):
-    """With both sigmas, over vectors of genes; in the SQL the variances cancel and energy is twice the squared gap of means."""
     return fx.energy_distances(views.cells(spark, sf_dir), CONTROL, ["context"]).select("context", "perturbation", "n_cells", *rounded("delta", "sigma_control", "sigma", "energy"))
 
 
@@ -234,10 +242,24 @@ def perturbation_stability(spark, sf_dir):
     return squares.select("label", "n", F.round((F.col("q") - n) / (n * (n - 1)), 6).alias("mean_cosine"))
 
 
-@query("alias_join", "SELECT n_nationkey, regexp_replace(lower(trim(n_name)), '[^a-z0-9]+', '', 'g') AS key, r_name, contains(lower(r_name), 'a') AS has_a FROM nation JOIN region ON n_regionkey = r_regionkey")
+# Aliases of nations as another catalogue writes them: brackets, blanks, hyphens, case; the last three digits tell nations apart.
+_ALIASES = "SELECT n_nationkey AS alias_id, CASE n_nationkey % 3 WHEN 0 THEN ' ' || upper(n_name) || ' ' WHEN 1 THEN replace(n_name, '_', ' ') || ' (draft)' ELSE replace(n_name, '_', '-') END AS alias FROM nation"
+_KEY_SQL = "regexp_replace(lower(trim(regexp_replace({x}, '\\([^)]*\\)', '', 'g'))), '[^a-z0-9]+', '', 'g')"
+
+
+@query(
+    "alias_join",
+    f"""WITH al AS ({_ALIASES}), k AS (SELECT alias_id, alias, {_KEY_SQL.format(x='alias')} AS key FROM al), n AS (SELECT n_nationkey, n_name, {_KEY_SQL.format(x='n_name')} AS key FROM nation),
+    c AS (SELECT key, min(n_name) AS name, count(*) AS n_names FROM n GROUP BY key)
+    SELECT alias_id, alias, k.key, CASE WHEN n_names = 1 THEN name END AS canonical, CASE WHEN n_names IS NULL THEN 'unknown' WHEN n_names > 1 THEN 'ambiguous' ELSE 'matched' END AS status FROM k LEFT JOIN c ON c.key = k.key""",
+)
 def alias_join(spark, sf_dir):
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", scalars.name_key(F.col("n_name")).alias("key"), "r_name", F.contains(F.lower("r_name"), F.lit("a")).alias("has_a"))
+    """Aliases matched to canonical names by their normalised form, with what had no name or several."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    kind, name = F.col("n_nationkey") % 3, F.col("n_name")
+    written = F.when(kind == 0, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(kind == 1, F.concat(F.replace(name, F.lit("_"), F.lit(" ")), F.lit(" (draft)"))).otherwise(F.replace(name, F.lit("_"), F.lit("-")))
+    aliases = nation.select(F.col("n_nationkey").alias("alias_id"), written.alias("alias"))
+    return contracts.alias_join(aliases, nation, "alias", "n_name").select("alias_id", "alias", "key", "canonical", "status")
 
 
 @query("control_and_missing_labels", "SELECT l AS label, CASE WHEN l IS NULL THEN true ELSE lower(trim(l)) IN ('', 'control', 'ctrl', 'non-targeting', 'nt', 'mock', 'vehicle', 'dmso', 'nan', 'none', 'null') OR starts_with(lower(trim(l)), 'ctrl') OR starts_with(lower(trim(l)), 'control') END AS is_control, l IS NULL OR lower(trim(l)) IN ('', 'nan', 'none', 'null') AS is_missing, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN ' Ctrl_1' WHEN 'O' THEN 'geneA' WHEN 'P' THEN 'NaN' END AS l FROM orders) GROUP BY l")
@@ -309,7 +331,7 @@ _SEED = "sha256('boot|' || dataset || '|' || r || '|' || slot)"
 @query(
     "cluster_bootstrap_ci",
     f"""WITH {EVENTS}, k AS (SELECT dataset, cluster, sum(error) AS s, count(error) AS n FROM ev GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cluster) - 1 AS slot, count(*) OVER (PARTITION BY dataset) AS m FROM k),
-    d AS (SELECT dataset, r, CAST(concat('0x', substr({_SEED}, 1, 8)) AS BIGINT) % m AS pick FROM i, range(0, 50) t(r)), b AS (SELECT d.dataset, d.r, sum(i.s) / sum(i.n) AS mean FROM d JOIN i ON i.dataset = d.dataset AND i.slot = d.pick GROUP BY ALL)
+    d AS (SELECT dataset, r, CAST(concat('0x', substr({_SEED}, 1, 8)) AS BIGINT) % m AS pick FROM i, range(0, {_REPLICATES}) t(r)), b AS (SELECT d.dataset, d.r, sum(i.s) / sum(i.n) AS mean FROM d JOIN i ON i.dataset = d.dataset AND i.slot = d.pick GROUP BY ALL)
     SELECT dataset, round((SELECT avg(error) FROM ev WHERE ev.dataset = b.dataset), 6) AS estimate, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM b GROUP BY dataset""",
 )
 def cluster_bootstrap_ci(spark, sf_dir):
@@ -318,9 +340,13 @@ def cluster_bootstrap_ci(spark, sf_dir):
 
 @query(
     "permutation_null",
-    f"""WITH {EVENTS}, s AS (SELECT dataset, avg(CASE WHEN risk > 50 THEN 1.0 ELSE 0 END) AS share FROM ev GROUP BY ALL), k AS (SELECT ev.dataset, r, error, CASE WHEN r = 0 THEN risk > 50 ELSE CAST(concat('0x', substr(sha256('perm|' || r || '|' || event_id), 1, 8)) AS BIGINT) / 4294967296.0 < share END AS f FROM ev JOIN s USING (dataset), range(0, 20) t(r)),
-    t AS (SELECT dataset, r, avg(error) FILTER (f) - avg(error) FILTER (NOT f) AS stat FROM k GROUP BY ALL), o AS (SELECT dataset, stat AS observed FROM t WHERE r = 0) SELECT dataset, round(observed, 6) AS observed, round((1 + count(*) FILTER (r > 0 AND stat >= observed)) / 20.0, 6) AS p FROM t JOIN o USING (dataset) GROUP BY dataset, observed""",
+    f"""WITH {EVENTS}, k AS (SELECT dataset, cluster, sum(error) AS s, count(error) AS n, coalesce(avg(risk) > 50, false) AS f FROM ev GROUP BY ALL), m AS (SELECT dataset, count(*) FILTER (f) AS flagged FROM k GROUP BY ALL),
+    d AS (SELECT k.dataset, r, s, n, CASE WHEN r = 0 THEN f ELSE row_number() OVER (PARTITION BY k.dataset, r ORDER BY CAST(concat('0x', substr(sha256('perm|' || r || '|' || cluster), 1, 8)) AS BIGINT), cluster) <= flagged END AS f FROM k JOIN m USING (dataset), range(0, {_PERMUTATIONS} + 1) t(r)),
+    t AS (SELECT dataset, r, sum(s) FILTER (f) / sum(n) FILTER (f) - sum(s) FILTER (NOT f) / sum(n) FILTER (NOT f) AS stat FROM d GROUP BY ALL), o AS (SELECT dataset, stat AS observed FROM t WHERE r = 0)
+    SELECT dataset, round(observed, 6) AS observed, round((1 + count(*) FILTER (r > 0 AND stat >= observed)) / ({_PERMUTATIONS} + 1), 6) AS p FROM t JOIN o USING (dataset) GROUP BY dataset, observed""",
 )
 def permutation_null(spark, sf_dir):
-    rows = resampling.permutation_p(views.scored_events(spark, sf_dir), ["dataset"], "event_id", F.col("risk") > 50, "error", _PERMUTATIONS, "perm")
+    """Mean error of clusters whose mean risk exceeds 50 less that of the others, against permutations of which clusters these are."""
+    ev = views.scored_events(spark, sf_dir)
+    rows = resampling.permutation_p(ev, ["dataset"], "cluster", F.avg("risk") > 50, "error", _PERMUTATIONS, "perm")
     return rows.select("dataset", *rounded("observed", "p"))

@@ -29,7 +29,7 @@ def knn_similarity_join(spark, sf_dir):
 _KNN = f"{VECTORS}, s AS (SELECT p.label, p.vec_id AS id, q.vec_id AS source, {_COS} AS cosine FROM vec p JOIN vec q ON p.label = q.label AND p.member = 0 AND q.member > 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, source) AS nth FROM s), k AS (SELECT *, exp((cosine - max(cosine) OVER (PARTITION BY id)) / 0.1) AS e FROM r WHERE nth <= 4), w AS (SELECT *, e / sum(e) OVER (PARTITION BY id) AS weight FROM k)"
 
 
-@query("context_sim_prediction", f"WITH {_KNN} SELECT w.id, i AS position, round(sum(weight * v[i + 1]) / sum(weight), 6) AS prediction FROM w JOIN vec ON vec.vec_id = w.source, range(0, 4) t(i) GROUP BY w.id, i")
+@query("context_sim_prediction", f"WITH {_KNN} SELECT w.id, i AS position, round(sum(weight * v[i + 1]) / sum(weight), 6) AS prediction FROM w JOIN vec ON vec.vec_id = w.source, range(0, 64) t(i) GROUP BY w.id, i")
 def context_sim_prediction(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
     found = similarity.neighbours(v.filter("member = 0").select("label", F.col("vec_id").alias("id"), "v"), v.filter("member > 0").select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"], 4)

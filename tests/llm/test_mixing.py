@@ -1,4 +1,7 @@
-from math import log
+from collections import defaultdict
+from math import floor, log
+
+import xxhash
 
 from veritrail.llm import mixing
 
@@ -45,3 +48,78 @@ def test_edge_cases(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     one = mixing.mix_sources(docs.filter("source = 'x'")).collect()
     assert [r.mix_copies for r in one] == [1, 1] and one[0].mix_weight == 1
+
+
+def hashed(*values):
+    """Spark's xxhash64 of longs and strings, as a signed number."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute(rows, entropy_share, most_passes, block_tokens):
+    """(doc_id, tokens, copies, block) of each row and the weights, in plain Python."""
+    tokens = [max(1, len((t or "").split())) for _, t, _ in rows]
+    orders = [hashed(i, t, s) >> 1 for i, t, s in rows]
+    sums = defaultdict(int)
+    for (_, _, s), n in zip(rows, tokens, strict=True):
+        sums[s] += n
+    total = sum(sums.values())
+
+    def weights(a):
+        powers = {s: (n / total) ** a for s, n in sums.items()}
+        return {s: p / sum(powers.values()) for s, p in powers.items()}
+
+    def budget(a):
+        big = max(sums, key=sums.get)
+        return sums[big] / weights(a)[big]
+
+    def too_low(a):
+        w = weights(a)
+        few = min(sums, key=sums.get)
+        return -sum(x * log(x) for x in w.values()) >= entropy_share * log(len(w)) - 1e-12 or w[few] * budget(a) / sums[few] > most_passes + 1e-12
+
+    low, high = 0.0, 1.0
+    if too_low(1.0):
+        low = high
+    for _ in range(30):
+        middle = (low + high) / 2
+        low, high = (middle, high) if too_low(middle) else (low, middle)
+    w, spent = weights(high), budget(high)
+    out = {}
+    for source, size in sums.items():
+        due = w[source] * spent
+        passes = floor(due / size + 1e-9)
+        rest, blocks = max(0, round(due - passes * size)), -(-size // block_tokens)
+        own = sorted((hashed(o) % blocks, o, k) for k, o in enumerate(orders) if rows[k][2] == source)
+        filled = defaultdict(int)
+        for b, _, k in own:
+            filled[b] += tokens[k]
+        before = 0
+        for b in range(blocks):
+            at, left = 0, rest - before
+            for block, o, k in own:
+                if block == b:
+                    start = sum(tokens[j] for c, p, j in own if c == b and p < o)
+                    out[k] = (rows[k][0], tokens[k], passes + (left > 0 and start < left), b)
+            before += filled[b]
+    return [out[k] for k in range(len(rows))], w
+
+
+def test_mix_equals_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 60)
+    rows = [(k, " ".join(["w"] * (k % 9)), s) for s, n in {"hot": 240, "a": 70, "b": 20, None: 12}.items() for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share, passes in ((0.9, 50.0), (1.0, 2.0), (0.3, 2.0)):
+        got = mixing.mix_sources(docs, entropy_share=share, most_passes=passes).collect()
+        wanted, weights = brute(rows, share, passes, 60)
+        assert sorted((r.doc_id, r.mix_tokens, r.mix_copies, r.mix_block, r.source or "") for r in got) == sorted((*x, r[2] or "") for x, r in zip(wanted, rows, strict=True))
+        assert all(abs(r.mix_weight - weights[r.source]) < 1e-6 for r in got)
+
+
+def test_columns_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7, 8, 9)], "doc_id long, text string, source string, __s int, __passes int, __plan int")
+    r = mixing.mix_sources(docs).first()
+    assert (r["__s"], r["__passes"], r["__plan"], r.mix_copies) == (7, 8, 9, 1)

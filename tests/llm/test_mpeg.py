@@ -50,3 +50,16 @@ def test_query(spark, tmp_path):
         assert r.media_sha256 == hashlib.sha256(mpeg.encode(payload)).hexdigest()
     assert len(got) == 5 and len({r.feature for r in got if r.n_bytes == 800}) == 1
     assert mpeg.encode_column(spark.createDataFrame([], "b binary"), "b").count() == 0
+
+
+def test_features_against_arithmetic_and_clashing_columns(spark):
+    texts = ["", "x" * 576, "long " * 2_000_000]  # the last has 10 MB
+    docs = spark.createDataFrame([(k, t.encode(), k, "old") for k, t in enumerate(texts)], "doc_id long, data binary, audio int, media string")
+    got = {r.doc_id: r for r in mpeg.parse_column(mpeg.encode_column(docs, "data"), out="audio").select("doc_id", "media", "audio.*").collect()}
+    for k, t in enumerate(texts):
+        frames, r = len(mpeg.padded(t.encode())) // mpeg.UNIT, got[k]
+        media = bytes(r.media)
+        assert (r.table_frames, len(r.frame_offsets), r.crc_failed, r.bytes_skipped) == (frames, frames, 0, 0)
+        assert r.samples * r.duration_den == r.duration_num * r.hertz
+        assert all(media[at] == 0xFF and media[at + 1] & 0xE0 == 0xE0 for at in r.frame_offsets)
+        assert all(media[at + 15 : at + 15 + 8] == mpeg.padded(t.encode())[n * mpeg.UNIT :][:8] for n, at in list(enumerate(r.frame_offsets))[:50])

@@ -95,7 +95,11 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     cut = cut.withColumn("__start", start).filter("__start < __left").groupBy("__s2").agg(F.max("mix_order").alias("__last_order"), F.first("__last_block").alias("__last_block"))
     plan = written(plan.join(cut, F.col("__s").eqNullSafe(F.col("__s2")), "left").select("__s", "mix_weight", "__passes", "__blocks", "__last_block", "__last_order"))
 
-    out = marked.join(plan, F.col(source).eqNullSafe(F.col("__s"))).withColumn("mix_block", F.pmod(F.xxhash64("mix_order"), F.col("__blocks")))
-    more = (F.col("mix_block") < F.col("__last_block")) | ((F.col("mix_block") == F.col("__last_block")) & (F.col("mix_order") <= F.col("__last_order")))
-    out = out.withColumn("mix_copies", (F.col("__passes") + F.when(more, 1).otherwise(0)).cast("long"))
+    own = "__plan"
+    while own in docs.columns:
+        own += "_"
+    of = lambda k: F.col(own)[k]
+    out = marked.join(plan.select(F.struct(*plan.columns).alias(own)), F.col(source).eqNullSafe(of("__s"))).withColumn("mix_block", F.pmod(F.xxhash64("mix_order"), of("__blocks")))
+    more = (F.col("mix_block") < of("__last_block")) | ((F.col("mix_block") == of("__last_block")) & (F.col("mix_order") <= of("__last_order")))
+    out = out.withColumn("mix_copies", (of("__passes") + F.when(more, 1).otherwise(0)).cast("long")).withColumn("mix_weight", of("mix_weight"))
     return out.select(*docs.columns, *_OUT)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritrail.llm.shared import in_small_batches
+
 UNIT = 576  #: payload bytes in a frame, as many as it has samples
 
 #: Fixed values of the standard: kbit/s by (MPEG-1?, layer) and index; Hz by version and index.
@@ -183,7 +185,7 @@ def encode_column(docs: DataFrame, source: str, out: str = "media") -> DataFrame
         for values in batches:
             yield pa.array([encode(padded(v.as_py())) for v in values], pa.binary())
 
-    return docs.withColumn(out, run(F.col(source)))
+    return in_small_batches(docs).withColumn(out, run(F.col(source)))
 
 
 def padded(data: bytes | None) -> bytes:
@@ -221,4 +223,4 @@ def parse_column(docs: DataFrame, media: str = "media", out: str = "audio") -> D
                 rows.append(dict(payload=payload(data, s), frame_offsets=s.offsets, hertz=s.hertz, samples=s.samples, duration_num=s.duration.numerator, duration_den=s.duration.denominator, table_frames=s.table_frames, crc_checked=s.checked, crc_failed=s.failed, bytes_skipped=s.skipped, tags=",".join(s.tags), vbr_table=s.table, seek_points=s.seek))
             yield pa.array(rows, _PARSED_ARROW)
 
-    return docs.withColumn(out, run(F.col(media)))
+    return in_small_batches(docs).withColumn(out, run(F.col(media)))

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veritrail.llm.shared import Scratch, written
+from veritrail.llm.shared import Scratch, in_small_batches, written
 
 WORDS, PERCENT = 5, 75
 #: A count vector has a group for every two to four shingles: a power of two, at least LEAST_GROUPS.
@@ -161,7 +161,7 @@ def _signatures(docs: DataFrame, text: str, percent: int) -> DataFrame:
 
     long, raw = T.LongType(), T.BinaryType()
     fields = [("n", long), ("print", raw), ("vector", raw), ("keys", T.ArrayType(long))]
-    return docs.select("doc_id", text).mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(k, kind) for k, kind in fields)]))
+    return in_small_batches(docs).select("doc_id", text).mapInArrow(run, T.StructType([docs.schema["doc_id"], *(T.StructField(k, kind) for k, kind in fields)]))
 
 
 def _components(tables: Scratch, edges: DataFrame) -> DataFrame:

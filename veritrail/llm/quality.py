@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritrail.llm.shared import in_small_batches
+
 #: Rows that a model is fitted on at most, bins of a feature and of each side of a pair, cycles, learning rate, pairs, smallest leaf, ridge.
 MOST_ROWS, BINS, PAIR_BINS, CYCLES, PAIR_CYCLES, RATE, PAIRS, LEAF, RIDGE = 20_000, 64, 12, 250, 100, 0.1, 8, 10.0, 1.0
 
@@ -182,7 +184,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", most_row
 
     rows = docs.select("doc_id", text).join(F.broadcast(known), "doc_id")  # at most most_rows ids
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64(text)).limit(most_rows)  # ids may repeat in docs
-    sample = rows.select("quality", run(text).alias("x")).toArrow()
+    sample = in_small_batches(rows).select("quality", run(text).alias("x")).toArrow()
     if not sample.num_rows:
         return AdditiveModel()
     return fit_model(np.array(sample["x"].to_pylist(), float), sample["quality"].to_numpy())
@@ -197,4 +199,4 @@ def score_quality(docs: DataFrame, model: AdditiveModel, text: str = "text", out
             x = np.array([features(t.as_py()) for t in texts], float).reshape(-1, len(FEATURES))
             yield pa.array(model.score(x))
 
-    return docs.withColumn(out, run(F.col(text)))
+    return in_small_batches(docs).withColumn(out, run(F.col(text)))

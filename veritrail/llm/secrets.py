@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veritrail.llm.shared import in_small_batches
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -294,7 +296,7 @@ def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def scan_secrets(docs: DataFrame, text: str = "text", out: str = "secret_spans", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with one more column of spans; a column of that name is replaced, all others and all rows stay."""
-    return docs.withColumn(out, secret_spans(F.col(text), rules))
+    return in_small_batches(docs).withColumn(out, secret_spans(F.col(text), rules))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
@@ -306,7 +308,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
         for texts in batches:
             yield pa.array([masked(t.as_py(), compiled, mask) for t in texts], pa.string())
 
-    return docs.withColumn(text, redact(F.col(text)))
+    return in_small_batches(docs).withColumn(text, redact(F.col(text)))
 
 
 def masked(text: str | None, compiled: Automaton, mask: str) -> str | None:

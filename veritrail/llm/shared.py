@@ -80,15 +80,21 @@ class Scratch:
             deleted(self.spark, self.places[id(df)][0])
 
 
-#: Rows of a batch between Spark and Python where rows carry whole texts; each batch is held several times on both sides.
-TEXT_ROWS = 1000
+#: Rows and bytes of a batch between Spark and Python where rows carry whole texts; each batch is held several times on both sides.
+TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, after the session's Arrow batches are cut to TEXT_ROWS rows if they have more."""
+    """df, after the session's Arrow batches are cut to TEXT_ROWS rows and TEXT_BYTES if they may be larger; a longer text is a batch of its own.
+
+    Spark reads these settings when a query starts, so they can't be set for one operator alone: they stay for the session, and smaller
+    ones of the caller's are kept.
+    """
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= TEXT_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BYTES)):
+        now = conf.get(name)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(name, str(most))
     return df
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veritrail.functions import ranks, scalars, vectors
@@ -90,3 +91,16 @@ def test_draws_repeat(spark):
     assert a == b and a.low <= a.estimate <= a.high
     times = resampling.multiplicities(df, ["g"], "c", 5, "s").groupBy("replicate").agg(F.sum("times").alias("t"))
     assert {r.t for r in times.collect()} == {6}
+
+
+def test_hot_values_share_out_and_quantiles_are_exact(spark):
+    draw = np.random.default_rng(3)
+    values = [7.0 if draw.random() < 0.9 else float(draw.integers(0, 50)) for _ in range(4000)]
+    rows = spark.createDataFrame([("g", k, v) for k, v in enumerate(values)] + [("none", -1, None)], "g string, k long, v double")
+    spread = ranks._in_ranges(rows.filter("v is not null"), ["g"], "v", ["k"]).groupBy("__range").count().orderBy(F.desc("count")).first()["count"]
+    assert spread < 4000 / 20  # a value in nine of ten rows
+    got = {r.k: r.before_one for r in ranks.running(rows.filter("v is not null"), ["g"], "v", {"one": F.lit(1)}, ["k"]).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(4000), key=lambda k: (values[k], k))
+    shares = {"a": 0.0, "b": 0.03, "c": 0.5, "d": 0.987, "e": 1.0}
+    found = {r.g: r for r in ranks.quantiles(rows, ["g"], F.col("v"), shares).collect()}
+    assert all(abs(found["g"][k] - np.quantile(values, s)) < 1e-9 for k, s in shares.items()) and found["none"].a is None

@@ -10,18 +10,35 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 #: Ranges of a group.
 RANGES = 64
 
 
-def _in_ranges(df: DataFrame, group: list[str], order: str) -> DataFrame:
-    """df with __range, a number that grows with order within a group."""
+def _cuts(df: DataFrame, group: list[str], order: str, out: str) -> DataFrame:
+    """df with out, the cuts that share a group's rows out by order into RANGES about equal parts."""
     shares = [k / RANGES for k in range(1, RANGES)]
-    cuts = df.groupBy(*group).agg(F.percentile_approx(order, shares, 1000).alias("__cuts"))
-    keyed = df.join(cuts.select(*(F.col(g).alias(f"__g_{g}") for g in group), "__cuts"), [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group])
-    return keyed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c <= F.col(order)))).drop("__cuts", *(f"__g_{g}" for g in group))
+    cuts = df.groupBy(*group).agg(F.percentile_approx(order, shares, 1000).alias(out))
+    return df.join(cuts.select(*(F.col(g).alias(f"__g_{g}") for g in group), out), [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]).drop(*(f"__g_{g}" for g in group))
+
+
+def _in_ranges(df: DataFrame, group: list[str], order: str, tie: list[str]) -> DataFrame:
+    """df with __range, a number that grows with the order within a group.
+
+    A value at a cut has a range of its own; where rows have a tie of numbers, that range is cut again by the tie, so a value that a
+    large share of the rows has is shared out as well.
+    """
+    keyed = _cuts(df, group, order, "__cuts")
+    below = F.filter("__cuts", lambda c: c <= F.col(order))
+    single = F.coalesce(F.try_element_at(below, F.lit(-1)) == F.col(order), F.lit(False))
+    keyed = keyed.withColumn("__range", 2 * F.size(below) + F.when(single, 0).otherwise(1)).drop("__cuts")
+    if not tie or not isinstance(df.schema[tie[0]].dataType, NumericType):
+        return keyed
+    keyed = _cuts(keyed, [*group, "__range"], tie[0], "__ties")
+    sub = F.when(F.col("__range") % 2 == 0, F.size(F.filter("__ties", lambda c: c <= F.col(tie[0])))).otherwise(0)
+    return keyed.withColumn("__range", F.col("__range") * (RANGES + 1) + sub).drop("__ties")
 
 
 def running(df: DataFrame, group: list[str], order: str, sums: Mapping[str, Column], tie: list[str] | None = None) -> DataFrame:
@@ -29,7 +46,7 @@ def running(df: DataFrame, group: list[str], order: str, sums: Mapping[str, Colu
 
     Rows equal in order and tie stand in any order; give a tie that tells them apart where that matters.
     """
-    ranged = _in_ranges(df.withColumns({f"__{k}": v for k, v in sums.items()}), group, order)
+    ranged = _in_ranges(df.withColumns({f"__{k}": v for k, v in sums.items()}), group, order, tie or [])
     of_range = ranged.groupBy(*group, "__range").agg(*(F.sum(f"__{k}").alias(f"__in_{k}") for k in sums))
     whole, ahead = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("__range")
     offsets = of_range.select(
@@ -58,3 +75,32 @@ def average_ranks(df: DataFrame, group: list[str], value: str, out: str, total:
     ranks = by_value(known, group, value).select(*(F.col(g).alias(f"__g_{g}") for g in group), F.col(value).alias("__v"), (F.col("before_n") + (F.col("n") + 1) / 2).alias(out), F.col("total_n").alias(total or "__n"))
     joined = known.join(ranks, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group] + [F.col(value) == F.col("__v")])
     return joined.drop("__v", *(f"__g_{g}" for g in group), *([] if total else ["__n"]))
+
+
+def quantiles(df: DataFrame, group: list[str], value: Column, shares: Mapping[str, float]) -> DataFrame:
+    """(group, each name): exact interpolated quantiles of the values that aren't null, from counts of distinct values in ranges.
+
+    Groups without values have a row of nulls. Nothing holds a group's values, as an exact percentile's buffer would.
+    """
+    rows = df.select(*group, value.cast("double").alias("__q"))
+    counted = by_value(rows.filter("__q is not null"), group, "__q")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col("__q")))
+
+    out = []
+    for name, share in shares.items():
+        place = (F.col("total_n") - 1) * F.lit(share)
+        part = F.max(place - F.floor(place))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append(((1 - part) * low + part * high).alias(name))
+    found = counted.groupBy(*group).agg(*out)
+    named = found.select(*(F.col(g).alias(f"__g_{g}") for g in group), *shares)
+    every = rows.select(*group).distinct()
+    return every.join(named, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group], "left").select(*group, *shares)
+
+
+def order_statistic(df: DataFrame, group: list[str], value: str, rank: Column, out: str) -> DataFrame:
+    """(group, n, out): the value at a rank (from 1; rank is of n, the count of values) in a group."""
+    counted = by_value(df.filter(F.col(value).isNotNull()), group, value).select(*group, value, "before_n", F.col("n").alias("__n"), F.col("total_n").alias("n"))
+    return counted.filter((F.col("before_n") < rank) & (rank <= F.col("before_n") + F.col("__n"))).select(*group, "n", F.col(value).alias(out))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from veritrail.functions.ranks import order_statistic
 
 TOLERANCE = 1e-10
 
@@ -71,14 +72,10 @@ def transported(certificates: DataFrame, upper: str, shift: str) -> DataFrame:
 def conformal_quantile(scores: DataFrame, group: list[str], value: str, coverage: float, out: str, beyond: str = "clip") -> DataFrame:
     """The ceil((n + 1) * coverage)-th smallest value of each group; beyond n the largest ("clip") or infinity ("inf").
 
-    Groups hold one score per calibration cluster. Values are counted first, so only distinct ones are ordered.
+    Groups hold one score per calibration cluster. Distinct values are counted and ordered in ranges.
     """
-    n_of = scores.groupBy(*group).agg(F.count(value).alias("n_clusters"))
-    counted = scores.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    raw = F.ceil((F.col("n_clusters") + 1) * F.lit(coverage) - F.lit(1e-9))
-    ranked = counted.withColumn("__upto", upto).join(n_of, group).withColumn("conformal_rank", F.least(F.col("n_clusters"), raw))
-    found = ranked.filter("__upto >= conformal_rank").groupBy(*group, "n_clusters", "conformal_rank").agg(F.min(value).alias(out))
+    raw = F.ceil((F.col("n") + 1) * F.lit(coverage) - F.lit(1e-9))
+    found = order_statistic(scores, group, value, F.least(F.col("n"), raw), out).withColumn("conformal_rank", F.least(F.col("n"), raw))
     if beyond == "inf":
-        found = found.withColumn(out, F.when(raw > F.col("n_clusters"), F.lit(float("inf"))).otherwise(F.col(out)))
-    return found
+        found = found.withColumn(out, F.when(raw > F.col("n"), F.lit(float("inf"))).otherwise(F.col(out)))
+    return found.select(*group, F.col("n").alias("n_clusters"), "conformal_rank", out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.functions.ranks import average_ranks, by_value, running
+from veritrail.functions.ranks import average_ranks, by_value, quantiles, running
 from veritrail.functions.scalars import keep_count
 
 
@@ -85,19 +85,28 @@ def ordered_positions(df: DataFrame, group: list[str], order: str, tie: list[str
     return rows.withColumn(out, F.col("before_rows") + 1).withColumn("n", F.col("total_rows")).drop("before_rows", "total_rows")
 
 
+def hash_positions(df: DataFrame, group: list[str], digest: str, tie: str, out: str) -> DataFrame:
+    """df with its position (from 1) in the order of a hex digest, then tie, and n, the group's size; the digest's first 15 digits cut the ranges."""
+    rows = df.withColumn("__digits", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    rows = running(rows, group, "__digits", {"rows": F.lit(1)}, [digest, tie])
+    return rows.withColumn(out, F.col("before_rows") + 1).withColumn("n", F.col("total_rows")).drop("before_rows", "total_rows", "__digits")
+
+
 def tails(df: DataFrame, group: list[str], risk: str, error: str, tie: str, share: float = 0.2) -> DataFrame:
     """Mean and median error of the least and the most risky ceil(share * n) rows."""
     rows = ordered_positions(df.filter(F.col(risk).isNotNull() & F.col(error).isNotNull()), group, risk, [tie], "at")
     size = keep_count(F.col("n"), F.lit(share))
     good, bad = F.when(F.col("at") <= size, F.col(error)), F.when(F.col("at") > F.col("n") - size, F.col(error))
-    out = rows.groupBy(*group).agg(F.count("*").alias("n_total"), F.count(good).alias("n_tail"), F.avg(good).alias("good_mean"), F.avg(bad).alias("bad_mean"), F.median(good).alias("good_median"), F.median(bad).alias("bad_median"))
+    out = rows.groupBy(*group).agg(F.count("*").alias("n_total"), F.count(good).alias("n_tail"), F.avg(good).alias("good_mean"), F.avg(bad).alias("bad_mean"))
+    for name, side in (("good_median", good), ("bad_median", bad)):
+        out = out.join(quantiles(rows, group, side, {name: 0.5}), group)
     return out.filter("n_total >= 5").withColumn("improve_pct", 100 * F.try_divide(F.col("bad_mean") - F.col("good_mean"), F.col("bad_mean")))
 
 
 def failure_detection(df: DataFrame, group: list[str], risk: str, error: str, quantile: float = 0.8) -> DataFrame:
     """AUROC and average precision of risk as a detector of errors at or above their quantile."""
     known = df.filter(F.col(risk).isNotNull() & F.col(error).isNotNull())
-    limits = known.groupBy(*group).agg(F.percentile(error, quantile).alias("threshold"))
+    limits = quantiles(known, group, F.col(error), {"threshold": quantile})
     flagged = known.join(limits, group).withColumn("__bad", (F.col(error) >= F.col("threshold")).cast("long"))
     values = by_value(flagged.withColumn("__down", -F.col(risk)), group, "__down", {"bad": F.col("__bad")})
     good_here, good_ahead = F.col("n") - F.col("bad"), F.col("before_n") - F.col("before_bad")
@@ -116,8 +125,9 @@ def failure_detection(df: DataFrame, group: list[str], risk: str, error: str, qu
 def quantile_buckets(df: DataFrame, group: list[str], value: str, out: str, bins: int) -> DataFrame:
     """df with the number (from 1) of value's quantile bin in its group, right-closed, equal edges merged."""
     shares = [k / bins for k in range(1, bins)]
-    edges = df.groupBy(*group).agg(F.array_distinct(F.percentile(value, shares)).alias("__edges"), F.min(value).alias("__low"))
-    rows = df.join(edges, group)
+    marks = {f"__e{k}": share for k, share in enumerate(shares)}
+    edges = quantiles(df, group, F.col(value), marks).select(*group, F.array_distinct(F.array(*marks)).alias("__edges"))
+    rows = df.join(edges.join(df.groupBy(*group).agg(F.min(value).alias("__low")), group), group)
     above = F.filter("__edges", lambda e: (e < F.col(value)) & (e > F.col("__low")))
     return rows.withColumn(out, F.size(above) + 1).drop("__edges", "__low")
 

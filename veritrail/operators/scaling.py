@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.functions.ranks import by_value
+from veritrail.functions.ranks import by_value, quantiles
 
 
 def empirical_quantile(df: DataFrame, group: list[str], value: str, reference: Column, out: str) -> DataFrame:
@@ -25,12 +25,14 @@ def robust_z(df: DataFrame, group: list[str], value: str, reference: Column, out
     """
     ref = F.when(reference, F.col(value))
     if scale == "iqr":
-        facts = df.groupBy(*group).agg(F.coalesce(F.median(ref), F.lit(0.0)).alias("__med"), (F.percentile(ref, 0.75) - F.percentile(ref, 0.25)).alias("__iqr"), F.stddev_samp(ref).alias("__sd"))
+        marks = quantiles(df, group, ref, {"__low": 0.25, "__med": 0.5, "__high": 0.75})
+        spread = df.groupBy(*group).agg(F.stddev_samp(ref).alias("__sd"))
+        facts = marks.join(spread, group).select(*group, F.coalesce("__med", F.lit(0.0)).alias("__med"), (F.col("__high") - F.col("__low")).alias("__iqr"), "__sd")
         size = F.when(F.col("__iqr") > 1e-9, F.col("__iqr")).when(F.col("__sd") > 1e-9, F.col("__sd")).otherwise(1.0)
         z = (F.coalesce(F.col(value), F.col("__med")) - F.col("__med")) / size
         return df.join(facts, group).select(*df.columns, z.alias(out))
-    medians = df.groupBy(*group).agg(F.median(ref).alias("__med"), F.stddev_pop(ref).alias("__sd"))
-    spread = df.join(medians, group).groupBy(*group, "__med", "__sd").agg(F.median(F.abs(ref - F.col("__med"))).alias("__mad"))
+    medians = quantiles(df, group, ref, {"__med": 0.5}).join(df.groupBy(*group).agg(F.stddev_pop(ref).alias("__sd")), group)
+    spread = medians.join(quantiles(df.join(medians, group), group, F.abs(ref - F.col("__med")), {"__mad": 0.5}), group)
     size = F.greatest(1.4826 * F.col("__mad"), F.col("__sd") * 1e-8, F.lit(1e-8))
     z = F.least(F.greatest((F.col(value) - F.col("__med")) / size, F.lit(-5.0)), F.lit(5.0))
     return df.join(spread, group).select(*df.columns, z.alias(out))

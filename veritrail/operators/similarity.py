@@ -15,14 +15,19 @@ from pyspark.sql.window import Window
 from veritrail.functions import vectors as vec
 
 
+def scored_pairs(queries: DataFrame, sources: DataFrame, pool: list[str], allowed: Column | None = None) -> DataFrame:
+    """Pairs of a pool's queries (id, v) and sources (source, w) with their cosine, where it has one. allowed is a further condition on a pair."""
+    pairs = queries.join(sources, pool)
+    pairs = pairs.filter(allowed) if allowed is not None else pairs
+    return pairs.withColumn("cosine", vec.cosine(F.col("v"), F.col("w"))).filter("cosine is not null").select(*pool, "id", "source", "cosine")
+
+
 def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int, allowed: Column | None = None) -> DataFrame:
     """(pool, id, source, cosine, nth): the k sources of the greatest cosine in each query's pool, equal ones by source.
 
-    queries has id and v; sources has source and w. allowed is a further condition on a pair.
+    Every task keeps the best k of what it scored before anything is shuffled, as Spark pushes the limit of a rank down.
     """
-    pairs = queries.join(sources, pool)
-    pairs = pairs.filter(allowed) if allowed is not None else pairs
-    scored = pairs.withColumn("cosine", vec.cosine(F.col("v"), F.col("w"))).filter("cosine is not null")
+    scored = scored_pairs(queries, sources, pool, allowed)
     at = F.row_number().over(Window.partitionBy(*pool, "id").orderBy(F.desc("cosine"), "source"))
     return scored.withColumn("nth", at).filter(F.col("nth") <= k).select(*pool, "id", "source", "cosine", "nth")
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veritrail.functions import scalars
 from veritrail.functions import vectors as vec
+from veritrail.functions.ranks import quantiles
 from veritrail.operators import contracts, linear, metrics, similarity
 from veritrail.plans.registry import query
 from veritrail.sources import views
@@ -62,8 +62,8 @@ def gate_table(spark, sf_dir):
 def stratified_hash_allocation(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.lit(0).alias("all"))
     ranked = metrics.ordered_positions(rows, ["all"], "p_retailprice", ["p_partkey"], "r")
-    k = F.row_number().over(Window.partitionBy("quartile").orderBy(scalars.salted("alloc", F.col("p_partkey")), "p_partkey"))
-    placed = ranked.withColumn("quartile", F.ceil(F.col("r") * 4 / F.col("n"))).withColumn("k", k)
+    placed = ranked.withColumn("quartile", F.ceil(F.col("r") * 4 / F.col("n"))).withColumn("salt", scalars.salted("alloc", F.col("p_partkey")))
+    placed = metrics.hash_positions(placed, ["quartile"], "salt", "p_partkey", "k")
     return placed.select("p_partkey", "quartile", F.when(F.col("k") <= 20, "calibration").when(F.col("k") <= 30, "test").otherwise("train").alias("part"))
 
 
@@ -113,7 +113,7 @@ def name_ngram_jaccard(spark, sf_dir):
 @query("normalized_rmse", f"WITH {EVENTS}, e AS (SELECT dataset, quantile_cont(risk, 0.01) AS eps FROM ev WHERE risk > 0 GROUP BY 1) SELECT event_id, round(error / greatest(risk, eps) + 1e-9, 6) AS normalized_error FROM ev JOIN e USING (dataset)")
 def normalized_rmse(spark, sf_dir):
     ev = views.scored_events(spark, sf_dir)
-    floors = ev.filter("risk > 0").groupBy("dataset").agg(F.percentile("risk", 0.01).alias("eps"))
+    floors = quantiles(ev.filter("risk > 0"), ["dataset"], F.col("risk"), {"eps": 0.01})
     return ev.join(floors, "dataset").select("event_id", F.round(F.col("error") / F.greatest("risk", "eps") + 1e-9, 6).alias("normalized_error"))
 
 

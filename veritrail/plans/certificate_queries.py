@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritrail.functions import vectors as vec
+from veritrail.functions.ranks import quantiles
 from veritrail.operators import certificates as cert
 from veritrail.plans.registry import query
 from veritrail.sources import views
@@ -191,6 +192,7 @@ def conformal_setting_matched(spark, sf_dir):
 )
 def unsafe_flags(spark, sf_dir):
     ev = views.splits(views.scored_events(spark, sf_dir), "event_id")
-    limits = ev.groupBy("dataset").agg(F.coalesce(F.percentile(F.when(F.col("split") == "val", F.col("risk")), 0.8), F.percentile(F.when(F.col("split") == "train", F.col("risk")), 0.8)).alias("t"))
+    of = lambda split: quantiles(ev, ["dataset"], F.when(F.col("split") == split, F.col("risk")), {split: 0.8})
+    limits = of("val").join(of("train"), "dataset").select("dataset", F.coalesce("val", "train").alias("t"))
     rows = ev.filter("split = 'test'").join(limits, "dataset")
     return rows.groupBy("dataset").agg(F.count("*").alias("n"), F.count_if(F.col("risk") > F.col("t")).alias("n_unsafe"), F.round(F.avg(F.when(F.col("risk") <= F.col("t"), F.col("error"))), 6).alias("safe_error"))

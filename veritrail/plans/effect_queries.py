@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from veritrail.functions import scalars
 from veritrail.functions import vectors as vec
-from veritrail.operators import contracts, resampling
+from veritrail.operators import contracts, metrics, resampling
 from veritrail.operators import effects as fx
 from veritrail.plans.certificate_queries import rounded
 from veritrail.plans.registry import query
@@ -272,8 +272,8 @@ def control_and_missing_labels(spark, sf_dir):
 
 @query("identity_hash_split", "WITH h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256('split' || chr(0) || CAST(c_custkey AS VARCHAR))) AS k, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, CASE WHEN k <= round_even(n * 0.6, 0) THEN 'fit' WHEN k <= round_even(n * 0.8, 0) THEN 'calibration' ELSE 'test' END AS part FROM h")
 def identity_hash_split(spark, sf_dir):
-    w = Window.partitionBy("c_mktsegment")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").withColumns({"k": F.row_number().over(w.orderBy(scalars.salted("split", F.col("c_custkey")))), "n": F.count("*").over(w)})
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", scalars.salted("split", F.col("c_custkey")).alias("salt"))
+    rows = metrics.hash_positions(rows, ["c_mktsegment"], "salt", "c_custkey", "k")
     upto = lambda share: F.bround(F.col("n") * share, 0)
     return rows.select("c_custkey", F.when(F.col("k") <= upto(0.6), "fit").when(F.col("k") <= upto(0.8), "calibration").otherwise("test").alias("part"))
 

@@ -41,7 +41,7 @@ def context_sim_prediction(spark, sf_dir):
 @query("context_similarity_max", f"WITH {VECTORS}, s AS (SELECT p.vec_id AS id, {_COS} AS c FROM vec p JOIN vec q ON p.label = q.label AND q.member <> p.member AND p.member = 0) SELECT id, round(max(c), 6) AS context_similarity_max, round(avg(c), 6) AS context_similarity_mean, round(1 - max(c), 6) AS ood_nearest_distance FROM s GROUP BY id")
 def context_similarity_max(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    found = similarity.neighbours(v.filter("member = 0").select("label", F.col("vec_id").alias("id"), "v"), v.filter("member <> 0").select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"], 1 << 30)
+    found = similarity.scored_pairs(v.filter("member = 0").select("label", F.col("vec_id").alias("id"), "v"), v.filter("member <> 0").select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"])
     top = F.max("cosine")
     return found.groupBy("id").agg(F.round(top, 6).alias("context_similarity_max"), F.round(F.avg("cosine"), 6).alias("context_similarity_mean"), F.round(1 - top, 6).alias("ood_nearest_distance"))
 

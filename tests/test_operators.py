@@ -104,3 +104,28 @@ def test_hot_values_share_out_and_quantiles_are_exact(spark):
     shares = {"a": 0.0, "b": 0.03, "c": 0.5, "d": 0.987, "e": 1.0}
     found = {r.g: r for r in ranks.quantiles(rows, ["g"], F.col("v"), shares).collect()}
     assert all(abs(found["g"][k] - np.quantile(values, s)) < 1e-9 for k, s in shares.items()) and found["none"].a is None
+
+
+def test_required_columns_and_labels(spark):
+    import pytest
+
+    from veritrail.operators import contracts
+
+    df = spark.createDataFrame([("a", "test"), ("b", "train")], "k string, split string")
+    assert [r.k for r in contracts.test_rows(df, ["k"]).collect()] == ["a"]
+    with pytest.raises(ValueError, match="error"):
+        contracts.test_rows(df, ["k", "error"])
+    labels = spark.createDataFrame([("K562_b+A_1+1",), ("K562_ctrl_1+1",), ("K562_x_ctrl_1+1",)], "l string")
+    got = labels.select(scalars.canonical_condition(scalars.condition_genes(scalars.label_between(F.col("l"), "K562_", "_1+1"))).alias("c")).collect()
+    assert [r.c for r in got] == ["A+B", "ctrl", "X+ctrl"]
+
+
+def test_partial_spearman_of_two_covariates_is_that_of_residuals(spark):
+    draw = np.random.default_rng(8)
+    c, d = draw.normal(size=(2, 60))
+    x, y = c + 0.5 * d + draw.normal(size=60), c - d + draw.normal(size=60)
+    df = spark.createDataFrame([("g", *map(float, v)) for v in zip(x, y, c, d, strict=True)], "g string, x double, y double, c double, d double")
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    base = np.stack([np.ones(60), rank(c), rank(d)], 1)
+    rest = [rank(v) - base @ np.linalg.lstsq(base, rank(v), rcond=None)[0] for v in (x, y)]
+    assert abs(metrics.partial_spearman_two(df, ["g"], "x", "y", "c", "d").first().rho - np.corrcoef(*rest)[0, 1]) < 1e-9

@@ -42,6 +42,24 @@ def alias_key(name: Column) -> Column:
     return name_key(F.regexp_replace(name, r"\([^)]*\)", ""))
 
 
+def label_between(label: Column, prefix: str, suffix: str) -> Column:
+    """What stands between a label's prefix and suffix; a label without them raises."""
+    inner = F.substring(label, F.lit(len(prefix) + 1), F.length(label) - len(prefix) - len(suffix))
+    right = label.startswith(prefix) & label.endswith(suffix) & (F.length(label) >= len(prefix) + len(suffix))
+    return F.when(right, inner).otherwise(F.raise_error(F.concat(F.lit("no such label: "), F.coalesce(label, F.lit("null")))))
+
+
+def condition_genes(condition: Column) -> Column:
+    """Sorted genes of a condition, in capitals, without controls."""
+    parts = F.transform(F.split(condition, "[_+]"), lambda x: F.upper(F.trim(x)))
+    return F.array_sort(F.filter(parts, lambda x: (x != "") & (x != "CTRL")))
+
+
+def canonical_condition(genes: Column) -> Column:
+    """ctrl, GENE+ctrl or GENE+GENE."""
+    return F.when(F.size(genes) == 0, "ctrl").when(F.size(genes) == 1, F.concat(F.get(genes, F.lit(0)), F.lit("+ctrl"))).otherwise(F.array_join(genes, "+"))
+
+
 def salted(salt: str, key: Column) -> Column:
     """sha256 of salt, NUL and key as 64 hex digits; orders ties and splits."""
     return F.sha2(F.concat(F.lit(salt), F.lit("\0"), key.cast("string")), 256)

@@ -53,6 +53,13 @@ def without_truth(df: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
     return df.drop(*(c for c in LABEL_COLUMNS if c not in allowed))
 
 
+def test_rows(df: DataFrame, required: list[str], split: str = "split") -> DataFrame:
+    """The test rows; lacking columns raise before anything runs."""
+    if missing := sorted({*required, split} - set(df.columns)):
+        raise ValueError(f"columns missing: {missing}")
+    return df.filter(F.col(split) == "test")
+
+
 def assert_no_labels(features: list[str]) -> None:
     if bad := sorted(set(features) & set(LABEL_COLUMNS)):
         raise ValueError(f"label columns among the features: {bad}")

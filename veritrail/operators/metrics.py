@@ -34,6 +34,24 @@ def partial_spearman(df: DataFrame, group: list[str], x: str, y: str, control: s
     return out.select(*group, "n", rho.alias("rho"))
 
 
+def partial_spearman_two(df: DataFrame, group: list[str], x: str, y: str, first: str, second: str, least: int = 6) -> DataFrame:
+    """(group, n, rho) of x and y with the ranks of two covariates taken out of both, from the correlations of all ranks."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(first).isNotNull() & F.col(second).isNotNull())
+    names = {x: "__x", y: "__y", first: "__c", second: "__d"}
+    for c, r in names.items():
+        rows = average_ranks(rows, group, c, r)
+    pairs = [("x", "y"), ("x", "c"), ("y", "c"), ("x", "d"), ("y", "d"), ("c", "d")]
+    out = rows.groupBy(*group).agg(F.count("*").alias("n"), *(correlation(f"__{a}", f"__{b}").alias(a + b) for a, b in pairs))
+
+    def without(ab: Column, ac: Column, bc: Column) -> Column:
+        rest = (1 - ac * ac) * (1 - bc * bc)
+        return F.when(rest > 1e-12, (ab - ac * bc) / F.sqrt(rest))
+
+    r = {k: F.col(k) for k in ("xy", "xc", "yc", "xd", "yd", "cd")}
+    once = without(r["xy"], r["xc"], r["yc"]), without(r["xd"], r["xc"], r["cd"]), without(r["yd"], r["yc"], r["cd"])
+    return out.select(*group, "n", F.when(F.col("n") >= least, without(*once)).alias("rho"))
+
+
 def risk_coverage(df: DataFrame, group: list[str], risk: str, error: str, tie: str) -> DataFrame:
     """Rows in order of risk (then tie): n_kept, coverage and the mean error of what is kept so far."""
     known = df.filter(F.col(risk).isNotNull() & F.col(error).isNotNull())

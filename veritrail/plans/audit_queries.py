@@ -126,11 +126,12 @@ def balanced_row_weights(spark, sf_dir):
     return rows.join(n, ["dataset", "fold"]).join(folds, "dataset").join(F.broadcast(datasets)).select("event_id", F.round(1.0 / (F.col("d") * F.col("f") * F.col("n")), 10).alias("weight"))  # datasets is one row
 
 
-@query("ridge_prediction", f"WITH {EVENTS}, s AS (SELECT regr_slope(error, risk) AS b0, count(*) AS n, var_pop(risk) AS vx, covar_pop(risk, error) AS cxy, avg(risk) AS mx, avg(error) AS my FROM ev), c AS (SELECT cxy * n / (vx * n + 10) AS b, mx, my FROM s) SELECT event_id, round(my + b * (risk - mx), 5) AS expected_error FROM ev, c WHERE dataset = 'click'")
+@query("ridge_prediction", f"WITH {EVENTS}, sp AS (SELECT *, {views.split_sql('event_id')} AS split FROM ev), s AS (SELECT count(*) AS n, var_pop(risk) AS vx, covar_pop(risk, error) AS cxy, avg(risk) AS mx, avg(error) AS my FROM sp WHERE split = 'train'), c AS (SELECT cxy * n / (vx * n + 10) AS b, mx, my FROM s) SELECT event_id, round(my + b * (risk - mx), 5) AS expected_error FROM sp, c WHERE split = 'test'")
 def ridge_prediction(spark, sf_dir):
-    ev = views.scored_events(spark, sf_dir)
-    fitted = linear.predicted(linear.ridge(ev, ["risk"], "error", 10.0), ["risk"])
-    return ev.filter("dataset = 'click'").select("event_id", F.round(fitted, 5).alias("expected_error"))
+    """Fitted on train rows, scored on test rows."""
+    ev = views.splits(views.scored_events(spark, sf_dir), "event_id")
+    fitted = linear.predicted(linear.ridge(ev.filter("split = 'train'"), ["risk"], "error", 10.0), ["risk"])
+    return ev.filter("split = 'test'").select("event_id", F.round(fitted, 5).alias("expected_error"))
 
 
 @query("leave_one_cluster_out", f"WITH {EVENTS}, k AS (SELECT cluster, sum(error) AS s, count(*) AS n FROM ev GROUP BY 1), t AS (SELECT sum(s) AS ts, sum(n) AS tn FROM k) SELECT cluster, round((ts - s) / (tn - n), 6) AS mean_without FROM k, t")

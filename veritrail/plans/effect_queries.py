@@ -66,10 +66,10 @@ def effect_long_to_wide_pivot(spark, sf_dir):
     return wide.select("context", "perturbation", *rounded(*_GENES))
 
 
-@query("task_support_count", f"WITH {CELLS}, p AS (SELECT DISTINCT context, perturbation FROM cells WHERE {views.fold_sql('cell', 10)} < 1), t AS (SELECT DISTINCT context, perturbation FROM cells) SELECT t.context, t.perturbation, count(p.context) AS support FROM t LEFT JOIN p ON p.perturbation = t.perturbation AND p.context <> t.context GROUP BY ALL")
+@query("task_support_count", f"WITH {CELLS}, p AS (SELECT DISTINCT context, perturbation FROM cells WHERE {views.fold_sql('cell', 10)} < 6), t AS (SELECT DISTINCT context, perturbation FROM cells) SELECT t.context, t.perturbation, count(p.context) AS support FROM t LEFT JOIN p ON p.perturbation = t.perturbation AND p.context <> t.context GROUP BY ALL")
 def task_support_count(spark, sf_dir):
     cells = views.cells(spark, sf_dir)
-    train = scalars.fold(F.sha2(F.col("cell"), 256), 10) < 1
+    train = scalars.fold(F.sha2(F.col("cell"), 256), 10) < 6
     tasks = cells.groupBy("context", "perturbation").agg(F.bool_or(train).alias("known"))
     sums = tasks.groupBy("perturbation").agg(F.count_if("known").alias("all"))
     return tasks.join(sums, "perturbation").select("context", "perturbation", (F.col("all") - F.col("known").cast("long")).alias("support"))
@@ -200,9 +200,9 @@ def round_robin_sample(spark, sf_dir):
     return ranked.select("dataset", "event_id", "rn").orderBy("rn", "dataset").limit(50)
 
 
-@query("dataset_pair_jaccard", f"WITH {EVENTS}, s AS (SELECT dataset, list(DISTINCT cluster) AS c FROM ev WHERE error > 40 GROUP BY ALL) SELECT a.dataset AS left_set, b.dataset AS right_set, round(CASE WHEN len(list_distinct(a.c || b.c)) = 0 THEN 1 ELSE len(list_intersect(a.c, b.c)) / len(list_distinct(a.c || b.c)) END, 6) AS jaccard FROM s a JOIN s b ON a.dataset < b.dataset")
+@query("dataset_pair_jaccard", f"WITH {EVENTS}, s AS (SELECT dataset, list(DISTINCT cluster) AS c FROM ev GROUP BY ALL) SELECT a.dataset AS left_set, b.dataset AS right_set, round(CASE WHEN len(list_distinct(a.c || b.c)) = 0 THEN 1 ELSE len(list_intersect(a.c, b.c)) / len(list_distinct(a.c || b.c)) END, 6) AS jaccard FROM s a JOIN s b ON a.dataset < b.dataset")
 def dataset_pair_jaccard(spark, sf_dir):
-    held = views.scored_events(spark, sf_dir).filter("error > 40").select("dataset", "cluster").distinct()
+    held = views.scored_events(spark, sf_dir).select("dataset", "cluster").distinct()
     sizes = held.groupBy("dataset").agg(F.count("*").alias("n"))
     common = held.alias("a").join(held.alias("b"), F.expr("a.cluster = b.cluster and a.dataset < b.dataset")).groupBy(F.col("a.dataset").alias("left_set"), F.col("b.dataset").alias("right_set")).agg(F.count("*").alias("both"))
     named = lambda side: sizes.select(F.col("dataset").alias(f"{side}_set"), F.col("n").alias(f"n_{side}"))

@@ -167,7 +167,7 @@ def leave_one_dataset_out_meta(spark, sf_dir):
     f"""WITH {LONG}, f AS (SELECT task, 'pair' AS family, member, position, prediction FROM pred WHERE member <= 2 UNION ALL SELECT task, 'all', member, position, prediction FROM pred UNION ALL SELECT task, 'all_and_no_change', member, position, prediction FROM pred
         UNION ALL SELECT task, 'all_and_no_change', 0, position, 0 FROM (SELECT DISTINCT task, position FROM pred)),
     c AS (SELECT task, family, position, avg(prediction) AS c, var_pop(prediction) AS s FROM f GROUP BY ALL), n AS (SELECT task, family, count(DISTINCT member) AS n_members FROM f GROUP BY ALL),
-    e AS (SELECT f.task, family, sqrt(avg((prediction - truth) ** 2)) AS family_rms_error FROM f JOIN truth USING (task, position) GROUP BY ALL)
+    e AS (SELECT f.task, family, sqrt(avg((prediction - truth) ** 2)) AS family_rms_error FROM f JOIN truth USING (task, position) GROUP BY ALL),
     d AS (SELECT task, family, sqrt(avg(s)) AS lower_bound FROM c GROUP BY ALL)
     SELECT task, family, n_members, round(family_rms_error, 6) AS family_rms_error, round(lower_bound, 6) AS diversity_lower, lower_bound > family_rms_error + 1e-10 AS violation FROM n JOIN d USING (task, family) JOIN e USING (task, family)""",
 )

@@ -72,7 +72,7 @@ def _tuples(ids: Column, marks: Column, steps: Column) -> Column:
     """The tuples' hashes: of each circle of the ids, from each start."""
     n = F.size(ids)
     starts = F.array(*(F.lit(-(1 << 63) + k * ((1 << 64) // STARTS)) for k in range(STARTS)))
-    circles = F.transform(F.array(*map(F.lit, range(ORDERS))), lambda order: _sorted_marks(F.transform(ids, lambda v: F.xxhash64(v, order))))
+    circles = F.transform(F.array(*map(F.lit, range(ORDERS))), lambda order: F.sort_array(F.transform(ids, lambda v, i: _marked(F.xxhash64(v, order), i))))
 
     def tuple_from(ring: Column, start: Column) -> Column:
         below = _last_step(steps, lambda q: (q <= n) & (F.get(ring, F.least(q, n) - 1) < start))

@@ -40,6 +40,8 @@ def op8_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = F.concat_ws(
         ";",
         *(F.concat(F.lit(f"{k}="), F.col(f"audio.{k}").cast("string")) for k in ("hertz", "samples", "duration_num", "duration_den", "table_frames", "crc_checked", "crc_failed", "bytes_skipped", "tags", "vbr_table")),
+        F.concat(F.lit("tag_texts="), F.array_join(F.transform("audio.tag_texts", lambda t: F.concat(t["name"], F.lit(":"), t["value"])), ",")),
+        F.concat(F.lit("seek_sha256="), F.sha2(F.array_join("audio.seek_points", ","), 256)),
         F.concat(F.lit("offsets_sha256="), F.sha2(F.array_join("audio.frame_offsets", ","), 256)),
     )
     return parsed.select(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritrail.operators.metrics import hash_positions
+
 
 def _draw(seed: str, *parts: Column) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(seed), *(p.cast("string") for p in parts)), 256)
@@ -57,3 +59,11 @@ def permutation_p(df: DataFrame, group: list[str], unit: str, flag: Column, valu
     base = stats.filter("r = 0").select(*group, F.col("stat").alias("observed"))
     extreme = F.count_if((F.col("r") > 0) & (F.col("stat") >= F.col("observed")))
     return stats.join(base, group).groupBy(*group, "observed").agg(((1 + extreme) / F.lit(1.0 + replicates)).alias("p"))
+
+
+def halves(units: DataFrame, strata: list[str], unit: str, repeats: int, seed: str) -> DataFrame:
+    """Each distinct unit of a stratum once a repeat, with half 1 or 0; the halves of a stratum differ by one unit at most, as its hash order alternates."""
+    drawn = units.select(*strata, unit).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    drawn = drawn.withColumn("__digest", F.sha2(F.concat(F.lit(seed), F.col("repeat").cast("string"), F.lit("\0"), F.col(unit).cast("string")), 256))
+    placed = hash_positions(drawn, [*strata, "repeat"], "__digest", unit, "__at")
+    return placed.select(*strata, unit, "repeat", (F.col("__at") % 2).cast("int").alias("half"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import scalars
 from veritrail.operators import certificates as cert
 from veritrail.operators import metrics as m
-from veritrail.operators import small
+from veritrail.operators import resampling, small
 from veritrail.plans.certificate_queries import rounded
 from veritrail.plans.metric_queries import corr_sql, rank_sql
 from veritrail.plans.registry import query
@@ -200,3 +200,33 @@ def coverage_intervals(spark, sf_dir):
 
     rows = counts.join(F.broadcast(whole))  # one row
     return rows.select("dataset", "k", "n", exact("k", "n", "all_k", "all_n").alias("x")).select("dataset", "k", "n", "x.*")
+
+
+@query("seed_median", f"WITH {EVENTS}, s AS (SELECT dataset, cluster, {views.fold_sql('event_id', 3)} AS seed, avg(error) AS error, count(*) AS n FROM ev GROUP BY ALL) SELECT dataset, cluster, round(median(error), 6) AS error, median(n) AS sample_size, count(DISTINCT seed) AS n_seeds FROM s GROUP BY ALL")
+def seed_median(spark, sf_dir):
+    """Median over seeds of each seed's mean error and size; a group has three seeds at most."""
+    seed = scalars.fold(F.sha2(F.col("event_id").cast("string"), 256), 3)
+    runs = events(spark, sf_dir).groupBy("dataset", "cluster", seed.alias("seed")).agg(F.avg("error").alias("error"), F.count("*").alias("n"))
+    return runs.groupBy("dataset", "cluster").agg(F.round(F.median("error"), 6).alias("error"), F.median("n").alias("sample_size"), F.count_distinct("seed").alias("n_seeds"))
+
+
+#: Times that cells are halved, and the genes that both halves need.
+REPEATS, LEAST_GENES = 5, 3
+
+
+@query(
+    "split_half_reproducibility",
+    f"""WITH {CELLS}, u AS (SELECT DISTINCT context, perturbation, batch, cell FROM cells),
+    h AS (SELECT u.*, repeat, row_number() OVER (PARTITION BY context, perturbation, batch, repeat ORDER BY sha256('half' || repeat || chr(0) || cell), cell) % 2 AS half FROM u, range(0, {REPEATS}) t(repeat)),
+    g AS (SELECT context, perturbation, repeat, gene, avg(x) FILTER (half = 1) AS a, avg(x) FILTER (half = 0) AS b FROM cells JOIN h USING (context, perturbation, batch, cell) GROUP BY ALL),
+    k AS (SELECT context, perturbation, repeat, {corr_sql('a', 'b')} AS r FROM g WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST_GENES})
+    SELECT context, perturbation, count(r) AS n_repeats, round(avg(r), 6) AS mean_r, round(min(r), 6) AS least_r FROM k GROUP BY ALL""",
+)
+def split_half_reproducibility(spark, sf_dir):
+    """Correlation over genes of the means of two halves of a pair's cells, halved within batches several times."""
+    cells, strata = views.cells(spark, sf_dir), ["context", "perturbation", "batch"]
+    drawn = resampling.halves(cells, strata, "cell", REPEATS, "half")
+    of = lambda half: F.avg(F.when(F.col("half") == half, F.col("x")))
+    genes = cells.join(drawn, [*strata, "cell"]).groupBy("context", "perturbation", "repeat", "gene").agg(of(1).alias("a"), of(0).alias("b")).dropna(subset=["a", "b"])
+    by_repeat = genes.groupBy("context", "perturbation", "repeat").agg(m.correlation("a", "b").alias("r"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_GENES)
+    return by_repeat.groupBy("context", "perturbation").agg(F.count("r").alias("n_repeats"), F.round(F.avg("r"), 6).alias("mean_r"), F.round(F.min("r"), 6).alias("least_r"))

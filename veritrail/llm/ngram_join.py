@@ -31,6 +31,7 @@ has an order. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ LEAF, NODE = 64, 64
 FULL = 255
 #: Counts compared at a time when pairs of vectors are bounded.
 BLOCK = 1 << 21
+#: Parts of the prefix shingles, by their hash, that lists are made of one after the other, so that a part's shuffle files stand at a time.
+SLICES = 4
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1_000_000
 
@@ -218,11 +221,16 @@ def _lists(tables: Scratch, firsts: DataFrame, percent: int) -> DataFrame:
     left: the document's shingles from the key on, in the order. The pair needs as many as its overlap, which grows with both sizes.
     """
     held = firsts.select("doc_id", "n", F.posexplode("keys").alias("at", "key")).select("key", "doc_id", F.col("n").cast("int").alias("n"), (F.col("n") - F.col("at")).cast("int").alias("left"))
-    ends = held.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("least"))
-    alone = (F.col("size") == 2) & ((100 * F.col("low") < percent * F.col("high")) | (F.col("least") < _needed(F.col("low"), F.col("high"), percent)))
-    ends = tables.written(ends.filter((F.col("size") > 1) & ~alone).select("key", "low"))
     smallest = F.greatest(F.col("low"), F.ceil(F.lit(percent / 100.0) * F.col("n") - F.lit(1e-9)))
-    return tables.written(held.join(ends.hint("shuffle_hash"), "key").filter(F.col("left") >= _needed(F.col("n"), smallest, percent)).select("key", "doc_id", "n"))
+    alone = (F.col("size") == 2) & ((100 * F.col("low") < percent * F.col("high")) | (F.col("least") < _needed(F.col("low"), F.col("high"), percent)))
+    parts = []
+    for k in range(SLICES):
+        part = held.filter(F.pmod("key", F.lit(SLICES)) == k)
+        ends = part.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("left").alias("least"))
+        ends = tables.written(ends.filter((F.col("size") > 1) & ~alone).select("key", "low"))
+        parts.append(tables.written(part.join(ends.hint("shuffle_hash"), "key").filter(F.col("left") >= _needed(F.col("n"), smallest, percent)).select("key", "doc_id", "n")))
+        tables.drop(ends)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _first_trials(lists: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:

@@ -135,7 +135,7 @@ def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return s[:keep]
 
 
-def _frequent(docs: DataFrame, text: str) -> np.ndarray:
+def _frequent(tables: Scratch, docs: DataFrame, text: str) -> np.ndarray:
     """Sorted frequent shingles of the sample, at most MOST_FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +145,12 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(text)
     counts = sample.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= FREQUENT)
-    top = counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key").toArrow()
+    top = tables.written(counts.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).select("key")).toArrow()
     return np.sort(top["key"].to_numpy().view(np.uint64))
 
 
-def _signatures(docs: DataFrame, text: str, percent: int) -> DataFrame:
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text))
+def _signatures(tables: Scratch, docs: DataFrame, text: str, percent: int) -> DataFrame:
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(tables, docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -436,10 +436,8 @@ def _joined(tables: Scratch, parts: DataFrame, links: DataFrame) -> DataFrame:
     return tables.written(merged.unionByName(roots.join(parts, "node", "left_anti").select("node", "component")).distinct())
 
 
-def _links(tables: Scratch, firsts: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
+def _links(tables: Scratch, vectors: DataFrame, lists: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
     """(node, component) of documents of different sets that links connect."""
-    vectors = firsts.select("doc_id", "n", "vector")
-    lists = _lists(tables, firsts, percent)
     tried = tables.written(_first_trials(lists, vectors, percent))
     parts = _components(tables, _verified(tables, tried, docs, text, percent))
 
@@ -464,14 +462,19 @@ def ngram_components(docs: DataFrame, text: str = "text", percent: int = PERCENT
     if ids[0] != ids[1]:
         docs = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias(text)).unionByName(docs.filter("doc_id is null"))
     with Scratch(docs.sparkSession) as tables:
-        signed = tables.written(_signatures(docs, text, percent))
+        signed = tables.written(_signatures(tables, docs, text, percent))
         real = signed.filter("doc_id is not null and n > 0")
         least = real.groupBy("print", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
         least = tables.written(least.select("print", "n", "first"))  # a table, so that a hot group's rows may be split in the join
         copies = tables.written(real.select("doc_id", "print", "n").join(least, ["print", "n"]).filter("doc_id <> first").select("doc_id", "first"))
-        firsts = real.join(copies.select("doc_id"), "doc_id", "left_anti")
-        parts = _links(tables, firsts, docs, text, percent)
-        rows = signed.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
+        keyed = tables.written(real.select("doc_id", "n", "keys").join(copies.select("doc_id"), "doc_id", "left_anti"))
+        sized = tables.written(signed.select("doc_id", "n", "vector"))
+        tables.drop(signed, least)
+        lists = _lists(tables, keyed, percent)
+        tables.drop(keyed)
+        vectors = sized.filter("doc_id is not null and n > 0").join(copies.select("doc_id"), "doc_id", "left_anti")
+        parts = _links(tables, vectors, lists, docs, text, percent)
+        rows = sized.select("doc_id", F.col("n").alias("n_shingles")).join(copies, "doc_id", "left").withColumn("first", F.coalesce("first", "doc_id"))
         return written(_named(rows, parts, "first", "component_id").select("doc_id", "n_shingles", "component_id"))
 
 

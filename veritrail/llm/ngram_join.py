@@ -54,6 +54,8 @@ FULL = 255
 BLOCK = 1 << 21
 #: Parts of the prefix shingles, by their hash, that lists are made of one after the other, so that a part's shuffle files stand at a time.
 SLICES = 4
+#: Parts of the pairs, by the hash of one side, that are verified one after the other, for the same reason.
+TURNS = 2
 #: One in SAMPLE documents shows which shingles are frequent: those in FREQUENT of them or more, the first MOST_FREQUENT (8 bytes each).
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1_000_000
 
@@ -189,7 +191,7 @@ def _components(tables: Scratch, edges: DataFrame) -> DataFrame:
 
 
 def _verified(tables: Scratch, pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) of a written table whose whole sets link. Only texts of these pairs are shuffled; they are smaller than their sets."""
+    """The pairs (a, b) of a written table whose whole sets link, as tables. Only texts of these pairs are shuffled; they are smaller than their sets."""
 
     @F.arrow_udf(T.BooleanType())
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -206,7 +208,10 @@ def _verified(tables: Scratch, pairs: DataFrame, docs: DataFrame, text: str, per
     ids = tables.written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())  # a table, so that Spark knows its bytes and broadcasts a small one
     texts = tables.written(docs.select("doc_id", F.col(text).alias("text")).join(ids, "doc_id", "left_semi"))
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(check("text_a", "text_b")).select("a", "b")
+    turns = [pairs.filter(F.pmod(F.xxhash64("b"), F.lit(TURNS)) == k) for k in range(TURNS)]
+    links = [tables.written(turn.join(side("a"), "a").join(side("b"), "b").filter(check("text_a", "text_b")).select("a", "b")) for turn in turns]
+    tables.drop(ids, texts)
+    return reduce(DataFrame.unionByName, links)
 
 
 def _named(rows: DataFrame, parts: DataFrame, column: str, out: str) -> DataFrame:

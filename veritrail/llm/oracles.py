@@ -19,4 +19,8 @@ SQL: dict[str, str] = {
         SELECT page_id, host, path, rule,
             coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM hosts WHERE host = bh OR ends_with(host, '.' || bh)) THEN 'block' ELSE 'allow' END) AS verdict
         FROM split LEFT JOIN fits USING (page_id)""",
+    "op12_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, arg_min(doc_id, (-n_chars, doc_id)) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
 }

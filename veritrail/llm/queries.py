@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, token_counts, urls
+from veritrail.llm import bpe, exact_dedup, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, token_counts, urls
 from veritrail.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -99,3 +99,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_TOKENIZER)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return docs.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, exact_dedup, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, token_counts, urls
+from veritrail.llm import bpe, exact_dedup, merkle, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, token_counts, urls
 from veritrail.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -103,3 +103,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    tampered = [*map(F.col, fields[:-1]), F.translate("text", "\n", "")]
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 == 1
+    claim = F.when(odd, merkle.leaf([F.col(f) for f in fields])).otherwise(merkle.leaf(tampered))
+    rows = merkle.proven(docs, fields, {"tampered": claim})
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.col("digest").alias("leaf"),
+        "subroot",
+        "root",
+        merkle.path_digest(F.col("path")).alias("proof_sha256"),
+        F.col("folded_tampered").alias("folded_root"),
+        (F.col("folded_tampered") == F.col("root")).alias("verified"),
+    )

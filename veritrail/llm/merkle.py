@@ -15,9 +15,8 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from veritrail.llm.shared import Scratch, written
+from veritrail.llm.shared import Scratch, numbered, written
 
 #: Children of a node, and levels that one block spans: 729 nodes at its foot.
 ARITY, STEP = 3, 6
@@ -41,31 +40,6 @@ def _levels(n: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, _POWERS)), lambda p: p < n))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """df with at, each row's place (from 0) in its group by order, and gid, the group's place among groups; and the groups (group, n, gid).
-
-    Rows are sorted into runs of even size, each a range of (group, order), and written once; places are a run's offset in the group,
-    summed over runs, and the line within it. Rows equal in all of these have any order. Null groups are a group, the first.
-    """
-    tied = df.withColumn("__tie", F.monotonically_increasing_id())
-    keys = [F.col(group).asc_nulls_first(), *(F.col(o).asc_nulls_first() for o in order), F.col("__tie")]
-    line = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the rows of a partition ahead
-    runs = scratch.written(tied.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*df.columns, F.spark_partition_id().alias("__run"), line.alias("__line")))
-    parts = scratch.written(runs.groupBy(F.col("__run").alias("__r"), F.col(group).alias("__g")).agg(F.min("__line").alias("__first"), F.count("*").alias("__n")))
-    ahead = Window.partitionBy("__g").orderBy("__r")  # a row for each run of a group
-    offsets = parts.withColumn("__offset", F.sum("__n").over(ahead) - F.col("__n") - F.col("__first"))
-    groups = parts.groupBy("__g").agg(F.sum("__n").alias("n"), F.min("__r").alias("__first_run"))
-    # groups stand in the order of runs, and several of them within one run in the order of their values
-    begun = groups.groupBy("__first_run").agg(F.count("*").alias("__begun"))
-    begun = begun.withColumn("__ahead", F.sum("__begun").over(Window.orderBy("__first_run")) - F.col("__begun"))  # a row for each run
-    within = F.row_number().over(Window.partitionBy("__first_run").orderBy(F.col("__g").asc_nulls_first()))
-    groups = groups.join(begun, "__first_run").select("__g", "n", (F.col("__ahead") + within - 1).alias("gid"))
-    groups = scratch.written(groups)
-    facts = offsets.join(groups.withColumnRenamed("__g", "__h"), F.col("__g").eqNullSafe(F.col("__h"))).select("__r", "__g", "__offset", "gid", "n")
-    rows = runs.join(facts, (F.col("__run") == F.col("__r")) & F.col(group).eqNullSafe(F.col("__g")))
-    return rows.select(*df.columns, "gid", (F.col("__offset") + F.col("__line")).alias("at"), "n"), groups.withColumnRenamed("__g", group)
-
-
 def _parents(digests: list[str]) -> list[str]:
     return [sha256("".join(digests[k : k + ARITY]).encode()).hexdigest() for k in range(0, len(digests), ARITY)]
 

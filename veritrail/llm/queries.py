@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import bpe, exact_dedup, merkle, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, token_counts, urls
+from veritrail.llm import bpe, exact_dedup, hard_negatives, merkle, mixing, mpeg, ngram_join, order_minhash, pii, quality, secrets, token_counts, urls
 from veritrail.llm.shared import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -121,3 +121,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("folded_tampered").alias("folded_root"),
         (F.col("folded_tampered") == F.col("root")).alias("verified"),
     )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(rows, "vec_id", "embedding", label), F.col("id") % 50 == 0)

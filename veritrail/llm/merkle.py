@@ -149,7 +149,8 @@ def build_manifest(docs: DataFrame, fields: list[str], scratch: Scratch, id_col:
     Texts of any length are digested whole; repeated rows are leaves of their own; a table without rows has no root.
     """
     names = {"id": F.col(id_col), "group": F.col(group_col), "digest": leaf([F.col(f) for f in fields]), **(carry or {})}
-    rows, groups = numbered(docs.select(*(v.alias(k) for k, v in names.items())), "group", ["id", "digest"], scratch)
+    leaves = scratch.written(docs.select(*(v.alias(k) for k, v in names.items())))  # digests are made once; the sort reads its input twice
+    rows, groups = numbered(leaves, "group", ["id", "digest"], scratch)
     base = scratch.written(rows.withColumn("top", _levels(F.col("n")).cast("int")).drop("n", "group"))
     tree = grow(base, f"{scratch.root}/nodes")
     count = groups.agg(F.count("*").alias("__all"))  # one row

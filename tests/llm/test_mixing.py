@@ -123,3 +123,11 @@ def test_columns_named_like_its_own(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 7, 8, 9)], "doc_id long, text string, source string, __s int, __passes int, __plan int")
     r = mixing.mix_sources(docs).first()
     assert (r["__s"], r["__passes"], r["__plan"], r.mix_copies) == (7, 8, 9, 1)
+
+
+def test_every_pass_has_an_order_of_its_own(spark):
+    rows = mixing.mix_sources(corpus(spark, {"hot": 300, "a": 40}), entropy_share=1.0, most_passes=4.0).filter("source = 'a'")
+    rows = rows.collect()
+    assert all(len(r.mix_orders) == r.mix_copies for r in rows) and min(r.mix_copies for r in rows) >= 2
+    first, second = ([r.doc_id for r in sorted(rows, key=lambda r: r.mix_orders[k])] for k in (0, 1))
+    assert first != second and sorted(first) == sorted(second)

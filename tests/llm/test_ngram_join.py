@@ -103,3 +103,10 @@ def test_intermediate_tables_go(spark):
     before = set(folder.iterdir())
     out = ngram_join.ngram_components(spark.createDataFrame(crowd(6, 40), "doc_id long, text string"))
     assert len(set(folder.iterdir()) - before) == 1 and out.count() == 40
+
+
+def test_keep_first_keeps_a_column_named_like_its_own(spark):
+    words = "one two three four five six seven"
+    rows = spark.createDataFrame([(1, words, "a"), (1, words, "b"), (2, words + " ", "c"), (3, "other", "d")], "doc_id long, text string, __first string")
+    got = ngram_join.keep_first(rows)
+    assert got.columns == ["doc_id", "text", "__first"] and sorted((r.doc_id, r["__first"]) for r in got.collect()) == [(1, "a"), (3, "d")]

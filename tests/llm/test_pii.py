@@ -119,3 +119,9 @@ def test_pseudonyms_equal_plain_python(spark):
     values = [(kind, v) for kind, (vs, _) in FORMS.items() if kind != "email" for v in vs]
     got = run(spark, [f"a {v} b" for _, v in values])
     assert [text for text, _ in got] == [f"a {plain(kind, v)} b" for kind, v in values]
+
+
+def test_a_column_named_like_its_own_stays(spark):
+    rows = spark.createDataFrame([(1, "mine", "123-45-6789")], "i long, __pii string, text string")
+    got = pii.pseudonymise(rows, "k").first()
+    assert got["__pii"] == "mine" and got.pii_kinds == ["ssn"] and got.text != "123-45-6789"

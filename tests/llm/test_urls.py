@@ -36,3 +36,16 @@ def test_colliding_digests_never_decide(tmp_path, monkeypatch):
     urls.DigestArray.write({"aa": "allow", "bb": "block", "c": "allow"}, tmp_path, "t")
     array = urls.DigestArray(tmp_path, "t")
     assert isinstance(array.bytes, np.memmap) and array.find(["bb", "aa", "cc", "c", "dddd"]) == ["block", "allow", None, "allow", None]
+
+
+def test_tables_of_rules_and_their_join(spark, monkeypatch):
+    pages = spark.createDataFrame([(k, u, "old", "x") for k, u in enumerate([*URLS, URLS[4]])], "page_id long, url string, rule string, verdict string")
+    rules = spark.createDataFrame(list(urls.RULES), "host string, path string, verdict string")
+    hosts = spark.createDataFrame([(h,) for h in urls.BLOCKED_HOSTS] * 2, "host string")
+    for most in (1000, 0):
+        monkeypatch.setattr(urls, "MOST_RULES", most)
+        got = urls.judge_urls(pages, rules=rules, blocked_hosts=hosts)
+        rows = got.collect()
+        assert len(rows) == len(URLS) + 1 and set(got.columns) == {"page_id", "url", "host", "path", "rule", "verdict"}
+        for r in rows:
+            assert (r.host, r.path, r.rule, r.verdict) == plain(r.url), r.url

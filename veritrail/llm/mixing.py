@@ -28,7 +28,7 @@ from veritrail.llm.shared import written
 ENTROPY_SHARE, MOST_PASSES, BLOCK_TOKENS = 0.97, 2.0, 2_000_000
 #: Halvings of the exponent's interval in one aggregate, and aggregates.
 _HALVINGS, _ROUNDS = 5, 6
-_OUT = ("mix_tokens", "mix_weight", "mix_copies", "mix_block", "mix_order")
+_OUT = ("mix_tokens", "mix_weight", "mix_copies", "mix_block", "mix_order", "mix_orders")
 
 
 def n_tokens(text: Column) -> Column:
@@ -63,7 +63,10 @@ def _exponent(sums: DataFrame, entropy_share: float, most_passes: float, budget:
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", entropy_share: float = ENTROPY_SHARE, most_passes: float = MOST_PASSES, budget: float | None = None) -> DataFrame:
-    """docs with mix_tokens, mix_weight (of its source), mix_copies (how often the mix takes it), mix_block and mix_order.
+    """docs with mix_tokens, mix_weight (of its source), mix_copies (how often the mix takes it), mix_block, mix_order and mix_orders.
+
+    mix_order decides which documents the last pass over a source still takes; mix_orders has a number for each pass that takes the
+    document, drawn anew for every pass, by which a reader orders that pass.
 
     Columns of these names are replaced, all others and all rows stay. An empty table stays empty.
     """
@@ -102,4 +105,6 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     out = marked.join(plan.select(F.struct(*plan.columns).alias(own)), F.col(source).eqNullSafe(of("__s"))).withColumn("mix_block", F.pmod(F.xxhash64("mix_order"), of("__blocks")))
     more = (F.col("mix_block") < of("__last_block")) | ((F.col("mix_block") == of("__last_block")) & (F.col("mix_order") <= of("__last_order")))
     out = out.withColumn("mix_copies", (of("__passes") + F.when(more, 1).otherwise(0)).cast("long")).withColumn("mix_weight", of("mix_weight"))
+    each = F.transform(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")), lambda turn: F.xxhash64("mix_order", turn))
+    out = out.withColumn("mix_orders", F.when(F.col("mix_copies") > 0, each).otherwise(F.array().cast("array<long>")))
     return out.select(*docs.columns, *_OUT)

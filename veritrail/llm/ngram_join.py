@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veritrail.llm.shared import Scratch, in_small_batches, written
+from veritrail.llm.shared import Scratch, free_name, in_small_batches, written
 
 WORDS, PERCENT = 5, 75
 #: A count vector has a group for every two to four shingles: a power of two, at least LEAST_GROUPS.
@@ -496,4 +496,5 @@ def keep_first(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> D
         return kept
     others = [c for c in docs.columns if c not in ("doc_id", text)]
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col(text).asc_nulls_last(), *others))
-    return kept.withColumn("__first", first).filter("__first = 1 or doc_id is null").drop("__first")
+    own = free_name(kept, "__first")
+    return kept.withColumn(own, first).filter((F.col(own) == 1) | F.col("doc_id").isNull()).drop(own)

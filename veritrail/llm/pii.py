@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.shared import let
+from veritrail.llm.shared import free_name, let
 
 KINDS = ("email", "date", "ipv4", "ssn", "phone", "card")
 ROUNDS = 8
@@ -226,9 +226,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", found: str = "pi
     """
     led = F.concat(F.lit(" "), F.col(text))  # a start at the very beginning would not be split off
     values = F.transform(F.regexp_extract_all(led, F.lit(WINDOW), F.lit(1)), lambda w: _found(w, key))
-    docs = docs.withColumn("__pii", F.when(F.col(text).rlike(r"[0-9]|@"), values))
-    some = F.exists("__pii", lambda f: f.isNotNull())
-    docs = docs.withColumn("__pii", F.when(some, let(F.split(led, STARTS), lambda pieces: _taken(pieces, F.col("__pii")))))
-    rebuilt = F.array_join(F.col("__pii.parts"), "").substr(F.lit(2), F.lit(2**31 - 1))
-    kinds = F.coalesce(F.col("__pii.kinds"), F.array().cast("array<string>"))
-    return docs.withColumns({text: F.when(F.col("__pii").isNotNull(), rebuilt).otherwise(F.col(text)), found: kinds}).drop("__pii")
+    own = free_name(docs, "__pii")
+    docs = docs.withColumn(own, F.when(F.col(text).rlike(r"[0-9]|@"), values))
+    some = F.exists(own, lambda f: f.isNotNull())
+    docs = docs.withColumn(own, F.when(some, let(F.split(led, STARTS), lambda pieces: _taken(pieces, F.col(own)))))
+    rebuilt = F.array_join(F.col(own)["parts"], "").substr(F.lit(2), F.lit(2**31 - 1))
+    kinds = F.coalesce(F.col(own)["kinds"], F.array().cast("array<string>"))
+    return docs.withColumns({text: F.when(F.col(own).isNotNull(), rebuilt).otherwise(F.col(text)), found: kinds}).drop(own)

@@ -68,7 +68,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_copies", "mix_block", "mix_order")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_tokens", "mix_weight", "mix_copies", "mix_block", "mix_order", "mix_orders")
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,14 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row, also where body uses it inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: The method's own list, of hosts with all their subdomains, for URLs that no rule fits.
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
-#: The rule files are handed to every executor; more rules than this belong in a join.
+#: Rules and hosts that go to every executor as files, about 60 bytes each; a table of more is joined.
 MOST_RULES = 20_000_000
 
 
@@ -85,10 +85,16 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, blocked_hosts=BL
     """pages with columns host, path, rule (host and path of the deciding rule or null) and verdict ("allow" or "block").
 
     URLs that no rule fits are blocked if the host or a parent domain is among blocked_hosts. Rows, ties and repeated URLs
-    stay as they are; columns of these names are replaced.
+    stay as they are; columns of these names are replaced. rules are (host, path, verdict) and blocked_hosts names, or both are tables
+    with columns of these names (host, path, verdict; host), of any size: what has more rows than MOST_RULES is joined.
     """
-    if len(rules) + len(blocked_hosts) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    if isinstance(rules, DataFrame) or isinstance(blocked_hosts, DataFrame):
+        spark = pages.sparkSession
+        rules = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
+        blocked_hosts = blocked_hosts if isinstance(blocked_hosts, DataFrame) else spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
+        if rules.count() + blocked_hosts.count() > MOST_RULES:
+            return _judged_by_joins(pages, url, rules, blocked_hosts)
+        rules, blocked_hosts = [tuple(r) for r in rules.select("host", "path", "verdict").collect()], [r.host for r in blocked_hosts.collect()]
     context = pages.sparkSession.sparkContext
     folder = tempfile.mkdtemp(prefix="urlrules")
     name = Path(folder).name
@@ -132,3 +138,24 @@ def judged(hosts: list[str], paths: list[str], own: DigestArray, listed: DigestA
             rule[k], verdict[k] = key, value
     bad = {k for k, value in zip(parents_owner, listed.find(parents), strict=True) if value}
     return rule, [v or ("block" if k in bad else "allow") for k, v in enumerate(verdict)]
+
+
+def _judged_by_joins(pages: DataFrame, url: str, rules: DataFrame, blocked_hosts: DataFrame) -> DataFrame:
+    """judge_urls by equi-joins of the rules that each distinct host and path may meet."""
+    host, path = host_and_path(F.col(url))
+    out = pages.withColumns({"host": host, "path": path}).drop("rule", "verdict")
+    places = out.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    hosts = F.when(F.col("host") != "", parents).otherwise(F.array().cast("array<string>"))
+    lengths = rules.select(F.length("path").alias("n")).distinct().groupBy().agg(F.sort_array(F.collect_set("n")).alias("lengths"))  # one row of path lengths
+    may = places.join(F.broadcast(lengths)).withColumn("h", F.explode(hosts))
+    may = may.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path")))).select("host", "path", "h", F.substring("path", F.lit(1), F.col("n")).alias("p"))
+    named = rules.select(F.col("host").alias("h"), F.col("path").alias("p"), F.col("verdict").alias("ruled"))
+    size = F.struct(F.length("h") + F.length("p"), F.length("h"))
+    best = may.join(named, ["h", "p"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "ruled"), size).alias("best"))
+    listed = places.select("host").distinct().withColumn("h", F.explode(hosts)).join(blocked_hosts.select(F.col("host").alias("h")).distinct(), "h", "left_semi").select("host").distinct().withColumn("listed", F.lit(True))
+    judged_places = places.join(best, ["host", "path"], "left").join(listed, "host", "left")
+    verdict = F.coalesce("best.ruled", F.when(F.col("listed"), "block").otherwise("allow"))
+    judged_places = judged_places.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    return out.join(judged_places, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path"))).drop("__host", "__path")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.llm import bpe, mixing, ngram_join, quality, secrets
-from veritrail.llm.shared import table, written
+from veritrail.llm.shared import free_name, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -19,7 +19,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more, by a model fitted on the labelled ones among them."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, out="__score").filter("__score >= 0.5").select(docs.columns)
+    score = free_name(docs, "__score")
+    return quality.score_quality(docs, model, out=score).filter(F.col(score) >= 0.5).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; small sources repeat, and none is left out."""
     plan = mixing.mix_sources(docs)
-    return plan.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(docs.columns)
+    return plan.withColumn(free_name(plan, "__copy"), F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

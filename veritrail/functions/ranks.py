@@ -1,7 +1,8 @@
 """Ranks and prefix sums over the values of a group, without ever holding a group in one task.
 
-Rows are first summed up by distinct value, which collapses ties and hot values before the shuffle. A group's values are then cut
-into ranges of about equal row counts; windows run within a range, and a small table of range totals gives each range its offset.
+Rows are first summed up by distinct value, which collapses ties and hot values before the shuffle. What is ordered is sorted into
+runs, ranges of even size that may hold several groups or a part of one, and written once; windows run within a run, and a small
+table of run totals gives each run its offset. So every call reads its input once, and chains of calls stay linear.
 """
 
 from __future__ import annotations
@@ -10,35 +11,13 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
-#: Ranges of a group.
-RANGES = 64
+from veritrail.sources.storage import written
 
 
-def _cuts(df: DataFrame, group: list[str], order: str, out: str) -> DataFrame:
-    """df with out, the cuts that share a group's rows out by order into RANGES about equal parts."""
-    shares = [k / RANGES for k in range(1, RANGES)]
-    cuts = df.groupBy(*group).agg(F.percentile_approx(order, shares, 1000).alias(out))
-    return df.join(cuts.select(*(F.col(g).alias(f"__g_{g}") for g in group), out), [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]).drop(*(f"__g_{g}" for g in group))
-
-
-def _in_ranges(df: DataFrame, group: list[str], order: str, tie: list[str]) -> DataFrame:
-    """df with __range, a number that grows with the order within a group.
-
-    A value at a cut has a range of its own; where rows have a tie of numbers, that range is cut again by the tie, so a value that a
-    large share of the rows has is shared out as well.
-    """
-    keyed = _cuts(df, group, order, "__cuts")
-    below = F.filter("__cuts", lambda c: c <= F.col(order))
-    single = F.coalesce(F.try_element_at(below, F.lit(-1)) == F.col(order), F.lit(False))
-    keyed = keyed.withColumn("__range", 2 * F.size(below) + F.when(single, 0).otherwise(1)).drop("__cuts")
-    if not tie or not isinstance(df.schema[tie[0]].dataType, NumericType):
-        return keyed
-    keyed = _cuts(keyed, [*group, "__range"], tie[0], "__ties")
-    sub = F.when(F.col("__range") % 2 == 0, F.size(F.filter("__ties", lambda c: c <= F.col(tie[0])))).otherwise(0)
-    return keyed.withColumn("__range", F.col("__range") * (RANGES + 1) + sub).drop("__ties")
+def _same(group: list[str]) -> list[Column]:
+    return [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]
 
 
 def running(df: DataFrame, group: list[str], order: str, sums: Mapping[str, Column], tie: list[str] | None = None) -> DataFrame:
@@ -46,18 +25,21 @@ def running(df: DataFrame, group: list[str], order: str, sums: Mapping[str, Colu
 
     Rows equal in order and tie stand in any order; give a tie that tells them apart where that matters.
     """
-    ranged = _in_ranges(df.withColumns({f"__{k}": v for k, v in sums.items()}), group, order, tie or [])
-    of_range = ranged.groupBy(*group, "__range").agg(*(F.sum(f"__{k}").alias(f"__in_{k}") for k in sums))
-    whole, ahead = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("__range")
-    offsets = of_range.select(
+    keys = [order, *(tie or [])]
+    marked = df.withColumns({f"__{k}": v for k, v in sums.items()} | {"__row": F.monotonically_increasing_id()})
+    dealt = marked.repartitionByRange(*group, *keys, "__row")  # the row number shares out rows that are equal in all else
+    runs = written(dealt.withColumn("__run", F.spark_partition_id()))
+    of_run = runs.groupBy(*group, "__run").agg(*(F.sum(f"__{k}").alias(f"__in_{k}") for k in sums))
+    whole, ahead = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("__run")  # a row for each run of a group
+    offsets = of_run.select(
         *(F.col(g).alias(f"__g_{g}") for g in group),
-        F.col("__range").alias("__r"),
+        F.col("__run").alias("__r"),
         *(F.sum(f"__in_{k}").over(whole).alias(f"total_{k}") for k in sums),
         *((F.sum(f"__in_{k}").over(ahead) - F.col(f"__in_{k}")).alias(f"__offset_{k}") for k in sums),
     )
-    within = Window.partitionBy(*group, "__range").orderBy(order, *(tie or [])).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumns({f"__before_{k}": F.coalesce(F.sum(f"__{k}").over(within), F.lit(0)) for k in sums})
-    out = out.join(offsets, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group] + [F.col("__range") == F.col("__r")])
+    within = Window.partitionBy(*group, "__run").orderBy(*keys, "__row").rowsBetween(Window.unboundedPreceding, -1)
+    out = runs.withColumns({f"__before_{k}": F.coalesce(F.sum(f"__{k}").over(within), F.lit(0)) for k in sums})
+    out = out.join(offsets, [*_same(group), F.col("__run") == F.col("__r")])
     out = out.withColumns({f"before_{k}": F.col(f"__offset_{k}") + F.col(f"__before_{k}") for k in sums})
     return out.select(*df.columns, *(f"{p}_{k}" for k in sums for p in ("before", "total")))
 
@@ -69,12 +51,21 @@ def by_value(df: DataFrame, group: list[str], value: str, sums: Mapping[str, Col
     return running(counted, group, value, {"n": F.col("n"), **{k: F.col(k) for k in sums}})
 
 
+def average_ranks_of(df: DataFrame, group: list[str], ranks: Mapping[str, str], total: str | None = None) -> DataFrame:
+    """The rows of df that have all values (the keys of ranks), with average-tie ranks (from 1) of each within group, and the group's size."""
+    known = df.dropna(subset=list(ranks))
+    out = known
+    for k, (value, name) in enumerate(ranks.items()):
+        found = by_value(known, group, value)
+        size = [F.col("total_n").alias(total)] if total and k == 0 else []
+        table = found.select(*(F.col(g).alias(f"__g_{g}") for g in group), F.col(value).alias("__v"), (F.col("before_n") + (F.col("n") + 1) / 2).alias(name), *size)
+        out = out.join(written(table), [*_same(group), F.col(value) == F.col("__v")]).drop("__v", *(f"__g_{g}" for g in group))
+    return out
+
+
 def average_ranks(df: DataFrame, group: list[str], value: str, out: str, total: str | None = None) -> DataFrame:
     """df with average-tie ranks (from 1) of value within group, and the group's size; rows without value are left out."""
-    known = df.filter(F.col(value).isNotNull())
-    ranks = by_value(known, group, value).select(*(F.col(g).alias(f"__g_{g}") for g in group), F.col(value).alias("__v"), (F.col("before_n") + (F.col("n") + 1) / 2).alias(out), F.col("total_n").alias(total or "__n"))
-    joined = known.join(ranks, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group] + [F.col(value) == F.col("__v")])
-    return joined.drop("__v", *(f"__g_{g}" for g in group), *([] if total else ["__n"]))
+    return average_ranks_of(df, group, {value: out}, total)
 
 
 def quantiles(df: DataFrame, group: list[str], value: Column, shares: Mapping[str, float]) -> DataFrame:
@@ -82,8 +73,8 @@ def quantiles(df: DataFrame, group: list[str], value: Column, shares: Mapping[st
 
     Groups without values have a row of nulls. Nothing holds a group's values, as an exact percentile's buffer would.
     """
-    rows = df.select(*group, value.cast("double").alias("__q"))
-    counted = by_value(rows.filter("__q is not null"), group, "__q")
+    counts = written(df.select(*group, value.cast("double").alias("__q")).groupBy(*group, "__q").agg(F.count("*").alias("n")))
+    counted = running(counts.filter("__q is not null"), group, "__q", {"n": F.col("n")})
 
     def at(place: Column) -> Column:
         return F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col("__q")))
@@ -96,8 +87,8 @@ def quantiles(df: DataFrame, group: list[str], value: Column, shares: Mapping[st
         out.append(((1 - part) * low + part * high).alias(name))
     found = counted.groupBy(*group).agg(*out)
     named = found.select(*(F.col(g).alias(f"__g_{g}") for g in group), *shares)
-    every = rows.select(*group).distinct()
-    return every.join(named, [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group], "left").select(*group, *shares)
+    every = counts.select(*group).distinct()
+    return written(every.join(named, _same(group), "left").select(*group, *shares))
 
 
 def order_statistic(df: DataFrame, group: list[str], value: str, rank: Column, out: str) -> DataFrame:

@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="veritrail")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from veritrail.sources.storage import written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -31,12 +18,12 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
     """(node, hops): fewest edges from any source (node) to each node that has a path, or one within most; every round is written, so lineage stays short."""
-    edges = _written(undirected(edges))
-    reached = frontier = _written(sources.select("node").distinct().withColumn("hops", F.lit(0)))
+    edges = written(undirected(edges))
+    reached = frontier = written(sources.select("node").distinct().withColumn("hops", F.lit(0)))
     for hops in itertools.count(1) if most is None else range(1, most + 1):
         step = frontier.join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = _written(step.join(reached, "node", "left_anti").withColumn("hops", F.lit(hops)))
+        frontier = written(step.join(reached, "node", "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
             break
-        reached = _written(reached.unionByName(frontier)) if hops % 20 == 0 else reached.unionByName(frontier)
+        reached = written(reached.unionByName(frontier)) if hops % 20 == 0 else reached.unionByName(frontier)
     return reached

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.functions.ranks import average_ranks, by_value, quantiles, running
+from veritrail.functions.ranks import average_ranks_of, by_value, quantiles, running
 from veritrail.functions.scalars import keep_count
 
 
@@ -17,17 +17,14 @@ def correlation(x: str, y: str) -> Column:
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """(group, n, rho) with average ranks; rho is null below least rows or if one side is constant."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(both, group, x, "__rx"), group, y, "__ry")
+    ranked = average_ranks_of(df, group, {x: "__rx", y: "__ry"})
     out = ranked.groupBy(*group).agg(F.count("*").alias("n"), correlation("__rx", "__ry").alias("rho"))
     return out.withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
 
 
 def partial_spearman(df: DataFrame, group: list[str], x: str, y: str, control: str, least: int = 5) -> DataFrame:
     """(group, n, rho) of x and y with the control's ranks taken out of both."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(control).isNotNull())
-    for c, r in ((x, "__x"), (y, "__y"), (control, "__c")):
-        rows = average_ranks(rows, group, c, r)
+    rows = average_ranks_of(df, group, {x: "__x", y: "__y", control: "__c"})
     out = rows.groupBy(*group).agg(F.count("*").alias("n"), correlation("__x", "__y").alias("xy"), correlation("__x", "__c").alias("xc"), correlation("__y", "__c").alias("yc"))
     rest = (1 - F.col("xc") * F.col("xc")) * (1 - F.col("yc") * F.col("yc"))
     rho = F.when((rest > 1e-12) & (F.col("n") >= least), (F.col("xy") - F.col("xc") * F.col("yc")) / F.sqrt(rest))
@@ -36,10 +33,7 @@ def partial_spearman(df: DataFrame, group: list[str], x: str, y: str, control: s
 
 def partial_spearman_two(df: DataFrame, group: list[str], x: str, y: str, first: str, second: str, least: int = 6) -> DataFrame:
     """(group, n, rho) of x and y with the ranks of two covariates taken out of both, from the correlations of all ranks."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(first).isNotNull() & F.col(second).isNotNull())
-    names = {x: "__x", y: "__y", first: "__c", second: "__d"}
-    for c, r in names.items():
-        rows = average_ranks(rows, group, c, r)
+    rows = average_ranks_of(df, group, {x: "__x", y: "__y", first: "__c", second: "__d"})
     pairs = [("x", "y"), ("x", "c"), ("y", "c"), ("x", "d"), ("y", "d"), ("c", "d")]
     out = rows.groupBy(*group).agg(F.count("*").alias("n"), *(correlation(f"__{a}", f"__{b}").alias(a + b) for a, b in pairs))
 

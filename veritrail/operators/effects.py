@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.sources.storage import written
+
 
 def pseudobulk(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, gene, mean, variance, n_cells): sample statistics over all cells of a key, zeros of absent genes included."""
@@ -17,8 +19,11 @@ def pseudobulk(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def control_effects(cells: DataFrame, control: str, context: list[str], least_cells: int = 1) -> DataFrame:
-    """(context, perturbation, gene, effect, n_cells): mean of a perturbation less the control's mean in the same context."""
-    means = pseudobulk(cells, [*context, "perturbation"])
+    """(context, perturbation, gene, effect, n_cells): mean of a perturbation less the control's mean in the same context.
+
+    Means and effects are written, as they are far smaller than the cells and have several readers.
+    """
+    means = written(pseudobulk(cells, [*context, "perturbation"]))
     base = means.filter(F.col("perturbation") == control).select(*context, "gene", F.col("mean").alias("base"))
     treated = means.filter((F.col("perturbation") != control) & (F.col("n_cells") >= least_cells)).join(base.select(*context).distinct(), context, "left_semi")
     # a gene that only one side has counts as zero on the other
@@ -26,7 +31,7 @@ def control_effects(cells: DataFrame, control: str, context: list[str], least_ce
     grid = sizes.join(base, context)
     both = grid.join(treated.drop("n_cells", "variance"), [*context, "perturbation", "gene"], "left").select(*context, "perturbation", "gene", "n_cells", (F.coalesce("mean", F.lit(0.0)) - F.col("base")).alias("effect"))
     alone = treated.join(base, [*context, "gene"], "left_anti").select(*context, "perturbation", "gene", "n_cells", F.col("mean").alias("effect"))
-    return both.unionByName(alone)
+    return written(both.unionByName(alone))
 
 
 def batch_matched_effects(cells: DataFrame, control: str) -> DataFrame:
@@ -55,6 +60,7 @@ def energy_distances(cells: DataFrame, control: str, context: list[str]) -> Data
     sizes = vectors.groupBy(*keys).agg(F.count_distinct("cell").alias("n_cells"))
     x, n, m = F.col("x"), F.col("n_cells"), F.col("mean")
     genes = vectors.groupBy(*keys, "gene").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q")).join(sizes, keys).withColumn("mean", F.col("s") / n)
+    genes = written(genes)
     sides = genes.groupBy(*keys, "n_cells").agg(F.sum("q").alias("q"), F.sum(m * m).alias("m2"))
     sides = sides.withColumn("sigma", F.try_divide(2 * (F.col("q") - n * F.col("m2")), n - 1)).withColumn("power", F.col("q") / n)
     is_control = F.col("perturbation") == control

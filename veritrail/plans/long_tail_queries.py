@@ -75,7 +75,7 @@ def pathway_projection(spark, sf_dir):
 @query(
     "bfs_distance",
     """WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r(node, hops) AS (SELECT 's1', 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON r.node = u.a WHERE r.hops < 20) SELECT node, min(hops) AS hops FROM r GROUP BY node""",
+    r(node, hops) AS (SELECT 's1', 0 UNION SELECT u.b, r.hops + 1 FROM r JOIN u ON r.node = u.a WHERE r.hops < (SELECT count(DISTINCT a) FROM u)) SELECT node, min(hops) AS hops FROM r GROUP BY node""",
 )
 def bfs_distance(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))

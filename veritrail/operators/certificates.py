@@ -6,7 +6,7 @@ Families are long tables (task, member, position, prediction); truth is (task, p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.ranks import order_statistic
@@ -79,3 +79,13 @@ def conformal_quantile(scores: DataFrame, group: list[str], value: str, coverage
     if beyond == "inf":
         found = found.withColumn(out, F.when(raw > F.col("n"), F.lit(float("inf"))).otherwise(F.col(out)))
     return found.select(*group, F.col("n").alias("n_clusters"), "conformal_rank", out)
+
+
+def registered_families(members: DataFrame, architecture: Column, task: str = "task") -> DataFrame:
+    """(task, family, member, position, prediction) of the three families: architectures' means over their seeds, all seeds, and the means with no change as a further member, 0."""
+    columns = [task, "family", "member", "position", "prediction"]
+    means = members.groupBy(task, architecture.cast("long").alias("member"), "position").agg(F.avg("prediction").alias("prediction"))
+    none = members.select(task, "position").distinct().withColumns({"member": F.lit(0).cast("long"), "prediction": F.lit(0.0)})
+    named = lambda df, name: df.withColumn("family", F.lit(name)).select(columns)
+    seeds = members.withColumn("member", F.col("member").cast("long"))
+    return named(means, "architecture_pair").unionByName(named(seeds, "all_seeds")).unionByName(named(means.unionByName(none), "no_change_control"))

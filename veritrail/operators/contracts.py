@@ -75,3 +75,45 @@ def access_audit(read: DataFrame, frozen: DataFrame, key: str) -> DataFrame:
     count = lambda issue, rows: rows.agg(F.lit(issue).alias("issue"), F.count("*").alias("n"))
     out = count("not_read", frozen.join(read, key, "left_anti")).unionByName(count("not_frozen", read.join(frozen, key, "left_anti")))
     return out.unionByName(count("read_again", duplicated_keys(read, [key])))
+
+
+#: What a set of data needs to be eligible, cells of a pair first.
+LEAST_CELLS, LEAST_CONTEXTS, LEAST_PERTURBATIONS, LEAST_PAIRS = 6, 2, 2, 8
+#: Labels that mean a control here, and columns that are no contexts.
+ELIGIBLE_CONTROLS = ("control", "ctrl", "non-targeting", "nt", "vehicle")
+
+
+def eligibility(rows: DataFrame, keys: list[str], context: str | None, perturbation: str | None, controls: tuple[str, ...] = ELIGIBLE_CONTROLS, forbidden: tuple[str, ...] = (), least_cells: int = LEAST_CELLS) -> DataFrame:
+    """(keys, n_contexts, n_perturbations, has_control, n_eligible_pairs, eligible, reasons) of each set of data: which columns hold context and perturbation, or None, is one choice for all.
+
+    Reasons, joined by semicolons: no context or perturbation column, the two are one, fewer than two contexts, a condition whose labels
+    number about as many as the perturbations, no control, too few pairs of enough cells. Sets without rows do not appear: see missing_files.
+    """
+    ctx = F.col(context) if context else F.lit(None).cast("string")
+    pert = F.col(perturbation) if perturbation else F.lit(None).cast("string")
+    pairs = rows.select(*keys, ctx.cast("string").alias("__c"), pert.cast("string").alias("__p")).groupBy(*keys, "__c", "__p").agg(F.count("*").alias("__n"))
+    control = F.coalesce(F.lower(F.trim("__p")).isin(*(c.lower() for c in controls)), F.lit(False))
+    whole = F.col("__c").isNotNull() & F.col("__p").isNotNull() & (F.col("__n") >= least_cells)
+    sets = pairs.groupBy(*keys).agg(F.count_distinct("__c").alias("n_contexts"), F.count_distinct("__p").alias("n_perturbations"), F.bool_or(control).alias("has_control"), F.count_if(whole).alias("n_eligible_pairs"))
+    contexts, perturbations, found = F.col("n_contexts"), F.col("n_perturbations"), F.col("n_eligible_pairs")
+    combined = F.lit(context == "condition") & (contexts >= 2) & (perturbations >= 2) & (F.abs(contexts - perturbations) <= F.greatest(F.lit(2), F.floor(perturbations * 0.05)))
+    reasons = {
+        "no_context_col>=2": F.lit(context is None),
+        "no_perturbation_col>=2": F.lit(perturbation is None),
+        "context_equals_perturbation": F.lit(context is not None and context == perturbation),
+        "n_contexts<2": contexts < LEAST_CONTEXTS,
+        "condition_perturbation_combinatorial_not_cross_context": combined,
+        "no_control_in_perturbation_col": ~F.col("has_control"),
+    }
+    texts = [F.when(lacks, F.lit(name)) for name, lacks in reasons.items()]
+    texts.append(F.when(found < LEAST_PAIRS, F.concat(F.lit("n_eligible_pairs="), found.cast("string"), F.lit(f"<{LEAST_PAIRS}"))))
+    sets = sets.withColumn("reasons", F.concat_ws(";", *texts))
+    eligible = (F.col("reasons") == "") & (perturbations >= LEAST_PERTURBATIONS) & F.lit(context not in forbidden)
+    return sets.withColumn("eligible", eligible).withColumn("reasons", F.when(~eligible & (F.col("reasons") == ""), "unknown").otherwise(F.col("reasons")))
+
+
+def missing_files(named: DataFrame, audited: DataFrame, key: str) -> DataFrame:
+    """audited with a row for each name of named that has none: nothing counted, reason file_missing."""
+    absent = named.select(key).distinct().join(audited, key, "left_anti")
+    counts = {c: F.lit(0).cast("long") for c in ("n_contexts", "n_perturbations", "n_eligible_pairs")}
+    return audited.unionByName(absent.withColumns(counts | {"has_control": F.lit(False), "eligible": F.lit(False), "reasons": F.lit("file_missing")}))

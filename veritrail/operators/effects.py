@@ -70,3 +70,44 @@ def energy_distances(cells: DataFrame, control: str, context: list[str]) -> Data
     rows = sides.filter(~is_control).join(base, context).join(across, keys, "left")
     delta = F.col("power") + F.col("base_power") - 2 * F.coalesce("inner", F.lit(0.0))
     return rows.withColumn("delta", delta).select(*keys, "n_cells", "delta", "sigma_control", "sigma", (2 * F.col("delta") - F.col("sigma_control") - F.col("sigma")).alias("energy"))
+
+
+def split_half_noise(cells: DataFrame, masks: DataFrame, control: str, repeats: int, least: int) -> DataFrame:
+    """(context, perturbation, n_cells, n_repeats, rmse_mean, rmse_sd, pearson_error, cosine_error): how far effects of two halves of the cells lie apart.
+
+    masks is (context, perturbation, batch, cell, mask) of half_masks, for controls too. An effect is a half's mean less that of the
+    control's half; absent rows are zeros, over all genes of cells. Repeats with fewer than least cells in a half, of the perturbation or
+    of its control, do not count; errors are 1 - r and 1 - cosine, null where an effect is constant or zero.
+    """
+    keys = ["context", "perturbation"]
+    left = lambda r: F.col("mask").bitwiseAND(1 << r) != 0
+    sizes = masks.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(F.count_if(left(r)) for r in range(repeats))).alias("n_left"))
+    joined = cells.join(masks, [*keys, "batch", "cell"])
+    sums = joined.groupBy(*keys, "gene").agg(F.sum("x").alias("s"), F.array(*(F.coalesce(F.sum(F.when(left(r), F.col("x"))), F.lit(0.0)) for r in range(repeats))).alias("s_left"))
+    sizes, sums = written(sizes), written(sums)
+    of = lambda df, own, **names: df.filter((F.col("perturbation") == control) == F.lit(not own)).select(*(F.col(c).alias(names.get(c, c)) for c in df.columns if own or c != "perturbation"))
+    base = of(sums, False, s="cs", s_left="cs_left")
+    pairs = of(sizes, True).join(of(sizes, False, n="cn", n_left="cn_left"), "context")
+    treated = of(sums, True)
+    grid = pairs.join(base, "context").join(treated, [*keys, "gene"], "left")
+    alone = pairs.join(treated, keys).join(base.select("context", "gene"), ["context", "gene"], "left_anti").withColumns({"cs": F.lit(None).cast("double"), "cs_left": F.lit(None).cast("array<double>")})
+    both = grid.unionByName(alone)
+    zeros = F.array_repeat(F.lit(0.0), repeats)
+    both = both.withColumns({"s": F.coalesce("s", F.lit(0.0)), "cs": F.coalesce("cs", F.lit(0.0)), "s_left": F.coalesce("s_left", zeros), "cs_left": F.coalesce("cs_left", zeros)})
+    rows = both.select(*keys, "n", "cn", "s", "cs", F.posexplode(F.arrays_zip("s_left", "cs_left", "n_left", "cn_left")).alias("repeat", "h")).select(*keys, "n", "cn", "s", "cs", "repeat", "h.*")
+    enough = F.least("n_left", F.col("n") - F.col("n_left"), "cn_left", F.col("cn") - F.col("cn_left")) >= least
+    a = F.col("s_left") / F.col("n_left") - F.col("cs_left") / F.col("cn_left")
+    b = (F.col("s") - F.col("s_left")) / (F.col("n") - F.col("n_left")) - (F.col("cs") - F.col("cs_left")) / (F.col("cn") - F.col("cn_left"))
+    rows = rows.filter(enough).select(*keys, "n", "repeat", a.alias("a"), b.alias("b"))
+    moments = {"aa": "a * a", "bb": "b * b", "ab": "a * b", "sa": "a", "sb": "b"}
+    found = rows.groupBy(*keys, "n", "repeat").agg(*(F.sum(F.expr(e)).alias(k) for k, e in moments.items()))
+    genes = sums.agg(F.count_distinct("gene").alias("g"))
+    found = found.join(F.broadcast(genes))  # one row
+    g, c = F.col("g"), F.col
+    spread = lambda q, s: c(q) - c(s) * c(s) / g
+    rmse = F.sqrt(F.greatest(c("aa") + c("bb") - 2 * c("ab"), F.lit(0.0)) / g)
+    size, wide = c("aa") * c("bb"), spread("aa", "sa") * spread("bb", "sb")
+    pearson = F.when(wide > 1e-18, 1 - (c("ab") - c("sa") * c("sb") / g) / F.sqrt(wide))
+    cosine = F.when(size > 1e-18, 1 - c("ab") / F.sqrt(size))
+    by_repeat = found.select(*keys, "n", rmse.alias("rmse"), pearson.alias("pearson"), cosine.alias("cosine"))
+    return by_repeat.groupBy(*keys, F.col("n").alias("n_cells")).agg(F.count("*").alias("n_repeats"), F.avg("rmse").alias("rmse_mean"), F.stddev_samp("rmse").alias("rmse_sd"), F.avg("pearson").alias("pearson_error"), F.avg("cosine").alias("cosine_error"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from veritrail.functions.ranks import average_ranks_of, by_value, quantiles, running
 from veritrail.functions.scalars import keep_count
+from veritrail.sources.storage import written
 
 
 def correlation(x: str, y: str) -> Column:
@@ -156,3 +157,16 @@ def adjusted(df: DataFrame, family: list[str], p: str, tie: str, method: str) ->
         ordered = F.max("__raw").over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = df.withColumns({"__rank": rank, "__raw": raw})
     return rows.withColumn(f"{p}_{method}", F.least(ordered, F.lit(1.0))).drop("__rank", "__raw")
+
+
+def within_magnitude(df: DataFrame, group: list[str], risk: str, error: str, magnitude: str, tie: str, bins: int = 4, least: int = 5) -> DataFrame:
+    """(group, bin, n, low, high, rho): rank correlation of risk and error within bins of equal counts of magnitude, from 0.
+
+    Rows that lack a value are left out, groups of fewer than 4 rows a bin give none, and rho is null below least rows of a bin.
+    """
+    rows = ordered_positions(df.dropna(subset=[risk, error, magnitude]).withColumn("__all", F.lit(0)), ["__all", *group], magnitude, [tie], "__at").filter(F.col("n") >= 4 * bins)
+    of = F.greatest(F.lit(1), F.ceil((F.col("__at") - 1) * float(bins) / F.greatest(F.col("n") - 1, F.lit(1)) - F.lit(1e-9))).cast("int") - 1
+    rows = written(rows.withColumn("bin", of).drop("n"))
+    keys = [*group, "bin"]
+    ranges = rows.groupBy(*keys).agg(F.min(magnitude).alias("low"), F.max(magnitude).alias("high"))
+    return spearman(rows, keys, risk, error, least).join(ranges, keys)

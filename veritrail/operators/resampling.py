@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.operators.metrics import hash_positions
+from veritrail.operators.metrics import hash_positions, spearman
+from veritrail.sources.storage import written
 
 
 def _draw(seed: str, *parts: Column) -> Column:
@@ -67,3 +68,39 @@ def halves(units: DataFrame, strata: list[str], unit: str, repeats: int, seed: s
     drawn = drawn.withColumn("__digest", F.sha2(F.concat(F.lit(seed), F.col("repeat").cast("string"), F.lit("\0"), F.col(unit).cast("string")), 256))
     placed = hash_positions(drawn, [*strata, "repeat"], "__digest", unit, "__at")
     return placed.select(*strata, unit, "repeat", (F.col("__at") % 2).cast("int").alias("half"))
+
+
+def half_masks(units: DataFrame, strata: list[str], unit: str, repeats: int, seed: str, orders: int = 5) -> DataFrame:
+    """(strata, unit, mask) of each distinct unit: bit r of mask says whether it is in the left half of repeat r; repeats are a multiple of orders, 60 at most.
+
+    In each of a few hash orders of a stratum, neighbours are couples, and a coin for each couple and repeat sends one of them left: any
+    balanced halving is as likely as another, and a stratum's units are ordered a few times, not once a repeat.
+    """
+    each = repeats // orders
+    drawn = units.select(*strata, unit).distinct().withColumn("__order", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
+    text = lambda *parts: F.sha2(F.concat_ws("|", F.lit(seed), *(p.cast("string") for p in parts)), 256)
+    drawn = drawn.withColumn("__digest", text(F.col("__order"), F.col(unit)))
+    placed = hash_positions(drawn, [*strata, "__order"], "__digest", unit, "__at")
+    coin = F.conv(F.substring(text(F.lit("coin"), F.col("__order"), *map(F.col, strata), F.floor((F.col("__at") - 1) / 2)), 1, 8), 16, 10).cast("long")
+    every = (1 << each) - 1
+    bits = F.when(F.col("__at") % 2 == 1, coin).otherwise(F.bitwise_not(coin)).bitwiseAND(every)
+    moved = bits * F.element_at(F.array(*(F.lit(1 << (each * k)).cast("long") for k in range(orders))), F.col("__order") + 1)
+    return placed.groupBy(*strata, unit).agg(F.sum(moved).alias("mask"))
+
+
+def association_null(risk: DataFrame, errors: DataFrame, unit: str, method: str, replicates: int, seed: str) -> DataFrame:
+    """(observed, n_null, p) of the median over methods of the rank correlation between a unit's risk and its error, against permutations of the risks.
+
+    risk is (unit, risk), errors (unit, method, error). Each replicate hands the units' risks on in a hash order; p is that of the upper tail,
+    the observed one counted.
+    """
+    known = risk.filter(F.col("risk").isNotNull() & F.col(unit).isNotNull())
+    base = _places(known.withColumn("r", F.lit(0)).withColumn("draw", _draw(seed, F.lit(0), F.col(unit))), ["r"], "draw", unit).select("place", F.col("risk").alias("given"))
+    rows = known.select(unit).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", _draw(seed, F.col("r"), F.col(unit)))
+    drawn = _places(rows, ["r"], "draw", unit).join(base, "place").select(unit, "r", "given")
+    both = known.select(unit, F.lit(0).alias("r"), F.col("risk").alias("given")).unionByName(drawn)
+    scored = spearman(both.join(errors.select(unit, method, "error"), unit), [method, "r"], "given", "error").filter("rho is not null")
+    stats = written(scored.groupBy("r").agg(F.median("rho").alias("stat")))  # of a few methods
+    observed = stats.filter("r = 0").select(F.col("stat").alias("observed"))
+    nulls = stats.filter("r > 0").join(F.broadcast(observed))  # one row
+    return nulls.groupBy("observed").agg(F.count("*").alias("n_null"), ((1 + F.count_if(F.col("stat") >= F.col("observed"))) / (1.0 + F.count("*"))).alias("p"))

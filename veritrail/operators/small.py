@@ -7,6 +7,7 @@ from math import ceil, exp, lgamma, log, sqrt
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:
@@ -113,3 +114,17 @@ def meta_analysis(studies: DataFrame, group: str, effect: str, error: str) -> Da
 
     kind = dict(studies.dtypes)[group]
     return studies.select(group, effect, error).groupBy(group).applyInPandas(run, f"`{group}` {kind}, n long, " + ", ".join(f"{c} double" for c in _META))
+
+
+def leave_one_out_meta(studies: DataFrame, study: str, effect: str, error: str) -> DataFrame:
+    """random_effects of all studies but one, for each that is removed (column removed); studies are few, and two must remain."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.dropna().sort_values([study])
+        if len(rows) < 3:
+            return pd.DataFrame(columns=["removed", "n", *_META])
+        rest = [rows[rows[study] != removed] for removed in rows[study]]
+        return pd.DataFrame([{"removed": removed, **random_effects(part[effect].to_numpy(float), part[error].to_numpy(float))} for removed, part in zip(rows[study], rest, strict=True)])
+
+    kind = dict(studies.dtypes)[study]
+    return studies.select(study, effect, error, F.lit(0).alias("__all")).groupBy("__all").applyInPandas(lambda rows: run(rows.drop(columns="__all")), f"removed {kind}, n long, " + ", ".join(f"{c} double" for c in _META))

@@ -9,6 +9,7 @@ from veritrail.functions.ranks import quantiles
 from veritrail.operators import certificates as cert
 from veritrail.plans.registry import query
 from veritrail.sources import views
+from veritrail.sources.storage import written
 from veritrail.sources.views import EVENTS, LONG, VECTORS
 
 CERTIFICATE = (
@@ -62,16 +63,18 @@ def pair_certificate(spark, sf_dir):
 
 
 _TRANSPORT = CERTIFICATE + (
-    ", k AS (SELECT quantile_disc(centroid_rmse, 0.9) AS u FROM cert), ref AS (SELECT task, position, avg(prediction) AS r FROM pred WHERE member <= 2 GROUP BY ALL),"
+    f", cal AS (SELECT centroid_rmse, row_number() OVER (ORDER BY centroid_rmse) AS pos, count(*) OVER () AS n FROM cert WHERE {views.split_sql('task')} <> 'test'), k AS (SELECT max(centroid_rmse) AS u FROM cal WHERE pos = least(n, ceil((n + 1) * 0.9 - 1e-9))), ref AS (SELECT task, position, avg(prediction) AS r FROM pred WHERE member <= 2 GROUP BY ALL),"
     " sh AS (SELECT task, sqrt(avg((c - r) ** 2)) AS s FROM cen JOIN ref USING (task, position) GROUP BY ALL),"
-    " up AS (SELECT *, u + s AS transported_upper, sqrt((u + s) ** 2 + diversity_lower ** 2) AS family_upper, u + s + family_radius AS worst_upper FROM cert JOIN sh USING (task), k)"
+    " up AS (SELECT *, u + s AS transported_upper, sqrt((u + s) ** 2 + diversity_lower ** 2) AS family_upper, u + s + family_radius AS worst_upper FROM cert JOIN sh USING (task), k WHERE " + views.split_sql("task") + " = 'test')"
 )
 
 
 def transported(spark, sf_dir):
+    """Upper bounds of test tasks, from the conformal quantile over the other tasks."""
     members, truth = views.predictions(spark, sf_dir)
-    rows = cert.family_certificate(members, truth, ["task"])
-    limit = rows.selectExpr("percentile_disc(0.9) WITHIN GROUP (ORDER BY centroid_rmse) AS u")
+    rows = views.splits(written(cert.family_certificate(members, truth, ["task"])), "task")
+    limit = cert.conformal_quantile(rows.filter("split <> 'test'").withColumn("all", F.lit(0)), ["all"], "centroid_rmse", 0.9, "u").select("u")
+    rows = rows.filter("split = 'test'")
     centre = members.groupBy("task", "position").agg(F.avg("prediction").alias("c"), F.avg(F.when(F.col("member") <= 2, F.col("prediction"))).alias("r"))
     gap = F.col("c") - F.col("r")
     shift = centre.groupBy("task").agg(F.sqrt(F.avg(gap * gap)).alias("s"))

@@ -10,6 +10,7 @@ from veritrail.functions import vectors as vec
 from veritrail.operators import contracts, metrics, resampling
 from veritrail.operators import effects as fx
 from veritrail.plans.certificate_queries import rounded
+from veritrail.plans.metric_queries import corr_sql, rank_sql
 from veritrail.plans.registry import query
 from veritrail.sources import views
 from veritrail.sources.tables import table
@@ -323,7 +324,7 @@ def predictor_set_audit(spark, sf_dir):
     return views.scored_events(spark, sf_dir).groupBy("cluster").agg(F.array_join(seen, ",").alias("observed"), (F.size(seen) == 5).alias("complete"))
 
 
-#: The reference's counts; the SQL has 50 and 19.
+#: The reference's counts.
 _REPLICATES, _PERMUTATIONS = 1000, 200
 _SEED = "sha256('boot|' || dataset || '|' || r || '|' || slot)"
 
@@ -340,12 +341,30 @@ def cluster_bootstrap_ci(spark, sf_dir):
 
 @query(
     "permutation_null",
+    f"""WITH {EVENTS}, k AS (SELECT cluster, avg(risk) AS risk FROM ev GROUP BY ALL HAVING avg(risk) IS NOT NULL AND cluster IS NOT NULL), er AS (SELECT dataset, cluster, avg(error) AS error FROM ev GROUP BY ALL),
+    d AS (SELECT r, cluster, risk, row_number() OVER (PARTITION BY r ORDER BY CAST(concat('0x', substr(sha256('perm|' || r || '|' || cluster), 1, 8)) AS BIGINT), cluster) AS pos FROM k, range(0, {_PERMUTATIONS} + 1) t(r)),
+    g AS (SELECT d.r, d.cluster, CASE WHEN d.r = 0 THEN d.risk ELSE b.risk END AS given FROM d JOIN d b ON b.r = 0 AND b.pos = d.pos),
+    q AS (SELECT r, dataset, {rank_sql('given', 'r, dataset')} AS a, {rank_sql('error', 'r, dataset')} AS b FROM g JOIN er USING (cluster) WHERE error IS NOT NULL), s AS (SELECT r, dataset, {corr_sql('a', 'b')} AS rho FROM q GROUP BY ALL HAVING count(*) >= 3),
+    t AS (SELECT r, median(rho) AS stat FROM s WHERE rho IS NOT NULL GROUP BY r), o AS (SELECT stat AS observed FROM t WHERE r = 0)
+    SELECT round(observed, 6) AS observed, count(*) AS n_null, round((1 + count(*) FILTER (stat >= observed)) / (1 + count(*)), 6) AS p FROM t, o WHERE r > 0 GROUP BY observed""",
+)
+def permutation_null(spark, sf_dir):
+    """Median over kinds of events of the correlation between a user's mean risk and mean error, against permutations of the users' risks."""
+    ev = views.scored_events(spark, sf_dir)
+    risk = ev.groupBy("cluster").agg(F.avg("risk").alias("risk"))
+    errors = ev.groupBy("dataset", "cluster").agg(F.avg("error").alias("error"))
+    rows = resampling.association_null(risk, errors, "cluster", "dataset", _PERMUTATIONS, "perm")
+    return rows.select("n_null", *rounded("observed", "p"))
+
+
+@query(
+    "permuted_flags",
     f"""WITH {EVENTS}, k AS (SELECT dataset, cluster, sum(error) AS s, count(error) AS n, coalesce(avg(risk) > 50, false) AS f FROM ev GROUP BY ALL), m AS (SELECT dataset, count(*) FILTER (f) AS flagged FROM k GROUP BY ALL),
     d AS (SELECT k.dataset, r, s, n, CASE WHEN r = 0 THEN f ELSE row_number() OVER (PARTITION BY k.dataset, r ORDER BY CAST(concat('0x', substr(sha256('perm|' || r || '|' || cluster), 1, 8)) AS BIGINT), cluster) <= flagged END AS f FROM k JOIN m USING (dataset), range(0, {_PERMUTATIONS} + 1) t(r)),
     t AS (SELECT dataset, r, sum(s) FILTER (f) / sum(n) FILTER (f) - sum(s) FILTER (NOT f) / sum(n) FILTER (NOT f) AS stat FROM d GROUP BY ALL), o AS (SELECT dataset, stat AS observed FROM t WHERE r = 0)
     SELECT dataset, round(observed, 6) AS observed, round((1 + count(*) FILTER (r > 0 AND stat >= observed)) / ({_PERMUTATIONS} + 1), 6) AS p FROM t JOIN o USING (dataset) GROUP BY dataset, observed""",
 )
-def permutation_null(spark, sf_dir):
+def permuted_flags(spark, sf_dir):
     """Mean error of clusters whose mean risk exceeds 50 less that of the others, against permutations of which clusters these are."""
     ev = views.scored_events(spark, sf_dir)
     rows = resampling.permutation_p(ev, ["dataset"], "cluster", F.avg("risk") > 50, "error", _PERMUTATIONS, "perm")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import scalars
 from veritrail.operators import certificates as cert
+from veritrail.operators import contracts, resampling, small
+from veritrail.operators import effects as fx
 from veritrail.operators import metrics as m
-from veritrail.operators import resampling, small
-from veritrail.plans.certificate_queries import rounded
+from veritrail.plans.certificate_queries import CERTIFICATE, rounded
 from veritrail.plans.metric_queries import corr_sql, rank_sql
 from veritrail.plans.registry import query
 from veritrail.sources import views
@@ -17,28 +18,28 @@ from veritrail.sources.tables import table
 from veritrail.sources.views import CELLS, EVENTS, LONG
 
 events = views.scored_events
-#: Cells that a pair needs, and the least numbers of contexts, perturbations and pairs that make a set of data eligible.
-LEAST_CELLS, LEAST_CONTEXTS, LEAST_PERTURBATIONS, LEAST_PAIRS = 4, 2, 20, 100
+#: Choices of columns for context and perturbation that the sets of data are audited under.
+_AUDITS = {"segment": ("context", "perturbation"), "same": ("perturbation", "perturbation"), "condition": ("condition", "perturbation"), "no_context": (None, "perturbation"), "no_perturbation": ("context", None)}
 
 
-@query(
-    "eligibility_reasons",
-    f"""WITH {CELLS}, p AS (SELECT batch, context, perturbation, count(DISTINCT cell) AS n FROM cells GROUP BY ALL),
-    b AS (SELECT batch, count(DISTINCT context) AS n_contexts, count(DISTINCT perturbation) AS n_perturbations, count(*) FILTER (n >= {LEAST_CELLS}) AS n_pairs, bool_or(perturbation = '{views.CONTROL}') AS has_control FROM p GROUP BY ALL)
-    SELECT *, concat_ws(';', CASE WHEN n_contexts < {LEAST_CONTEXTS} THEN 'few_contexts' END, CASE WHEN n_perturbations < {LEAST_PERTURBATIONS} THEN 'few_perturbations' END, CASE WHEN n_pairs < {LEAST_PAIRS} THEN 'few_pairs' END, CASE WHEN NOT has_control THEN 'no_control' END) AS reasons,
-    n_contexts >= {LEAST_CONTEXTS} AND n_perturbations >= {LEAST_PERTURBATIONS} AND n_pairs >= {LEAST_PAIRS} AND has_control AS eligible FROM b""",
-)
+def _eligibility_sql(audit: str, context: str | None, perturbation: str | None) -> str:
+    c, p = context or "NULL::VARCHAR", perturbation or "NULL::VARCHAR"
+    alike = f"{context == 'condition'} AND n_contexts >= 2 AND n_perturbations >= 2 AND abs(n_contexts - n_perturbations) <= greatest(2, floor(n_perturbations * 0.05))"
+    return f"""SELECT '{audit}' AS audit, *, reasons = '' AND n_perturbations >= 2 AS eligible FROM (SELECT *, concat_ws(';', CASE WHEN {context is None} THEN 'no_context_col>=2' END, CASE WHEN {perturbation is None} THEN 'no_perturbation_col>=2' END, CASE WHEN {context is not None and context == perturbation} THEN 'context_equals_perturbation' END,
+        CASE WHEN n_contexts < 2 THEN 'n_contexts<2' END, CASE WHEN {alike} THEN 'condition_perturbation_combinatorial_not_cross_context' END, CASE WHEN NOT has_control THEN 'no_control_in_perturbation_col' END, CASE WHEN n_eligible_pairs < 8 THEN 'n_eligible_pairs=' || n_eligible_pairs || '<8' END) AS reasons
+        FROM (SELECT batch, count(DISTINCT c) AS n_contexts, count(DISTINCT p) AS n_perturbations, coalesce(bool_or(lower(trim(p)) = '{views.CONTROL.lower()}'), false) AS has_control, count(*) FILTER (c IS NOT NULL AND p IS NOT NULL AND n >= 6) AS n_eligible_pairs
+        FROM (SELECT batch, {c} AS c, {p} AS p, count(*) AS n FROM rw GROUP BY ALL) GROUP BY batch))"""
+
+
+@query("eligibility_reasons", f"WITH {CELLS}, rw AS (SELECT *, perturbation || '_' || (l % 2) AS condition FROM (SELECT *, length(cell) AS l FROM cells)) " + " UNION ALL ".join(_eligibility_sql(k, *v) for k, v in _AUDITS.items()))
 def eligibility_reasons(spark, sf_dir):
-    pairs = views.cells(spark, sf_dir).groupBy("batch", "context", "perturbation").agg(F.count_distinct("cell").alias("n"))
-    sets = pairs.groupBy("batch").agg(
-        F.count_distinct("context").alias("n_contexts"),
-        F.count_distinct("perturbation").alias("n_perturbations"),
-        F.count_if(F.col("n") >= LEAST_CELLS).alias("n_pairs"),
-        F.bool_or(F.col("perturbation") == views.CONTROL).alias("has_control"),
-    )
-    lacks = {"few_contexts": F.col("n_contexts") < LEAST_CONTEXTS, "few_perturbations": F.col("n_perturbations") < LEAST_PERTURBATIONS, "few_pairs": F.col("n_pairs") < LEAST_PAIRS, "no_control": ~F.col("has_control")}
-    sets = sets.withColumn("reasons", F.concat_ws(";", *(F.when(lack, reason) for reason, lack in lacks.items())))
-    return sets.withColumn("eligible", F.col("reasons") == "")
+    """Every batch as a set of data, audited under each choice of columns."""
+    cells = views.cells(spark, sf_dir).withColumn("condition", F.concat_ws("_", "perturbation", (F.length("cell") % 2).cast("string")))
+    parts = [contracts.eligibility(cells, ["batch"], c, p, (views.CONTROL,)).withColumn("audit", F.lit(audit)) for audit, (c, p) in _AUDITS.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query(
@@ -71,14 +72,17 @@ def magnitude_strata(spark, sf_dir):
 
 @query(
     "within_magnitude_rho",
-    f"WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY cluster, event_id) AS pos, count(*) OVER (PARTITION BY dataset) AS n FROM ev WHERE risk IS NOT NULL AND error IS NOT NULL), b AS (SELECT *, CAST(greatest(1, ceil((pos - 1) * 4.0 / greatest(n - 1, 1) - 1e-9)) AS INT) AS bin FROM r), k AS (SELECT dataset, bin, {rank_sql('risk', 'dataset, bin')} AS a, {rank_sql('error', 'dataset, bin')} AS b FROM b) SELECT dataset, bin, count(*) AS n, round({corr_sql('a', 'b')}, 6) AS rho FROM k GROUP BY dataset, bin",
+    f"""WITH {CERTIFICATE}, mg AS (SELECT task, sqrt(sum(c * c)) AS magnitude FROM cen GROUP BY task), k AS (SELECT diversity_lower AS risk, family_rms_error AS error, magnitude, row_number() OVER (ORDER BY magnitude, task) AS pos, count(*) OVER () AS n FROM cert JOIN mg USING (task)),
+    b AS (SELECT *, CAST(greatest(1, ceil((pos - 1) * 4.0 / greatest(n - 1, 1) - 1e-9)) AS INT) - 1 AS bin FROM k WHERE n >= 16), r AS (SELECT *, {rank_sql('risk', 'bin')} AS a, {rank_sql('error', 'bin')} AS b FROM b)
+    SELECT bin, count(*) AS n, round(min(magnitude), 6) AS low, round(max(magnitude), 6) AS high, CASE WHEN count(*) >= 5 THEN round({corr_sql('a', 'b')}, 6) END AS rho FROM r GROUP BY bin""",
 )
 def within_magnitude_rho(spark, sf_dir):
-    """Rank correlation of risk and error within quarters of a magnitude."""
-    known = events(spark, sf_dir).filter("risk is not null and error is not null")
-    rows = m.ordered_positions(known, ["dataset"], "cluster", ["event_id"], "at")
-    quarter = F.greatest(F.lit(1), F.ceil((F.col("at") - 1) * 4.0 / F.greatest(F.col("n") - 1, F.lit(1)) - F.lit(1e-9))).cast("int")
-    return m.spearman(rows.withColumn("bin", quarter), ["dataset", "bin"], "risk", "error").withColumn("rho", F.round("rho", 6))
+    """Rank correlation of a family's spread and its error within quarters of the predicted magnitude."""
+    members, truth = views.predictions(spark, sf_dir)
+    certificates = cert.family_certificate(members, truth, ["task"])
+    centre = members.groupBy("task", "position").agg(F.avg("prediction").alias("c"))
+    size = centre.groupBy("task").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("magnitude"))
+    return m.within_magnitude(certificates.join(size, "task"), [], "diversity_lower", "family_rms_error", "magnitude", "task").select("bin", "n", *rounded("low", "high", "rho"))
 
 
 @query("gene_macro_spearman", f"WITH {EVENTS}, g AS (SELECT dataset, cluster, avg(risk) AS risk, avg(error) AS error FROM ev GROUP BY ALL), r AS (SELECT dataset, {rank_sql('risk', 'dataset')} AS a, {rank_sql('error', 'dataset')} AS b FROM g WHERE risk IS NOT NULL AND error IS NOT NULL) SELECT dataset, count(*) AS n, round({corr_sql('a', 'b')}, 6) AS rho FROM r GROUP BY dataset")
@@ -147,39 +151,29 @@ def four_level_summary(spark, sf_dir):
     return rows.cube("dataset", "split").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("n_clusters"), F.round(F.avg("error"), 6).alias("mean_error"), F.round(F.avg("risk"), 6).alias("mean_risk"))
 
 
-@query(
-    "leave_one_dataset_out_meta",
-    f"""WITH {EVENTS}, s AS (SELECT dataset, avg(error) AS y, var_samp(error) / count(error) AS v FROM ev GROUP BY dataset), p AS (SELECT a.dataset AS removed, sum(b.y / b.v) AS wy, sum(1 / b.v) AS w, count(*) AS n FROM s a JOIN s b ON b.dataset <> a.dataset GROUP BY ALL)
-    SELECT removed, n, round(wy / w, 6) AS estimate, round(1 / sqrt(w), 6) AS se FROM p""",
-)
+@query("leave_one_dataset_out_meta")
 def leave_one_dataset_out_meta(spark, sf_dir):
-    """Inverse-variance means of all datasets but one, from sums less the own row."""
-    s = events(spark, sf_dir).groupBy("dataset").agg(F.avg("error").alias("y"), (F.var_samp("error") / F.count("error")).alias("v"))
-    s = s.withColumn("w", 1 / F.col("v"))
-    whole = s.agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("all_w"), F.count("*").alias("n"))
-    w = F.col("all_w") - F.col("w")
-    rest = s.join(F.broadcast(whole)).filter("n > 1")  # whole is one row
-    return rest.select(F.col("dataset").alias("removed"), (F.col("n") - 1).alias("n"), F.round((F.col("wy") - F.col("w") * F.col("y")) / w, 6).alias("estimate"), F.round(1 / F.sqrt(w), 6).alias("se"))
+    """Random-effects mean of the data sets' correlations of risk and error, on Fisher's scale, without each of them in turn."""
+    rho = m.spearman(events(spark, sf_dir), ["dataset"], "risk", "error").filter("n > 3 and rho is not null")
+    studies = rho.select("dataset", scalars.fisher_z(F.col("rho")).alias("z"), (1 / F.sqrt(F.col("n") - 3)).alias("se"))
+    return small.leave_one_out_meta(studies, "dataset", "z", "se").withColumn("pooled_rho", F.tanh("estimate"))
 
 
 @query(
     "family_enumeration",
-    f"""WITH {LONG}, f AS (SELECT task, 'pair' AS family, member, position, prediction FROM pred WHERE member <= 2 UNION ALL SELECT task, 'all', member, position, prediction FROM pred UNION ALL SELECT task, 'all_and_no_change', member, position, prediction FROM pred
-        UNION ALL SELECT task, 'all_and_no_change', 0, position, 0 FROM (SELECT DISTINCT task, position FROM pred)),
+    f"""WITH {LONG}, tw AS (SELECT task, CASE WHEN member <= 2 THEN 1 ELSE 2 END AS member, position, avg(prediction) AS prediction FROM pred GROUP BY ALL), f AS (SELECT task, 'architecture_pair' AS family, member, position, prediction FROM tw UNION ALL SELECT task, 'all_seeds', member, position, prediction FROM pred UNION ALL SELECT task, 'no_change_control', member, position, prediction FROM tw
+        UNION ALL SELECT task, 'no_change_control', 0, position, 0 FROM (SELECT DISTINCT task, position FROM pred)),
     c AS (SELECT task, family, position, avg(prediction) AS c, var_pop(prediction) AS s FROM f GROUP BY ALL), n AS (SELECT task, family, count(DISTINCT member) AS n_members FROM f GROUP BY ALL),
     e AS (SELECT f.task, family, sqrt(avg((prediction - truth) ** 2)) AS family_rms_error FROM f JOIN truth USING (task, position) GROUP BY ALL),
     d AS (SELECT task, family, sqrt(avg(s)) AS lower_bound FROM c GROUP BY ALL)
     SELECT task, family, n_members, round(family_rms_error, 6) AS family_rms_error, round(lower_bound, 6) AS diversity_lower, lower_bound > family_rms_error + 1e-10 AS violation FROM n JOIN d USING (task, family) JOIN e USING (task, family)""",
 )
 def family_enumeration(spark, sf_dir):
-    """Error and lower bound of each registered family of a task: two members, all, and all with a prediction of no change."""
+    """Error and lower bound of each registered family of a task: the seed means of two architectures, all seeds, and the means with a prediction of no change."""
     members, truth = views.predictions(spark, sf_dir)
-    families = F.array(F.when(F.col("member") <= 2, "pair"), F.lit("all"), F.lit("all_and_no_change"))
-    named = members.select("task", F.explode(F.array_compact(families)).alias("family"), "member", "position", "prediction")
-    zero = members.select("task", "position").distinct().select("task", F.lit("all_and_no_change").alias("family"), F.lit(0).cast("long").alias("member"), "position", F.lit(0.0).alias("prediction"))
-    both = named.unionByName(zero)
-    targets = truth.withColumn("family", F.explode(F.array(*map(F.lit, ("pair", "all", "all_and_no_change")))))
-    out = cert.family_certificate(both, targets, ["task", "family"])
+    families = cert.registered_families(members, F.when(F.col("member") <= 2, 1).otherwise(2))
+    targets = truth.withColumn("family", F.explode(F.array(*map(F.lit, ("architecture_pair", "all_seeds", "no_change_control")))))
+    out = cert.family_certificate(families, targets, ["task", "family"])
     return out.select("task", "family", "n_members", *rounded("family_rms_error", "diversity_lower"), F.col("family_violation").alias("violation"))
 
 
@@ -210,23 +204,25 @@ def seed_median(spark, sf_dir):
     return runs.groupBy("dataset", "cluster").agg(F.round(F.median("error"), 6).alias("error"), F.median("n").alias("sample_size"), F.count_distinct("seed").alias("n_seeds"))
 
 
-#: Times that cells are halved, and the genes that both halves need.
-REPEATS, LEAST_GENES = 5, 3
+#: The reference's halvings and the cells that each half needs.
+REPEATS, LEAST_HALF = 50, 20
+_COIN = "CAST(concat('0x', substr(sha256('half|coin|' || o || '|' || context || '|' || perturbation || '|' || batch || '|' || ((pos - 1) // 2)), 1, 8)) AS BIGINT)"
 
 
 @query(
     "split_half_reproducibility",
-    f"""WITH {CELLS}, u AS (SELECT DISTINCT context, perturbation, batch, cell FROM cells),
-    h AS (SELECT u.*, repeat, row_number() OVER (PARTITION BY context, perturbation, batch, repeat ORDER BY sha256('half' || repeat || chr(0) || cell), cell) % 2 AS half FROM u, range(0, {REPEATS}) t(repeat)),
-    g AS (SELECT context, perturbation, repeat, gene, avg(x) FILTER (half = 1) AS a, avg(x) FILTER (half = 0) AS b FROM cells JOIN h USING (context, perturbation, batch, cell) GROUP BY ALL),
-    k AS (SELECT context, perturbation, repeat, {corr_sql('a', 'b')} AS r FROM g WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL HAVING count(*) >= {LEAST_GENES})
-    SELECT context, perturbation, count(r) AS n_repeats, round(avg(r), 6) AS mean_r, round(min(r), 6) AS least_r FROM k GROUP BY ALL""",
+    f"""WITH {CELLS}, u AS (SELECT DISTINCT context, perturbation, batch, cell FROM cells), o AS (SELECT u.*, o, row_number() OVER (PARTITION BY context, perturbation, batch, o ORDER BY sha256('half|' || o || '|' || cell), cell) AS pos FROM u, range(0, 5) t(o)),
+    h AS (SELECT context, perturbation, batch, cell, o * {REPEATS // 5} + j AS repeat, ((({_COIN} >> j) & 1) = pos % 2) AS is_left FROM o, range(0, {REPEATS // 5}) t(j)),
+    n AS (SELECT context, perturbation, repeat, count(*) FILTER (is_left) AS nl, count(*) FILTER (NOT is_left) AS nr FROM h GROUP BY ALL), gs AS (SELECT DISTINCT gene FROM cells),
+    s AS (SELECT context, perturbation, repeat, gene, coalesce(sum(x) FILTER (is_left), 0) AS sl, coalesce(sum(x) FILTER (NOT is_left), 0) AS sr FROM cells JOIN h USING (context, perturbation, batch, cell) GROUP BY ALL),
+    mm AS (SELECT n.*, gene, coalesce(sl, 0) / nl AS ml, coalesce(sr, 0) / nr AS mr FROM n CROSS JOIN gs LEFT JOIN s USING (context, perturbation, repeat, gene)),
+    e AS (SELECT p.context, p.perturbation, p.repeat, p.nl + p.nr AS n, p.ml - k.ml AS a, p.mr - k.mr AS b FROM mm p JOIN mm k ON k.context = p.context AND k.repeat = p.repeat AND k.gene = p.gene AND k.perturbation = '{views.CONTROL}' WHERE p.perturbation <> '{views.CONTROL}' AND least(p.nl, p.nr, k.nl, k.nr) >= {LEAST_HALF}),
+    r AS (SELECT context, perturbation, repeat, n, sqrt(avg((a - b) ** 2)) AS rmse, 1 - {corr_sql('a', 'b')} AS pe, 1 - sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS ce FROM e GROUP BY ALL)
+    SELECT context, perturbation, n AS n_cells, count(*) AS n_repeats, round(avg(rmse), 6) AS rmse_mean, round(stddev_samp(rmse), 6) AS rmse_sd, round(avg(pe), 6) AS pearson_error, round(avg(ce), 6) AS cosine_error FROM r GROUP BY ALL""",
 )
 def split_half_reproducibility(spark, sf_dir):
-    """Correlation over genes of the means of two halves of a pair's cells, halved within batches several times."""
-    cells, strata = views.cells(spark, sf_dir), ["context", "perturbation", "batch"]
-    drawn = resampling.halves(cells, strata, "cell", REPEATS, "half")
-    of = lambda half: F.avg(F.when(F.col("half") == half, F.col("x")))
-    genes = cells.join(drawn, [*strata, "cell"]).groupBy("context", "perturbation", "repeat", "gene").agg(of(1).alias("a"), of(0).alias("b")).dropna(subset=["a", "b"])
-    by_repeat = genes.groupBy("context", "perturbation", "repeat").agg(m.correlation("a", "b").alias("r"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_GENES)
-    return by_repeat.groupBy("context", "perturbation").agg(F.count("r").alias("n_repeats"), F.round(F.avg("r"), 6).alias("mean_r"), F.round(F.min("r"), 6).alias("least_r"))
+    """How far the effects of two halves of a pair's cells lie apart, halved within batches fifty times together with the control."""
+    cells = views.cells(spark, sf_dir)
+    masks = resampling.half_masks(cells, ["context", "perturbation", "batch"], "cell", REPEATS, "half")
+    noise = fx.split_half_noise(cells, masks, views.CONTROL, REPEATS, LEAST_HALF)
+    return noise.select("context", "perturbation", "n_cells", "n_repeats", *rounded("rmse_mean", "rmse_sd", "pearson_error", "cosine_error"))

@@ -97,8 +97,13 @@ def test_hot_values_share_out_and_quantiles_are_exact(spark):
     draw = np.random.default_rng(3)
     values = [7.0 if draw.random() < 0.9 else float(draw.integers(0, 50)) for _ in range(4000)]
     rows = spark.createDataFrame([("g", k, v) for k, v in enumerate(values)] + [("none", -1, None)], "g string, k long, v double")
-    spread = ranks._in_ranges(rows.filter("v is not null"), ["g"], "v", ["k"]).groupBy("__range").count().orderBy(F.desc("count")).first()["count"]
-    assert spread < 4000 / 20  # a value in nine of ten rows
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for keys in (["g", "v", "k"], ["g", "v"], ["g"]):  # a value in nine of ten rows, with a tie that tells rows apart, and without
+        assert ranks.in_runs(rows.filter("v is not null"), keys).groupBy("__run").count().agg(F.max("count")).first()[0] < 4000 / 20
+    for c, v in before.items():
+        spark.conf.set(c, v)
     got = {r.k: r.before_one for r in ranks.running(rows.filter("v is not null"), ["g"], "v", {"one": F.lit(1)}, ["k"]).collect()}
     assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(4000), key=lambda k: (values[k], k))
     shares = {"a": 0.0, "b": 0.03, "c": 0.5, "d": 0.987, "e": 1.0}

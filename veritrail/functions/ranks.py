@@ -20,15 +20,19 @@ def _same(group: list[str]) -> list[Column]:
     return [F.col(g).eqNullSafe(F.col(f"__g_{g}")) for g in group]
 
 
+def in_runs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with __run, its range among ranges of about even size in the order of keys; __row tells rows apart that are equal in all keys."""
+    marked = df.withColumn("__row", F.monotonically_increasing_id())
+    return marked.repartitionByRange(*keys, "__row").withColumn("__run", F.spark_partition_id())
+
+
 def running(df: DataFrame, group: list[str], order: str, sums: Mapping[str, Column], tie: list[str] | None = None) -> DataFrame:
     """df with before_<name> and total_<name> of each sum: over a group's rows ahead in the order (order, then tie), and over all.
 
     Rows equal in order and tie stand in any order; give a tie that tells them apart where that matters.
     """
     keys = [order, *(tie or [])]
-    marked = df.withColumns({f"__{k}": v for k, v in sums.items()} | {"__row": F.monotonically_increasing_id()})
-    dealt = marked.repartitionByRange(*group, *keys, "__row")  # the row number shares out rows that are equal in all else
-    runs = written(dealt.withColumn("__run", F.spark_partition_id()))
+    runs = written(in_runs(df.withColumns({f"__{k}": v for k, v in sums.items()}), [*group, *keys]))
     of_run = runs.groupBy(*group, "__run").agg(*(F.sum(f"__{k}").alias(f"__in_{k}") for k in sums))
     whole, ahead = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("__run")  # a row for each run of a group
     offsets = of_run.select(
@@ -84,7 +88,7 @@ def quantiles(df: DataFrame, group: list[str], value: Column, shares: Mapping[st
         place = (F.col("total_n") - 1) * F.lit(share)
         part = F.max(place - F.floor(place))
         low, high = at(F.floor(place)), at(F.ceil(place))
-        out.append(((1 - part) * low + part * high).alias(name))
+        out.append(F.when((part > 0) & (low != high), low + part * (high - low)).otherwise(low).alias(name))  # infinite values stay
     found = counted.groupBy(*group).agg(*out)
     named = found.select(*(F.col(g).alias(f"__g_{g}") for g in group), *shares)
     every = counts.select(*group).distinct()

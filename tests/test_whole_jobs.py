@@ -137,7 +137,7 @@ def test_permutations_are_200(spark):
     clusters = defaultdict(lambda: defaultdict(list))
     for r in views.scored_events(spark, SF).collect():
         clusters[r.dataset][r.cluster].append((r.risk, r.error))
-    got = {r.dataset: r for r in QUERIES["permutation_null"](spark, SF).collect()}
+    got = {r.dataset: r for r in QUERIES["permuted_flags"](spark, SF).collect()}
     assert got.keys() == clusters.keys()
     for dataset, of in clusters.items():
         high = {c for c, v in of.items() if np.mean([x for x, _ in v]) > 50}

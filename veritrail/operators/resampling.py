@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritrail.functions.ranks import running
 from veritrail.operators.metrics import hash_positions, spearman
 from veritrail.sources.storage import written
 
@@ -15,23 +16,36 @@ def _draw(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def _slots(clusters: DataFrame, group: list[str], cluster: str) -> DataFrame:
+    """clusters (a row each) with slot, their number (from 0) in the group, and m, how many the group has; written."""
+    numbered = running(clusters, group, cluster, {"one": F.lit(1)})
+    return written(numbered.withColumns({"slot": F.col("before_one").cast("long"), "m": F.col("total_one").cast("long")}).drop("before_one", "total_one"))
+
+
+def _picks(slots: DataFrame, group: list[str], replicates: int, seed: str) -> DataFrame:
+    """(group, replicate, pick): as many draws with replacement as a group has clusters."""
+    drawn = slots.select(*group, "slot", "m").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return drawn.select(*group, "replicate", (_draw(seed, *(F.col(g) for g in group), F.col("replicate"), F.col("slot")) % F.col("m")).alias("pick"))
+
+
 def multiplicities(clusters: DataFrame, group: list[str], cluster: str, replicates: int, seed: str) -> DataFrame:
     """(group, replicate, cluster, times): as many draws with replacement as a group has clusters."""
-    ids = clusters.select(*group, cluster).distinct()
-    w = Window.partitionBy(*group)
-    numbered = ids.withColumns({"slot": F.row_number().over(w.orderBy(cluster)) - 1, "n": F.count("*").over(w)})
-    slots = numbered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = slots.withColumn("pick", _draw(seed, *(F.col(g) for g in group), F.col("replicate"), F.col("slot")) % F.col("n")).groupBy(*group, "replicate", "pick").agg(F.count("*").alias("times"))
-    return drawn.join(numbered.select(*group, cluster, F.col("slot").alias("pick")), [*group, "pick"]).select(*group, "replicate", cluster, "times")
+    slots = _slots(clusters.select(*group, cluster).distinct(), group, cluster)
+    drawn = _picks(slots, group, replicates, seed).groupBy(*group, "replicate", "pick").agg(F.count("*").alias("times"))
+    return drawn.join(slots.select(*group, cluster, F.col("slot").alias("pick")), [*group, "pick"]).select(*group, "replicate", cluster, "times")
 
 
 def bootstrap_mean(df: DataFrame, group: list[str], cluster: str, value: str, replicates: int, seed: str) -> DataFrame:
-    """(group, estimate, low, high): mean and 95 % percentile interval over resampled clusters, on cluster sums alone."""
+    """(group, estimate, low, high): mean and 95 % percentile interval over resampled clusters, on cluster sums alone.
+
+    Every draw meets the sums of the cluster it picks, and tasks add up their draws before these are shuffled.
+    """
     sums = df.groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = multiplicities(sums, group, cluster, replicates, seed).join(sums, [*group, cluster])
-    means = drawn.groupBy(*group, "replicate").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("mean"))
+    slots = _slots(sums, group, cluster)
+    drawn = _picks(slots, group, replicates, seed).join(slots.select(*group, F.col("slot").alias("pick"), "s", "n"), [*group, "pick"])
+    means = drawn.groupBy(*group, "replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))
     ends = means.groupBy(*group).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
-    return df.groupBy(*group).agg(F.avg(value).alias("estimate")).join(ends, group)
+    return slots.groupBy(*group).agg((F.sum("s") / F.sum("n")).alias("estimate")).join(ends, group)
 
 
 def _places(df: DataFrame, keys: list[str], draw: str, tie: str) -> DataFrame:

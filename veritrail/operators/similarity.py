@@ -6,13 +6,16 @@ the pool key, and the vectors of a pool are spread over the rows of the join.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import vectors as vec
+from veritrail.sources.storage import written
 
 
 def scored_pairs(queries: DataFrame, sources: DataFrame, pool: list[str], allowed: Column | None = None) -> DataFrame:
@@ -68,13 +71,55 @@ def projected(long: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame
     return long.join(weights, "position").groupBy(*keys, "component").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
 
 
+#: Positions of one block of products.
+BLOCK = 512
+
+
+def position_products(rows: DataFrame, vector: str, size: int) -> DataFrame:
+    """(a, b, s): sums over rows of products of entries a and b, for all positions.
+
+    Rows are dealt to tasks once for every block of b; a task adds up the products of all a with its block, and Spark adds up tasks.
+    """
+    blocks = -(-size // BLOCK)
+    spread = rows.select(F.col(vector).alias("v")).filter(F.col("v").isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = spread.repartition("block", F.pmod(F.xxhash64("v"), F.lit(32))) if blocks > 1 else spread
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block = batch["block"].to_numpy()
+            x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(block), -1)
+            for k in np.unique(block).tolist():
+                mine = x[block == k]
+                found = mine.T @ mine[:, k * BLOCK : (k + 1) * BLOCK]
+                sums[k] = sums[k] + found if k in sums else found
+        for k, found in sums.items():
+            a, b = np.indices(found.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(a.ravel().astype(np.int32)), pa.array((b + k * BLOCK).ravel().astype(np.int32)), pa.array(found.ravel())], names=["a", "b", "s"])
+
+    return dealt.mapInArrow(run, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+
+
 def correlated_positions(rows: DataFrame, vector: str, most: int = 10, least: float = 0.4) -> DataFrame:
     """(a, b, r): for each position b the positions a of the most + 1 greatest |r|, b itself among them, that reach least, and always b.
 
-    One aggregate gives the correlations of all positions; the matrix of positions comes to the driver. A constant position has r 0.
+    Correlations are joins of sums, one row for each pair of positions; no matrix is gathered. Vectors are of one length; a constant
+    position has r 0.
     """
-    spark = rows.sparkSession
-    r = Correlation.corr(rows.filter(F.col(vector).isNotNull()).select(array_to_vector(vector).alias("v")), "v").first()[0].toArray()
-    pairs = spark.createDataFrame([(a, b, float(r[a, b])) for a in range(len(r)) for b in range(len(r))], "a int, b int, r double").withColumn("r", F.nanvl("r", F.lit(0.0)))
+    known = rows.filter(F.col(vector).isNotNull())
+    facts = known.agg(F.max(F.size(vector)).alias("size"), F.count("*").alias("n")).first()
+    if not facts.size:
+        return rows.sparkSession.createDataFrame([], "a int, b int, r double")
+    n = float(facts.n)
+    means = known.select(F.posexplode(vector).alias("p", "x")).groupBy("p").agg(F.avg("x").alias("m"))
+    means = means.groupBy().agg(F.array_sort(F.collect_list(F.struct("p", "m"))).alias("v")).select(F.transform("v", lambda s: s["m"]).alias("__m"))  # one row, a number for each position
+    centred = known.join(F.broadcast(means)).select(F.zip_with(vector, "__m", lambda x, m: x - m).alias("v"))
+    sums = written(position_products(centred, "v", facts.size))
+    own = sums.filter("a = b").select(F.col("a").alias("p"), F.col("s").alias("q"))
+    of = lambda c, name: own.select(F.col("p").alias(c), F.col("q").alias(name))
+    pairs = sums.join(of("a", "qa"), "a").join(of("b", "qb"), "b")
+    size = F.sqrt(F.col("qa") * F.col("qb"))
+    r = F.when((F.col("qa") > 1e-24 * n) & (F.col("qb") > 1e-24 * n), F.col("s") / size).otherwise(0.0)
+    pairs = pairs.select("a", "b", r.alias("r"))
     nth = F.row_number().over(Window.partitionBy("b").orderBy(F.abs("r").desc(), F.col("a").desc()))  # of one target's positions
     return pairs.withColumn("nth", nth).filter((F.col("a") == F.col("b")) | (F.col("nth") <= most + 1) & (F.abs("r") >= least)).select("a", "b", "r")

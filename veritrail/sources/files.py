@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
     """A CSV or TSV with a header; types are given, never inferred, and empty fields and NA stay text."""
-    return spark.read.schema(schema).csv(path, header=True, sep=sep, nullValue="\0", emptyValue="", enforceSchema=False)
+    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, nullValue="\0", emptyValue="", enforceSchema=False)
+    return rows.fillna("", [f.name for f in schema if f.dataType == T.StringType()])  # Spark reads an empty field as null
 
 
 def read_vectors(spark: SparkSession, path: str, length: int) -> DataFrame:

@@ -60,3 +60,27 @@ def test_queries_against_plain_python(spark):
     for r in op1_secret_scan(spark, SF).collect():
         hexes = [m for m in re.finditer("[0-9a-f]+", rows[r.doc_id].text or "") if len(m[0]) >= 24]
         assert r.n_hex == len(hexes)
+
+
+def test_stages_take_nulls_repeats_and_very_long_texts(spark, tmp_path):
+    """Every stage on rows without values, repeated rows and a text of 20 MB, with columns named like its own."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    long = " ".join(f"word{k % 997} filler{k % 31}" for k in range(1_500_000))
+    odd = [(None, "a text without an id but with quite a few words in it", None, None, None), (900_001, None, "en", "src0", 0), (900_002, "", None, "src1", 0), (900_003, long, "en", "src0", len(long)), (900_004, f"token = abcdef0123456789 {long}", "en", None, None)]
+    repeated = base.limit(5).unionByName(base.limit(5))
+    docs = base.unionByName(repeated).unionByName(spark.createDataFrame(odd, base.schema)).selectExpr("*", "'own' as __score", "'own' as __first", "'own' as __copy", "'own' as mix_order")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, str(tmp_path))
+        assert frame.columns == names, name
+        frame.write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+    rows = frame.select("doc_id", "text", "n_chars", "__score", "__first", "__copy").collect()
+    assert all(r["__score"] == r["__first"] == r["__copy"] == "own" for r in rows)
+    assert len({r.doc_id for r in rows}) == len({(r.doc_id, r.text) for r in rows})  # of repeated rows one stays, though the mix may take it twice
+    assert not any("abcdef0123456789" in (r.text or "") for r in rows)
+    final = corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).select("doc_id", "exact", "n_tokens").collect()
+    assert len(final) == len(rows) and all(r.exact for r in final)

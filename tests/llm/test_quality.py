@@ -35,3 +35,18 @@ def test_edge_cases(spark):
     assert all(0 <= r.quality_score <= 1 for r in quality.score_quality(docs, model).collect())
     assert quality.score_quality(docs.limit(0), model).count() == 0
     assert quality.features(None) == quality.features(" \n") == [0.0] * len(quality.FEATURES)
+
+
+def test_scores_are_sums_of_table_entries(spark):
+    """The query's scores against a lookup entry by entry in the fitted tables."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    model = quality.fit_quality(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bin_of = lambda edges, x: sum(e <= x for e in edges)
+    assert model.pairs and len(model.tables) == len(quality.FEATURES)
+    for r in op6_quality_classifier(spark, small).collect():
+        x = quality.features(texts[r.doc_id])
+        margin = model.intercept + sum(t[bin_of(model.edges[f], x[f])] for f, t in enumerate(model.tables))
+        margin += sum(t[bin_of(model.pair_edges[a], x[a])][bin_of(model.pair_edges[b], x[b])] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-9

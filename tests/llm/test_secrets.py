@@ -59,3 +59,34 @@ def test_frame(spark):
     assert got == ["", "", "", "assign:2:15", "assign:2:15"]
     assert sorted(str(r.text) for r in redact_secrets(docs).collect()) == ["", "None", "no", "é [secret]", "é [secret]"]
     assert scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_query_equals_plain_regexes_of_all_kinds(spark, tmp_path):
+    """Counts, base_sha256 and the spans of every kind, over whole texts with secrets of each kind put in."""
+    import hashlib
+
+    from veritrail.llm.queries import op1_secret_scan
+    from veritrail.llm.shared import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    pick = random.Random(7)
+    parts = [*PARTS, "-----BEGIN EC PRIVATE KEY-----", "eyJ" + "a9" * 12 + ".eyJ" + "b_" * 9 + ".sig-", "ghp_" + "Zq9" * 13, "AIza" + "x-Y" * 13, "AIza"]
+    made = [(10_000 + k, "".join(pick.choice(parts) for _ in range(pick.randint(1, 30)))) for k in range(300)] + [(20_000, None), (20_001, "ı" * 9 + "TOKEN=ſecretK")]
+    rows = [tuple(r) for r in docs.collect()] + made
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1_secret_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    kinds = [r.kind for r in RULES]
+    seen = set()
+    for doc_id, text in rows:
+        found = []
+        for j, rule in enumerate(RULES):
+            regex, least, group = PLAIN.get(rule.kind, (rule.regex, rule.least, 0))
+            found += [(m.start(), j, m.end()) for m in re.finditer(regex, text or "", re.ASCII) if len(m.group(group)) >= least]
+        as_text = lambda of: ",".join(f"{kinds[j]}:{s}:{e}" for s, j, e in sorted(of))
+        r = got[doc_id]
+        assert r.spans == as_text(found)
+        assert r.base_sha256 == hashlib.sha256(as_text([x for x in found if x[1] < 3]).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(j == k for _, j, _ in found) for k in range(3))
+        seen |= {j for _, j, _ in found}
+    assert seen == set(range(len(RULES)))

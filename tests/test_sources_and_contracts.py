@@ -57,6 +57,20 @@ def test_releases_and_manifests(spark, tmp_path):
     assert changes == {"a": "changed", "b": "removed", "d": "added"}
 
 
+def test_written_tables_are_deleted_on_request(spark, tmp_path, monkeypatch):
+    from veritrail.sources import storage
+
+    monkeypatch.setattr(storage, "_LEFT", [])
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    with storage.Scratch(spark) as scratch:
+        inner = scratch.written(spark.range(5))
+        outer = storage.written(inner)
+        assert inner.count() == outer.count() == 5 and len(list(tmp_path.iterdir())) == 2
+    assert outer.count() == 5 and len(list(tmp_path.iterdir())) == 1
+    storage.delete_left(spark)
+    assert not list(tmp_path.iterdir())
+
+
 def test_joins_are_validated(spark):
     left = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, x int")
     right = spark.createDataFrame([("a", 10), ("c", 30)], "k string, y int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veritrail.functions import scalars
 from veritrail.functions import vectors as vec
 from veritrail.functions.ranks import quantiles
-from veritrail.operators import contracts, linear, metrics, similarity
+from veritrail.operators import contracts, linear, metrics, records, similarity
 from veritrail.plans.registry import query
 from veritrail.sources import views
 from veritrail.sources.tables import table
@@ -101,13 +101,29 @@ def array_contract(spark, sf_dir):
     return e.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.size("embedding") != 64).alias("wrong_length"), F.count_if(F.col("embedding").isNull()).alias("absent"), F.bool_and(right).alias("all_finite"))
 
 
-@query("name_ngram_jaccard", "WITH g AS (SELECT r_regionkey, r_name, list_distinct([lower(r_name)[i:i+2] for i in range(1, length(r_name) - 1)]) AS g FROM region) SELECT a.r_name AS a, b.r_name AS b, round(len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)), 6) AS jaccard FROM g a JOIN g b ON a.r_regionkey < b.r_regionkey")
+@query("name_ngram_jaccard", "WITH g AS (SELECT p_name AS t, list_distinct([p_name[i:i+2] for i in range(1, greatest(length(p_name) - 1, 2))]) AS g FROM (SELECT DISTINCT p_name FROM part WHERE p_name <> '')), j AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.g, b.g)) / len(list_distinct(a.g || b.g)) AS jaccard FROM g a JOIN g b ON a.t < b.t) SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.2")
 def name_ngram_jaccard(spark, sf_dir):
-    key = F.lower("r_name")
-    grams = F.when(F.length(key) < 3, F.array(key)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(key) - 2), lambda i: F.substring(key, i, F.lit(3)))))
-    g = table(spark, sf_dir, "region").select("r_regionkey", "r_name", grams.alias("g"))  # a fixed dimension of five rows
-    pairs = g.alias("a").join(g.alias("b"), F.expr("a.r_regionkey < b.r_regionkey"))
-    return pairs.select(F.col("a.r_name").alias("a"), F.col("b.r_name").alias("b"), F.round(vec.jaccard(F.col("a.g"), F.col("b.g")), 6).alias("jaccard"))
+    """Names of parts that are alike in their three-letter grams."""
+    return records.similar_texts(table(spark, sf_dir, "part"), "p_name", 0.2).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("sampled_tasks", f"WITH {CELLS} SELECT context, cell, gene, x FROM cells QUALIFY row_number() OVER (PARTITION BY context ORDER BY sha256('sample|' || cell), cell) <= 100")
+def sampled_tasks(spark, sf_dir):
+    """A hundred observations of each context, in hash order."""
+    return records.sampled_tasks(views.cells(spark, sf_dir).select("context", "cell", "gene", "x"), ["context"], "cell", 100, "sample")
+
+
+_FAMILIES = (("click", "action"), ("view", "action"), ("purchase", "sale"))
+
+
+@query("record_scan_join", f"WITH {EVENTS}, f AS (SELECT dataset, cluster, avg(risk) AS mean_risk, count(*) AS n FROM ev GROUP BY ALL), m(dataset, family) AS (VALUES {', '.join(map(str, _FAMILIES))}) SELECT event_id, dataset, cluster, error, round(mean_risk, 6) AS mean_risk, n, coalesce(family, 'other') AS dataset_family FROM ev LEFT JOIN f USING (dataset, cluster) LEFT JOIN m USING (dataset)")
+def record_scan_join(spark, sf_dir):
+    """Every event with the features of its data set and user, one row each, and the family of its data set."""
+    ev = views.scored_events(spark, sf_dir)
+    features = ev.groupBy("dataset", "cluster").agg(F.avg("risk").alias("mean_risk"), F.count("*").alias("n"))
+    families = spark.createDataFrame(list(_FAMILIES), "dataset string, family string")
+    rows = records.merged_records(ev.drop("risk"), features, families, ["dataset", "cluster"], "dataset")
+    return rows.withColumn("mean_risk", F.round("mean_risk", 6))
 
 
 @query("normalized_rmse", f"WITH {EVENTS}, e AS (SELECT dataset, quantile_cont(risk, 0.01) AS eps FROM ev WHERE risk > 0 GROUP BY 1) SELECT event_id, round(error / greatest(risk, eps) + 1e-9, 6) AS normalized_error FROM ev JOIN e USING (dataset)")

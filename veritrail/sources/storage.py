@@ -27,6 +27,10 @@ def new_place(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+#: Tables of this process that no Scratch deletes.
+_LEFT: list[str] = []
+
+
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut and a lost executor costs only its own tasks.
 
@@ -34,7 +38,9 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
     replaced; df must not read it.
     """
     spark = df.sparkSession
-    at = at or new_place(spark)
+    if at is None:
+        at = new_place(spark)
+        _LEFT.append(at)
     before = spark.conf.get(DROP_SHUFFLES, "false")
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
@@ -50,6 +56,12 @@ def deleted(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def delete_left(spark: SparkSession) -> None:
+    """Deletes the tables that written() has made so far outside a Scratch; for a caller that has taken all results that read them."""
+    while _LEFT:
+        deleted(spark, _LEFT.pop())
+
+
 class Scratch:
     """Intermediate tables of one job: written like written(), and deleted when dropped or when the job ends."""
 

@@ -107,10 +107,11 @@ def name_ngram_jaccard(spark, sf_dir):
     return records.similar_texts(table(spark, sf_dir, "part"), "p_name", 0.2).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("sampled_tasks", f"WITH {CELLS} SELECT context, cell, gene, x FROM cells QUALIFY row_number() OVER (PARTITION BY context ORDER BY sha256('sample|' || cell), cell) <= 100")
+@query("sampled_tasks", f"WITH {CELLS}, k AS (SELECT context, cell || '|' || gene || '|' || CAST(x AS BIGINT) AS observation FROM cells) SELECT context, observation FROM k QUALIFY row_number() OVER (PARTITION BY context ORDER BY sha256('sample|' || observation), observation) <= 100")
 def sampled_tasks(spark, sf_dir):
-    """A hundred observations of each context, in hash order."""
-    return records.sampled_tasks(views.cells(spark, sf_dir).select("context", "cell", "gene", "x"), ["context"], "cell", 100, "sample")
+    """A hundred observations of each context, in hash order; cells repeat, so an observation is named with its gene and value."""
+    rows = views.cells(spark, sf_dir).select("context", F.concat_ws("|", "cell", "gene", F.col("x").cast("long").cast("string")).alias("observation"))
+    return records.sampled_tasks(rows, ["context"], "observation", 100, "sample")
 
 
 _FAMILIES = (("click", "action"), ("view", "action"), ("purchase", "sale"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritrail.functions.vectors import rmse
-from veritrail.operators import programs
+from veritrail.operators import modules, programs
 from veritrail.plans.registry import query
 from veritrail.sources import views
 from veritrail.sources.tables import table
@@ -70,3 +70,10 @@ def program_transport(spark, sf_dir):
     """Of every task the errors of the strong baseline and of transport in program space."""
     rows = programs.transported(tasks(spark, sf_dir), 24, "combo")
     return rows.select("id", "train", F.round(rmse(F.col("base"), F.col("effect")), 6).alias("base_rmse"), F.round(rmse(F.col("prediction"), F.col("effect")), 6).alias("transport_rmse"))
+
+
+@query("network_modules")
+def network_modules(spark, sf_dir):
+    """Modules of the vectors' positions with their members' weights, and the single positions that fill the bank up."""
+    table = modules.network_modules(views.vectors(spark, sf_dir).select("v"), "v", 24)[1]
+    return table.select("program", "kind", "position", F.round("weight", 6).alias("weight"), F.round("hub", 6).alias("hub"))

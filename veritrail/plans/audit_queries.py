@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from veritrail.functions import scalars
 from veritrail.functions import vectors as vec
 from veritrail.functions.ranks import quantiles
-from veritrail.operators import contracts, linear, metrics, records, similarity
+from veritrail.operators import audits, contracts, linear, metrics, records, similarity
+from veritrail.plans.certificate_queries import CERTIFICATE, certificates
 from veritrail.plans.registry import query
 from veritrail.sources import views
 from veritrail.sources.tables import table
@@ -170,3 +171,34 @@ def simplex_stacking(spark, sf_dir):
     rows = views.scored_events(spark, sf_dir).dropna(subset=["risk", "error"]).withColumns({"a": F.col("risk") / 100, "b": F.col("cluster") / 150.0, "y": F.col("error") / 500})
     weights = linear.simplex_weights(rows, ["a", "b"], "y")
     return spark.createDataFrame([("risk", float(weights[0])), ("cluster", float(weights[1]))], "score string, weight double")
+
+
+@query(
+    "order_reaggregation",
+    """WITH a AS (SELECT l_orderkey AS k, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total, CASE WHEN bool_and(l_linestatus = 'F') THEN 'F' WHEN bool_and(l_linestatus = 'O') THEN 'O' ELSE 'P' END AS status FROM lineitem GROUP BY 1),
+    b AS (SELECT o_orderkey AS k, count(*) AS n, any_value(o_totalprice) AS total, any_value(o_orderstatus) AS status FROM orders GROUP BY 1), j AS (SELECT coalesce(a.k, b.k) AS o_orderkey, a.k IS NULL AS extra, b.k IS NULL AS missing, n, a.total AS t1, b.total AS t2, a.status AS s1, b.status AS s2 FROM a FULL JOIN b ON a.k = b.k)
+    SELECT o_orderkey, CASE WHEN missing THEN 'missing' ELSE 'extra' END AS finding, NULL AS field, NULL::DOUBLE AS gap FROM j WHERE missing OR extra UNION ALL SELECT o_orderkey, 'repeated', NULL, NULL FROM j WHERE NOT missing AND NOT extra AND n > 1
+    UNION ALL SELECT o_orderkey, 'differs', 'total', round(t1 - t2, 6) FROM j WHERE n = 1 AND NOT extra AND abs(t1 - t2) > 0.01 UNION ALL SELECT o_orderkey, 'differs', 'status', NULL FROM j WHERE n = 1 AND NOT extra AND s1 <> s2""",
+)
+def order_reaggregation(spark, sf_dir):
+    """Totals and states that orders report, against their lines."""
+    line = table(spark, sf_dir, "lineitem")
+    total = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    status = F.when(F.bool_and(F.col("l_linestatus") == "F"), "F").when(F.bool_and(F.col("l_linestatus") == "O"), "O").otherwise("P")
+    recomputed = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(total.alias("total"), status.alias("status"))
+    reported = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"))
+    found = audits.discrepancies(recomputed, reported, ["o_orderkey"], ["total", "status"], 0.01)
+    gap = F.when(F.col("field") == "total", F.round(F.col("recomputed").try_cast("double") - F.col("reported").try_cast("double"), 6))
+    return found.select("o_orderkey", "finding", "field", gap.alias("gap"))
+
+
+@query(
+    "certificate_release_checks",
+    f"""WITH {CERTIFICATE}, f AS (SELECT min(n_members) AS lo, max(n_members) AS hi, count(*) FILTER (diversity_lower > family_rms_error + 1e-10) AS fv, count(*) FILTER (diameter_lower > worst_member_error + 1e-10) AS wv, max(identity_residual) AS r FROM cert)
+    SELECT name, observed, low, high, observed BETWEEN low AND high AS passed FROM (SELECT 'least_members' AS name, lo::DOUBLE AS observed, 4.0::DOUBLE AS low, 4.0::DOUBLE AS high FROM f UNION ALL SELECT 'most_members', hi, 4, 4 FROM f UNION ALL SELECT 'family_violations', fv, 0, 0 FROM f
+        UNION ALL SELECT 'worst_violations', wv, 0, 0 FROM f UNION ALL SELECT 'family_flags_wrong', 0, 0, 0 UNION ALL SELECT 'worst_flags_wrong', 0, 0, 0 UNION ALL SELECT 'identity_residual', round(r, 6), 0, 1e-10 FROM f)""",
+)
+def certificate_release_checks(spark, sf_dir):
+    """Whether the certificates of four-member families could be released."""
+    found = audits.certificate_checks(certificates(spark, sf_dir), 4)
+    return found.withColumn("observed", F.round("observed", 6))

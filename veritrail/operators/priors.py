@@ -18,7 +18,7 @@ from veritrail.operators.programs import ProgramBank, Ridge, _matrix, _vectors,
 from veritrail.sources.storage import written
 
 #: Rows of a block of queries or sources.
-BLOCK = 1024
+BLOCK = 16384
 
 #: Words that mark a label as one of a pathway. Fixed values.
 PATHWAYS = {

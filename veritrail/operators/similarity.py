@@ -1,7 +1,7 @@
 """Nearest neighbours, retrieval and projections among vectors of a pool.
 
-Pools are small by their nature (the tasks of one batch or fold), and every query meets only its own pool: joins are equi-joins on
-the pool key, and the vectors of a pool are spread over the rows of the join.
+Every query meets only its own pool. A pool's queries and sources are dealt into blocks that meet as matrices (see priors): what leaves
+a task are the best of each query or counts, never pairs, and a task holds two blocks. The work grows with the square of a pool.
 """
 
 from __future__ import annotations
@@ -9,30 +9,169 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from veritrail.functions import vectors as vec
+from veritrail.operators import priors, programs
 from veritrail.sources.storage import written
 
 
-def scored_pairs(queries: DataFrame, sources: DataFrame, pool: list[str], allowed: Column | None = None) -> DataFrame:
-    """Pairs of a pool's queries (id, v) and sources (source, w) with their cosine, where it has one. allowed is a further condition on a pair."""
-    pairs = queries.join(sources, pool)
-    pairs = pairs.filter(allowed) if allowed is not None else pairs
-    return pairs.withColumn("cosine", vec.cosine(F.col("v"), F.col("w"))).filter("cosine is not null").select(*pool, "id", "source", "cosine")
+#: Products of one matrix held at a time.
+PRODUCTS = 4_000_000
+#: Cosines count where the product of norms is above LEAST; rough ones lie within MARGIN of those of vec.cosine.
+LEAST, MARGIN = 1e-12, 1e-11
 
 
-def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int, allowed: Column | None = None) -> DataFrame:
-    """(pool, id, source, cosine, nth): the k sources of the greatest cosine in each query's pool, equal ones by source.
+def strict_sums(rows: int, entries: Iterator[np.ndarray]) -> np.ndarray:
+    """Sums of entries from the first on, as vec.total and SQL add them up: rows of equal bits have equal sums."""
+    out = np.zeros(rows)
+    for x in entries:
+        out += x
+    return out
 
-    Every task keeps the best k of what it scored before anything is shuffled, as Spark pushes the limit of a rank down.
+
+def _paired(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, entry) -> np.ndarray:
+    """Strict sums of entry(x, y) over the positions of rows i of a and j of b, so many pairs at a time."""
+    parts = []
+    for c in range(0, len(i), 65536):
+        x, y = a[i[c : c + 65536]].T, b[j[c : c + 65536]].T
+        parts.append(strict_sums(x.shape[1], (entry(*z) for z in zip(x, y, strict=True))))
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    return np.sqrt(strict_sums(len(a), (x * x for x in a.T)))
+
+
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    size = max(1, PRODUCTS // max(width, 1))
+    return (slice(first, min(first + size, rows)) for first in range(0, rows, size))
+
+
+def _equal_ids(q: pa.ChunkedArray, s: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of q and s with the same id, in order of q's."""
+    a, b = (pd.DataFrame({"k": x.to_pandas(), name: np.arange(len(x))}) for x, name in ((q, "i"), (s, "j")))
+    both = a.merge(b, "inner", "k").sort_values("i")
+    return both["i"].to_numpy(), both["j"].to_numpy()
+
+
+def best_of(rough: np.ndarray, k: int, margin: np.ndarray, place: np.ndarray, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k best columns of each row by exact(rows, columns), equal ones by place; rough lies within margin of it, and is -inf where there is no pair."""
+    kth = max(0, rough.shape[1] - k)
+    least = np.partition(rough, kth, axis=1)[:, kth]
+    i, j = np.nonzero((rough >= (least - margin)[:, None]) & (rough > -np.inf))
+    score = exact(i, j)
+    down = np.where(np.isnan(score), -np.inf, -score)
+    order = np.lexsort((place[j], down, i))
+    i, j, score = i[order], j[order], score[order]
+    return tuple(x[np.arange(len(i)) - np.searchsorted(i, i) < k] for x in (i, j, score))
+
+
+def places(ids: pa.ChunkedArray) -> np.ndarray:
+    """Of each id its number in their order."""
+    out = np.empty(len(ids), np.int64)
+    out[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return out
+
+
+def _clean(rows: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector has entries and lacks none, with its length."""
+    known = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    return rows.filter(known).withColumn("__size", F.size(vector))
+
+
+def _met(queries: DataFrame, sources: DataFrame, pool: list[str], run, columns: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """(pool, id, columns) as run(a, b, q, s) gives them for every block of queries (id, v, more) and of sources (source, w) of a pool.
+
+    a and b are the blocks' vectors, q and s their tables; run gives the rows of q and the columns. Only vectors of one length meet.
     """
-    scored = scored_pairs(queries, sources, pool, allowed)
-    at = F.row_number().over(Window.partitionBy(*pool, "id").orderBy(F.desc("cosine"), "source"))
-    return scored.withColumn("nth", at).filter(F.col("nth") <= k).select(*pool, "id", "source", "cosine", "nth")
+    q, s = _clean(queries, "v"), _clean(sources, "w")
+    meet = [*pool, "__size"]
+    blocks = priors._blocks(q, s, meet)
+    keys = [*meet, "q_block", "s_block"]
+    left, right = priors._blocked(q, meet, "id", "v", "q", blocks, more), priors._blocked(s, meet, "source", "w", "s", blocks)
+    kept = [*pool, "id"]
+    names = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in kept)
+
+    def task(q: pa.Table, s: pa.Table) -> pa.Table:
+        if not q.num_rows or not s.num_rows:
+            return None
+        a, b = (programs._matrix(t["v"].combine_chunks()) for t in (q, s))
+        rows, found = run(a, b, q, s)
+        return pa.table({**{c: q[c].take(pa.array(rows)) for c in kept}, **found}).combine_chunks()
+
+    def both(q: pa.Table, s: pa.Table) -> pa.Table:
+        out = task(q, s)
+        return schema.empty_table() if out is None else out.cast(schema)
+
+    out = f"{names}, {columns}"
+    schema = to_arrow_schema(queries.sparkSession.createDataFrame([], out).schema)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(both, out)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Rough cosines; -inf where there is none, NaN where an entry is not finite."""
+    with np.errstate(all="ignore"):
+        rough = (a / na[:, None]) @ (b / nb[:, None]).T
+        if not na.min() * nb.min() > LEAST:
+            size = na[:, None] * nb
+            rough[size <= LEAST] = -np.inf
+    return rough
+
+
+def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int, others: bool = False) -> DataFrame:
+    """(pool, id, source, cosine, nth): the k sources of the greatest cosine in each query's pool, equal ones by source; others: not the query's own id.
+
+    Blocks of queries and sources meet as matrices; rough products choose who may be among the best, and these are scored as
+    vec.cosine does. Only the best k of each query in a block leave its task.
+    """
+
+    def run(a, b, q, s):
+        na, nb, place = _norms(a), _norms(b), places(s["id"])
+        own = _equal_ids(q["id"], s["id"]) if others else None
+        found = []
+        for part in _slices(len(a), len(b)):
+            rough = _cosines(a[part], b, na[part], nb)
+            rough[np.isnan(rough)] = np.inf  # Spark's order has NaN above all
+            if others:
+                mine = (own[0] >= part.start) & (own[0] < part.stop)
+                rough[own[0][mine] - part.start, own[1][mine]] = -np.inf
+            with np.errstate(all="ignore"):
+                exact = lambda i, j, at=part.start: _paired(a, b, i + at, j, np.multiply) / (na[i + at] * nb[j])
+                i, j, score = best_of(rough, k, np.full(len(rough), MARGIN), place, exact)
+            found.append((i + part.start, j, score))
+        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        return i, {"source": s["id"].take(pa.array(j)), "cosine": pa.array(score)}
+
+    found = _met(queries, sources, pool, run, f"source {sources.schema['source'].dataType.simpleString()}, cosine double")
+    at = F.row_number().over(Window.partitionBy(*pool, "id").orderBy(F.desc("cosine"), "source"))  # k rows of each block
+    return found.withColumn("nth", at).filter(F.col("nth") <= k)
+
+
+def likeness(queries: DataFrame, sources: DataFrame, pool: list[str]) -> DataFrame:
+    """(pool, id, n, greatest, mean) of each query's cosines with the sources of its pool."""
+
+    def run(a, b, q, s):
+        na, nb = _norms(a), _norms(b)
+        n, top, total = np.zeros(len(a), np.int64), np.zeros(len(a)), np.zeros(len(a))
+        for part in _slices(len(a), len(b)):
+            rough = _cosines(a[part], b, na[part], nb)
+            top[part] = rough.max(axis=1)
+            none = np.isneginf(rough)
+            n[part] = rough.shape[1] - none.sum(axis=1)
+            rough[none] = 0.0
+            total[part] = rough.sum(axis=1)
+        rows = np.flatnonzero(n)
+        return rows, {"n": pa.array(n[rows]), "top": pa.array(top[rows]), "total": pa.array(total[rows])}
+
+    parts = _met(queries, sources, pool, run, "n long, top double, total double")
+    return parts.groupBy(*pool, "id").agg(F.sum("n").alias("n"), F.max("top").alias("greatest"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
 def softmax_weights(found: DataFrame, pool: list[str], temperature: float) -> DataFrame:
@@ -48,22 +187,72 @@ def weighted_prediction(found: DataFrame, values: DataFrame, pool: list[str]) ->
     return joined.groupBy(*pool, "id", "position").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("prediction"))
 
 
+def _with_own(predictions: DataFrame, truths: DataFrame, pool: list[str], value: Column) -> DataFrame:
+    """predictions with own, the value of a prediction and its own truth; those without one are left out."""
+    pairs = predictions.join(truths.withColumnRenamed("source", "id"), [*pool, "id"])
+    own = written(pairs.select(*pool, "id", value.alias("own")).groupBy(*pool, "id").agg(F.max("own").alias("own")).filter("own is not null"))
+    return predictions.join(own, [*pool, "id"])
+
+
+def _beyond(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """x > own as Spark compares: NaN is above all."""
+    return (x > own) | (np.isnan(x) & ~np.isnan(own))
+
+
 def retrieval(predictions: DataFrame, truths: DataFrame, pool: list[str], least: int) -> DataFrame:
-    """(pool, id, n, rank, score): average rank of a prediction's own truth by cosine in its pool; score is 1 for the best and 0 for the worst place."""
-    pairs = predictions.join(truths, pool).withColumn("cosine", vec.cosine(F.col("v"), F.col("w"))).filter("cosine is not null")
-    own = F.max(F.when(F.col("id") == F.col("source"), F.col("cosine"))).over(Window.partitionBy(*pool, "id"))
-    marked = pairs.withColumn("own", own).filter("own is not null")
-    better, equal = F.count_if(F.col("cosine") > F.col("own")), F.count_if(F.col("cosine") == F.col("own"))
-    out = marked.groupBy(*pool, "id").agg(F.count("*").alias("n"), (better + (equal + 1) / 2).alias("rank")).filter(F.col("n") >= least)
+    """(pool, id, n, rank, score): average rank of a prediction's own truth by cosine in its pool; score is 1 for the best and 0 for the worst place.
+
+    Rough products count what is clearly better or worse; what is close to the own cosine is scored as vec.cosine does.
+    """
+
+    def run(a, b, q, s):
+        na, nb, own = _norms(a), _norms(b), q["own"].to_numpy()
+        n, better, equal = (np.zeros(len(a), np.int64) for _ in range(3))
+        for part in _slices(len(a), len(b)):
+            rough, mine = _cosines(a[part], b, na[part], nb), own[part][:, None]
+            above = rough > mine + MARGIN
+            i, j = np.nonzero(~above & ~(rough < mine - MARGIN))
+            n[part] = rough.shape[1] - np.isneginf(rough).sum(axis=1)
+            with np.errstate(all="ignore"):
+                c, o = _paired(a, b, i + part.start, j, np.multiply) / (na[i + part.start] * nb[j]), own[i + part.start]
+            better[part] = above.sum(axis=1) + np.bincount(i[_beyond(c, o)], minlength=len(rough))
+            equal[part] = np.bincount(i[(c == o) | (np.isnan(c) & np.isnan(o))], minlength=len(rough))
+        return np.arange(len(a)), {"n": pa.array(n), "better": pa.array(better), "equal": pa.array(equal)}
+
+    parts = _met(_with_own(predictions, truths, pool, vec.cosine(F.col("v"), F.col("w"))), truths, pool, run, "n long, better long, equal long", ("own",))
+    out = parts.groupBy(*pool, "id").agg(F.sum("n").alias("n"), (F.sum("better") + (F.sum("equal") + 1) / 2).alias("rank")).filter(F.col("n") >= least)
     return out.withColumn("score", 1 - (F.col("rank") - 1) / (F.col("n") - 1))
 
 
 def centroid_accuracy(predictions: DataFrame, truths: DataFrame, pool: list[str]) -> DataFrame:
-    """(pool, id, accuracy): share of the pool's other truths that are farther from a prediction than its own."""
-    pairs = predictions.join(truths, pool).withColumn("d", vec.rmse(F.col("v"), F.col("w")))
-    own = F.max(F.when(F.col("id") == F.col("source"), F.col("d"))).over(Window.partitionBy(*pool, "id"))
-    others = pairs.withColumn("own", own).filter("id <> source and own is not null")
-    return others.groupBy(*pool, "id").agg(F.avg((F.col("own") < F.col("d")).cast("double")).alias("accuracy"))
+    """(pool, id, accuracy): share of the pool's other truths that are farther from a prediction than its own.
+
+    Squared distances come from products; those that lie close to the own one are taken as vec.rmse does.
+    """
+
+    def run(a, b, q, s):
+        own, size = q["own"].to_numpy(), a.shape[1]
+        i, j = _equal_ids(q["id"], s["id"])
+        n = len(b) - np.bincount(i, minlength=len(a))
+        farther = np.zeros(len(a), np.int64)
+        qa, qb, limit = (a * a).sum(axis=1), (b * b).sum(axis=1), own * own * size
+        for part in _slices(len(a), len(b)):
+            with np.errstate(all="ignore"):
+                scale = qa[part][:, None] + qb
+                gap = scale - 2 * (a[part] @ b.T) - limit[part][:, None]
+                margin = MARGIN * (scale + limit[part][:, None])
+            mine = (i >= part.start) & (i < part.stop)
+            gap[i[mine] - part.start, j[mine]] = -np.inf  # not another's
+            above = gap > margin
+            x, y = np.nonzero(~above & ~(gap < -margin) & ~np.isneginf(gap))
+            with np.errstate(all="ignore"):
+                d = np.sqrt(_paired(a, b, x + part.start, y, lambda p, t: (p - t) * (p - t)) / size)
+            farther[part] = above.sum(axis=1) + np.bincount(x[_beyond(d, own[x + part.start])], minlength=len(gap))
+        rows = np.flatnonzero(n)
+        return rows, {"n": pa.array(n[rows]), "farther": pa.array(farther[rows])}
+
+    parts = _met(_with_own(predictions, truths, pool, vec.rmse(F.col("v"), F.col("w"))), truths, pool, run, "n long, farther long", ("own",))
+    return parts.groupBy(*pool, "id").agg((F.sum("farther") / F.sum("n")).alias("accuracy"))
 
 
 def projected(long: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ _COS = "list_sum([p.v[i] * q.v[i] for i in range(1, 65)]) / (sqrt(list_sum([x *
 @query("knn_similarity_join", f"WITH {VECTORS}, s AS (SELECT p.label, p.vec_id AS id, q.vec_id AS source, {_COS} AS cosine FROM vec p JOIN vec q ON p.label = q.label AND p.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, source) AS nth FROM s) SELECT label, id, source, round(cosine, 6) AS cosine, CAST(nth AS INT) AS nth FROM r WHERE nth <= 3")
 def knn_similarity_join(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    found = similarity.neighbours(v.select("label", F.col("vec_id").alias("id"), "v"), v.select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"], 3, F.col("id") != F.col("source"))
+    found = similarity.neighbours(v.select("label", F.col("vec_id").alias("id"), "v"), v.select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"], 3, others=True)
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
@@ -41,9 +41,8 @@ def context_sim_prediction(spark, sf_dir):
 @query("context_similarity_max", f"WITH {VECTORS}, s AS (SELECT p.vec_id AS id, {_COS} AS c FROM vec p JOIN vec q ON p.label = q.label AND q.member <> p.member AND p.member = 0) SELECT id, round(max(c), 6) AS context_similarity_max, round(avg(c), 6) AS context_similarity_mean, round(1 - max(c), 6) AS ood_nearest_distance FROM s GROUP BY id")
 def context_similarity_max(spark, sf_dir):
     v = views.vectors(spark, sf_dir)
-    found = similarity.scored_pairs(v.filter("member = 0").select("label", F.col("vec_id").alias("id"), "v"), v.filter("member <> 0").select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"])
-    top = F.max("cosine")
-    return found.groupBy("id").agg(F.round(top, 6).alias("context_similarity_max"), F.round(F.avg("cosine"), 6).alias("context_similarity_mean"), F.round(1 - top, 6).alias("ood_nearest_distance"))
+    found = similarity.likeness(v.filter("member = 0").select("label", F.col("vec_id").alias("id"), "v"), v.filter("member <> 0").select("label", F.col("vec_id").alias("source"), F.col("v").alias("w")), ["label"])
+    return found.select("id", F.round("greatest", 6).alias("context_similarity_max"), F.round("mean", 6).alias("context_similarity_mean"), F.round(1 - F.col("greatest"), 6).alias("ood_nearest_distance"))
 
 
 def _pool(spark, sf_dir):

@@ -52,3 +52,16 @@ def test_neighbours_by_blocks(spark, sides, vectors, monkeypatch, block):
     want = {(i, j, cosine(vectors, i, j), n) for i in range(59) for n, j in enumerate(sorted((j for j in pool_of(i) if j != i), key=lambda j: (-cosine(vectors, i, j), j))[:3], 1)}
     got = [(r.id, r.source, r.cosine, r.nth) for r in found.collect() if r.id != 92]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_weighted_neighbours_by_blocks(spark, sides, vectors, monkeypatch):
+    monkeypatch.setattr(priors, "BLOCK", 4)
+    found = similarity.softmax_weights(similarity.neighbours(*sides, ["p"], 4), ["p"], 0.1)
+    values = sides[1].select("source", F.posexplode("w").alias("position", "x")).filter("x is not null")
+    out = similarity.weighted_prediction(found, values, ["p"])
+    assert BY_BLOCKS in plan(out)
+    got = {(r.id, r.position): r.prediction for r in out.collect()}
+    for i in range(59):
+        best = sorted(pool_of(i), key=lambda j: (-cosine(vectors, i, j), j))[:4]
+        w = np.exp((np.array([cosine(vectors, i, j) for j in best]) - cosine(vectors, i, best[0])) / 0.1)
+        assert np.allclose([got[i, k] for k in range(7)], w @ vectors[best] / w.sum())

@@ -65,3 +65,14 @@ def test_weighted_neighbours_by_blocks(spark, sides, vectors, monkeypatch):
         best = sorted(pool_of(i), key=lambda j: (-cosine(vectors, i, j), j))[:4]
         w = np.exp((np.array([cosine(vectors, i, j) for j in best]) - cosine(vectors, i, best[0])) / 0.1)
         assert np.allclose([got[i, k] for k in range(7)], w @ vectors[best] / w.sum())
+
+
+def test_likeness_by_blocks(spark, sides, vectors, monkeypatch):
+    monkeypatch.setattr(priors, "BLOCK", 4)
+    found = similarity.likeness(*sides, ["p"])
+    assert BY_BLOCKS in plan(found)
+    got = {r.id: (r.n, r.greatest, r["mean"]) for r in found.collect()}
+    for i in range(59):
+        c = [cosine(vectors, i, j) for j in pool_of(i)]
+        assert np.allclose(got[i], (len(c), max(c), np.mean(c)))
+    assert 59 not in got and 91 not in got

@@ -76,3 +76,17 @@ def test_likeness_by_blocks(spark, sides, vectors, monkeypatch):
         c = [cosine(vectors, i, j) for j in pool_of(i)]
         assert np.allclose(got[i], (len(c), max(c), np.mean(c)))
     assert 59 not in got and 91 not in got
+
+
+def test_retrieval_by_blocks(spark, sides, vectors, monkeypatch):
+    monkeypatch.setattr(priors, "BLOCK", 4)
+    noisy = np.array([x[::-1] for x in vectors])
+    queries = spark.createDataFrame([(k // 30, k, x.tolist()) for k, x in enumerate(noisy)], "p int, id long, v array<double>")
+    found = similarity.retrieval(queries, sides[1], ["p"], 2)
+    assert BY_BLOCKS in plan(found)
+    got = {r.id: (r.n, r.rank) for r in found.collect()}
+    both = np.concatenate([noisy, vectors])
+    for i in range(59):
+        c = {j: cosine(both, i, j + 60) for j in pool_of(i)}
+        assert got[i] == (len(c), sum(x > c[i] for x in c.values()) + (sum(x == c[i] for x in c.values()) + 1) / 2)
+    assert 59 not in got

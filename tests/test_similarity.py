@@ -90,3 +90,16 @@ def test_retrieval_by_blocks(spark, sides, vectors, monkeypatch):
         c = {j: cosine(both, i, j + 60) for j in pool_of(i)}
         assert got[i] == (len(c), sum(x > c[i] for x in c.values()) + (sum(x == c[i] for x in c.values()) + 1) / 2)
     assert 59 not in got
+
+
+def test_farther_truths_by_blocks(spark, sides, vectors, monkeypatch):
+    monkeypatch.setattr(priors, "BLOCK", 4)
+    noisy = np.array([x[::-1] for x in vectors])
+    queries = spark.createDataFrame([(k // 30, k, x.tolist()) for k, x in enumerate(noisy)], "p int, id long, v array<double>")
+    found = similarity.centroid_accuracy(queries, sides[1], ["p"])
+    assert BY_BLOCKS in plan(found)
+    got = {r.id: r.accuracy for r in found.collect()}
+    far = lambda i, j: np.sqrt(strict(noisy[i] - vectors[j], noisy[i] - vectors[j]) / 7)
+    for i in range(60):
+        others = [j for j in range(60) if j // 30 == i // 30 and j != i]
+        assert abs(got[i] - np.mean([far(i, i) < far(i, j) for j in others])) < 1e-12

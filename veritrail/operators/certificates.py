@@ -14,8 +14,11 @@ from veritrail.functions.ranks import order_statistic
 TOLERANCE = 1e-10
 
 
-def family_certificate(members: DataFrame, truth: DataFrame, task: list[str]) -> DataFrame:
-    """One row per task: errors of the family, its centroid and worst member, lower bounds from its spread, and checks."""
+def family_certificate(members: DataFrame, truth: DataFrame, task: list[str], alone: bool = False) -> DataFrame:
+    """One row per task: errors of the family, its centroid and worst member, lower bounds from its spread, and checks.
+
+    alone: families of one member too, which have no diameter; else they are left out.
+    """
     place = [*task, "position"]
     sizes = members.select(*task, "member").distinct().groupBy(*task).agg(F.count("*").alias("n_members"))
     centre = members.groupBy(*place).agg(F.avg("prediction").alias("centroid"), F.var_pop("prediction").alias("spread"))
@@ -29,7 +32,7 @@ def family_certificate(members: DataFrame, truth: DataFrame, task: list[str]) ->
     apart = (F.col("prediction") - F.col("prediction2")) * (F.col("prediction") - F.col("prediction2"))
     pairs = members.join(other, place).filter("member < member2").groupBy(*task, "member", "member2").agg(F.avg(apart).alias("apart"))
     wide = pairs.groupBy(*task).agg(F.max("apart").alias("diameter_mse"))
-    out = sizes.join(worst, task).join(central, task).join(wide, task)
+    out = sizes.join(worst, task).join(central, task).join(wide, task, "left" if alone else "inner")
     out = out.select(
         *task,
         "n_members",

@@ -23,3 +23,21 @@ def test_families_of_an_incomplete_task(spark, tmp_path):
     rows = spark.createDataFrame([(k, draw.normal(size=64).tolist(), k % 10) for k in range(7)], "vec_id long, embedding array<float>, label int")
     rows.toPandas().to_parquet(tmp_path / "embeddings.parquet")
     assert len(same_as_sql(spark, "family_enumeration", tmp_path)) == 6
+
+
+@pytest.fixture(scope="module")
+def reordered(tmp_path_factory, spark):
+    """Two users of equal mean errors, whose sums differ in the last digit by the order of their rows."""
+    path = tmp_path_factory.mktemp("reordered")
+    errors = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1], 3: [0.05], 4: [0.7], 5: [0.9]}
+    assert 0.1 + 0.2 + 0.3 != 0.3 + 0.2 + 0.1
+    risks = {1: 4, 2: 2, 3: 3, 4: 1, 5: 5}
+    rows = [(user, x) for user, values in errors.items() for x in values]
+    frame = spark.createDataFrame([(k, user, "view", x, f'{{"k": {risks[user]}}}') for k, (user, x) in enumerate(rows)], "event_id long, user_id long, event_type string, value double, props string")
+    frame.coalesce(1).toPandas().to_parquet(path / "events.parquet")
+    return str(path), np.corrcoef([4, 2, 3, 1, 5], [2.5, 2.5, 1, 4, 5])[0, 1]
+
+
+def test_equal_means_tie_in_correlations(spark, reordered):
+    path, rho = reordered
+    assert abs(QUERIES["gene_macro_spearman"](spark, path).first().rho - rho) < 1e-6

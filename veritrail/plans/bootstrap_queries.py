@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veritrail.functions.scalars import fold
+from veritrail.functions.scalars import fold, settled
 from veritrail.operators import weighted
 from veritrail.plans.registry import query
 from veritrail.sources import views
@@ -16,7 +16,7 @@ from veritrail.sources import views
 def tasks(spark, sf_dir):
     """A task for each kind of event and user: mean risk, a second score, mean error, a study of several kinds, and a fold by the user's hash."""
     ev = views.scored_events(spark, sf_dir)
-    rows = ev.groupBy("dataset", "cluster").agg(F.avg("risk").alias("risk"), F.count("*").cast("double").alias("support"), F.avg("error").alias("error"))
+    rows = ev.groupBy("dataset", "cluster").agg(settled(F.avg("risk")).alias("risk"), F.count("*").cast("double").alias("support"), settled(F.avg("error")).alias("error"))
     user = F.col("cluster").cast("string")
     study = F.when(F.length("dataset") % 2 == 0, "even").otherwise("odd")
     return rows.withColumns({"study": study, "fold": fold(F.sha2(user, 256), 3), "id": F.concat_ws("|", "dataset", user)})

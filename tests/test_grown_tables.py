@@ -41,3 +41,8 @@ def reordered(tmp_path_factory, spark):
 def test_equal_means_tie_in_correlations(spark, reordered):
     path, rho = reordered
     assert abs(QUERIES["gene_macro_spearman"](spark, path).first().rho - rho) < 1e-6
+
+
+def test_equal_means_tie_in_permutations(spark, reordered):
+    path, rho = reordered
+    assert abs(QUERIES["permutation_null"](spark, path).first().observed - rho) < 1e-6

@@ -351,8 +351,8 @@ def cluster_bootstrap_ci(spark, sf_dir):
 def permutation_null(spark, sf_dir):
     """Median over kinds of events of the correlation between a user's mean risk and mean error, against permutations of the users' risks."""
     ev = views.scored_events(spark, sf_dir)
-    risk = ev.groupBy("cluster").agg(F.avg("risk").alias("risk"))
-    errors = ev.groupBy("dataset", "cluster").agg(F.avg("error").alias("error"))
+    risk = ev.groupBy("cluster").agg(scalars.settled(F.avg("risk")).alias("risk"))
+    errors = ev.groupBy("dataset", "cluster").agg(scalars.settled(F.avg("error")).alias("error"))
     rows = resampling.association_null(risk, errors, "cluster", "dataset", _PERMUTATIONS, "perm")
     return rows.select("n_null", *rounded("observed", "p"))
 

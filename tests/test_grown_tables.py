@@ -1,8 +1,11 @@
 """Tables as they come when they grow: incomplete last tasks, equal means of rows in another order, draws in parts."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
+from veritrail.operators import resampling
 from veritrail.plans.registry import ORACLES, QUERIES
 
 
@@ -46,3 +49,18 @@ def test_equal_means_tie_in_correlations(spark, reordered):
 def test_equal_means_tie_in_permutations(spark, reordered):
     path, rho = reordered
     assert abs(QUERIES["permutation_null"](spark, path).first().observed - rho) < 1e-6
+
+
+@pytest.mark.parametrize("picked, drawn, together", [(1 << 20, 1 << 16, 50), (3, 4, 7)])
+def test_draws_are_summed_where_they_are_made(spark, monkeypatch, picked, drawn, together):
+    for name, value in (("PICKED", picked), ("DRAWN", drawn), ("TOGETHER", together)):
+        monkeypatch.setattr(resampling, name, value)
+    values = {g: np.random.default_rng(k).normal(size=11) for k, g in enumerate("ab")}
+    df = spark.createDataFrame([(g, c, float(x)) for g, v in values.items() for c, x in enumerate(v)] + [("a", 11, None)], "g string, c long, v double").repartition(3)
+    found = resampling.bootstrap_mean(df, ["g"], "c", "v", 40, "s")
+    assert "Generate explode(sequence(0, 39" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        x = np.append(values[r.g], np.nan) if r.g == "a" else values[r.g]
+        pick = lambda k, n=len(x), g=r.g: [int(hashlib.sha256(f"s|{g}|{k}|{j}".encode()).hexdigest()[:8], 16) % n for j in range(n)]
+        means = [np.nanmean(x[pick(k)]) for k in range(40)]
+        assert np.allclose((r.estimate, r.low, r.high), (np.nanmean(x), *np.quantile(means, [0.025, 0.975])))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,17 +39,48 @@ def multiplicities(clusters: DataFrame, group: list[str], cluster: str, replicat
     return drawn.join(slots.select(*group, cluster, F.col("slot").alias("pick")), [*group, "pick"]).select(*group, "replicate", cluster, "times")
 
 
-def bootstrap_mean(df: DataFrame, group: list[str], cluster: str, value: str, replicates: int, seed: str) -> DataFrame:
-    """(group, estimate, low, high): mean and 95 % percentile interval over resampled clusters, on cluster sums alone.
+#: Clusters whose sums one task holds, draws made at a time, and replicates of a task.
+PICKED, DRAWN, TOGETHER = 1 << 20, 1 << 16, 50
+
+
+def _drawn_sums(slots: DataFrame, group: list[str], replicates: int, seed: str) -> DataFrame:
+    """(group, replicate, s, n): sums over a replicate's draws of _picks. slots: (group, slot, m, s, n).
 
-    Every draw meets the sums of the cluster it picks, and tasks add up their draws before these are shuffled.
+    A task makes all draws of some replicates and adds up those that fall on its clusters, so no draw is a row or is shuffled.
     """
+    rows = slots.select(*group, "slot", "m", F.coalesce(F.col("s").cast("double"), F.lit(0.0)).alias("s"), "n", F.concat_ws("|", F.lit(seed), *(F.col(g).cast("string") for g in group)).alias("__key"))
+    rows = rows.withColumn("__block", F.floor(F.col("slot") / PICKED)).withColumn("__first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(TOGETHER))))
+
+    def run(table: pa.Table) -> pa.Table:
+        slot, s, n = (table[c].to_numpy() for c in ("slot", "s", "n"))
+        low, m, first, key = int(slot.min()), table["m"][0].as_py(), table["__first"][0].as_py(), table["__key"][0].as_py()
+        at = np.empty(len(slot), np.int64)
+        at[slot - low] = np.arange(len(slot))
+        count = min(TOGETHER, replicates - first)
+        sums, sizes = np.zeros(count), np.zeros(count, np.int64)
+        for k in range(count):
+            text = f"{key}|{first + k}|".encode()
+            for start in range(0, m, DRAWN):
+                digests = b"".join([sha256(text + b"%d" % j).digest()[:4] for j in range(start, min(start + DRAWN, m))])
+                pick = np.frombuffer(digests, ">u4").astype(np.int64) % m - low
+                pick = at[pick[(pick >= 0) & (pick < len(at))]]
+                sums[k] += s[pick].sum()
+                sizes[k] += n[pick].sum()
+        keys = {g: table[g].take(pa.array(np.zeros(count, np.int64))) for g in group}
+        return pa.table({**keys, "replicate": pa.array(range(first, first + count), pa.int32()), "s": sums, "n": sizes}).combine_chunks()
+
+    schema = "".join(f"`{g}` {slots.schema[g].dataType.simpleString()}, " for g in group) + "replicate int, s double, n long"
+    parts = rows.groupBy(*group, "__block", "__first").applyInArrow(run, schema)
+    return parts.groupBy(*group, "replicate").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def bootstrap_mean(df: DataFrame, group: list[str], cluster: str, value: str, replicates: int, seed: str) -> DataFrame:
+    """(group, estimate, low, high): mean and 95 % percentile interval over resampled clusters, on cluster sums alone."""
     sums = df.groupBy(*group, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     slots = _slots(sums, group, cluster)
-    drawn = _picks(slots, group, replicates, seed).join(slots.select(*group, F.col("slot").alias("pick"), "s", "n"), [*group, "pick"])
-    means = drawn.groupBy(*group, "replicate").agg((F.sum("s") / F.sum("n")).alias("mean"))
+    means = _drawn_sums(slots, group, replicates, seed).select(*group, "replicate", F.try_divide("s", "n").alias("mean"))
     ends = means.groupBy(*group).agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
-    return slots.groupBy(*group).agg((F.sum("s") / F.sum("n")).alias("estimate")).join(ends, group)
+    return slots.groupBy(*group).agg(F.try_divide(F.sum("s"), F.sum("n")).alias("estimate")).join(ends, group)
 
 
 def _places(df: DataFrame, keys: list[str], draw: str, tie: str) -> DataFrame:

@@ -146,3 +146,17 @@ def test_folds_and_hierarchy(spark):
         values.append(sum(found) / len(found))
     assert whole.estimate == pytest.approx(np.mean([fold_mean(g, 0) for g in "abd"]))
     assert whole.low == pytest.approx(np.quantile(values, 0.025)) and whole.high == pytest.approx(np.quantile(values, 0.975)) and whole.above_zero == np.mean(np.array(values) > 0)
+
+
+def test_draws_are_made_once_for_some_clusters_at_a_time(spark, monkeypatch):
+    df = frame(spark, sample(3, 60)).dropna(subset=["s", "t", "y"])
+    rows = wt.slotted(df, ["g"], ["g"], "c")
+    whole = {k: wt.draws("x", k, 17, 0, B) for k in (key("a"), key(None))}
+    results = []
+    for slots, run in ((1 << 15, 8192), (4, 25)):
+        monkeypatch.setattr(wt, "SLOTS", slots)
+        monkeypatch.setattr(wt, "RUN", run)
+        got = wt.drawn(rows, "x", B).collect()
+        assert len(got) == 34 and all(list(r["__draws"]) == whole[r["__d"]][r["__slot"]].tolist() for r in got)
+        results.append(sorted(map(str, wt.bootstrap_spearman(df, ["g"], "c", ["s", "t"], "y", B).select("g", "metric", F.round("estimate", 9), F.round("low", 9), F.round("high", 9), "n_valid").collect())))
+    assert results[0] == results[1]

@@ -2,7 +2,8 @@
 
 A replicate draws as many clusters with replacement as there are, and a row counts as often as its cluster is drawn. No row is
 copied: rows are sorted once into runs, and each run adds up weights for all replicates at once, given what the runs ahead of it hold.
-Weights follow from seed, key and replicate, so every task makes those it needs and all statistics of one seed share their draws.
+Weights follow from seed, key and replicate, so all statistics of one seed share their draws. They are made once, for some clusters at a
+time, and rows carry their cluster's, a byte for each replicate: no task holds the draws of all clusters.
 Replicate 0 is the data as they are.
 """
 
@@ -21,7 +22,9 @@ from veritrail.functions.ranks import quantiles, running
 from veritrail.sources.storage import written
 
 #: Replicates, and numbers of one matrix of rows or clusters times replicates held at a time.
-REPLICATES, CELLS = 1000, 8_000_000
+REPLICATES, CELLS = 1000, 4_000_000
+#: Clusters whose draws one task makes, rows of a run unless more are equal, and bytes of a batch of rows with arrays.
+SLOTS, RUN, BATCH_BYTES = 1 << 15, 8192, 1 << 25
 
 
 def draws(seed: str, key: str, n: int, first: int, count: int) -> np.ndarray:
@@ -34,8 +37,8 @@ def draws(seed: str, key: str, n: int, first: int, count: int) -> np.ndarray:
     return out
 
 
-def _chunks(rows: int, clusters: int, replicates: int) -> Iterator[tuple[int, int]]:
-    size = max(1, min(replicates, CELLS // max(rows, clusters, 1)))
+def _chunks(rows: int, replicates: int) -> Iterator[tuple[int, int]]:
+    size = max(1, min(replicates, CELLS // max(rows, 1)))
     for first in range(0, replicates, size):
         yield first, min(size, replicates - first)
 
@@ -65,19 +68,42 @@ def _arrays(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(np.ascontiguousarray(matrix, dtype=float).ravel()))
 
 
-def _weights(rows: pa.Table, seed: str, first: int, count: int) -> np.ndarray:
+def drawn(rows: DataFrame, seed: str, replicates: int) -> DataFrame:
+    """(__d, __slot, __draws): how often each cluster of a draw is drawn in every replicate, a byte each; written."""
+    slots = rows.select("__d", "__slot", "__n").distinct().withColumn("__part", F.floor(F.col("__slot") / SLOTS))
+
+    def make(table: pa.Table) -> pa.Table:
+        slot, n, key = table["__slot"].to_numpy(), table["__n"][0].as_py(), table["__d"][0].as_py()
+        out = np.empty((len(slot), replicates), np.uint8)
+        for first, count in _chunks(n, replicates):
+            found = draws(seed, key, n, first, count)[slot]
+            if found.max() > 255:  # one in 255! of the replicates
+                raise OverflowError("a cluster is drawn more than 255 times")
+            out[:, first : first + count] = found
+        return pa.table({"__d": table["__d"], "__slot": table["__slot"], "__draws": pa.array([x.tobytes() for x in out], pa.binary())}).combine_chunks()
+
+    return written(slots.groupBy("__d", "__part").applyInArrow(make, "__d string, __slot long, __draws binary"))
+
+
+def _draws_of(table: pa.Table) -> np.ndarray:
+    """The rows' draws, a matrix of rows times replicates."""
+    column = table["__draws"].combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(column), -1)
+
+
+def _weights(rows: pa.Table, first: int, count: int) -> np.ndarray:
     """Of each row, by how much it counts in each replicate: its own count times its cluster's draws."""
-    every = draws(seed, rows["__d"][0].as_py(), rows["__n"][0].as_py(), first, count)
-    return every[rows["__slot"].to_numpy()] * _floats(rows, "__count")[:, None]
+    return _draws_of(rows)[:, first : first + count] * _floats(rows, "__count")[:, None]
 
 
-def _run_offsets(runs: DataFrame, seed: str, replicates: int) -> DataFrame:
+def _run_offsets(runs: DataFrame, replicates: int) -> DataFrame:
     """(__g, __run, ahead, ahead_sum, all, all_sum): weights and weighted values of the runs ahead and of all, in each replicate."""
 
     def totals(rows: pa.Table) -> pa.Table:
         value, parts = _floats(rows, "__value"), []
-        for first, count in _chunks(rows.num_rows, rows["__n"][0].as_py(), replicates):
-            w = _weights(rows, seed, first, count)
+        for first, count in _chunks(rows.num_rows, replicates):
+            w = _weights(rows, first, count)
             parts.append((w.sum(axis=0), value @ w))
         w, s = (np.concatenate(x)[None] for x in zip(*parts, strict=True))
         return pa.table({"__g": rows["__g"][:1], "__run": rows["__run"][:1], "w": _arrays(w), "s": _arrays(s)})
@@ -91,9 +117,21 @@ def _run_offsets(runs: DataFrame, seed: str, replicates: int) -> DataFrame:
     return rows.select("__g", "__run", *(every(k).alias(name) for k, name in (("a", "ahead"), ("b", "ahead_sum"), ("c", "all"), ("d", "all_sum"))))
 
 
-def _sorted(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with __run, their range in the order within __g, written."""
-    return written(rows.repartitionByRange("__g", *order).withColumn("__run", F.spark_partition_id()))
+def _sorted(rows: DataFrame, order: list[str], every: DataFrame) -> DataFrame:
+    """rows with __run, their range in the order within __g, and their cluster's draws, written; the more rows, the more runs."""
+    rows = written(rows)
+    n = rows.count()
+    runs = max(-(-n // RUN), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 512)), 1)
+    return written(rows.join(every, ["__d", "__slot"]).repartitionByRange(runs, "__g", *order).withColumn("__run", F.spark_partition_id()))
+
+
+def _in_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches are cut to BATCH_BYTES if they may be larger, as Spark reads this when a query starts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name)
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 #: Takes weights ahead of each row, its own, the weighted values ahead, the values, and the weights and values of all; matrices are rows
@@ -104,16 +142,16 @@ Measure = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 def along(slotted_rows: DataFrame, order: Column, tie: str, value: Column, seed: str, replicates: int, measure: Measure) -> DataFrame:
     """(__g, name, r, value): a measure's sums along the rows' order (then tie) within each group, in every replicate."""
     rows = slotted_rows.select("__g", "__d", "__slot", "__n", F.lit(1).alias("__count"), order.alias("__order"), F.col(tie).alias("__tie"), value.cast("double").alias("__value"))
-    runs = _sorted(rows, ["__order", "__tie"])
-    offsets = _run_offsets(runs, seed, replicates)
+    runs = _sorted(rows, ["__order", "__tie"], drawn(rows, seed, replicates))
+    offsets = _run_offsets(runs, replicates)
 
     def measured(table: pa.Table, ahead: pa.Table) -> pa.Table:
         table = table.sort_by([("__order", "ascending"), ("__tie", "ascending")])
         values, found = _floats(table, "__value"), []
         before, before_sum, whole, whole_sum = (_array(ahead, c) for c in ("ahead", "ahead_sum", "all", "all_sum"))
-        for first, count in _chunks(table.num_rows, table["__n"][0].as_py(), replicates):
+        for first, count in _chunks(table.num_rows, replicates):
             part = slice(first, first + count)
-            w = _weights(table, seed, first, count)
+            w = _weights(table, first, count)
             k = before[part] + np.cumsum(w, axis=0) - w
             s = before_sum[part] + np.cumsum(w * values[:, None], axis=0) - w * values[:, None]
             found.append(measure(k, w, s, values[:, None], whole[part], whole_sum[part]))
@@ -213,22 +251,22 @@ def bootstrap_median(df: DataFrame, group: list[str], cluster: str, value: str,
     return _named(intervals(values, ["__g"]), rows, group)
 
 
-def _weighted_ranks(rows: DataFrame, value: str, seed: str, replicates: int) -> DataFrame:
+def _weighted_ranks(rows: DataFrame, value: str, every: DataFrame, replicates: int) -> DataFrame:
     """(__g, value, twice): twice the average rank of each distinct value in every replicate, a whole number; rows of a cluster are summed up first."""
     cells = rows.groupBy("__g", "__d", "__slot", "__n", F.col(value).cast("double").alias("__value")).agg(F.count("*").alias("__count"))
-    runs = _sorted(cells, ["__value"])  # a value's cells, one for each cluster, stay in one run
+    runs = _sorted(cells, ["__value"], every)  # a value's cells, one for each cluster, stay in one run
 
     def ranked(table: pa.Table, ahead: pa.Table) -> pa.Table:
         table = table.sort_by("__value")
         values = _floats(table, "__value")
         starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
         before, found = _array(ahead, "ahead"), []
-        for first, count in _chunks(table.num_rows, table["__n"][0].as_py(), replicates):
-            w = np.add.reduceat(_weights(table, seed, first, count), starts, axis=0)
+        for first, count in _chunks(table.num_rows, replicates):
+            w = np.add.reduceat(_weights(table, first, count), starts, axis=0)
             found.append(2 * (before[first : first + count] + np.cumsum(w, axis=0) - w) + w + 1)
         return pa.table({"__g": [table["__g"][0].as_py()] * len(starts), "value": values[starts], "twice": _arrays(np.concatenate(found, axis=1)).cast(pa.list_(pa.int64()))})
 
-    out = runs.groupBy("__g", "__run").cogroup(_run_offsets(runs, seed, replicates).groupBy("__g", "__run")).applyInArrow(ranked, "__g string, value double, twice array<long>")
+    out = runs.groupBy("__g", "__run").cogroup(_run_offsets(runs, replicates).groupBy("__g", "__run")).applyInArrow(ranked, "__g string, value double, twice array<long>")
     return written(out)
 
 
@@ -236,29 +274,26 @@ def spearman_values(rows: DataFrame, scores: list[str], outcome: str, replicates
     """(__g, r, metric, value): of each score the rank correlation with outcome in every replicate, and the first one's less each other's."""
     columns = [outcome, *scores]
     cells = rows.groupBy("__g", "__d", "__slot", "__n", *(F.col(c).cast("double").alias(f"__v{k}") for k, c in enumerate(columns))).agg(F.count("*").alias("__count"))
+    every = drawn(rows, seed, replicates)
+    cells = cells.join(every, ["__d", "__slot"])
     for k, c in enumerate(columns):
-        ranks = _weighted_ranks(rows, c, seed, replicates).select(F.col("__g").alias("__h"), F.col("value").alias("__u"), F.col("twice").alias(f"__r{k}"))
+        ranks = _weighted_ranks(rows, c, every, replicates).select(F.col("__g").alias("__h"), F.col("value").alias("__u"), F.col("twice").alias(f"__r{k}"))
         cells = cells.join(ranks, (F.col("__g") == F.col("__h")) & (F.col(f"__v{k}") == F.col("__u"))).drop("__h", "__u", f"__v{k}")
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, np.ndarray] = {}
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             groups = np.array(batch["__g"].to_pylist(), object)
             for g in dict.fromkeys(groups):
                 rows = pa.table(batch).take(np.flatnonzero(groups == g))
-                d = rows["__d"][0].as_py()
-                if d not in kept:
-                    kept.clear()
-                    kept[d] = draws(seed, d, rows["__n"][0].as_py(), 0, replicates)
-                w = kept[d][rows["__slot"].to_numpy()] * _floats(rows, "__count")[:, None]
+                w = _weights(rows, 0, replicates)
                 r = [rows[f"__r{k}"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) / 2 for k in range(len(columns))]
                 found = np.array([w.sum(axis=0), *((w * x * x).sum(axis=0) for x in r), *((w * r[0] * x).sum(axis=0) for x in r[1:])])
                 sums[g] = sums[g] + found if g in sums else found
         for g, found in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * len(found)), pa.array(range(len(found)), pa.int32()), _arrays(found)], names=["__g", "k", "v"])
 
-    parts = cells.drop("__v0").mapInArrow(products, "__g string, k int, v array<double>")
+    parts = _in_batches(cells.drop("__v0")).mapInArrow(products, "__g string, k int, v array<double>")
     sums = parts.select("__g", "k", F.posexplode("v").alias("r", "x")).groupBy("__g", "r").pivot("k", list(range(2 * len(columns)))).agg(F.sum("x"))
     n, of = F.col("0"), lambda k: F.col(str(k))
     middle = n * (n + 1) * (n + 1) / 4

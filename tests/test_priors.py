@@ -150,3 +150,12 @@ def test_graph_transport_and_support(spark, tasks):
     assert np.allclose([got[t[0]].out for t in tasks], [0.82 * base[t[0]][0] + 0.18 * c for t, c in zip(tasks, carried)])
     support = {r.id: r.uncertainty for r in priors.with_support(df).collect()}
     assert all(support[t[0]] == pytest.approx(1 / (1 + sum(u[6] and u[2] == t[2] and u[3] != t[3] for u in tasks))) for t in tasks)
+
+
+def test_blocks_hold_few_products_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(priors, "PRODUCTS", 40)
+    v = np.random.default_rng(4).integers(-2, 3, (50, 3)).astype(float)
+    rows = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(v)], "id long, pool int, v array<double>")
+    got = priors.nearest(rows, rows.select("pool", F.col("id").alias("source"), F.col("v").alias("w")), ["pool"], 4).collect()
+    want = {(i, j, float(v[i] @ v[j]), n) for i in range(50) for n, j in enumerate(sorted(range(50), key=lambda j: (-(v[i] @ v[j]), j))[:4], 1)}
+    assert {(r.id, r.source, r.score, r.nth) for r in got} == want and len(got) == len(want)

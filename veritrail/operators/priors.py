@@ -7,6 +7,8 @@ copied once for each block of the other side, not for each of its rows, and no g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from veritrail.sources.storage import written
 
 #: Rows of a block of queries or sources.
 BLOCK = 16384
+#: Products of two blocks held at a time.
+PRODUCTS = 4_000_000
 
 #: Words that mark a label as one of a pathway. Fixed values.
 PATHWAYS = {
@@ -44,6 +48,11 @@ def prior_features(perturbation: Column, context: Column, size: int = 64) -> Col
     return unit_or_zero(F.concat(F.array(*marks), hashed_label(F.concat_ws("::", a, b), size)))
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    size = max(1, PRODUCTS // max(width, 1))
+    return (slice(first, min(first + size, rows)) for first in range(0, rows, size))
+
+
 def _blocks(queries: DataFrame, sources: DataFrame, pool: list[str]) -> DataFrame:
     """(pool, q_blocks, s_blocks): how many blocks of about BLOCK rows each side of a pool has."""
     q, s = (r.groupBy(*pool).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{side}_blocks")) for r, side in ((queries, "q"), (sources, "s")))
@@ -76,9 +85,13 @@ def nearest(queries: DataFrame, sources: DataFrame, pool: list[str], k: int) ->
         if not q.num_rows or not s.num_rows:
             return q.select([*pool, "id"]).slice(0, 0).append_column("source", s["id"].slice(0, 0)).append_column("score", pa.array([], pa.float64()))
         a, b = (_matrix(t["v"].combine_chunks()) for t in (q, s))
-        rough = a @ b.T
-        kth = np.partition(rough, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
-        i, j = np.nonzero(rough >= (kth - 1e-9 * np.maximum(1.0, np.abs(kth)))[:, None])  # products differ in their last digits by place
+        pairs = []
+        for part in _slices(len(a), len(b)):
+            rough = a[part] @ b.T
+            kth = np.partition(rough, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
+            i, j = np.nonzero(rough >= (kth - 1e-9 * np.maximum(1.0, np.abs(kth)))[:, None])  # products differ in their last digits by place
+            pairs.append((i + part.start, j))
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
         score = np.concatenate([(a[i[c : c + 65536]] * b[j[c : c + 65536]]).sum(axis=1) for c in range(0, len(i), 65536)])
         out = q.select([*pool, "id"]).take(pa.array(i)).append_column("source", s["id"].take(pa.array(j))).append_column("score", pa.array(score))
         return out.combine_chunks()
@@ -206,19 +219,21 @@ def _weighted_by_control(temperature: float):
         a, b, e = (np.zeros((0, 1)) if empty else _matrix(c.combine_chunks()) for c in (q["v"], s["v"], s["effect"]))
         out = {"id": [], "other": [], "n": [], "likest": [], "sums": []}
         if not empty:
-            likeness = (a @ b.T) / (np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)) + 1e-8)
             codes = pa.chunked_array([*q["context"].chunks, *s["context"].chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-            apart = codes[: len(a), None] != codes[None, len(a) :]
-            weight = np.exp(temperature * likeness)  # between exp(-t) and exp(t), so sums need no shift
-            for other, mask in ((True, apart), (False, ~apart)):
-                w = weight * mask
-                n = mask.sum(axis=1)
-                at = np.nonzero(n)[0]
-                out["id"].append(q["id"].take(pa.array(at)).combine_chunks())
-                out["other"].append(pa.array(np.full(len(at), other)))
-                out["n"].append(pa.array(n[at].astype(np.int64)))
-                out["likest"].append(pa.array(np.where(mask, likeness, -np.inf).max(axis=1)[at]))
-                out["sums"].append(_vectors(np.hstack([w.sum(axis=1, keepdims=True), w @ e])[at]))
+            na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+            for part in _slices(len(a), len(b)):
+                likeness = (a[part] @ b.T) / (np.outer(na[part], nb) + 1e-8)
+                apart = codes[: len(a)][part][:, None] != codes[None, len(a) :]
+                weight = np.exp(temperature * likeness)  # between exp(-t) and exp(t), so sums need no shift
+                for other, mask in ((True, apart), (False, ~apart)):
+                    w = weight * mask
+                    n = mask.sum(axis=1)
+                    at = np.nonzero(n)[0]
+                    out["id"].append(q["id"].take(pa.array(at + part.start)).combine_chunks())
+                    out["other"].append(pa.array(np.full(len(at), other)))
+                    out["n"].append(pa.array(n[at].astype(np.int64)))
+                    out["likest"].append(pa.array(np.where(mask, likeness, -np.inf).max(axis=1)[at]))
+                    out["sums"].append(_vectors(np.hstack([w.sum(axis=1, keepdims=True), w @ e])[at]))
         types = {"id": q.schema.field("id").type, "other": pa.bool_(), "n": pa.int64(), "likest": pa.float64(), "sums": pa.list_(pa.float64())}
         return pa.table({c: pa.chunked_array(out[c], t) for c, t in types.items()})
 

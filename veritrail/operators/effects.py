@@ -84,6 +84,12 @@ def split_half_noise(cells: DataFrame, masks: DataFrame, control: str, repeats:
     sizes = masks.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*(F.count_if(left(r)) for r in range(repeats))).alias("n_left"))
     joined = cells.join(masks, [*keys, "batch", "cell"])
     sums = joined.groupBy(*keys, "gene").agg(F.sum("x").alias("s"), F.array(*(F.coalesce(F.sum(F.when(left(r), F.col("x"))), F.lit(0.0)) for r in range(repeats))).alias("s_left"))
+    return noise_of_sums(sizes, sums, control, repeats, least)
+
+
+def noise_of_sums(sizes: DataFrame, sums: DataFrame, control: str, repeats: int, least: int) -> DataFrame:
+    """split_half_noise from (context, perturbation, n, n_left) and (context, perturbation, gene, s, s_left), arrays of a number for each repeat."""
+    keys = ["context", "perturbation"]
     sizes, sums = written(sizes), written(sums)
     of = lambda df, own, **names: df.filter((F.col("perturbation") == control) == F.lit(not own)).select(*(F.col(c).alias(names.get(c, c)) for c in df.columns if own or c != "perturbation"))
     base = of(sums, False, s="cs", s_left="cs_left")

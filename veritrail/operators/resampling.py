@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import sha256
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from veritrail.functions.ranks import running
 from veritrail.operators.metrics import hash_positions, spearman
-from veritrail.sources.storage import written
+from veritrail.sources.storage import Scratch, written
 
 
 def _draw(seed: str, *parts: Column) -> Column:
@@ -137,6 +138,56 @@ def half_masks(units: DataFrame, strata: list[str], unit: str, repeats: int, see
     return placed.groupBy(*strata, unit).agg(F.sum(moved).alias("mask"))
 
 
+#: Rows of a bucket of hash neighbours, and of a task that holds several buckets, about.
+HALF_BUCKET, HALF_TASK = 1 << 14, 1 << 19
+
+
+def half_sums(rows: DataFrame, keys: list[str], batch: list[str], unit: str, gene: str, value: str, repeats: int, seed: str, orders: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(keys, n, n_left) and (keys, gene, s, s_left): a key's units and a gene's sum of value, and what of them is in the left half of each repeat.
+
+    The halves are those of half_masks over the strata of keys and batch. The rows meet one order at a time: each goes with its value to the
+    bucket of its hash, where it gets its place, and only sums leave, so disk holds one order's rows and no unit meets its mask. Rows
+    without a key, batch or unit take no part, as in SQL.
+    """
+    each, strata, spark = repeats // orders, [*keys, *batch], rows.sparkSession
+    text = lambda *parts: F.sha2(F.concat_ws("|", F.lit(seed), *(p.cast("string") for p in parts)), 256)
+    parts = []
+    with Scratch(spark) as scratch:
+        rows = scratch.written(rows.select(*strata, unit, gene, value).dropna(subset=[*strata, unit]))
+        tasks = max(-(-rows.count() // HALF_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        groups = rows.groupBy(*strata).agg(F.ceil(F.count("*") / HALF_BUCKET).alias("__buckets"))
+        groups = scratch.written(groups.withColumn("__s", F.monotonically_increasing_id()))
+        for order in range(orders):
+            digest = text(F.lit(order), F.col(unit))
+            named = rows.join(groups, strata).withColumn("__digits", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+            bucket = F.shiftright(F.shiftright("__digits", 28) * F.col("__buckets"), 32).cast("int")  # the first 32 of 60 bits
+            dealt = named.select("__s", bucket.alias("__bucket"), "__digits", F.col(unit).alias("__unit"), F.col(gene).alias("__gene"), F.col(value).alias("__x")).repartition(tasks, "__s", "__bucket")
+            line = Window.partitionBy("__s", "__bucket").orderBy("__digits", text(F.lit(order), F.col("__unit")), "__unit")  # a bucket
+            first = ~F.col("__unit").eqNullSafe(F.lag("__unit").over(line))
+            placed = scratch.written(dealt.select("__s", "__bucket", "__gene", "__x", F.dense_rank().over(line).alias("__at"), first.alias("__first")))
+            ahead = Window.partitionBy("__s").orderBy("__bucket")  # a row for each bucket of a stratum
+            sizes = placed.groupBy("__s", "__bucket").agg(F.max("__at").cast("long").alias("__n"))
+            sizes = scratch.written(sizes.select("__s", "__bucket", (F.sum("__n").over(ahead) - F.col("__n")).alias("__ahead")))
+            whole = placed.join(sizes, ["__s", "__bucket"]).join(groups, "__s").withColumn("__at", F.col("__ahead") + F.col("__at"))
+            coin = F.conv(F.substring(text(F.lit("coin"), F.lit(order), *map(F.col, strata), F.floor((F.col("__at") - 1) / 2)), 1, 8), 16, 10).cast("long")
+            whole = whole.select(*keys, "__gene", "__x", "__first", F.when(F.col("__at") % 2 == 1, coin).otherwise(F.bitwise_not(coin)).bitwiseAND((1 << each) - 1).alias("__bits"))
+            left = [F.col("__bits").bitwiseAND(1 << j) != 0 for j in range(each)]
+            sums = whole.groupBy(*keys, "__gene").agg(
+                F.count_if("__first").alias("n"),
+                F.array(*(F.count_if(F.col("__first") & on) for on in left)).alias("n_left"),
+                F.sum("__x").alias("s"),
+                F.array(*(F.coalesce(F.sum(F.when(on, F.col("__x"))), F.lit(0.0)) for on in left)).alias("s_left"),
+            )
+            parts.append(written(sums.withColumn("o", F.lit(order))))
+            scratch.drop(placed, sizes)
+    every = F.array_sort(F.collect_list(F.struct("o", "n_left", "s_left")))  # one for each order
+    found = reduce(DataFrame.unionByName, parts).groupBy(*keys, "__gene").agg(F.sum(F.when(F.col("o") == 0, F.col("n"))).alias("n"), F.max("s").alias("s"), every.alias("v"))
+    joined = lambda c: F.flatten(F.transform("v", lambda x: x[c])).alias(c)
+    found = written(found.select(*keys, F.col("__gene").alias(gene), "n", "s", joined("n_left"), joined("s_left")))
+    sizes = found.groupBy(*keys).agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("n_left")[r]) for r in range(repeats))).alias("n_left"))
+    return sizes, found.filter(F.col(gene).isNotNull()).select(*keys, gene, "s", "s_left")
+
+
 def association_null(risk: DataFrame, errors: DataFrame, unit: str, method: str, replicates: int, seed: str) -> DataFrame:
     """(observed, n_null, p) of the median over methods of the rank correlation between a unit's risk and its error, against permutations of the risks.
 

@@ -115,6 +115,21 @@ def test_energy_distance_has_both_sigmas(spark):
         assert got.keys() == want.keys() and all(np.allclose(got[g], want[g], atol=2e-6, rtol=1e-9, equal_nan=True) for g in want)
 
 
+def test_tasks_of_energy_and_cells_grow_in_number(spark, monkeypatch):
+    kind = type(spark.range(1))
+    tasks, deal = [], kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *c: (tasks.append((n, *c)), deal(self, n, *c))[1])
+    before = sorted(map(str, QUERIES["energy_distance"](spark, SF).collect()))
+    n = views.cells(spark, SF).count()
+    assert tasks == [(-(-n // effects.TASK_ROWS), "context", "perturbation", "cell")]
+    monkeypatch.setattr(effects, "TASK_ROWS", 1000)
+    for name, value in (("JOIN_ROWS", 1000), ("DEALT_ROWS", 1), ("BROAD_ROWS", 1)):
+        monkeypatch.setattr(views, name, value)
+    tasks.clear()
+    assert sorted(map(str, QUERIES["energy_distance"](spark, SF).collect())) == before
+    assert [k for k, *_ in tasks] == [max(4, -(-n // 1000))] * 3 + [-(-n // 1000)]
+
+
 def _draws(*parts):
     return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
 

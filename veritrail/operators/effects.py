@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from veritrail.sources.storage import written
+from veritrail.sources.storage import Scratch, written
+
+#: Rows of a task that adds up cells, about.
+TASK_ROWS = 1 << 18
 
 
 def pseudobulk(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,14 +57,20 @@ def energy_distances(cells: DataFrame, control: str, context: list[str]) -> Data
     """(context, perturbation, n_cells, delta, sigma_control, sigma, energy): cells as vectors over genes, against the context's control.
 
     delta is the mean squared distance between the two sides' cells, sigma that between two cells of a side (with n - 1; null for one
-    cell), energy 2 delta less both sigmas. All from counts, sums and sums of squares of each gene; absent genes are zeros.
+    cell), energy 2 delta less both sigmas. All from counts, sums and sums of squares of each gene; absent genes are zeros. Cells are dealt
+    to tasks of about TASK_ROWS rows, so more rows are more tasks and not larger ones.
     """
     keys = [*context, "perturbation"]
-    vectors = cells.groupBy(*keys, "cell", "gene").agg(F.sum("x").alias("x"))  # a cell's repeated rows add up
-    sizes = vectors.groupBy(*keys).agg(F.count_distinct("cell").alias("n_cells"))
     x, n, m = F.col("x"), F.col("n_cells"), F.col("mean")
-    genes = vectors.groupBy(*keys, "gene").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q")).join(sizes, keys).withColumn("mean", F.col("s") / n)
-    genes = written(genes)
+    with Scratch(cells.sparkSession) as scratch:
+        rows = scratch.written(cells.select(*keys, "cell", "gene", "x"))
+        tasks = max(-(-rows.count() // TASK_ROWS), 1)
+        vectors = rows.repartition(tasks, *keys, "cell").groupBy(*keys, "cell", "gene").agg(F.sum("x").alias("x"))  # a cell's repeated rows add up
+        first = F.row_number().over(Window.partitionBy(*keys, "cell").orderBy("gene")) == 1  # a cell's genes
+        vectors = vectors.withColumn("first", first & F.col("cell").isNotNull())
+        sums = written(vectors.groupBy(*keys, "gene").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.count_if("first").alias("first")))
+    sizes = sums.groupBy(*keys).agg(F.sum("first").alias("n_cells"))
+    genes = written(sums.drop("first").join(sizes, keys).withColumn("mean", F.col("s") / n))
     sides = genes.groupBy(*keys, "n_cells").agg(F.sum("q").alias("q"), F.sum(m * m).alias("m2"))
     sides = sides.withColumn("sigma", F.try_divide(2 * (F.col("q") - n * F.col("m2")), n - 1)).withColumn("power", F.col("q") / n)
     is_control = F.col("perturbation") == control

@@ -4,6 +4,7 @@ from collections import Counter
 
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from veritrail.llm import order_minhash as om
 from veritrail.llm.queries import op9_order_minhash
@@ -123,3 +124,14 @@ def test_query(spark, tmp_path):
     assert len({r.fingerprint for (i, _, _), r in got.items() if i in (28, 35)}) == 1  # the same text
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert om.with_next(empty, "doc_id", ["text"]).count() == 0
+
+
+def test_scripts_are_looked_up_for_no_character_below_them(spark):
+    u = om.UNSPACED
+    plain = rf"[{u}]|[^\x20\x09-\x0D{u}]+"
+    assert om.TOKEN.count(r"\x{E00}-\x{10FFFF}&&[") == om.TOKEN.count(u) == 2
+    points = [k for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    texts = spark.createDataFrame([("".join(map(chr, points[k : k + 997])),) for k in range(0, len(points), 997)] + [("ab",), ("",)], "t string")
+    split = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    assert texts.filter(split(om.TOKEN) != split(plain)).count() == 0
+    assert texts.select(F.sum(F.size(split(plain)))).first()[0] > 90_000

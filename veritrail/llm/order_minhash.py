@@ -23,7 +23,8 @@ WORDS, LENGTH, ORDERS, STARTS = 3, 2, 4, 16
 SKETCHES = ORDERS * STARTS
 #: Scripts written without blanks, of which each letter is a token (fixed values).
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-TOKEN = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
+#: Of these scripts no letter lies below U+0E01; below, no script is looked up, which takes several searches for each character.
+TOKEN = rf"[\x{{E00}}-\x{{10FFFF}}&&[{UNSPACED}]]|[\x00-\x08\x0E-\x1F\x21-\x{{DFF}}[\x{{E00}}-\x{{10FFFF}}&&[^{UNSPACED}]]]+"
 #: Low bits that hold a place in an array; the others hold a hash.
 _BITS = 30
 #: Documents in a bucket of neighbours, about; ranges that follow the distribution of ids.
@@ -39,7 +40,7 @@ def _place(v: Column) -> Column:
 
 
 def _marked(hashed: Column, place: Column) -> Column:
-    return F.shiftleft(_top(hashed), _BITS).bitwiseOR(place.cast("long"))
+    return hashed.bitwiseAND(F.lit(-1 << _BITS)).bitwiseOR(place.cast("long"))
 
 
 def _k_mers(words: Column) -> Column:

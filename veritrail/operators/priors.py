@@ -1,6 +1,6 @@
 """Predictions from tasks that are alike by their labels or controls: smoothing over nearest neighbours, and ridge on labels.
 
-Nearest neighbours are exact. Queries and sources of a pool are dealt into blocks of about BLOCK rows by the hash of their ids, every
+Nearest neighbours are exact. Queries and sources of a pool are dealt into blocks of at most about BLOCK rows by the hash of their ids, every
 block of queries meets every block of sources as matrices, and only the best of each query in a block leave the task: a vector is
 copied once for each block of the other side, not for each of its rows, and no group is larger than two blocks.
 """
@@ -19,8 +19,8 @@ from veritrail.functions import vectors as vec
 from veritrail.operators.programs import ProgramBank, Ridge, _matrix, _vectors, baseline_and_source, fit_programs, fit_ridge, hashed_label, vector_sums
 from veritrail.sources.storage import written
 
-#: Rows of a block of queries or sources.
-BLOCK = 16384
+#: Rows of a block of queries or sources at most, about; pools of less than 2 * BLOCK rows have blocks of a quarter, as few large ones leave cores idle.
+BLOCK = 32768
 #: Products of two blocks held at a time.
 PRODUCTS = 4_000_000
 
@@ -54,8 +54,9 @@ def _slices(rows: int, width: int) -> Iterator[slice]:
 
 
 def _blocks(queries: DataFrame, sources: DataFrame, pool: list[str]) -> DataFrame:
-    """(pool, q_blocks, s_blocks): how many blocks of about BLOCK rows each side of a pool has."""
-    q, s = (r.groupBy(*pool).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"{side}_blocks")) for r, side in ((queries, "q"), (sources, "s")))
+    """(pool, q_blocks, s_blocks): how many blocks each side of a pool has; 8 up to 8 * BLOCK rows, so copies grow with the rows until there."""
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(BLOCK // 4), F.count("*") / 8))
+    q, s = (r.groupBy(*pool).agg(F.ceil(F.count("*") / block).cast("int").alias(f"{side}_blocks")) for r, side in ((queries, "q"), (sources, "s")))
     return written(q.join(s, pool))
 
 
@@ -70,6 +71,12 @@ def _blocked(rows: DataFrame, pool: list[str], id: str, vector: str, side: str,
     return mine.select(*(F.col(c).alias(name) for name, c in columns.items()))  # columns of its own, as both sides may come of one table
 
 
+def dealt(left: DataFrame, right: DataFrame, keys: list[str], blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt by keys to as many tasks as pairs of blocks meet: the work grows with the pairs, not with the bytes by which Spark would join tasks."""
+    n = int(blocks.agg(F.sum(F.col("q_blocks").cast("long") * F.col("s_blocks"))).first()[0] or 1)
+    return tuple(side.repartition(n, *keys) for side in (left, right))
+
+
 def nearest(queries: DataFrame, sources: DataFrame, pool: list[str], k: int) -> DataFrame:
     """(pool, id, source, score, nth): of each query (pool, id, v) the k sources (pool, source, w) of its pool with the greatest inner product, equal ones by source.
 

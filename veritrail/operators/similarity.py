@@ -15,43 +15,22 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window
 
 from veritrail.functions import vectors as vec
-from veritrail.operators import priors, programs
+from veritrail.operators import priors, tiles
 from veritrail.sources.storage import written
 
 
-#: Products of one matrix held at a time.
-PRODUCTS = 4_000_000
-#: Cosines count where the product of norms is above LEAST; rough ones lie within MARGIN of those of vec.cosine.
-LEAST, MARGIN = 1e-12, 1e-11
-
-
-def strict_sums(rows: int, entries: Iterator[np.ndarray]) -> np.ndarray:
-    """Sums of entries from the first on, as vec.total and SQL add them up: rows of equal bits have equal sums."""
-    out = np.zeros(rows)
-    for x in entries:
-        out += x
-    return out
-
-
-def _paired(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, entry) -> np.ndarray:
-    """Strict sums of entry(x, y) over the positions of rows i of a and j of b, so many pairs at a time."""
-    parts = []
-    for c in range(0, len(i), 65536):
-        x, y = a[i[c : c + 65536]].T, b[j[c : c + 65536]].T
-        parts.append(strict_sums(x.shape[1], (entry(*z) for z in zip(x, y, strict=True))))
-    return np.concatenate(parts) if parts else np.zeros(0)
+#: Products of one tile.
+PRODUCTS = tiles.PRODUCTS
+#: Cosines count where the product of norms is above LEAST; norms outside FIT are too small or great for rough products.
+LEAST, FIT = 1e-12, (1e-100, 1e100)
 
 
 def _norms(a: np.ndarray) -> np.ndarray:
-    return np.sqrt(strict_sums(len(a), (x * x for x in a.T)))
-
-
-def _slices(rows: int, width: int) -> Iterator[slice]:
-    size = max(1, PRODUCTS // max(width, 1))
-    return (slice(first, min(first + size, rows)) for first in range(0, rows, size))
+    return np.sqrt(tiles.strict_sums(len(a), (x * x for x in a.T)))
 
 
 def _equal_ids(q: pa.ChunkedArray, s: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,18 +40,6 @@ def _equal_ids(q: pa.ChunkedArray, s: pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return both["i"].to_numpy(), both["j"].to_numpy()
 
 
-def best_of(rough: np.ndarray, k: int, margin: np.ndarray, place: np.ndarray, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, score) of the k best columns of each row by exact(rows, columns), equal ones by place; rough lies within margin of it, and is -inf where there is no pair."""
-    kth = max(0, rough.shape[1] - k)
-    least = np.partition(rough, kth, axis=1)[:, kth]
-    i, j = np.nonzero((rough >= (least - margin)[:, None]) & (rough > -np.inf))
-    score = exact(i, j)
-    down = np.where(np.isnan(score), -np.inf, -score)
-    order = np.lexsort((place[j], down, i))
-    i, j, score = i[order], j[order], score[order]
-    return tuple(x[np.arange(len(i)) - np.searchsorted(i, i) < k] for x in (i, j, score))
-
-
 def places(ids: pa.ChunkedArray) -> np.ndarray:
     """Of each id its number in their order."""
     out = np.empty(len(ids), np.int64)
@@ -86,23 +53,37 @@ def _clean(rows: DataFrame, vector: str) -> DataFrame:
     return rows.filter(known).withColumn("__size", F.size(vector))
 
 
+@F.arrow_udf(BinaryType())
+def _packed(vector: pa.Array) -> pa.Array:
+    """Vectors as their bytes: a copy for each block is then moved as a whole, not number by number."""
+    sizes = pc.fill_null(pc.list_value_length(vector), 0).to_numpy()
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int32) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(vector), [None, pa.py_buffer(ends), pa.py_buffer(vector.flatten().to_numpy(zero_copy_only=False).tobytes())])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.float64)[ends[0] // 8 : ends[-1] // 8].reshape(len(column), -1)
+
+
 def _met(queries: DataFrame, sources: DataFrame, pool: list[str], run, columns: str, more: tuple[str, ...] = ()) -> DataFrame:
     """(pool, id, columns) as run(a, b, q, s) gives them for every block of queries (id, v, more) and of sources (source, w) of a pool.
 
     a and b are the blocks' vectors, q and s their tables; run gives the rows of q and the columns. Only vectors of one length meet.
     """
-    q, s = _clean(queries, "v"), _clean(sources, "w")
+    q, s = (_clean(rows, c).withColumn(c, _packed(F.col(c).cast("array<double>"))) for rows, c in ((queries, "v"), (sources, "w")))
     meet = [*pool, "__size"]
     blocks = priors._blocks(q, s, meet)
     keys = [*meet, "q_block", "s_block"]
     left, right = priors._blocked(q, meet, "id", "v", "q", blocks, more), priors._blocked(s, meet, "source", "w", "s", blocks)
     kept = [*pool, "id"]
+    left, right = priors.dealt(left, right, keys, blocks)
     names = ", ".join(f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in kept)
 
     def task(q: pa.Table, s: pa.Table) -> pa.Table:
         if not q.num_rows or not s.num_rows:
             return None
-        a, b = (programs._matrix(t["v"].combine_chunks()) for t in (q, s))
+        a, b = (_unpacked(t["v"].combine_chunks()) for t in (q, s))
         rows, found = run(a, b, q, s)
         return pa.table({**{c: q[c].take(pa.array(rows)) for c in kept}, **found}).combine_chunks()
 
@@ -115,14 +96,34 @@ def _met(queries: DataFrame, sources: DataFrame, pool: list[str], run, columns:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(both, out)
 
 
-def _cosines(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Rough cosines; -inf where there is none, NaN where an entry is not finite."""
+def _cosine(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray):
+    """Cosines of rows i of a and j of b as vec.cosine has them."""
+
+    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return tiles.paired(a, b, i, j, np.multiply) / (na[i] * nb[j])
+
+    return exact
+
+
+def _plain(na: np.ndarray, nb: np.ndarray) -> bool:
+    """All pairs have a cosine that rough products give."""
+    return na.min() * nb.min() > LEAST and all(FIT[0] < n.min() and n.max() < FIT[1] for n in (na, nb))
+
+
+def _cosines(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, kind: type = np.float32) -> Iterator[tiles.Tile]:
+    """Rough cosines by tiles; -inf where there is none, NaN where it is NaN."""
+    plain = _plain(na, nb)
     with np.errstate(all="ignore"):
-        rough = (a / na[:, None]) @ (b / nb[:, None]).T
-        if not na.min() * nb.min() > LEAST:
-            size = na[:, None] * nb
-            rough[size <= LEAST] = -np.inf
-    return rough
+        fit_a, fit_b = ((FIT[0] < n) & (n < FIT[1]) for n in (na, nb))
+        for rows, columns, rough in tiles.products(a / na[:, None], b / nb[:, None], kind, PRODUCTS):
+            if not plain:
+                size = na[rows, None] * nb[columns]
+                i, j = np.nonzero(~(fit_a[rows, None] & fit_b[columns]) & (size > LEAST))
+                rough[i, j] = _cosine(a, b, na, nb)(i + rows.start, j + columns.start)
+                rough[np.isnan(size)] = np.nan
+                rough[size <= LEAST] = -np.inf
+            yield rows, columns, rough
 
 
 def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int, others: bool = False) -> DataFrame:
@@ -133,20 +134,19 @@ def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int,
     """
 
     def run(a, b, q, s):
-        na, nb, place = _norms(a), _norms(b), places(s["id"])
-        own = _equal_ids(q["id"], s["id"]) if others else None
-        found = []
-        for part in _slices(len(a), len(b)):
-            rough = _cosines(a[part], b, na[part], nb)
-            rough[np.isnan(rough)] = np.inf  # Spark's order has NaN above all
-            if others:
-                mine = (own[0] >= part.start) & (own[0] < part.stop)
-                rough[own[0][mine] - part.start, own[1][mine]] = -np.inf
-            with np.errstate(all="ignore"):
-                exact = lambda i, j, at=part.start: _paired(a, b, i + at, j, np.multiply) / (na[i + at] * nb[j])
-                i, j, score = best_of(rough, k, np.full(len(rough), MARGIN), place, exact)
-            found.append((i + part.start, j, score))
-        i, j, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        na, nb = _norms(a), _norms(b)
+        own, theirs = _equal_ids(q["id"], s["id"]) if others else (np.zeros(0, np.int64),) * 2
+
+        def met():
+            for rows, columns, rough in _cosines(a, b, na, nb):
+                if not _plain(na, nb):
+                    rough[np.isnan(rough)] = np.inf  # Spark's order has NaN above all
+                mine = slice(*np.searchsorted(own, (rows.start, rows.stop)))
+                here = (theirs[mine] >= columns.start) & (theirs[mine] < columns.stop)
+                rough[own[mine][here] - rows.start, theirs[mine][here] - columns.start] = -np.inf
+                yield rows, columns, rough
+
+        i, j, score = tiles.best(met(), k, np.full(len(a), tiles.slack(a.shape[1])), places(s["id"]), _cosine(a, b, na, nb))
         return i, {"source": s["id"].take(pa.array(j)), "cosine": pa.array(score)}
 
     found = _met(queries, sources, pool, run, f"source {sources.schema['source'].dataType.simpleString()}, cosine double")
@@ -155,20 +155,36 @@ def neighbours(queries: DataFrame, sources: DataFrame, pool: list[str], k: int,
 
 
 def likeness(queries: DataFrame, sources: DataFrame, pool: list[str]) -> DataFrame:
-    """(pool, id, n, greatest, mean) of each query's cosines with the sources of its pool."""
+    """(pool, id, n, greatest, mean) of each query's cosines with the sources of its pool.
+
+    The mean needs no pairs where all norms are above zero: it is a product with the sum of the sources' unit vectors.
+    """
 
     def run(a, b, q, s):
         na, nb = _norms(a), _norms(b)
-        n, top, total = np.zeros(len(a), np.int64), np.zeros(len(a)), np.zeros(len(a))
-        for part in _slices(len(a), len(b)):
-            rough = _cosines(a[part], b, na[part], nb)
-            top[part] = rough.max(axis=1)
-            none = np.isneginf(rough)
-            n[part] = rough.shape[1] - none.sum(axis=1)
-            rough[none] = 0.0
-            total[part] = rough.sum(axis=1)
+        some, known = np.flatnonzero(na != 0), nb != 0
+        a, b, na, nb = a[some], b[known], na[some], nb[known]
+        n, top, total = np.zeros(len(a), np.int64), np.full(len(a), -np.inf), np.zeros(len(a))
+        if len(a) and len(b):
+            plain, off, exact = _plain(na, nb), 2 * tiles.slack(a.shape[1]), _cosine(a, b, na, nb)
+            rough_top = np.full(len(a), -np.inf, np.float32)
+            for rows, columns, rough in _cosines(a, b, na, nb):
+                n[rows] += rough.shape[1] - (0 if plain else np.isneginf(rough).sum(axis=1))
+                if not plain:
+                    rough[np.isnan(rough)] = np.inf  # Spark's order has NaN above all
+                here = rough.max(axis=1)
+                more = np.flatnonzero((here >= rough_top[rows] - off) & (here > -np.inf))
+                rough_top[rows] = np.maximum(rough_top[rows], here)
+                i, j = tiles.places(rough[more] >= (rough_top[rows][more] - off)[:, None])
+                i = more[i] + rows.start
+                np.maximum.at(top, i, exact(i, j + columns.start))
+            if plain:
+                total = (a / na[:, None]) @ (b / nb[:, None]).sum(axis=0)
+            else:
+                for rows, _, fine in _cosines(a, b, na, nb, np.float64):
+                    total[rows] += np.where(np.isneginf(fine), 0.0, fine).sum(axis=1)
         rows = np.flatnonzero(n)
-        return rows, {"n": pa.array(n[rows]), "top": pa.array(top[rows]), "total": pa.array(total[rows])}
+        return some[rows], {"n": pa.array(n[rows]), "top": pa.array(top[rows]), "total": pa.array(total[rows])}
 
     parts = _met(queries, sources, pool, run, "n long, top double, total double")
     return parts.groupBy(*pool, "id").agg(F.sum("n").alias("n"), F.max("top").alias("greatest"), (F.sum("total") / F.sum("n")).alias("mean"))
@@ -208,15 +224,17 @@ def retrieval(predictions: DataFrame, truths: DataFrame, pool: list[str], least:
     def run(a, b, q, s):
         na, nb, own = _norms(a), _norms(b), q["own"].to_numpy()
         n, better, equal = (np.zeros(len(a), np.int64) for _ in range(3))
-        for part in _slices(len(a), len(b)):
-            rough, mine = _cosines(a[part], b, na[part], nb), own[part][:, None]
-            above = rough > mine + MARGIN
-            i, j = np.nonzero(~above & ~(rough < mine - MARGIN))
-            n[part] = rough.shape[1] - np.isneginf(rough).sum(axis=1)
-            with np.errstate(all="ignore"):
-                c, o = _paired(a, b, i + part.start, j, np.multiply) / (na[i + part.start] * nb[j]), own[i + part.start]
-            better[part] = above.sum(axis=1) + np.bincount(i[_beyond(c, o)], minlength=len(rough))
-            equal[part] = np.bincount(i[(c == o) | (np.isnan(c) & np.isnan(o))], minlength=len(rough))
+        plain, off, exact = _plain(na, nb), tiles.slack(a.shape[1]), _cosine(a, b, na, nb)
+        low, high = ((own + x).astype(np.float32)[:, None] for x in (-off, off))
+        for rows, columns, rough in _cosines(a, b, na, nb):
+            above, below = rough > high[rows], rough < low[rows]
+            i, j = tiles.places(above == below)  # neither
+            i += rows.start
+            n[rows] += rough.shape[1] - (0 if plain else np.isneginf(rough).sum(axis=1))
+            c, o = exact(i, j + columns.start), own[i]
+            better[rows] += tiles.counted(above)
+            better += np.bincount(i[_beyond(c, o)], minlength=len(a))
+            equal += np.bincount(i[(c == o) | (np.isnan(c) & np.isnan(o))], minlength=len(a))
         return np.arange(len(a)), {"n": pa.array(n), "better": pa.array(better), "equal": pa.array(equal)}
 
     parts = _met(_with_own(predictions, truths, pool, vec.cosine(F.col("v"), F.col("w"))), truths, pool, run, "n long, better long, equal long", ("own",))
@@ -232,22 +250,32 @@ def centroid_accuracy(predictions: DataFrame, truths: DataFrame, pool: list[str]
 
     def run(a, b, q, s):
         own, size = q["own"].to_numpy(), a.shape[1]
-        i, j = _equal_ids(q["id"], s["id"])
-        n = len(b) - np.bincount(i, minlength=len(a))
+        codes = pd.factorize(pd.concat([q["id"].to_pandas(), s["id"].to_pandas()], ignore_index=True))[0]
+        mine, theirs = codes[: len(a)], codes[len(a) :]
+        n = len(b) - np.bincount(theirs, minlength=codes.max() + 1)[mine]
         farther = np.zeros(len(a), np.int64)
-        qa, qb, limit = (a * a).sum(axis=1), (b * b).sum(axis=1), own * own * size
-        for part in _slices(len(a), len(b)):
-            with np.errstate(all="ignore"):
-                scale = qa[part][:, None] + qb
-                gap = scale - 2 * (a[part] @ b.T) - limit[part][:, None]
-                margin = MARGIN * (scale + limit[part][:, None])
-            mine = (i >= part.start) & (i < part.stop)
-            gap[i[mine] - part.start, j[mine]] = -np.inf  # not another's
-            above = gap > margin
-            x, y = np.nonzero(~above & ~(gap < -margin) & ~np.isneginf(gap))
+        with np.errstate(all="ignore"):
+            qa, qb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            finite = qb[np.isfinite(qb)]
+            usual, most = (np.median(finite), finite.max()) if finite.any() else (1.0, 0.0)
+            usual = usual or most
+            half = (qa - own * own * size) / 2 / usual  # what is farther has a product less half its own square below this
+            scaled = [x / np.sqrt(usual) for x in (a, b)]
+            reach = np.sqrt(qa / usual) * np.sqrt(most / usual) + most / usual + np.abs(half)
+            kind = np.float32 if reach[np.isfinite(reach)].max(initial=0.0) < 30 else np.float64  # vectors of very unlike lengths
+            off = tiles.slack(size + 1, kind) * reach
+            low, high = ((half + x).astype(kind)[:, None] for x in (-off, off))
+            both = np.hstack([scaled[0], np.ones((len(a), 1))]), np.hstack([scaled[1], -qb[:, None] / 2 / usual])
+        for rows, columns, rough in tiles.products(*both, kind, PRODUCTS):
             with np.errstate(all="ignore"):
-                d = np.sqrt(_paired(a, b, x + part.start, y, lambda p, t: (p - t) * (p - t)) / size)
-            farther[part] = above.sum(axis=1) + np.bincount(x[_beyond(d, own[x + part.start])], minlength=len(gap))
+                above = rough < low[rows]
+                x, y = tiles.places(above == (rough > high[rows]))
+            x, y = x + rows.start, y + columns.start
+            apart = mine[x] != theirs[y]
+            x, y = x[apart], y[apart]
+            d = np.sqrt(tiles.paired(a, b, x, y, lambda p, t: (p - t) * (p - t)) / size)
+            farther[rows] += tiles.counted(above)
+            farther += np.bincount(x[_beyond(d, own[x])], minlength=len(a))
         rows = np.flatnonzero(n)
         return rows, {"n": pa.array(n[rows]), "farther": pa.array(farther[rows])}
 

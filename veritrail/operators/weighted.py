@@ -22,9 +22,9 @@ from veritrail.functions.ranks import quantiles, running
 from veritrail.sources.storage import written
 
 #: Replicates, and numbers of one matrix of rows or clusters times replicates held at a time.
-REPLICATES, CELLS = 1000, 4_000_000
-#: Clusters whose draws one task makes, rows of a run unless more are equal, and bytes of a batch of rows with arrays.
-SLOTS, RUN, BATCH_BYTES = 1 << 15, 8192, 1 << 25
+REPLICATES, CELLS = 1000, 1_000_000
+#: Clusters whose draws one task makes, rows of a run, and bytes of a batch of rows with arrays.
+SLOTS, RUN, BATCH_BYTES = 1 << 15, 4096, 1 << 24
 
 
 def draws(seed: str, key: str, n: int, first: int, count: int) -> np.ndarray:
@@ -80,7 +80,9 @@ def drawn(rows: DataFrame, seed: str, replicates: int) -> DataFrame:
             if found.max() > 255:  # one in 255! of the replicates
                 raise OverflowError("a cluster is drawn more than 255 times")
             out[:, first : first + count] = found
-        return pa.table({"__d": table["__d"], "__slot": table["__slot"], "__draws": pa.array([x.tobytes() for x in out], pa.binary())}).combine_chunks()
+        ends = np.arange(len(out) + 1, dtype=np.int32) * np.int32(replicates)
+        bytes_of = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+        return pa.table({"__d": table["__d"], "__slot": table["__slot"], "__draws": bytes_of})
 
     return written(slots.groupBy("__d", "__part").applyInArrow(make, "__d string, __slot long, __draws binary"))
 
@@ -254,20 +256,31 @@ def bootstrap_median(df: DataFrame, group: list[str], cluster: str, value: str,
 def _weighted_ranks(rows: DataFrame, value: str, every: DataFrame, replicates: int) -> DataFrame:
     """(__g, value, twice): twice the average rank of each distinct value in every replicate, a whole number; rows of a cluster are summed up first."""
     cells = rows.groupBy("__g", "__d", "__slot", "__n", F.col(value).cast("double").alias("__value")).agg(F.count("*").alias("__count"))
-    runs = _sorted(cells, ["__value"], every)  # a value's cells, one for each cluster, stay in one run
+    runs = _sorted(cells, ["__value", "__slot"], every)  # a value of many clusters is in several runs
 
     def ranked(table: pa.Table, ahead: pa.Table) -> pa.Table:
         table = table.sort_by("__value")
         values = _floats(table, "__value")
         starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        before, found = _array(ahead, "ahead"), []
+        before, twice, ends = _array(ahead, "ahead"), np.empty((len(starts), replicates), np.int64), sorted({0, len(starts) - 1})
+        own = np.empty((len(ends), replicates), np.int64)
         for first, count in _chunks(table.num_rows, replicates):
+            part = slice(first, first + count)
             w = np.add.reduceat(_weights(table, first, count), starts, axis=0)
-            found.append(2 * (before[first : first + count] + np.cumsum(w, axis=0) - w) + w + 1)
-        return pa.table({"__g": [table["__g"][0].as_py()] * len(starts), "value": values[starts], "twice": _arrays(np.concatenate(found, axis=1)).cast(pa.list_(pa.int64()))})
-
-    out = runs.groupBy("__g", "__run").cogroup(_run_offsets(runs, replicates).groupBy("__g", "__run")).applyInArrow(ranked, "__g string, value double, twice array<long>")
-    return written(out)
+            less = before[part] + np.cumsum(w, axis=0) - w
+            twice[:, part] = 2 * less + w + 1
+            twice[ends, part], own[:, part] = less[ends], w[ends]  # the runs beside this one may hold more of these values
+        at = np.full(len(starts), len(ends))
+        at[ends] = np.arange(len(ends))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * replicates, pa.int32()), pa.array(m.ravel())) for m in (twice, own)]
+        return pa.table({"__g": [table["__g"][0].as_py()] * len(starts), "value": values[starts], "twice": lists[0], "own": lists[1].take(pa.array(at, mask=at == len(ends)))})
+
+    schema = "__g string, value double, twice array<long>, own array<long>"
+    parts = written(runs.groupBy("__g", "__run").cogroup(_run_offsets(runs, replicates).groupBy("__g", "__run")).applyInArrow(ranked, schema))
+    pieces = parts.filter("own is not null").select("__g", "value", F.posexplode(F.arrays_zip("twice", "own")).alias("r", "x"))  # two values of each run at most
+    sums = pieces.groupBy("__g", "value", "r").agg((2 * F.min("x.twice") + F.sum("x.own") + 1).alias("t"))
+    joined = sums.groupBy("__g", "value").agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("v")).select("__g", "value", F.transform("v", lambda x: x["t"]).alias("twice"))
+    return written(parts.filter("own is null").select("__g", "value", "twice").unionByName(joined))
 
 
 def spearman_values(rows: DataFrame, scores: list[str], outcome: str, replicates: int, seed: str) -> DataFrame:

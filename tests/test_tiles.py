@@ -75,3 +75,14 @@ def test_a_task_for_each_pair_of_blocks(spark, close_vectors, monkeypatch):
     found = similarity.likeness(*frames(spark, close_vectors[:30], close_vectors), ["p"])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2 and "#" in plan and ", 32)" in plan  # 4 blocks of queries, 8 of sources
+
+
+def test_nearest_deals_pairs_of_blocks_and_keeps_k_of_ties(spark, monkeypatch):
+    monkeypatch.setattr(priors, "BLOCK", 20)
+    v = np.eye(4)[np.arange(40) % 2]  # all products are 0 or 1
+    queries, sources = frames(spark, v, v)
+    found = priors.nearest(queries, sources, ["p"], 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and ", 64)" in plan
+    got = {(r.id, r.nth): (r.source, r.score) for r in found.collect()}
+    assert got == {(k, n): (k % 2 + 2 * (n - 1), 1.0) for k in range(40) for n in (1, 2, 3)}

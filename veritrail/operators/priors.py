@@ -11,11 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import vectors as vec
+from veritrail.operators import tiles
 from veritrail.operators.programs import ProgramBank, Ridge, _matrix, _vectors, baseline_and_source, fit_programs, fit_ridge, hashed_label, vector_sums
 from veritrail.sources.storage import written
 
@@ -85,6 +87,7 @@ def nearest(queries: DataFrame, sources: DataFrame, pool: list[str], k: int) ->
     blocks = _blocks(queries, sources, pool)
     keys = [*pool, "q_block", "s_block"]
     left, right = _blocked(queries, pool, "id", "v", "q", blocks), _blocked(sources, pool, "source", "w", "s", blocks)
+    left, right = dealt(left, right, keys, blocks)
     fields = [*(queries.schema[p] for p in pool), queries.schema["id"]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", source {sources.schema['source'].dataType.simpleString()}, score double"
 
@@ -92,14 +95,14 @@ def nearest(queries: DataFrame, sources: DataFrame, pool: list[str], k: int) ->
         if not q.num_rows or not s.num_rows:
             return q.select([*pool, "id"]).slice(0, 0).append_column("source", s["id"].slice(0, 0)).append_column("score", pa.array([], pa.float64()))
         a, b = (_matrix(t["v"].combine_chunks()) for t in (q, s))
-        pairs = []
-        for part in _slices(len(a), len(b)):
-            rough = a[part] @ b.T
-            kth = np.partition(rough, max(0, len(b) - k), axis=1)[:, max(0, len(b) - k)]
-            i, j = np.nonzero(rough >= (kth - 1e-9 * np.maximum(1.0, np.abs(kth)))[:, None])  # products differ in their last digits by place
-            pairs.append((i + part.start, j))
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        score = np.concatenate([(a[i[c : c + 65536]] * b[j[c : c + 65536]]).sum(axis=1) for c in range(0, len(i), 65536)])
+        place = np.empty(len(b), np.int64)
+        place[pc.sort_indices(s["id"]).to_numpy()] = np.arange(len(b))
+        na, nb = (np.linalg.norm(x, axis=1) for x in (a, b))
+        alike = nb.max() <= 4 * np.median(nb) and 1e-15 < nb.max() < 1e15 and na.max() < 1e15
+        kind = np.float32 if alike else np.float64
+        exact = lambda i, j: np.concatenate([(a[i[c : c + tiles.PAIRS]] * b[j[c : c + tiles.PAIRS]]).sum(axis=1) for c in range(0, max(1, len(i)), tiles.PAIRS)])
+        rough = tiles.products(a, b, kind, min(PRODUCTS, tiles.PRODUCTS))
+        i, j, score = tiles.best(rough, k, tiles.slack(a.shape[1], kind) * na * nb.max(), place, exact)
         out = q.select([*pool, "id"]).take(pa.array(i)).append_column("source", s["id"].take(pa.array(j))).append_column("score", pa.array(score))
         return out.combine_chunks()
 
